@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from .linededup import OP9_SQL, op9_line_runs
+from .packing import op10_packing
 from .sharding import op7_histogram_shards
 from .urlfilter import OP6_SQL, op6_url_filter
 
 QUERIES = {
     "op6_url_filter": op6_url_filter,
     "op7_histogram_shards": op7_histogram_shards,
+    "op9_line_runs": op9_line_runs,
+    "op10_packing": op10_packing,
 }
 
-ORACLE_SQL = {"op6_url_filter": OP6_SQL}
+ORACLE_SQL = {"op6_url_filter": OP6_SQL, "op9_line_runs": OP9_SQL}
