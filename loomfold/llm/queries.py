@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .annsearch import op2_hnsw
 from .langid import op8_string_kernel
 from .linededup import OP9_SQL, op9_line_runs
 from .media import op4_ogg_media
@@ -11,6 +12,7 @@ from .sharding import op7_histogram_shards
 from .urlfilter import OP6_SQL, op6_url_filter
 
 QUERIES = {
+    "op2_hnsw": op2_hnsw,
     "op3_weak_pii": op3_weak_pii,
     "op4_ogg_media": op4_ogg_media,
     "op6_url_filter": op6_url_filter,
