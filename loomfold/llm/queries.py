@@ -6,12 +6,14 @@ from .annsearch import op2_hnsw
 from .langid import op8_string_kernel
 from .linededup import OP9_SQL, op9_line_runs
 from .media import op4_ogg_media
+from .ngramjoin import op1_ngram_join
 from .packing import op10_packing
 from .pii import op3_weak_pii
 from .sharding import op7_histogram_shards
 from .urlfilter import OP6_SQL, op6_url_filter
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_hnsw": op2_hnsw,
     "op3_weak_pii": op3_weak_pii,
     "op4_ogg_media": op4_ogg_media,
