@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .shared import materialize
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, number long"
-CACHE_WORDS = 400_000
+PART_CACHE, WORD_CACHE = 700_000, 400_000
 
 
 def plan_packs(histogram: dict[int, int], size: int) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
@@ -93,36 +93,78 @@ def place_table(patterns: list[tuple[int, tuple]]):
 
 
 class WordIds:
-    """Token ids of a text as little-endian 32-bit bytes, through a cache of its space-separated words.
+    """Token ids of a text as little-endian 32-bit bytes, through caches of its space-separated words.
 
-    The vocabulary drops white space before it forms words, so words never share a token; each distinct word meets the
-    tokenizer once while it is cached.
+    The vocabulary drops case and white space before it forms words, and letters and punctuation never share a token. So a
+    word is its letters and the marks after them; each of these meets the tokenizer once while it is cached. Caches only
+    save time: they are emptied when full.
     """
 
+    MARKS = ".,!%*&#$|?;:\"()"
+
     def __init__(self, path: str):
         import os
 
+        import numpy as np
+
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
-        self.cache: dict[str, bytes] = {"": b""}
-
-    def of(self, text: str) -> bytes:
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.parts: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {}
+
+    @classmethod
+    def shared(cls, path: str) -> WordIds:
+        """The one of this process; a worker keeps it from task to task."""
+        import sys
+        import types
+
+        kept = sys.modules.setdefault("loomfold_word_ids", types.ModuleType("loomfold_word_ids"))
+        if path not in vars(kept):
+            setattr(kept, path, cls(path))
+        return getattr(kept, path)
+
+    def _learn(self, parts: set[str]) -> None:
         import numpy as np
 
+        plain = [p for p in parts if p.isalpha()]
+        ids = np.array(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids if plain else [], dtype="<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) == len(plain):  # each is one word of the vocabulary
+            data, start = ids.tobytes(), 0
+            for p, cut in zip(plain, cuts.tolist(), strict=True):
+                self.parts[p] = data[4 * start : 4 * cut]
+                start = cut
+            plain = []
+        rest = [*plain, *(p for p in parts if not p.isalpha())]
+        for p, got in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False) if rest else [], strict=True):
+            self.parts[p] = np.array(got.ids, dtype="<u4").tobytes()
+
+    def of(self, text: str) -> bytes:
+        if "\u03a3" not in text:  # a sigma's lower case depends on its place
+            text = text.lower()
         words = text.replace("\n", " ").split(" ")
-        cache = self.cache
-        new = list(set(words).difference(cache))
+        new = set(words).difference(self.words)
         if new:
-            if len(cache) + len(new) > CACHE_WORDS:
-                cache.clear()
-                cache[""] = b""
-                new = list(set(words).difference(cache))
-            for word, got in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                cache[word] = np.array(got.ids, dtype="<u4").tobytes()
-        return b"".join(map(cache.__getitem__, words))
+            if len(self.parts) + len(new) > PART_CACHE:
+                self.parts = {"": b""}
+            if len(self.words) + len(new) > WORD_CACHE:
+                self.words = {}
+                new = set(words)
+            cut = [(w, w.rstrip(self.MARKS)) for w in new]
+            # letters before the marks end in a letter or a digit, so no mark joins with what stands before
+            cut = [(w, p, w[len(p) :]) if p.lower().isalnum() else (w, w, "") for w, p in cut]
+            missing = {x for _, p, marks in cut for x in (p, marks)}.difference(self.parts)
+            if missing:
+                self._learn(missing)
+            for w, p, marks in cut:
+                self.words[w] = self.parts[p] + self.parts[marks]
+        return b"".join(map(self.words.__getitem__, words))
 
 
 def _pieces(path: str, size: int, end_id: int, with_ids: bool):
@@ -133,7 +175,7 @@ def _pieces(path: str, size: int, end_id: int, with_ids: bool):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        ids, part, seen = WordIds(path), TaskContext.get().partitionId(), Counter()
+        ids, part, seen = WordIds.shared(path), TaskContext.get().partitionId(), Counter()
         end = end_id.to_bytes(4, "little")
         for b in batches:
             for at in range(0, b.num_rows, 500):
