@@ -6,6 +6,7 @@ from .annsearch import op2_hnsw
 from .langid import op8_string_kernel
 from .linededup import OP9_SQL, op9_line_runs
 from .media import op4_ogg_media
+from .mixing import op5_soft_mixing
 from .ngramjoin import op1_ngram_join
 from .packing import op10_packing
 from .pii import op3_weak_pii
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_hnsw": op2_hnsw,
     "op3_weak_pii": op3_weak_pii,
     "op4_ogg_media": op4_ogg_media,
+    "op5_soft_mixing": op5_soft_mixing,
     "op6_url_filter": op6_url_filter,
     "op7_histogram_shards": op7_histogram_shards,
     "op8_string_kernel": op8_string_kernel,
