@@ -68,7 +68,8 @@ class KernelModel:
         import numpy as np
 
         spectrum = Spectrum()
-        rows = [(p, lang) for t, lang in zip(texts, langs, strict=True) if (p := spectrum.presence(t)) is not None]
+        # the n-grams of each text as numbers: a byte for each possible one would fill the driver
+        rows = [(np.flatnonzero(p).astype(np.int32), lang) for t, lang in zip(texts, langs, strict=True) if (p := spectrum.presence(t)) is not None]
         self.langs = sorted({lang for _, lang in rows})
         self.codes, self.landmarks, self.fold = np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros((0, 0))
         if not rows:
@@ -78,10 +79,18 @@ class KernelModel:
             by_lang.setdefault(lang, []).append(i)
         each = max(1, landmarks // len(self.langs))
         chosen = [i for lang in self.langs for i in by_lang[lang][:each]]
-        self.codes = np.flatnonzero(np.bitwise_or.reduce([rows[i][0] for i in chosen]))
-        size = lambda i: np.sqrt(np.count_nonzero(rows[i][0]))
-        self.landmarks = np.stack([rows[i][0][self.codes] / size(i) for i in chosen], 1).astype(np.float32)
-        kernel = np.stack([rows[i][0][self.codes].astype(np.float32) @ self.landmarks / size(i) for i in range(len(rows))]).astype(np.float64)
+        self.codes = np.unique(np.concatenate([rows[i][0] for i in chosen])).astype(np.int64)
+        present = np.zeros(1 << CODE_BITS, dtype=np.float32)
+
+        def scaled(i: int):
+            """Presence of the kept n-grams over the root of all of the text's."""
+            present[rows[i][0]] = 1
+            out = present[self.codes] / np.float32(np.sqrt(len(rows[i][0])))
+            present[rows[i][0]] = 0
+            return out
+
+        self.landmarks = np.stack([scaled(i) for i in chosen], 1)
+        kernel = np.stack([scaled(i) @ self.landmarks for i in range(len(rows))]).astype(np.float64)
         values, vectors = np.linalg.eigh(kernel[chosen])
         root = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
         features = kernel @ root
