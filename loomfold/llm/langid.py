@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bounded_batches
+
 CODE_BITS = 18
 
 
@@ -166,6 +168,7 @@ def predict_languages(docs: DataFrame, model: KernelModel, text: str = "text", c
 
     Null texts and texts without letters are ``und`` with score 0, as is everything if no language was learned.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # bounded by landmarks and hashed n-grams
     own = docs.select(F.struct(*[docs[c] for c in carry or docs.columns]).alias("rest"), docs[text].cast("string").alias("body"))
     return own.mapInArrow(_predict(shared), f"rest {own.schema['rest'].dataType.simpleString()}, lang_pred string, lang_score double")

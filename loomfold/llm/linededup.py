@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialize, partitions
+from .shared import bounded_batches, materialize, partitions
 
 BLANK = b" \t\n\x0b\x0c\r"
 LAST = (1 << 63) - 1  # stands for a null id: after all others
@@ -139,6 +139,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout:
     null ids are one document after all others; rows that repeat an id are one document; an empty table gives none.
     """
     spark = docs.sparkSession
+    bounded_batches(docs.sparkSession)
     own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("rest"), docs[text].cast("string").alias("body"), F.coalesce(docs[doc_id].cast("long"), F.lit(LAST)).alias("holder"))
     cuts = own.agg(F.percentile_approx("holder", [i / batches for i in range(1, batches)], 10_000).alias("c")).first()["c"] or []
     cuts = sorted(set(cuts))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ogg import read_pcm, write_pcm
+from .shared import bounded_batches
 
 BLOCK = 192
 
@@ -64,6 +65,7 @@ def store_texts(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Null texts are empty ones, and an empty text is one block of spaces; repeated rows and nulls elsewhere pass through.
     """
+    bounded_batches(docs.sparkSession)
     others = [docs[c] for c in docs.columns if c != text] or [F.lit(None).cast("string").alias("nothing")]
     own = docs.select(F.struct(*others).alias("rest"), docs[text].cast("string").alias("body"))
     return own.mapInArrow(_store, f"rest {own.schema['rest'].dataType.simpleString()}, n_bytes long, media binary")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import materialize
+from .shared import bounded_batches, materialize
 
 BROADCAST_ROWS = 2_000_000
 CACHE_WORDS = 300_000
@@ -315,6 +315,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, hot:
     never name a class: alone, their ids stay null. An empty table gives no rows.
     """
     first_share = min(1.0, 2 * (100 - percent) / 100)
+    bounded_batches(docs.sparkSession)
     own = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("body"))
     sets = materialize(own.mapInArrow(_sets(words, int(first_share * (1 << 64)) - 1), "doc_id long, size int, first int, node long, tokens binary"), "sets")
     nodes = materialize(sets.where("size > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("first").alias("first")), "nodes")

@@ -17,10 +17,10 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import bounded_batches, materialize
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, number long"
-PART_CACHE, WORD_CACHE = 700_000, 400_000
+PART_CACHE, WORD_CACHE = 350_000, 150_000
 
 
 def plan_packs(histogram: dict[int, int], size: int) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
@@ -223,6 +223,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: in
     null ids stay null; repeated rows are packed each; an empty table gives no rows; further columns are not read.
     """
     spark = docs.sparkSession
+    bounded_batches(docs.sparkSession)
     own = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("body"))
     kind = PIECE + (", ids binary" if with_ids else "")
     pieces = materialize(own.mapInArrow(_pieces(tokenizer, size, end_id, with_ids), kind), "pieces")

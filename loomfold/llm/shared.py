@@ -53,3 +53,10 @@ def materialize(df: DataFrame, tag: str, partition_by: tuple[str, ...] = ()) ->
 def partitions(spark: SparkSession) -> int:
     """Shuffle partitions that the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Keep Arrow batches of texts small from now on in this session: their bytes are held by the JVM and by Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, str(rows))
