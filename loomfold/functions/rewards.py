@@ -9,6 +9,7 @@ from fractions import Fraction
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import REPEATED, strip
 
@@ -195,16 +196,16 @@ def countdown_score(text: str | None, target: int, numbers: list[int]) -> float:
     return 1.0 if got is not None and abs(float(got) - target) < 1e-5 else 0.1
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def boxed_answer(text: pd.Series) -> pd.Series:
     return text.map(boxed, na_action="ignore")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def math_reward(text: pd.Series, answer: pd.Series) -> pd.Series:
     return pd.Series([2.0 if same_answer(boxed(a), b) else 0.0 for a, b in zip(text, answer, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def countdown(text: pd.Series, target: pd.Series, numbers: pd.Series) -> pd.Series:
     return pd.Series([countdown_score(t, int(x), [int(v) for v in n]) for t, x, n in zip(text, target, numbers, strict=True)])

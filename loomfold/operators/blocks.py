@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import NUMBER, placeholder_set
 
@@ -110,7 +111,8 @@ def block_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return docs.select(docs[doc_id].cast("string").alias("doc_id"), docs[text].alias("body")).mapInPandas(run, UNIT)
 
 
-SPAN = "struct<protected:string,spans:array<struct<placeholder:string,original:string,kind:string,start:int,end:int>>>"
+ONE_SPAN = T.StructType([*[T.StructField(c, T.StringType()) for c in ("placeholder", "original", "kind")], *[T.StructField(c, T.IntegerType()) for c in ("start", "end")]])
+SPAN = T.StructType([T.StructField("protected", T.StringType()), T.StructField("spans", T.ArrayType(ONE_SPAN))])
 SPANS = (("code_inline", re.compile(r"(`+)(?!`)(.+?)(?<!`)\1(?!`)", re.S)), ("math_inline", re.compile(r"\$(?=\S)(?:[^$\n\\]|\\.)+?(?<=\S)\$(?!\d)|\\\(.+?\\\)")), ("link", re.compile(r"(?<=\]\()[^)\s]+(?=\))")))
 
 
