@@ -35,6 +35,11 @@ def long(c) -> F.Column:
     return F.col(c).cast("long") if isinstance(c, str) else c.cast("long")
 
 
+def unsigned(c: F.Column) -> F.Column:
+    """0 instead of -0."""
+    return F.when(c == 0, F.lit(0.0)).otherwise(c)
+
+
 # --- shared pieces of SQL ---------------------------------------------------------------------------------------------
 SPLIT = "CASE WHEN (((('0x' || substr(md5('split:' || doc_id::varchar), 1, 16))::ubigint % 10000)::bigint * 1616 + (('0x' || substr(md5('split:' || doc_id::varchar), 17, 16))::ubigint % 10000)::bigint) % 10000) < 500 THEN 'validation' ELSE 'train' END"
 UNITS = r"""
@@ -304,9 +309,9 @@ def protected_spans(spark, sf_dir):
 SIMILAR = "s AS (SELECT label, vec_id, CASE WHEN lag(embedding) OVER w IS NOT NULL THEN list_dot_product(lag(embedding) OVER w::double[], embedding::double[]) END AS similarity FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id))"
 
 
-@query(f"WITH {SIMILAR} SELECT label, vec_id, round(similarity, 5) AS similarity FROM s")
+@query(f"WITH {SIMILAR} SELECT label, vec_id, CASE WHEN round(similarity, 5) = 0 THEN 0 ELSE round(similarity, 5) END AS similarity FROM s")
 def adjacent_similarity(spark, sf_dir):
-    return documents.neighbour_similarity(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding").select("label", "vec_id", F.round("similarity", 5).alias("similarity"))
+    return documents.neighbour_similarity(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding").select("label", "vec_id", unsigned(F.round("similarity", 5)).alias("similarity"))
 
 
 @query(f"WITH {SIMILAR} SELECT label, round(quantile_cont(similarity, 0.2), 5) AS threshold, count(*) AS vectors FROM s GROUP BY label")
@@ -453,11 +458,11 @@ def answer_extract(spark, sf_dir):
     return tagged(spark, sf_dir).select("conv_id", "turn", rewards.xml_answer(F.col("t")).alias("answer"), rewards.whole_number(F.col("t")).alias("whole"), rewards.correctness(F.col("t"), F.col("turn").cast("string")).alias("correct"))
 
 
-@query("SELECT event_id, round(value - avg(value) OVER (PARTITION BY user_id), 3) AS advantage, round((value - avg(value) OVER (PARTITION BY user_id)) / (coalesce(stddev_samp(value) OVER (PARTITION BY user_id), 0) + 1e-4), 3) AS scaled FROM events")
+@query("SELECT event_id, CASE WHEN advantage = 0 THEN 0 ELSE advantage END AS advantage, CASE WHEN scaled = 0 THEN 0 ELSE scaled END AS scaled FROM (SELECT event_id, round(value - avg(value) OVER (PARTITION BY user_id), 3) AS advantage, round((value - avg(value) OVER (PARTITION BY user_id)) / (coalesce(stddev_samp(value) OVER (PARTITION BY user_id), 0) + 1e-4), 3) AS scaled FROM events)")
 def group_advantage(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
     scaled = measures.advantages(e, "user_id", "value", scale=True).withColumnRenamed("advantage", "scaled")
-    return measures.advantages(scaled, "user_id", "value").select("event_id", F.round("advantage", 3).alias("advantage"), F.round("scaled", 3).alias("scaled"))
+    return measures.advantages(scaled, "user_id", "value").select("event_id", unsigned(F.round("advantage", 3)).alias("advantage"), unsigned(F.round("scaled", 3)).alias("scaled"))
 
 
 @query("SELECT l_returnflag, round(sum(l_discount * l_quantity) / sum(l_quantity), 6) AS mean, round(exp(sum(l_discount * l_quantity) / sum(l_quantity)), 6) AS perplexity FROM lineitem GROUP BY l_returnflag")
