@@ -306,15 +306,19 @@ def _resolve(percent: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, hot: int = 16, block_tokens: int = 2_000_000, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, hot: int = 16, block_tokens: int = 2_000_000, reach: float = 1.4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``doc_id, n_shingles, class_id, component_id`` for every row.
 
     ``class_id`` is the smallest id with the same set, ``component_id`` the smallest reachable by links. Texts with fewer
     than ``words`` words are one shingle of all their words; null texts and texts without words have none and link with
     nothing. Rows that repeat an id are one document whose sets' links are joined. Rows with a null id are judged but
     never name a class: alone, their ids stay null. An empty table gives no rows.
+
+    ``reach`` sets the first range of hashes: that many times the share of tokens a prefix needs. Results don't depend on
+    it. A wider range settles more nodes by their own rare tokens and counts more; shingles of five words are rare enough
+    for a narrow one.
     """
-    first_share = min(1.0, 2 * (100 - percent) / 100)
+    first_share = min(1.0, reach * (100 - percent) / 100)
     bounded_batches(docs.sparkSession)
     own = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("body"))
     sets = materialize(own.mapInArrow(_sets(words, int(first_share * (1 << 64)) - 1), "doc_id long, size int, first int, node long, tokens binary"), "sets")
@@ -369,4 +373,4 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, hot:
 
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:
     """All ``documents``: three-word shingles, 90 of 100 in common."""
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, percent=90)
+    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, percent=90, reach=2.0)
