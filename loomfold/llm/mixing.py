@@ -3,14 +3,15 @@
 1. A labelled table names the domain of some documents. Words whose presence tells domains apart are picked from a bounded
    sample of labelled rows; a naive Bayes classifier of those words' presence gives every document a posterior over domains.
 2. Let t be a document's tokens, p its posterior and r its rate (expected copies). The rates minimise
-   ``|sum(r * t * p) - target| ** 2`` with r >= 0 by projected gradient steps from rates of 1. A step needs one aggregate of
-   as many numbers as there are domains; the steps so far, replayed for each row inside the plan, give its present rate, so
-   no rate is ever stored or exchanged.
+   ``|sum(r * t * p) - target| ** 2`` with r >= 0, and are the nearest to 1 that do. They are 1 less a weighted sum of t * p,
+   cut off at 0, with a weight for each domain. A Newton step of the weights needs one aggregate of about as many numbers as
+   there are domains squared; a rate follows from its own row and the weights, so none is ever stored or exchanged.
 3. Rates become whole copies: the integer part, and one more when a hash of the id falls below the rest.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 from functools import reduce
 
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 
 from .shared import materialize
 
+log = logging.getLogger(__name__)
+
 #: Domains by their labels, and the share of its present tokens that each is to have.
 DOMAINS = ("good", "poor", "toxic")
 KEEP = {"good": 1.0, "poor": 0.5, "toxic": 0.05}
@@ -86,36 +89,56 @@ def with_posterior(df: DataFrame, words: str, model: dict[str, list[float]]) ->
     return df.withColumn("score", score).withColumn("posterior", F.array(*shares)).drop("score")
 
 
-def _rate(steps: list[list[float]], load: str = "load") -> Column:
-    """The rate after the steps: each takes ``sum(step * t * p)`` off and stops at 0."""
-    if not steps:
-        return F.lit(1.0)
-    table = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
-    return F.aggregate(table, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - F.aggregate(F.zip_with(s, F.col(load), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)))
+def _rate(weights: list[float], load: str = "load") -> Column:
+    """1 less ``sum(weights * load)``, at least 0."""
+    pull = F.aggregate(F.zip_with(F.array(*[F.lit(float(w)) for w in weights]), F.col(load), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    return F.greatest(F.lit(0.0), 1 - pull)
 
 
-def fit_rates(loads: DataFrame, targets: list[float], rounds: int = 25, tolerance: float = 1e-3) -> list[list[float]]:
-    """The steps of projected gradient descent. ``loads`` has ``load``: tokens times posterior of each document.
+def fit_rates(loads: DataFrame, targets: list[float], rounds: int = 60, tolerance: float = 1e-3) -> tuple[list[float], list[float]]:
+    """The weights of :func:`_rate`, and each total less its target. ``loads`` has ``load``: tokens times posterior of each document.
 
-    The step length is one over the largest eigenvalue's bound, the trace of ``sum(load * load^T)``, times an acceleration
-    of at most two that is halved whenever the misfit grows. Ends when every total is within ``tolerance`` of its target.
+    Of the rates that meet the targets, those nearest to 1 have this form (up to a ridge of 1e-9 of the loads' mean square),
+    and their weights minimise a convex function whose gradient is the misfit. Each round takes a Newton step with the Gram
+    matrix of the documents whose rate is above 0 - documents cut off at 0 don't shorten it - and halves it until the function
+    falls. Ends when every total is within ``tolerance`` of its target, or, where no rates meet the targets, at the least
+    misfit. Running out of rounds is an error.
     """
-    n = len(targets)
-    dims = range(n)
+    dims = range(len(targets))
     size = loads.agg(F.sum(F.aggregate("load", F.lit(0.0), lambda a, x: a + x * x)).alias("s")).first()["s"]
+    weights = [0.0 for _ in dims]
     if not size:
-        return []
-    gram = loads.agg(*[F.sum(F.get("load", F.lit(i)) * F.get("load", F.lit(j))).alias(f"g{i}_{j}") for i in dims for j in dims if i <= j]).first()
-    g = [[gram[f"g{min(i, j)}_{max(i, j)}"] for j in dims] for i in dims]
-    steps: list[list[float]] = []
-    for _ in range(rounds):
-        got = loads.select(F.col("load"), _rate(steps).alias("r")).agg(*[F.sum(F.get("load", F.lit(i)) * F.col("r")).alias(f"t{i}") for i in dims]).first()
+        return weights, [-t for t in targets]
+    ridge = 1e-9 * size / len(targets)
+
+    def judge(w: list[float]):
+        """The function at ``w``, its gradient, the misfit, and the Gram matrix of the documents with a rate."""
+        part = [F.get("load", F.lit(i)) for i in dims]
+        cells = [F.sum(F.when(F.col("r") > 0, part[i] * part[j]).otherwise(0.0)).alias(f"g{i}_{j}") for i in dims for j in dims if i <= j]
+        got = loads.select("load", _rate(w).alias("r")).agg(F.sum(F.col("r") * F.col("r")).alias("s"), *[F.sum(part[i] * F.col("r")).alias(f"t{i}") for i in dims], *cells).first()
         miss = [got[f"t{i}"] - targets[i] for i in dims]
-        if all(abs(m) <= tolerance * max(1.0, t) for m, t in zip(miss, targets, strict=True)):
-            break
-        # the gradient in the space of domains, scaled by the Gram matrix, which is the best step where no rate is cut off at 0
-        steps.append(_solve(g, miss, 1e-9 * size))
-    return steps
+        value = got["s"] / 2 + sum(w[i] * targets[i] + ridge * w[i] * w[i] / 2 for i in dims)
+        return value, [ridge * w[i] - miss[i] for i in dims], miss, [[got[f"g{min(i, j)}_{max(i, j)}"] for j in dims] for i in dims]
+
+    small = lambda x, share: all(abs(v) <= share * max(1.0, t) for v, t in zip(x, targets, strict=True))
+    value, slope, miss, gram = judge(weights)
+    for _ in range(rounds):
+        # without a slope left the misfit is what the ridge holds: no rates meet the targets
+        if small(miss, tolerance) or small(slope, tolerance / 100):
+            return weights, miss
+        step, length = _solve(gram, slope, ridge), 1.0
+        while True:
+            tried = [w - length * x for w, x in zip(weights, step, strict=True)]
+            then = judge(tried)
+            if then[0] <= value - 1e-4 * length * sum(x * y for x, y in zip(slope, step, strict=True)):
+                break
+            length /= 2
+            if length < 1e-9:  # the function can't be told from its least value any more
+                return weights, miss
+        weights, (value, slope, miss, gram) = tried, then
+    if small(miss, tolerance) or small(slope, tolerance / 100):
+        return weights, miss
+    raise RuntimeError(f"rates not found in {rounds} rounds: totals miss {targets} by {miss}")
 
 
 def _solve(matrix: list[list[float]], right: list[float], ridge: float) -> list[float]:
@@ -135,9 +158,11 @@ def _solve(matrix: list[list[float]], right: list[float], ridge: float) -> list[
 
 
 def mix_documents(docs: DataFrame, labels: DataFrame, keep: dict[str, float] | None = None, carry: list[str] | None = None, text: str = "text", doc_id: str = "doc_id", **fit) -> DataFrame:
-    """``rest`` (a struct of the carried columns, all by default), ``n_tokens``, ``posterior``, ``rate`` and ``copies``.
+    """``rest`` (a struct of the carried columns, all by default), ``n_tokens``, ``posterior``, ``rate``, ``copies`` and ``misfit``.
 
     ``keep`` is the share of its expected tokens that each domain is to have afterwards, from which the target totals come.
+    ``misfit``, the same in every row, is the largest distance of an expected total from its target, as a share of the target;
+    it is above 0.001 only where no rates meet the targets, which is logged as well.
     Null texts have no tokens and the prior as posterior, so they keep a rate of 1; null ids and repeated rows are
     documents like others; without labels all domains are equally likely; an empty table gives no rows.
     """
@@ -149,11 +174,15 @@ def mix_documents(docs: DataFrame, labels: DataFrame, keep: dict[str, float] | N
     loads = judged.select("rest", "id", "n_tokens", "posterior", F.transform("posterior", lambda p: p * F.col("n_tokens")).alias("load"))
     loads = materialize(loads, "mixing")
     totals = loads.agg(*[F.coalesce(F.sum(F.get("load", F.lit(i))), F.lit(0.0)).alias(f"t{i}") for i in range(len(DOMAINS))]).first()
-    steps = fit_rates(loads, [totals[f"t{i}"] * keep[d] for i, d in enumerate(DOMAINS)])
-    rated = loads.withColumn("rate", _rate(steps))
+    targets = [totals[f"t{i}"] * keep[d] for i, d in enumerate(DOMAINS)]
+    weights, miss = fit_rates(loads, targets)
+    misfit = max(abs(m) / max(1.0, t) for m, t in zip(miss, targets, strict=True))
+    if misfit > 1e-3:
+        log.warning("no rates meet the targets %s of %s: the totals miss them by %s", targets, DOMAINS, miss)
+    rated = loads.withColumn("rate", _rate(weights))
     chance = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     copies = (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("int")
-    return rated.select("rest", "n_tokens", "posterior", "rate", copies.alias("copies"))
+    return rated.select("rest", "n_tokens", "posterior", "rate", copies.alias("copies"), F.lit(misfit).alias("misfit"))
 
 
 def op5_soft_mixing(spark, sf_dir: str) -> DataFrame:
@@ -161,4 +190,4 @@ def op5_soft_mixing(spark, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     out = mix_documents(docs, labels, carry=["doc_id", "source"])
     shares = [F.round(F.get("posterior", F.lit(i)), 6).alias(f"p_{d}") for i, d in enumerate(DOMAINS)]
-    return out.select("rest.doc_id", "rest.source", "n_tokens", *shares, F.round("rate", 6).alias("rate"), "copies")
+    return out.select("rest.doc_id", "rest.source", "n_tokens", *shares, F.round("rate", 6).alias("rate"), "copies", F.round("misfit", 6).alias("misfit"))

@@ -1,6 +1,6 @@
 import random
 
-from loomfold.llm.mixing import DOMAINS, KEEP, mix_documents
+from loomfold.llm.mixing import DOMAINS, KEEP, fit_rates, mix_documents
 
 KIND = "doc_id long, text string, n_tokens long, rate double, id long"
 
@@ -36,3 +36,28 @@ def test_odd_rows(spark, odd_docs, odd_rows, no_docs):
     out = mix_documents(odd_docs, labels.limit(0)).collect()
     assert len(out) == len(odd_rows) and {r["n_tokens"] for r in out if not (r["rest"]["text"] or "").strip()} == {0}
     assert mix_documents(no_docs, labels).count() == 0
+
+
+def test_totals_meet_targets_with_few_very_long_documents(spark):
+    rng = random.Random(6)
+    rows, totals = [], [0.0, 0.0, 0.0]
+    for i in range(3000):
+        n = 20_000 if i % 500 == 0 else int(20_000 ** (rng.random() * 0.7))
+        own = rng.choices(range(3), (15, 4, 1))[0]
+        rows.append(([n * (0.999 if d == own else 0.0005) for d in range(3)],))
+        totals = [a + b for a, b in zip(totals, rows[-1][0], strict=True)]
+    targets = [t * KEEP[d] for t, d in zip(totals, DOMAINS, strict=True)]
+    weights, miss = fit_rates(spark.createDataFrame(rows, "load array<double>"), targets)
+    got = [sum(max(0.0, 1 - sum(w * x for w, x in zip(weights, load, strict=True))) * load[d] for (load,) in rows) for d in range(3)]
+    for g, t, m in zip(got, targets, miss, strict=True):
+        assert abs(g - t) <= 1e-3 * t and abs((g - t) - m) <= 1e-6 * t
+
+
+def test_targets_out_of_reach_give_the_least_misfit(spark):
+    docs = spark.createDataFrame([(i, "word " * (1 + i), 1, 2.0, 3) for i in range(20)], KIND)
+    out = mix_documents(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()
+    # all posteriors are thirds, so the three totals are the same and the least squares are at the targets' mean
+    third = sum(r["n_tokens"] for r in out) / 3
+    after = sum(r["n_tokens"] * r["rate"] for r in out) / 3
+    assert abs(after - third * sum(KEEP.values()) / 3) <= 1e-4 * third
+    assert {round(r["misfit"], 2) for r in out} == {round(sum(KEEP.values()) / 3 / KEEP["toxic"] - 1, 2)}
