@@ -17,13 +17,12 @@ from loomfold.llm.packing import default_tokenizer, pack_documents
 from loomfold.llm.shared import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-LEAST_SCORE = 0.25
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters go, and those whose best language is clearly no match (score under 0.25)."""
+    """Documents without letters go, and those whose n-grams speak against all learned languages (``lang_known``)."""
     judged = predict_languages(docs, fit_languages(docs), carry=COLUMNS)
-    kept = judged.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_SCORE))
+    kept = judged.where((F.col("lang_pred") != "und") & F.col("lang_known"))
     return kept.select(*[F.col(f"rest.{c}").alias(c) for c in COLUMNS])
 
 

@@ -6,6 +6,9 @@ are its kernel values with the landmarks times the inverse root of the landmarks
 for each language against the rest is solved on a bounded labelled sample; all of it folds into one matrix from kernel
 values to scores. n-grams are hashed to 18 bits, and only those that a landmark has are kept, as no other can be shared
 with one. A batch of texts is scored by two matrix products.
+
+Decisions can't tell that a text is in no learned language, as they sum to about the same for every text. The share of a
+text's n-grams, repeats counted, that some landmark has can: it is low for other scripts and for random letters.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ from pyspark.sql import functions as F
 from .shared import bounded_batches
 
 CODE_BITS = 18
+#: A text is in no learned language below this part of the share that all but 1 % of its language's labelled rows reach.
+LEAST_PART = 0.85
 
 
 class Spectrum:
@@ -71,9 +76,15 @@ class KernelModel:
 
         spectrum = Spectrum()
         # the n-grams of each text as numbers: a byte for each possible one would fill the driver
-        rows = [(np.flatnonzero(p).astype(np.int32), lang) for t, lang in zip(texts, langs, strict=True) if (p := spectrum.presence(t)) is not None]
+        rows, repeats = [], []
+        for t, lang in zip(texts, langs, strict=True):
+            if (c := spectrum.codes(t)) is not None:
+                own, n = np.unique(c, return_counts=True)
+                rows.append((own.astype(np.int32), lang))
+                repeats.append(n)
         self.langs = sorted({lang for _, lang in rows})
         self.codes, self.landmarks, self.fold = np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros((0, 0))
+        self.least: dict[str, float] = {}
         if not rows:
             return
         by_lang: dict[str, list[int]] = {}
@@ -99,25 +110,43 @@ class KernelModel:
         wanted = np.array([[1.0 if lang == own else -1.0 for own in self.langs] for _, lang in rows])
         inner = features.T @ features + ridge * len(rows) * np.eye(features.shape[1]) / 100
         self.fold = root @ np.linalg.solve(inner, features.T @ wanted)
+        holders = np.zeros(1 << CODE_BITS, dtype=np.int32)
+        for i in chosen:
+            holders[rows[i][0]] += 1
+        marks = set(chosen)
+        shares: dict[str, list[float]] = {lang: [] for lang in self.langs}
+        for i, (own, lang) in enumerate(rows):  # a landmark is judged by the others
+            shares[lang].append(float(repeats[i][holders[own] > (i in marks)].sum() / repeats[i].sum()))
+        self.least = {lang: LEAST_PART * float(np.quantile(x, 0.01)) for lang, x in shares.items()}
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """The best language and its score, (1 + decision value) / 2 kept within 0 and 1; ``und`` with 0 for a text without letters."""
+        return self.judge(texts)[:2]
+
+    def judge(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
+        """As :meth:`predict`, and whether the share of the text's n-grams that landmarks have speaks for a learned language at all."""
         import numpy as np
 
         spectrum = Spectrum()
-        names, scores = ["und"] * len(texts), [0.0] * len(texts)
-        rows, sizes, where = [], [], []
+        names, scores, known = ["und"] * len(texts), [0.0] * len(texts), [False] * len(texts)
+        rows, sizes, where, shares = [], [], [], []
+        held = np.zeros(1 << CODE_BITS, dtype=bool)
+        held[self.codes] = True
         for i, t in enumerate(texts):
-            if t and self.langs and (p := spectrum.presence(t)) is not None:
+            if t and self.langs and (c := spectrum.codes(t)) is not None:
+                p = np.zeros(1 << CODE_BITS, dtype=np.uint8)
+                p[c] = 1
                 rows.append(p[self.codes])
                 sizes.append(np.count_nonzero(p))
                 where.append(i)
+                shares.append(float(np.count_nonzero(held[c]) / len(c)))
         if rows:
             kernel = np.stack(rows).astype(np.float32) @ self.landmarks / np.sqrt(np.array(sizes, dtype=np.float32))[:, None]
             decision = kernel.astype(np.float64) @ self.fold
-            for i, best, value in zip(where, decision.argmax(1), decision.max(1), strict=True):
+            for i, best, value, share in zip(where, decision.argmax(1), decision.max(1), shares, strict=True):
                 names[i], scores[i] = self.langs[best], round(float(min(1.0, max(0.0, (1 + value) / 2))), 6)
-        return names, scores
+                known[i] = share >= self.least[names[i]]
+        return names, scores, known
 
 
 def held_out(doc_id: Column) -> Column:
@@ -157,21 +186,22 @@ def _predict(parameters):
         for b in batches:
             for at in range(0, b.num_rows, 128):
                 part = b.slice(at, 128)
-                names, scores = m.predict(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["rest", "lang_pred", "lang_score"])
+                names, scores, known = m.judge(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(known, pa.bool_())], names=["rest", "lang_pred", "lang_score", "lang_known"])
 
     return run
 
 
 def predict_languages(docs: DataFrame, model: KernelModel, text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """``rest`` (a struct of the carried columns, all by default), ``lang_pred`` and ``lang_score``.
+    """``rest`` (a struct of the carried columns, all by default), ``lang_pred``, ``lang_score`` and ``lang_known``.
 
-    Null texts and texts without letters are ``und`` with score 0, as is everything if no language was learned.
+    Null texts and texts without letters are ``und`` with score 0 and not known, as is everything if no language was learned.
+    ``lang_known`` is false as well for texts whose n-grams speak against all learned languages.
     """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # bounded by landmarks and hashed n-grams
     own = docs.select(F.struct(*[docs[c] for c in carry or docs.columns]).alias("rest"), docs[text].cast("string").alias("body"))
-    return own.mapInArrow(_predict(shared), f"rest {own.schema['rest'].dataType.simpleString()}, lang_pred string, lang_score double")
+    return own.mapInArrow(_predict(shared), f"rest {own.schema['rest'].dataType.simpleString()}, lang_pred string, lang_score double, lang_known boolean")
 
 
 def op8_string_kernel(spark, sf_dir: str) -> DataFrame:

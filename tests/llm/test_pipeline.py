@@ -32,3 +32,16 @@ def test_empty_input(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_unlearned_texts_are_rejected(spark):
+    import random
+
+    rng = random.Random(7)
+    parts = {"en": "the and ing tion er".split(), "fr": "eau que oux ent les".split()}
+    rows = [(i, " ".join("".join(rng.choices(parts[lang], k=3)) for _ in range(40)), lang, "s", 0) for i, lang in enumerate(["en", "fr"] * 60)]
+    letters = lambda own: " ".join("".join(rng.choices(own, k=7)) for _ in range(40))
+    rows += [(200 + i, letters(own), None, "s", 0) for i, own in enumerate(["абвгдежзиклмнопрст", "αβγδεζηθικλμνξοπρ", "語文字書本日人大小中", "abcdefghijklmnopqrstuvwxyz"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
+    assert left == set(range(120))
