@@ -190,20 +190,23 @@ def _pairs(percent: int):
 
 
 def _verify(percent: int):
+    """The pairs that link, their documents and weights, and whether a group counts the pair."""
+
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for b in batches:
             keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
                 x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
                 both = np.concatenate([x, y])
                 both.sort()
                 common = int(np.count_nonzero(both[1:] == both[:-1]))
                 keep.append(100 * common >= percent * (len(both) - common))
             where = pa.array(np.flatnonzero(keep))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(where), b.column(1).take(where)], names=["a", "b"])
+            names = ["a", "b", "a_doc", "b_doc", "a_rows", "b_rows", "grouped"]
+            yield pa.RecordBatch.from_arrays([b.column(n).take(where) for n in names], names=names)
 
     return run
 
@@ -293,27 +296,101 @@ def spanning(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return kept
 
 
-def _resolve(percent: int):
+def count_links(sets, weights, blocks, percent: int):
+    """For each member the summed weights of the members that it links with, of other blocks only if there are two blocks.
+
+    The pivots of :func:`resolve_group`, but each member near a pivot is held against all members that it may link with:
+    two sets differ by ``|D(x)| + |D(y)| - 2 * |D(x) & D(y)|``, so only tokens that differ from the pivot are looked up.
+    """
+    import numpy as np
+
+    m = len(sets)
+    weights, blocks = np.asarray(weights, dtype=np.int64), np.asarray(blocks)
+    two = len(np.unique(blocks)) > 1
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    _, token = np.unique(np.concatenate(sets) if m else np.zeros(0, np.uint64), return_inverse=True)
+    token = token.ravel()
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    owner = np.repeat(np.arange(m), sizes)
+    c, theta = (100 - percent) / (100 + percent), percent / 100
+    far = c * sizes * (1 + 1 / theta) ** 2
+    compared = far / theta + c * sizes * (1 + 1 / theta) + 1
+    popular = np.bincount(token)[token] if m else token
+    typical = np.array([popular[s:e].mean() if e > s else 0 for s, e in zip(starts, ends, strict=True)])
+    width = int(token.max(initial=-1)) + 1
+    waiting, out = np.ones(m, dtype=bool), np.zeros(m, dtype=np.int64)
+    while waiting.any():
+        alive = np.flatnonzero(waiting)
+        p = int(alive[np.argmax(typical[alive])])
+        in_p = np.zeros(width, dtype=bool)
+        in_p[token[starts[p] : ends[p]]] = True
+        diff = sizes + sizes[p] - 2 * np.bincount(owner[in_p[token]], minlength=m)
+        near = waiting & (diff <= far)
+        near[p] = True
+        others = np.flatnonzero(waiting & ((diff <= compared) | near))
+        pset = np.flatnonzero(in_p)
+        differing = []
+        for x in others:
+            own = token[starts[x] : ends[x]]
+            differing.append(np.concatenate([own[~in_p[own]], np.setdiff1d(pset, own, assume_unique=True)]))
+        flat = np.concatenate(differing)
+        who = np.repeat(np.arange(len(others)), [len(d) for d in differing])
+        order = np.argsort(flat, kind="stable")
+        flat_sorted, who_sorted = flat[order], who[order]
+        stays = ~near[others]
+        for k in np.flatnonzero(~stays):
+            x, own = others[k], differing[k]
+            a, b = np.searchsorted(flat_sorted, own, "left"), np.searchsorted(flat_sorted, own, "right")
+            lengths = b - a
+            at = np.repeat(a - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+            apart = diff[x] + diff[others] - 2 * np.bincount(who_sorted[at], minlength=len(others))
+            inter = (sizes[x] + sizes[others] - apart) // 2
+            hit = 100 * inter >= percent * (sizes[x] + sizes[others] - inter)
+            hit[k] = False
+            if two:
+                hit &= blocks[others] != blocks[x]
+            out[x] += weights[others[hit]].sum()
+            out[others[hit & stays]] += weights[x]  # those never come to look at x themselves
+        waiting &= ~near
+    return out
+
+
+def _resolve(percent: int, count: bool):
+    """Links (a, b) of documents that keep a cell's components and, where asked, rows (rep, links) of its counts."""
+
     def run(table):
         import numpy as np
         import pyarrow as pa
 
-        ids = table.column("rep").to_pylist()
+        ids, docs = table.column("rep").to_pylist(), table.column("doc").to_pylist()
         sets = [np.frombuffer(x, "<u8") for x in table.column("tokens").to_pylist()]
-        links = spanning(resolve_group(ids, sets, percent))
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+        links = spanning(resolve_group(docs, sets, percent))
+        n, m = len(links), 0
+        counts = np.zeros(0, np.int64)
+        first, last = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        blocks = table.column("at").to_numpy()
+        # the pairs within a block are counted where it meets itself
+        if count and (first == last or len(np.unique(blocks)) > 1):
+            counts = count_links(sets, table.column("rows").to_pylist(), blocks, percent)
+            m = len(ids)
+        pad = lambda x, before, after: pa.array([None] * before + list(x) + [None] * after, pa.int64())
+        return pa.table({"a": pad([x for x, _ in links], 0, m), "b": pad([y for _, y in links], 0, m), "rep": pad(ids[:m], n, 0), "links": pad(counts.tolist(), n, 0)})
 
     return run
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, hot: int = 16, block_tokens: int = 2_000_000, reach: float = 1.4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``doc_id, n_shingles, class_id, component_id`` for every row.
+def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, hot: int = 16, block_tokens: int = 2_000_000, reach: float = 1.4, links: bool = False, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``doc_id, n_shingles, class_id, component_id`` for every row and, with ``links``, ``n_links``.
 
     ``class_id`` is the smallest id with the same set, ``component_id`` the smallest reachable by links. Texts with fewer
     than ``words`` words are one shingle of all their words; null texts and texts without words have none and link with
     nothing. Rows that repeat an id are one document whose sets' links are joined. Rows with a null id are judged but
     never name a class: alone, their ids stay null. An empty table gives no rows.
 
+    ``n_links`` is the number of other rows with an id whose set links with this row's, equal sets included; it is null for
+    rows with a null id. In groups made of frequent tokens all pairs are counted, each in one cell of blocks.
+
     ``reach`` sets the first range of hashes: that many times the share of tokens a prefix needs. Results don't depend on
     it. A wider range settles more nodes by their own rare tokens and counts more; shingles of five words are rare enough
     for a narrow one.
@@ -322,19 +399,19 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, hot:
     bounded_batches(docs.sparkSession)
     own = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("body"))
     sets = materialize(own.mapInArrow(_sets(words, int(first_share * (1 << 64)) - 1), "doc_id long, size int, first int, node long, tokens binary"), "sets")
-    nodes = materialize(sets.where("size > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("first").alias("first")), "nodes")
+    nodes = materialize(sets.where("size > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("first").alias("first"), F.count(F.lit(1)).alias("rows")), "nodes")
 
     usable = sets.where("size > 0 and doc_id is not null").select("node", "first", "tokens")
     near = _shared_tokens(usable.mapInArrow(_emit(True), "token long, node long"))
     need = F.expr(f"size - cast((size * {percent}L + 99) div 100 as int) + 1")
     open_ = nodes.join(near, "node", "left").where((F.col("first") - F.coalesce(F.size("found"), F.lit(0))) < need)
-    open_ = materialize(open_.select("node", "rep", "size", "first", F.col("found").alias("near"), need.alias("need")), "open")
+    open_ = materialize(open_.select(F.col("rep").alias("doc"), "rows", "node", "size", "first", F.col("found").alias("near"), need.alias("need")), "open")
 
     rare = F.col("first") - F.coalesce(F.size(F.filter("near", lambda x: x["df"] > hot)), F.lit(0))
     short = open_.where(rare < F.col("need")).select("node")
     hint = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
     beyond = _shared_tokens(usable.join(hint(short), "node", "left_semi").mapInArrow(_emit(False), "token long, node long"))
-    whole = open_.join(beyond.withColumnRenamed("found", "beyond"), "node", "left").select("rep", "size", "first", "near", "beyond", (rare < F.col("need")).alias("whole"))
+    whole = open_.join(beyond.withColumnRenamed("found", "beyond"), "node", "left").select(F.col("node").alias("rep"), "size", "first", "near", "beyond", (rare < F.col("need")).alias("whole"))
     prefixes = materialize(whole.mapInArrow(_prefixes(percent, hot), "token long, rep long, size int, matches int, frequent boolean"), "prefixes")
 
     postings = prefixes.where("not frequent").groupBy("token").agg(F.sort_array(F.collect_set(F.struct("rep", "size", "matches"))).alias("members")).where(F.size("members") > 1)
@@ -348,29 +425,42 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, hot:
     grouped = connected_components(frequent.join(heads, "token").select(F.col("rep").alias("a"), "b"), "frequent")
 
     wanted = candidates.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(grouped.select(F.col("id").alias("rep"))).distinct()
-    wanted = materialize(wanted.join(open_.select("rep", "node", "size"), "rep"), "wanted")
-    held = materialize(usable.select("node", "tokens").join(hint(wanted.select("node", "rep")), "node").dropDuplicates(["node"]).select("rep", "tokens"), "held")
+    wanted = wanted.join(grouped.select(F.col("id").alias("rep"), F.col("component").alias("g")), "rep", "left")
+    wanted = materialize(wanted.join(open_.select(F.col("node").alias("rep"), "doc", "rows", "size"), "rep"), "wanted")
+    held = usable.select(F.col("node").alias("rep"), "tokens").join(hint(wanted.select("rep", "doc", "rows", "g")), "rep").dropDuplicates(["rep"])
+    held = materialize(held.select("rep", "doc", "rows", "g", "tokens"), "held")
 
-    checked = candidates.join(held.withColumnRenamed("rep", "a").withColumnRenamed("tokens", "x"), "a").join(held.withColumnRenamed("rep", "b").withColumnRenamed("tokens", "y"), "b")
-    plain = checked.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long")
+    side = lambda k, tokens: held.select(F.col("rep").alias(k), F.col("doc").alias(f"{k}_doc"), F.col("rows").alias(f"{k}_rows"), F.col("g").alias(f"{k}_g"), F.col("tokens").alias(tokens))
+    checked = candidates.join(side("a", "x"), "a").join(side("b", "y"), "b").withColumn("grouped", F.coalesce(F.col("a_g") == F.col("b_g"), F.lit(False)))
+    plain = checked.select("a", "b", "a_doc", "b_doc", "a_rows", "b_rows", "grouped", "x", "y").mapInArrow(_verify(percent), "a long, b long, a_doc long, b_doc long, a_rows long, b_rows long, grouped boolean")
 
     member = grouped.select(F.col("id").alias("rep"), F.col("component").alias("g")).join(wanted.select("rep", "size"), "rep")
     blocks = member.groupBy("g").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") / F.lit(block_tokens)).cast("int")).alias("blocks"))
     placed = member.join(blocks, "g").withColumn("at", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    meeting = placed.select("rep", "g", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("at", j).alias("i"), F.greatest("at", j).alias("j")))).alias("cell"))
-    in_cells = meeting.select("rep", "g", "cell.i", "cell.j").join(held, "rep")
-    inside = in_cells.groupBy("g", "i", "j").applyInArrow(_resolve(percent), "a long, b long")
-
-    found = connected_components(plain.unionByName(inside), "links")
-    named = nodes.select("node", "rep").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("node", F.col("rep").alias("class"), "component")
-    return sets.select("doc_id", "size", "node").join(named, "node", "left").select(
+    meeting = placed.select("rep", "g", "at", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("at", j).alias("i"), F.greatest("at", j).alias("j")))).alias("cell"))
+    in_cells = meeting.select("rep", "g", "at", "cell.i", "cell.j").join(held.drop("g"), "rep")
+    inside = in_cells.groupBy("g", "i", "j").applyInArrow(_resolve(percent, links), "a long, b long, rep long, links long")
+    if links:
+        plain, inside = materialize(plain, "plain"), materialize(inside, "inside")
+
+    edges = plain.select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b")).unionByName(inside.where("a is not null").select("a", "b"))
+    found = connected_components(edges, "links")
+    named = nodes.select("node", "rep", "rows").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("node", F.col("rep").alias("class"), "rows", "component")
+    if links:
+        pairs = plain.where("not grouped").select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b_rows").alias("links")), F.struct(F.col("b").alias("node"), F.col("a_rows").alias("links")))).alias("e")).select("e.*")
+        counts = pairs.unionByName(inside.where("rep is not null").select(F.col("rep").alias("node"), "links")).groupBy("node").agg(F.sum("links").alias("links"))
+        named = named.join(counts, "node", "left").withColumn("links", F.col("rows") - 1 + F.coalesce("links", F.lit(0)))
+    out = [
         "doc_id",
         F.col("size").cast("long").alias("n_shingles"),
         F.when(F.col("size") > 0, F.coalesce("class", "doc_id")).otherwise(F.col("doc_id")).alias("class_id"),
         F.when(F.col("size") > 0, F.coalesce("component", "class", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
-    )
+    ]
+    if links:
+        out.append(F.when(F.col("doc_id").isNotNull(), F.coalesce("links", F.lit(0))).alias("n_links"))
+    return sets.select("doc_id", "size", "node").join(named, "node", "left").select(*out)
 
 
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:
     """All ``documents``: three-word shingles, 90 of 100 in common."""
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, percent=90, reach=2.0)
+    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, percent=90, reach=2.0, links=True)

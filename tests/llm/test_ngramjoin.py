@@ -93,3 +93,35 @@ def test_long_chain(spark):
 def test_more_matches_where_postings_are_long():
     assert m.choose_matches(100, 3, [1, 1, 1]) == 1
     assert m.choose_matches(5000, 3, [2, 2, 2, 3, 3, 3]) > 1
+
+
+@pytest.mark.parametrize(("words", "percent", "hot", "block"), [(3, 90, 16, 2_000_000), (3, 80, 2, 200), (5, 80, 3, 400)])
+def test_links_are_counted_as_by_all_pairs(spark, words, percent, hot, block):
+    rows = list(enumerate(near_copies(1) + near_copies(2, 3, 14)))
+    rows += [(1000, rows[3][1]), (1001, rows[3][1]), (1002, None), (1003, ""), (1004, "one"), (1005, "one"), (None, "one"), (7, rows[40][1])]
+    got = m.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), words, percent, hot, block, links=True).collect()
+    shingler = m.Shingler(words)
+    sets = [(i, set(shingler.of((t or "").encode()).tolist())) for i, t in rows if i is not None]
+    linked = lambda x, y: bool(x and y) and 100 * len(x & y) >= percent * len(x | y)
+    want = sorted((i, sum(linked(x, y) for k, (_, y) in enumerate(sets) if k != own)) for own, (i, x) in enumerate(sets))
+    assert sorted((r["doc_id"], r["n_links"]) for r in got if r["doc_id"] is not None) == want
+    assert [r["n_links"] for r in got if r["doc_id"] is None] == [None]
+
+
+def test_counts_within_a_group_match_all_pairs():
+    rng = random.Random(8)
+    for trial in range(30):
+        base = [rng.sample(range(10_000), 60) for _ in range(3)]
+        sets = []
+        for _ in range(40):
+            own = set(rng.choice(base))
+            for _ in range(rng.randint(0, 9)):
+                own.discard(rng.choice(sorted(own)))
+                own.add(rng.randrange(10_000) if rng.random() < 0.5 else rng.choice(base[0]))
+            sets.append(np.array(sorted(own), dtype=np.uint64))
+        percent, weights = (80, 90)[trial % 2], [rng.randint(1, 3) for _ in sets]
+        linked = lambda a, b: 100 * len(np.intersect1d(sets[a], sets[b])) >= percent * len(np.union1d(sets[a], sets[b]))
+        for blocks in ([4] * 40, [rng.randrange(2) for _ in sets]):
+            apart = len(set(blocks)) > 1
+            want = [sum(weights[b] for b in range(40) if b != a and linked(a, b) and (not apart or blocks[a] != blocks[b])) for a in range(40)]
+            assert m.count_links(sets, weights, blocks, percent).tolist() == want and max(want) > 5
