@@ -18,11 +18,11 @@ tokens are cut into blocks, and each two blocks meet in a task of bounded size.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import bounded_batches, materialize
+from .shared import Scratch, bounded_batches, release
 
 BROADCAST_ROWS = 2_000_000
 CACHE_WORDS = 300_000
@@ -83,18 +83,56 @@ def _sets(n: int, cut: int):
     return run
 
 
-def _emit(from_first: bool):
-    """(token, node) of the tokens in the first range, or of those beyond it; copies within a partition once."""
+def _heavy(hot: int, chunk: int = 4096, share: int = 64):
+    """(token, n) of tokens that more than ``hot`` and at least a 64th of the sets in a chunk have."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        seen: set[int] = set()
+        def counted(sets: list):
+            tokens, n = np.unique(np.frombuffer(b"".join(sets), "<i8"), return_counts=True)
+            often = n >= max(hot + 1, len(sets) // share)
+            return pa.RecordBatch.from_arrays([pa.array(tokens[often]), pa.array(n[often].astype("int64"))], names=["token", "n"])
+
+        sets, size = {}, 0
+        for b in batches:
+            for node, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if node not in sets:
+                    sets[node] = data
+                    size += len(data)
+                if len(sets) == chunk or size > 1 << 25:
+                    yield counted(list(sets.values()))
+                    sets, size = {}, 0
+        if sets:
+            yield counted(list(sets.values()))
+
+    return run
+
+
+def heavy_tokens(usable: DataFrame, nodes: int, hot: int):
+    """Sorted tokens that surely are in more than ``hot`` sets and in at least a 1024th of them: at most 1024 times the mean size.
+
+    They need no count, so their postings can be dealt out as one likes.
+    """
+    import numpy as np
+
+    found = usable.select("node", "tokens").mapInArrow(_heavy(hot), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return np.array(sorted(r["token"] for r in found.where(F.col("n") >= max(hot + 1, nodes // 1024)).select("token").collect()), dtype=np.int64)
+
+
+def _emit(from_first: bool, heavy):
+    """(token, node, salt) of the tokens in the first range, or of those beyond it; copies within a batch once. Heavy tokens have a salt above 0."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        known = heavy.value
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
-                kept, counts, nodes = [], [], []
+                kept, counts, nodes, seen = [], [], [], set()
                 for node, first, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                     if node not in seen:
                         seen.add(node)
@@ -102,15 +140,25 @@ def _emit(from_first: bool):
                         kept.append(own)
                         counts.append(len(own) // 8)
                         nodes.append(node)
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(kept), "<i8")), pa.array(np.repeat(np.array(nodes, np.int64), counts))], names=["token", "node"])
+                tokens, owner = np.frombuffer(b"".join(kept), "<i8"), np.repeat(np.array(nodes, np.int64), counts)
+                salt = np.zeros(len(tokens), dtype=np.int32)
+                if len(known) and len(tokens):
+                    held = known[np.minimum(np.searchsorted(known, tokens), len(known) - 1)] == tokens
+                    salt[held] = 1 + (owner[held] & 0xFFFFF)
+                yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(owner), pa.array(salt)], names=["token", "node", "salt"])
 
     return run
 
 
-def _shared_tokens(rows: DataFrame) -> DataFrame:
-    """(node, found): for each node its tokens that another node has too, with their number of postings."""
-    many = rows.groupBy("token").agg(F.count(F.lit(1)).cast("int").alias("df"), F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("token", "df")
-    return rows.join(many, "token").groupBy("node").agg(F.collect_set(F.struct("df", "token")).alias("found"))
+def _shared_tokens(rows: DataFrame, hot: int) -> DataFrame:
+    """(node, found): for each node its tokens that another node has too, with their number of postings.
+
+    One exchange by token gives both the count and its rows. Heavy tokens count as one more than ``hot``, whatever they have.
+    """
+    w = Window.partitionBy("token", "salt")
+    counted = rows.select("token", "node", "salt", F.count(F.lit(1)).over(w).cast("int").alias("n"), F.min("node").over(w).alias("a"), F.max("node").over(w).alias("b"))
+    several = counted.where("salt > 0 or a <> b").select("node", "token", F.when(F.col("salt") > 0, F.lit(hot + 1)).otherwise(F.col("n")).alias("df"))
+    return several.groupBy("node").agg(F.collect_set(F.struct("df", "token")).alias("found"))
 
 
 def choose_matches(size: int, base: int, postings: list[int], most: int = 4) -> int:
@@ -395,70 +443,96 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, hot:
     it. A wider range settles more nodes by their own rare tokens and counts more; shingles of five words are rare enough
     for a narrow one.
     """
-    first_share = min(1.0, reach * (100 - percent) / 100)
-    bounded_batches(docs.sparkSession)
-    own = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("body"))
-    sets = materialize(own.mapInArrow(_sets(words, int(first_share * (1 << 64)) - 1), "doc_id long, size int, first int, node long, tokens binary"), "sets")
-    nodes = materialize(sets.where("size > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("first").alias("first"), F.count(F.lit(1)).alias("rows")), "nodes")
-
-    usable = sets.where("size > 0 and doc_id is not null").select("node", "first", "tokens")
-    near = _shared_tokens(usable.mapInArrow(_emit(True), "token long, node long"))
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    with Scratch(spark) as scratch:
+        named = _named(scratch, docs, words, percent, hot, block_tokens, min(1.0, reach * (100 - percent) / 100), links, text, doc_id)
+        out = [
+            "doc_id",
+            F.col("size").cast("long").alias("n_shingles"),
+            F.when(F.col("size") > 0, F.coalesce("class", "doc_id")).otherwise(F.col("doc_id")).alias("class_id"),
+            F.when(F.col("size") > 0, F.coalesce("component", "class", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        ]
+        if links:
+            out.append(F.when(F.col("doc_id").isNotNull(), F.coalesce("links", F.lit(0))).alias("n_links"))
+        return scratch.table(named.select(*out), "classes", keep=True)
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """``df`` with a hint to broadcast it if its rows, which are narrow, are few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _open_nodes(scratch: Scratch, usable: DataFrame, nodes: DataFrame, percent: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """Nodes that their own tokens in the first range don't settle, and the prefixes of these."""
+    heavy = scratch.spark.sparkContext.broadcast(heavy_tokens(usable, nodes.count(), hot))
+    near = _shared_tokens(usable.select("node", "first", "tokens").mapInArrow(_emit(True, heavy), "token long, node long, salt int"), hot)
     need = F.expr(f"size - cast((size * {percent}L + 99) div 100 as int) + 1")
-    open_ = nodes.join(near, "node", "left").where((F.col("first") - F.coalesce(F.size("found"), F.lit(0))) < need)
-    open_ = materialize(open_.select(F.col("rep").alias("doc"), "rows", "node", "size", "first", F.col("found").alias("near"), need.alias("need")), "open")
+    listed = lambda c: F.size(F.coalesce(c, F.array().cast("array<struct<df:int,token:bigint>>")))
+    open_ = nodes.join(near, "node", "left").where((F.col("first") - listed(F.col("found"))) < need)
+    open_ = scratch.table(open_.select(F.col("rep").alias("doc"), "rows", "node", "size", "first", F.col("found").alias("near"), need.alias("need")), "open")
 
-    rare = F.col("first") - F.coalesce(F.size(F.filter("near", lambda x: x["df"] > hot)), F.lit(0))
+    rare = F.col("first") - listed(F.filter("near", lambda x: x["df"] > hot))
     short = open_.where(rare < F.col("need")).select("node")
-    hint = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-    beyond = _shared_tokens(usable.join(hint(short), "node", "left_semi").mapInArrow(_emit(False), "token long, node long"))
+    beyond = _shared_tokens(usable.select("node", "first", "tokens").join(_small(short), "node", "left_semi").mapInArrow(_emit(False, heavy), "token long, node long, salt int"), hot)
     whole = open_.join(beyond.withColumnRenamed("found", "beyond"), "node", "left").select(F.col("node").alias("rep"), "size", "first", "near", "beyond", (rare < F.col("need")).alias("whole"))
-    prefixes = materialize(whole.mapInArrow(_prefixes(percent, hot), "token long, rep long, size int, matches int, frequent boolean"), "prefixes")
+    prefixes = scratch.table(whole.mapInArrow(_prefixes(percent, hot), "token long, rep long, size int, matches int, frequent boolean"), "prefixes")
+    return open_.select("doc", "rows", "node", "size"), prefixes
+
+
+def _named(scratch: Scratch, docs: DataFrame, words: int, percent: int, hot: int, block_tokens: int, first_share: float, links: bool, text: str, doc_id: str) -> DataFrame:
+    """Each row's id and size, and of its set the smallest id (``class``), the component and the links."""
+    own = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("body"))
+    sets = scratch.table(own.mapInArrow(_sets(words, int(first_share * (1 << 64)) - 1), "doc_id long, size int, first int, node long, tokens binary"), "sets")
+    nodes = scratch.table(sets.where("size > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("first").alias("first"), F.count(F.lit(1)).alias("rows")), "nodes")
+    usable = sets.where("size > 0 and doc_id is not null").select("doc_id", "node", "first", "tokens")
+    open_, prefixes = _open_nodes(scratch, usable, nodes, percent, hot)
+    release(scratch.spark)
 
     postings = prefixes.where("not frequent").groupBy("token").agg(F.sort_array(F.collect_set(F.struct("rep", "size", "matches"))).alias("members")).where(F.size("members") > 1)
     lists = postings.groupBy("members").agg(F.count(F.lit(1)).alias("shared"))
     met = lists.mapInArrow(_pairs(percent), "a long, b long, shared long, matches int")
     candidates = met.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("matches").alias("matches")).where("shared >= matches and a <> b").select("a", "b")
-    candidates = materialize(candidates, "pairs")
+    candidates = scratch.table(candidates, "pairs")
 
     frequent = prefixes.where("frequent").select("rep", "token")
     heads = frequent.groupBy("token").agg(F.min("rep").alias("b"))
-    grouped = connected_components(frequent.join(heads, "token").select(F.col("rep").alias("a"), "b"), "frequent")
+    grouped = connected_components(scratch, frequent.join(heads, "token").select(F.col("rep").alias("a"), "b"), "frequent")
 
     wanted = candidates.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(grouped.select(F.col("id").alias("rep"))).distinct()
     wanted = wanted.join(grouped.select(F.col("id").alias("rep"), F.col("component").alias("g")), "rep", "left")
-    wanted = materialize(wanted.join(open_.select(F.col("node").alias("rep"), "doc", "rows", "size"), "rep"), "wanted")
-    held = usable.select(F.col("node").alias("rep"), "tokens").join(hint(wanted.select("rep", "doc", "rows", "g")), "rep").dropDuplicates(["rep"])
-    held = materialize(held.select("rep", "doc", "rows", "g", "tokens"), "held")
+    wanted = scratch.table(wanted.join(open_.withColumnRenamed("node", "rep"), "rep"), "wanted")
+    scratch.free("open", "prefixes")
+    # one row of each node brings its tokens; more than one only where rows repeat the id
+    chosen = _small(wanted.select(F.col("rep").alias("node"), F.col("doc").alias("doc_id"), "rows", "g"))
+    held = usable.select("node", "doc_id", "tokens").join(chosen, ["node", "doc_id"]).dropDuplicates(["node"])
+    held = scratch.table(held.select(F.col("node").alias("rep"), F.col("doc_id").alias("doc"), "rows", "g", "tokens"), "held")
+    sets = scratch.table(sets.select("doc_id", "size", "node"), "sizes")
+    scratch.free("sets")
+    release(scratch.spark)
 
     side = lambda k, tokens: held.select(F.col("rep").alias(k), F.col("doc").alias(f"{k}_doc"), F.col("rows").alias(f"{k}_rows"), F.col("g").alias(f"{k}_g"), F.col("tokens").alias(tokens))
     checked = candidates.join(side("a", "x"), "a").join(side("b", "y"), "b").withColumn("grouped", F.coalesce(F.col("a_g") == F.col("b_g"), F.lit(False)))
     plain = checked.select("a", "b", "a_doc", "b_doc", "a_rows", "b_rows", "grouped", "x", "y").mapInArrow(_verify(percent), "a long, b long, a_doc long, b_doc long, a_rows long, b_rows long, grouped boolean")
+    plain = scratch.table(plain, "plain")
+    scratch.free("pairs")
 
     member = grouped.select(F.col("id").alias("rep"), F.col("component").alias("g")).join(wanted.select("rep", "size"), "rep")
     blocks = member.groupBy("g").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") / F.lit(block_tokens)).cast("int")).alias("blocks"))
     placed = member.join(blocks, "g").withColumn("at", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     meeting = placed.select("rep", "g", "at", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("at", j).alias("i"), F.greatest("at", j).alias("j")))).alias("cell"))
     in_cells = meeting.select("rep", "g", "at", "cell.i", "cell.j").join(held.drop("g"), "rep")
-    inside = in_cells.groupBy("g", "i", "j").applyInArrow(_resolve(percent, links), "a long, b long, rep long, links long")
-    if links:
-        plain, inside = materialize(plain, "plain"), materialize(inside, "inside")
+    inside = scratch.table(in_cells.groupBy("g", "i", "j").applyInArrow(_resolve(percent, links), "a long, b long, rep long, links long"), "inside")
+    scratch.free("held", "wanted")
 
     edges = plain.select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b")).unionByName(inside.where("a is not null").select("a", "b"))
-    found = connected_components(edges, "links")
+    found = connected_components(scratch, edges, "links")
     named = nodes.select("node", "rep", "rows").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("node", F.col("rep").alias("class"), "rows", "component")
     if links:
         pairs = plain.where("not grouped").select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b_rows").alias("links")), F.struct(F.col("b").alias("node"), F.col("a_rows").alias("links")))).alias("e")).select("e.*")
         counts = pairs.unionByName(inside.where("rep is not null").select(F.col("rep").alias("node"), "links")).groupBy("node").agg(F.sum("links").alias("links"))
         named = named.join(counts, "node", "left").withColumn("links", F.col("rows") - 1 + F.coalesce("links", F.lit(0)))
-    out = [
-        "doc_id",
-        F.col("size").cast("long").alias("n_shingles"),
-        F.when(F.col("size") > 0, F.coalesce("class", "doc_id")).otherwise(F.col("doc_id")).alias("class_id"),
-        F.when(F.col("size") > 0, F.coalesce("component", "class", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
-    ]
-    if links:
-        out.append(F.when(F.col("doc_id").isNotNull(), F.coalesce("links", F.lit(0))).alias("n_links"))
-    return sets.select("doc_id", "size", "node").join(named, "node", "left").select(*out)
+    return sets.join(named, "node", "left")
 
 
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -10,10 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one is set only where the session names none (tests)."""
+    """The folder in ``spark.checkpoint.dir``.
+
+    Where the session names none, one is set: a temporary folder if Spark runs in this process alone (tests), else one below
+    the warehouse, which driver and executors share.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="loomfold-")
+        local = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
+        found = tempfile.mkdtemp(prefix="loomfold-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/loomfold-scratch"
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -40,14 +46,48 @@ def _quietly(spark: SparkSession, path: str) -> None:
         pass
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of finished jobs now: it does so when the driver collects its garbage, by default each half hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+class Scratch:
+    """The scratch tables of one operator, by name. Leaving the block deletes all but those kept.
+
+    What an operator returns may read kept tables only; they last until the application ends, so an operator keeps narrow
+    ones.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.free(*list(self.paths))
+        release(self.spark)
+
+    def table(self, df: DataFrame, name: str, keep: bool = False, partition_by: tuple[str, ...] = ()) -> DataFrame:
+        """Write ``df`` to the shared folder and read it again: lineage is cut and a lost executor loses nothing."""
+        path = scratch_path(self.spark, name)
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+        if not keep:
+            self.paths.setdefault(name, []).append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def free(self, *names: str) -> None:
+        """Delete tables whose last reader has been written."""
+        for name in names:
+            for path in self.paths.pop(name, []):
+                delete_path(self.spark, path)
+
+
 def materialize(df: DataFrame, tag: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: lineage is cut and a lost executor loses nothing."""
-    path = scratch_path(df.sparkSession, tag)
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """A scratch table that lasts until the application ends."""
+    return Scratch(df.sparkSession).table(df, tag, keep=True, partition_by=partition_by)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -56,7 +96,10 @@ def partitions(spark: SparkSession) -> int:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches of texts small from now on in this session: their bytes are held by the JVM and by Python."""
+    """Keep Arrow batches of texts small from now on in this session: their bytes are held by the JVM and by Python.
+
+    It can't be set back by an operator, as its result is read later, under the settings of that time.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
         spark.conf.set(key, str(rows))

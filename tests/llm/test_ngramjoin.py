@@ -5,6 +5,7 @@ import pytest
 
 from loomfold.llm import ngramjoin as m
 from loomfold.llm.components import connected_components
+from loomfold.llm.shared import Scratch
 
 from .conftest import near_copies
 
@@ -85,9 +86,9 @@ def test_group_is_resolved_as_by_all_pairs():
 
 def test_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (7, 7)], "a long, b long")
-    got = {r["id"]: r["component"] for r in connected_components(edges).collect()}
+    got = {r["id"]: r["component"] for r in connected_components(Scratch(spark), edges).collect()}
     assert set(got.values()) == {1, 100} and got[40] == 1 and got[101] == 100
-    assert connected_components(edges.limit(0)).count() == 0
+    assert connected_components(Scratch(spark), edges.limit(0)).count() == 0
 
 
 def test_more_matches_where_postings_are_long():
