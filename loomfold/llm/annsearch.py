@@ -1,13 +1,12 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph for each shard, shard results merged.
 
-Rows are dealt to shards of bounded size by a hash of their id. A shard's distinct vectors get geometric levels; on each
-level every vector is linked with up to ``degree`` neighbours (twice that on the ground level) picked from its nearest ones
-by the diversity rule, with links made symmetric within the limit. Neighbours are flat integer arrays, padded with -1, stored
-with the vectors as one row for each shard in the shared folder. As a shard is bounded, the nearest ones on a level come
-from blocked matrix products, which costs each vector the same however large the table is.
-
-Queries come in bounded blocks; a block meets every shard once. Within a block, all queries walk the graph together:
-greedily down the levels, then with a beam on the ground level. Identical vectors are one node with the list of their ids.
+Rows are dealt to shards of bounded bytes by a hash of their id. A shard's distinct vectors get geometric levels and are
+inserted highest first, in batches: each walks the graph so far and is linked with up to ``degree`` neighbours picked from
+its nearest finds by the diversity rule, and a vector keeps the ``degree`` nearest of those that link with it besides.
+Neighbours are flat integer arrays, padded with -1, stored with the vectors as one row for each shard in the shared folder.
+
+Queries walk every shard's graph, greedily down the levels, then with a beam on the ground level, a block of queries
+stepping together. Identical vectors are one node with the list of their ids.
 """
 
 from __future__ import annotations
@@ -31,67 +30,114 @@ def unit_rows(vectors):
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def link_level(unit, members, degree: int, pool: int):
-    """Neighbours of the members of one level as a len(members) x degree array of row numbers, -1 where there is none."""
+def diverse(near, value, vectors, degree: int):
+    """Up to ``degree`` of each row's candidates, sorted nearest first (-1 for none): one that is nearer to a picked candidate than to the row is skipped; room that is left goes to the nearest skipped."""
     import numpy as np
 
-    n = len(members)
-    own = np.full((n, degree), -1, dtype=np.int32)
-    if n < 2:
-        return own
-    x = unit[members].astype(np.float32)
-    k = min(pool, n - 1)
-    for at in range(0, n, 512):
-        sims = x[at : at + 512] @ x.T
-        rows = np.arange(len(sims))
-        sims[rows, rows + at] = -2
-        near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-        order = np.argsort(-np.take_along_axis(sims, near, 1), axis=1, kind="stable")
-        near = np.take_along_axis(near, order, 1)
-        value = np.take_along_axis(sims, near, 1)
-        # diversity: skip one that is nearer to a picked neighbour than to the vector, all rows at a time
-        between = np.einsum("rkd,rjd->rkj", x[near], x[near], optimize=True)
-        picked = np.zeros((len(sims), k), dtype=bool)
-        for j in range(k):
-            blocked = (picked & (between[:, :, j] > value[:, j : j + 1])).any(1)
-            picked[:, j] = ~blocked & (picked.sum(1) < degree)
-        # room that is left goes to the nearest ones skipped
-        rank = np.argsort(np.where(picked, np.arange(k), k + np.arange(k)), axis=1, kind="stable")[:, :degree]
-        own[at : at + 512, : rank.shape[1]] = np.take_along_axis(near, rank, 1)
-    # symmetric links, where the other end has room, nearest first
-    back: list[list[int]] = [[] for _ in range(n)]
-    for a in range(n):
-        for b in own[a]:
-            if b >= 0:
-                back[b].append(a)
-    half = degree // 2
-    for b in range(n):
-        have = [int(c) for c in own[b] if c >= 0]
-        missing = [a for a in back[b] if a not in set(have)]
-        if missing:
-            missing.sort(key=lambda a: (-float(x[a] @ x[b]), a)) if len(missing) > degree - half else None
-            kept = (have[: max(half, degree - len(missing))] + missing)[:degree]
-            own[b] = -1
-            own[b, : len(kept)] = kept
-    members = np.asarray(members, dtype=np.int32)
-    return np.where(own >= 0, members[own], -1).astype(np.int32)
-
-
-def build_graph(unit, degree: int = 16, pool: int = 48, seed: int = 7):
-    """(levels, entry): for each level the members and the flat neighbour array; level 0 holds all rows."""
+    k = near.shape[1]
+    x = vectors[near]
+    between = np.einsum("rkd,rjd->rkj", x, x, optimize=True)
+    picked = np.zeros(near.shape, dtype=bool)
+    for j in range(k):
+        blocked = (picked & (between[:, :, j] > value[:, j : j + 1])).any(1)
+        picked[:, j] = (near[:, j] >= 0) & ~blocked & (picked.sum(1) < degree)
+    rank = np.argsort(np.where(picked, np.arange(k), k + np.arange(k)), axis=1, kind="stable")[:, :degree]
+    return np.take_along_axis(near, rank, 1)
+
+
+class Level:
+    """The links of one level while rows are inserted: own links picked by diversity, and the nearest of those that point here."""
+
+    def __init__(self, n: int, degree: int):
+        import numpy as np
+
+        self.own = np.full((n, degree), -1, dtype=np.int32)
+        self.back = np.full((n, degree), -1, dtype=np.int32)
+        self.back_value = np.full((n, degree), -2, dtype=np.float32)
+
+    def insert(self, x, rows, near, value) -> None:
+        """Link the rows with their candidates, and the candidates back with them."""
+        import numpy as np
+
+        degree = self.own.shape[1]
+        for at in range(0, len(rows), 256):
+            part = slice(at, at + 256)
+            picked = diverse(near[part], value[part], x, degree)
+            self.own[rows[part], : picked.shape[1]] = picked
+        to, of = self.own[rows].ravel(), np.repeat(rows, degree)
+        of, to = of[to >= 0], to[to >= 0]
+        touched, place = np.unique(to, return_inverse=True)
+        # those that point here already, and the new ones: the nearest stay
+        old = self.back[touched].ravel()
+        where = np.concatenate([np.repeat(np.arange(len(touched)), degree)[old >= 0], place])
+        who = np.concatenate([old[old >= 0], of])
+        how = np.concatenate([self.back_value[touched].ravel()[old >= 0], np.einsum("nd,nd->n", x[of], x[to])]).astype(np.float32)
+        order = np.lexsort((who, -how, where))
+        where, who, how = where[order], who[order], how[order]
+        rank = np.arange(len(where)) - np.searchsorted(where, where)
+        keep = rank < degree
+        self.back[touched], self.back_value[touched] = -1, -2
+        self.back[touched[where[keep]], rank[keep]] = who[keep]
+        self.back_value[touched[where[keep]], rank[keep]] = how[keep]
+
+    def links(self):
+        import numpy as np
+
+        return np.concatenate([self.own, self.back], 1)
+
+
+def nearest_of(found, sims, pool: int):
+    """The ``pool`` nearest candidates, nearest first; repeats and -1 go to the end."""
     import numpy as np
 
-    n = len(unit)
-    height = np.minimum(np.floor(-np.log(1 - np.random.default_rng(seed).random(n)) / np.log(degree)).astype(int), 8)
-    levels = []
-    for level in range(int(height.max(initial=0)) + 1):
-        members = np.flatnonzero(height >= level).astype(np.int32)
-        levels.append((members, link_level(unit, members, 2 * degree if level == 0 else degree, pool if level == 0 else min(pool, 2 * degree))))
-    top = levels[-1][0]
-    return levels, int(top[0]) if len(top) else -1
+    order = np.argsort(found, axis=1, kind="stable")
+    found, sims = np.take_along_axis(found, order, 1), np.take_along_axis(sims, order, 1)
+    sims[:, 1:][found[:, 1:] == found[:, :-1]] = -2
+    sims[found < 0] = -2
+    order = np.argsort(-sims, axis=1, kind="stable")[:, :pool]
+    found, sims = np.take_along_axis(found, order, 1), np.take_along_axis(sims, order, 1)
+    return np.where(sims > -2, found, -1), sims
+
+
+def build_graph(unit, degree: int = 24, pool: int = 48, seed: int = 7, batch: int = 1024):
+    """(levels, entry): for each level the members and the flat neighbour array; level 0 holds all rows.
 
+    Rows have geometric heights and enter highest first. A level is filled in batches: each row walks the levels above and
+    what this level has so far, and is compared with its own batch besides; so building a shard takes about as many
+    comparisons for each row as searching it.
+    """
+    import numpy as np
 
-def search_graph(unit, levels, entry: int, queries, beam: int = 96):
+    n = len(unit)
+    rng = np.random.default_rng(seed)
+    height = np.minimum(np.floor(-np.log(1 - rng.random(n)) / np.log(degree)).astype(int), 8)
+    order = np.lexsort((rng.random(n), -height))
+    x = unit.astype(np.float32)
+    levels: list = []
+    for level in range(int(height.max(initial=0)), -1, -1):
+        members = order[: np.count_nonzero(height >= level)]
+        own, size = Level(n, degree), 0
+        while size < len(members):
+            # what is there should outnumber a batch, or its rows would mostly meet each other
+            rows = members[size : size + min(batch, max(128, size))]
+            q = x[rows]
+            sims = q @ q.T
+            np.fill_diagonal(sims, -2)
+            k = min(pool, len(rows))
+            near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+            found, value = rows[near], np.take_along_axis(sims, near, 1)
+            if size:
+                walked = search_graph(unit, [(members[:size], own.links()), *levels], int(order[0]), q, pool)
+                found = np.concatenate([found, walked], 1)
+                value = np.concatenate([value, np.where(walked >= 0, np.einsum("qkd,qd->qk", x[walked], q), -2)], 1)
+            found, value = nearest_of(found, value.astype(np.float32), pool)
+            own.insert(x, rows, found, value)
+            size += len(rows)
+        levels.insert(0, (np.sort(members).astype(np.int32), own.links()))
+    return [(m, links[m]) for m, links in levels], int(order[0]) if n else -1
+
+
+def search_graph(unit, levels, entry: int, queries, beam: int = 200):
     """Row numbers of up to ``beam`` near vectors of each query, -1 where there are none; all queries step together."""
     import numpy as np
 
@@ -100,8 +146,9 @@ def search_graph(unit, levels, entry: int, queries, beam: int = 96):
     at = np.full(m, entry)
     best = np.einsum("qd,qd->q", x[at], q)
     for members, links in reversed(levels[1:]):
-        place = np.full(n, -1)
-        place[members] = np.arange(len(members))
+        place = np.arange(n)
+        if len(links) < n:
+            place[members] = np.arange(len(members))
         moving = np.arange(m)
         while len(moving):
             near = links[place[at[moving]]]
@@ -194,62 +241,117 @@ def load_graph(row: dict, degree: int):
     return vectors, np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["starts"], "<i8"), levels, row["entry"]
 
 
+def _answers(row: dict, wanted, asked, k: int, degree: int, beam: int, out: dict) -> None:
+    """Append the k nearest of each query in one shard: the walk's finds, measured again on the vectors as they came."""
+    import numpy as np
+
+    vectors, ids, starts, levels, entry = load_graph(row, degree)
+    unit = unit_rows(vectors)
+    for at in range(0, len(asked), 256):
+        q = unit_rows(asked[at : at + 256])
+        nodes = search_graph(unit, levels, entry, q, max(beam, 2 * (k + 1)))
+        exact = (unit[nodes] * q[:, None, :]).sum(2)
+        exact[nodes < 0] = -9
+        for j in range(len(q)):
+            own, found = wanted[at + j], []
+            for c in np.argsort(-exact[j], kind="stable"):
+                if nodes[j, c] < 0 or len(found) >= k and exact[j, c] < found[k - 1][0]:
+                    break
+                same = ids[starts[nodes[j, c]] : starts[nodes[j, c] + 1]][: k + 1]
+                found += [(exact[j, c], v) for v in same if v != own]
+            found.sort(key=lambda x: (-x[0], x[1]))
+            for score, v in found[:k]:
+                out["query_id"].append(int(own))
+                out["vec_id"].append(int(v))
+                out["score"].append(float(score))
+
+
+def _found(out: dict):
+    import pyarrow as pa
+
+    return [pa.array(out["query_id"], pa.int64()), pa.array(out["vec_id"], pa.int64()), pa.array(out["score"], pa.float64())]
+
+
+FOUND = ["query_id", "vec_id", "score"]
+
+
 def _search(k: int, degree: int, beam: int):
+    """A shard's graph and a block of queries that were exchanged to it."""
+
     def run(index, queries):
-        import numpy as np
         import pyarrow as pa
 
-        out = {"query_id": [], "vec_id": [], "score": []}
-        wanted, asked = queries.column("query_id").to_numpy(), _vectors(queries.column("vector")) if queries.num_rows else None
-        for i in range(index.num_rows if queries.num_rows else 0):
-            row = {c: index.column(c)[i].as_py() for c in index.column_names}
-            vectors, ids, starts, levels, entry = load_graph(row, degree)
-            unit = unit_rows(vectors)
-            for at in range(0, len(asked), 256):
-                q = unit_rows(asked[at : at + 256])
-                nodes = search_graph(unit, levels, entry, q, max(beam, 2 * (k + 1)))
-                # the measure itself, on the vectors as they came
-                exact = (unit[nodes] * q[:, None, :]).sum(2)
-                exact[nodes < 0] = -9
-                for j in range(len(q)):
-                    own, found = wanted[at + j], []
-                    for c in np.argsort(-exact[j], kind="stable"):
-                        if nodes[j, c] < 0 or len(found) >= k and exact[j, c] < found[k - 1][0]:
-                            break
-                        same = ids[starts[nodes[j, c]] : starts[nodes[j, c] + 1]][: k + 1]
-                        found += [(exact[j, c], v) for v in same if v != own]
-                    found.sort(key=lambda x: (-x[0], x[1]))
-                    for score, v in found[:k]:
-                        out["query_id"].append(int(own))
-                        out["vec_id"].append(int(v))
-                        out["score"].append(float(score))
-        return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
+        out: dict = {c: [] for c in FOUND}
+        if queries.num_rows:
+            wanted, asked = queries.column("query_id").to_numpy(), _vectors(queries.column("vector"))
+            for i in range(index.num_rows):
+                _answers({c: index.column(c)[i].as_py() for c in index.column_names}, wanted, asked, k, degree, beam, out)
+        return pa.Table.from_arrays(_found(out), names=FOUND)
 
     return run
 
 
-def build_index(table: DataFrame, shard_rows: int = 4000, degree: int = 16, pool: int = 48, vec_id: str = "vec_id", embedding: str = "embedding") -> tuple[DataFrame, int]:
-    """One stored row for each shard, and the number of shards. Vectors of different lengths are never in one shard, and rows that cannot take part are left out."""
+def _search_all(queries, k: int, degree: int, beam: int):
+    """Every shard's graph where it lies, against broadcast queries by length: {dims: (ids, vectors)}."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for i in range(b.num_rows):
+                row = {c: b.column(k_)[i].as_py() for k_, c in enumerate(b.schema.names)}
+                out: dict = {c: [] for c in FOUND}
+                if row["dims"] in queries.value:
+                    _answers(row, *queries.value[row["dims"]], k, degree, beam, out)
+                yield pa.RecordBatch.from_arrays(_found(out), names=FOUND)
+
+    return run
+
+
+def build_index(table: DataFrame, shard_bytes: int = 8 << 20, degree: int = 24, pool: int = 48, vec_id: str = "vec_id", embedding: str = "embedding") -> tuple[DataFrame, int]:
+    """One stored row for each shard, and the number of shards.
+
+    A shard's vectors take about ``shard_bytes`` in double precision, so their number depends on their length. Vectors of
+    different lengths are never in one shard, and rows that cannot take part are left out; an empty table gives no shard.
+    The index stays in the shared folder until the application ends.
+    """
     own = table.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("vector")).where(F.col("vec_id").isNotNull() & _usable(F.col("vector")))
-    shards = max(1, -(-own.count() // shard_rows))
+    size = own.agg(F.sum(8 * F.size("vector").cast("long")).alias("s")).first()["s"] or 0
+    shards = max(1, -(-size // shard_bytes))
     # a salt beside the id: rows that repeat an id don't all meet in one shard
     place = F.pmod(F.xxhash64("vec_id", F.xxhash64("vector"), F.monotonically_increasing_id()), F.lit(shards))
     keyed = own.withColumn("shard", F.concat_ws("/", F.size("vector").cast("string"), place.cast("string")))
     return materialize(keyed.groupBy("shard").applyInArrow(_build(degree, pool), INDEX), "graphs"), shards
 
 
-def search_index(index: DataFrame, shards: int, queries: DataFrame, k: int = 5, degree: int = 16, beam: int = 96, block_rows: int = 20_000) -> DataFrame:
+def search_index(index: DataFrame, shards: int, queries: DataFrame, k: int = 5, degree: int = 24, beam: int = 200, block_rows: int = 20_000, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest found of each query (query_id long, vector array<double>).
 
-    Queries are dealt to blocks of about ``block_rows``; each block and shard is one task of bounded size.
+    Ties go to the smaller id; equal vectors are one node whose ids all stand for it, and of a tie between vectors that differ
+    only by a factor those within the walk's beam are seen. Queries without a usable vector give no rows, as do an empty
+    index and queries of a length that no vector has.
+
+    Queries of at most ``broadcast_bytes`` go to the graphs, which stay where they lie; more are dealt to blocks of about
+    ``block_rows``, and each block and shard is one task of bounded size.
     """
+    import numpy as np
+
+    spark = queries.sparkSession
     usable = queries.where(F.col("query_id").isNotNull() & _usable(F.col("vector"))).select("query_id", "vector")
-    blocks = max(1, -(-usable.count() // block_rows))
-    block = F.pmod(F.xxhash64("query_id", F.xxhash64("vector")), F.lit(blocks)).cast("int")
-    every = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda i: F.concat_ws("/", F.size("vector").cast("string"), i.cast("string")))
-    asked = usable.select(F.explode(every).alias("shard"), block.alias("block"), "query_id", "vector")
-    graphs = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = graphs.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(_search(k, degree, beam), "query_id long, vec_id long, score double")
+    sizes = usable.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(8 * F.size("vector").cast("long") + 8), F.lit(0)).alias("s")).first()
+    if sizes["s"] <= broadcast_bytes:
+        by: dict[int, list] = {}
+        for r in usable.collect():  # bounded by the check above
+            by.setdefault(len(r["vector"]), []).append((r["query_id"], r["vector"]))
+        asked = spark.sparkContext.broadcast({n: (np.array([q for q, _ in rows]), np.array([v for _, v in rows], dtype=np.float64)) for n, rows in by.items()})
+        found = index.mapInArrow(_search_all(asked, k, degree, beam), "query_id long, vec_id long, score double")
+    else:
+        blocks = max(1, -(-sizes["n"] // block_rows))
+        block = F.pmod(F.xxhash64("query_id", F.xxhash64("vector")), F.lit(blocks)).cast("int")
+        every = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda i: F.concat_ws("/", F.size("vector").cast("string"), i.cast("string")))
+        asked = usable.select(F.explode(every).alias("shard"), block.alias("block"), "query_id", "vector")
+        graphs = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        found = graphs.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(_search(k, degree, beam), "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

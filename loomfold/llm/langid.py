@@ -13,10 +13,10 @@ text's n-grams, repeats counted, that some landmark has can: it is low for other
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches
+from .shared import Scratch, bounded_batches
 
 CODE_BITS = 18
 #: A text is in no learned language below this part of the share that all but 1 % of its language's labelled rows reach.
@@ -68,56 +68,76 @@ class Spectrum:
         return seen
 
 
+def spectrum_of(text: str | None):
+    """(distinct hashed n-grams, how often each comes) as 32-bit arrays, or None for a text without letters."""
+    import numpy as np
+
+    codes = Spectrum().codes(text or "")
+    if codes is None:
+        return None
+    own, n = np.unique(codes, return_counts=True)
+    return own.astype(np.int32), n.astype(np.int32)
+
+
+class Landmarks:
+    """Landmark texts as a matrix of the n-grams that any of them has."""
+
+    def __init__(self, own: list):
+        import numpy as np
+
+        self.codes = np.unique(np.concatenate(own)).astype(np.int64) if own else np.zeros(0, np.int64)
+        self.matrix = np.stack([self.scaled(c) for c in own], 1) if own else np.zeros((0, 0), np.float32)
+        self.holders = np.bincount(np.concatenate(own), minlength=1 << CODE_BITS).astype(np.int32) if own else np.zeros(1 << CODE_BITS, np.int32)
+
+    def scaled(self, own):
+        """Presence of the kept n-grams over the root of all of the text's."""
+        import numpy as np
+
+        present = np.zeros(1 << CODE_BITS, dtype=np.float32)
+        present[own] = 1
+        return present[self.codes] / np.float32(np.sqrt(len(own)))
+
+    def kernel(self, own):
+        return self.scaled(own) @ self.matrix
+
+    def share(self, own, n, is_landmark: bool) -> float:
+        """The share of a text's n-grams, repeats counted, that a landmark has; a landmark is judged by the others."""
+        return float(n[self.holders[own] > int(is_landmark)].sum() / n.sum())
+
+
 class KernelModel:
     """Landmarks and the folded regression; ``langs`` is empty if nothing could be learned."""
 
-    def __init__(self, texts: list[str], langs: list[str], landmarks: int = 96, ridge: float = 1e-2):
+    def __init__(self, langs: list[str], landmarks: Landmarks, rows: list[tuple[str, bool, object, float]], ridge: float = 1e-2):
+        """``rows``: language, whether it is a landmark (those in the landmarks' order), kernel values, share of known n-grams."""
         import numpy as np
 
-        spectrum = Spectrum()
-        # the n-grams of each text as numbers: a byte for each possible one would fill the driver
-        rows, repeats = [], []
-        for t, lang in zip(texts, langs, strict=True):
-            if (c := spectrum.codes(t)) is not None:
-                own, n = np.unique(c, return_counts=True)
-                rows.append((own.astype(np.int32), lang))
-                repeats.append(n)
-        self.langs = sorted({lang for _, lang in rows})
-        self.codes, self.landmarks, self.fold = np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros((0, 0))
+        self.langs, self.codes, self.landmarks, self.fold = langs, landmarks.codes, landmarks.matrix, np.zeros((0, 0))
         self.least: dict[str, float] = {}
-        if not rows:
+        if not langs:
             return
-        by_lang: dict[str, list[int]] = {}
-        for i, (_, lang) in enumerate(rows):
-            by_lang.setdefault(lang, []).append(i)
-        each = max(1, landmarks // len(self.langs))
-        chosen = [i for lang in self.langs for i in by_lang[lang][:each]]
-        self.codes = np.unique(np.concatenate([rows[i][0] for i in chosen])).astype(np.int64)
-        present = np.zeros(1 << CODE_BITS, dtype=np.float32)
-
-        def scaled(i: int):
-            """Presence of the kept n-grams over the root of all of the text's."""
-            present[rows[i][0]] = 1
-            out = present[self.codes] / np.float32(np.sqrt(len(rows[i][0])))
-            present[rows[i][0]] = 0
-            return out
-
-        self.landmarks = np.stack([scaled(i) for i in chosen], 1)
-        kernel = np.stack([scaled(i) @ self.landmarks for i in range(len(rows))]).astype(np.float64)
-        values, vectors = np.linalg.eigh(kernel[chosen])
+        kernel = np.stack([r[2] for r in rows]).astype(np.float64)
+        values, vectors = np.linalg.eigh(np.stack([r[2] for r in rows if r[1]]).astype(np.float64))
         root = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
         features = kernel @ root
-        wanted = np.array([[1.0 if lang == own else -1.0 for own in self.langs] for _, lang in rows])
+        wanted = np.array([[1.0 if r[0] == own else -1.0 for own in langs] for r in rows])
         inner = features.T @ features + ridge * len(rows) * np.eye(features.shape[1]) / 100
         self.fold = root @ np.linalg.solve(inner, features.T @ wanted)
-        holders = np.zeros(1 << CODE_BITS, dtype=np.int32)
-        for i in chosen:
-            holders[rows[i][0]] += 1
-        marks = set(chosen)
-        shares: dict[str, list[float]] = {lang: [] for lang in self.langs}
-        for i, (own, lang) in enumerate(rows):  # a landmark is judged by the others
-            shares[lang].append(float(repeats[i][holders[own] > (i in marks)].sum() / repeats[i].sum()))
-        self.least = {lang: LEAST_PART * float(np.quantile(x, 0.01)) for lang, x in shares.items()}
+        for lang in langs:
+            self.least[lang] = LEAST_PART * float(np.quantile([r[3] for r in rows if r[0] == lang], 0.01))
+
+    @classmethod
+    def of_texts(cls, texts: list[str], langs: list[str], landmarks: int = 96) -> KernelModel:
+        """The model of a list of texts, the first ones of each language being its landmarks."""
+        rows = [(s, lang) for t, lang in zip(texts, langs, strict=True) if (s := spectrum_of(t)) is not None]
+        names = sorted({lang for _, lang in rows})
+        each, seen, marks = max(1, landmarks // max(1, len(names))), dict.fromkeys(names, 0), []
+        for _, lang in rows:
+            seen[lang] += 1
+            marks.append(seen[lang] <= each)
+        order = sorted(range(len(rows)), key=lambda i: (not marks[i], rows[i][1]))
+        chosen = Landmarks([rows[i][0][0] for i in order if marks[i]])
+        return cls(names, chosen, [(rows[i][1], marks[i], chosen.kernel(rows[i][0][0]), chosen.share(*rows[i][0], marks[i])) for i in order])
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """The best language and its score, (1 + decision value) / 2 kept within 0 and 1; ``und`` with 0 for a text without letters."""
@@ -154,34 +174,74 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit_languages(docs: DataFrame, per_language: int = 300, max_chars: int = 20_000, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> KernelModel:
-    """Fit on at most ``per_language`` labelled rows of each language, of at most ``max_chars`` characters, lowest hash of the id first.
+def _spectra(batches):
+    import pyarrow as pa
+
+    for b in batches:
+        for at in range(0, b.num_rows, 16):
+            part = b.slice(at, 16)
+            found = [spectrum_of(t) for t in part.column(2).to_pylist()]
+            own, n = ([None if s is None else s[k].tobytes() for s in found] for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(own, pa.binary()), pa.array(n, pa.binary())], names=["lang", "place", "own", "n"])
+
+
+def _kernels(landmarks, each: int):
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        known = landmarks.value
+        for b in batches:
+            values, shares = [], []
+            for place, own, n in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                own, n = np.frombuffer(own, "<i4"), np.frombuffer(n, "<i4")
+                values.append(known.kernel(own).astype("<f8").tobytes())
+                shares.append(known.share(own, n, place <= each))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(values, pa.binary()), pa.array(shares, pa.float64())], names=["lang", "place", "kernel", "share"])
+
+    return run
+
+
+def fit_languages(docs: DataFrame, per_language: int = 300, landmarks: int = 96, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> KernelModel:
+    """Fit on at most ``per_language`` labelled rows of each language, lowest hash of the id first, then of the text.
 
-    That sample is the only part of the corpus that learning sees. Rows with a null id, text or language don't teach.
+    That sample is the only part of the corpus that learning sees; its texts are whole, whatever their length. Rows with a
+    null id, text or language, and those without letters, don't teach; rows alike in id, language and text teach once.
+    Executors turn the sample into n-grams and kernel values: the driver gets the n-grams of the landmarks (about
+    ``landmarks`` rows of at most 2 ** 18 numbers) and a row of kernel values for each teaching row. An empty table, or one
+    without labels, gives a model without languages.
     """
-    own = docs.select(docs[doc_id].alias("id"), docs[lang].alias("lang"), docs[text].alias("body")).where("id is not null and lang is not null and body is not null").where(~held_out(F.col("id")))
-    counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
-    if not counts:
-        return KernelModel([], [])
-    order = F.pmod(F.xxhash64("id"), F.lit(1 << 30)).cast("long")
-    share = F
-    for name, n in counts.items():
-        share = share.when(F.col("lang") == name, F.lit(min(1 << 30, int((1 << 30) * (2 * per_language + 50) / n))))
-    picked = own.withColumn("order", order).where(F.col("order") < share).where(F.length("body") <= max_chars)
-    rows = sorted(picked.select("lang", "order", "body").collect(), key=lambda r: (r["order"], r["body"]))
-    kept, seen = [], dict.fromkeys(counts, 0)
-    for r in rows:
-        if seen[r["lang"]] < per_language:
-            seen[r["lang"]] += 1
-            kept.append(r)
-    return KernelModel([r["body"] for r in kept], [r["lang"] for r in kept])
+    import numpy as np
+
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    body = docs[text].cast("string")
+    own = docs.select(docs[lang].cast("string").alias("lang"), F.xxhash64(docs[doc_id]).alias("h1"), F.xxhash64(body).alias("h2"), body.alias("body"), docs[doc_id].alias("id"))
+    own = own.where("id is not null and lang is not null and body is not null").where(~held_out(F.col("id"))).where(F.col("body").rlike(r"\p{L}")).drop("id")
+    # Spark keeps the first rows of each language in each partition before it exchanges them
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h1", "h2"))
+    keys = own.select("lang", "h1", "h2").withColumn("k", first).where(F.col("k") <= per_language).drop("k").distinct()
+    keys = keys.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h1", "h2")))
+    with Scratch(spark) as scratch:
+        keys = scratch.table(keys, "teaching-keys")  # per_language rows of each language at most
+        chosen = own.join(F.broadcast(keys), ["lang", "h1", "h2"]).dropDuplicates(["lang", "h1", "h2"]).select("lang", "place", "body")
+        spectra = scratch.table(chosen.mapInArrow(_spectra, "lang string, place int, own binary, n binary").where("own is not null"), "spectra")
+        langs = sorted(r["lang"] for r in spectra.select("lang").distinct().collect())  # a row for each language
+        each = max(1, landmarks // max(1, len(langs)))
+        # a text may be left out here as well, so places are numbered again
+        spectra = spectra.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("place")))
+        marks = spectra.where(F.col("place") <= each).orderBy("lang", "place").select("own").collect()
+        known = Landmarks([np.frombuffer(r["own"], "<i4") for r in marks])
+        rows = spectra.mapInArrow(_kernels(spark.sparkContext.broadcast(known), each), "lang string, place int, kernel binary, share double").collect()
+    rows = sorted(rows, key=lambda r: (r["place"] > each, r["lang"], r["place"]))
+    return KernelModel(langs, known, [(r["lang"], r["place"] <= each, np.frombuffer(r["kernel"], "<f8"), r["share"]) for r in rows])
 
 
 def _predict(parameters):
     def run(batches):
         import pyarrow as pa
 
-        m = KernelModel([], [])
+        m = KernelModel([], Landmarks([]), [])
         m.__dict__.update(parameters.value)
         for b in batches:
             for at in range(0, b.num_rows, 128):
@@ -195,8 +255,10 @@ def _predict(parameters):
 def predict_languages(docs: DataFrame, model: KernelModel, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """``rest`` (a struct of the carried columns, all by default), ``lang_pred``, ``lang_score`` and ``lang_known``.
 
-    Null texts and texts without letters are ``und`` with score 0 and not known, as is everything if no language was learned.
-    ``lang_known`` is false as well for texts whose n-grams speak against all learned languages.
+    Null texts, empty ones and texts without letters are ``und`` with score 0 and not known, as is everything if no language
+    was learned. ``lang_known`` is false as well for texts whose n-grams speak against all learned languages. Texts of any
+    length are read whole. Of languages with equal decisions the first in order of name is taken. Rows that repeat are
+    judged each, an empty table gives none, and further columns, whatever their names, are carried in ``rest`` only.
     """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # bounded by landmarks and hashed n-grams

@@ -1,10 +1,13 @@
 """Line dedup over levelled, sorted runs of line hashes.
 
-A *run* is a table of line keys (128-bit hash) with the smallest document that holds each, bucketed and sorted by hash.
-Batches arrive in ascending order of document id. The distinct keys of a batch are looked up in all runs by merge joins
-that need no exchange on the runs' side; keys that no run has (the merge anti-join) become the batch's own run. When a
-level has ``fanout`` runs they are compacted into one run of the next level. As every key enters once, with the first
-document that holds it, a line goes exactly when the recorded document is smaller than its own.
+A *run* is a table of line keys (128-bit hash) with the smallest document that holds each, bucketed and sorted by hash, in
+the folder that all machines share. Batches arrive in ascending order of document id. The distinct keys of a batch are
+looked up in all runs by merge joins that need no exchange on the runs' side; keys that no run has (the merge anti-join)
+become the batch's own run. When a level has ``fanout`` runs they are compacted into one run of the next level, and the
+old ones are deleted. As every key enters once, with the first document that holds it, a line goes exactly when the
+recorded document is smaller than its own.
+
+Runs that are given a ``home`` outlast the call and the session, so a later call adds the next batch to them.
 
 Hash collisions are the only source of error: 128 bits over n lines, n * n / 2 ** 129.
 """
@@ -12,11 +15,12 @@ Hash collisions are the only source of error: 128 bits over n lines, n * n / 2 *
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, materialize, partitions
+from .shared import Scratch, bounded_batches, delete_path, partitions, scratch_path
 
 BLANK = b" \t\n\x0b\x0c\r"
 LAST = (1 << 63) - 1  # stands for a null id: after all others
@@ -44,13 +48,14 @@ def _line_keys(min_chars: int):
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
-                ids, counts, found = part.column(0).to_numpy(zero_copy_only=False), [], []
-                for text in part.column(1).cast(pa.binary()).to_pylist():
+                counts, found = [], []
+                for text in part.column(2).cast(pa.binary()).to_pylist():
                     own = {k for k in _keys_of(text, min_chars) if k is not None}
                     counts.append(len(own))
                     found += own
                 halves = np.frombuffer(b"".join(found), dtype="<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(np.repeat(ids, counts).astype("int64"))], names=["h1", "h2", "holder"])
+                ids, rows = (np.repeat(part.column(i).to_numpy(zero_copy_only=False), counts).astype("int64") for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(ids), pa.array(rows)], names=["h1", "h2", "holder", "body_hash"])
 
     return run
 
@@ -85,78 +90,141 @@ def _keep_lines(min_chars: int):
 
 
 class LineRuns:
-    """The levelled runs. ``levels[i]`` names the tables of level i, oldest first."""
+    """The levelled runs. ``levels[i]`` names the tables of level i, oldest first.
+
+    With a ``home`` the runs found there are taken up, and they stay when :meth:`close` is called. A run that was being
+    written or compacted when its application died is either whole or left out, and a key in two runs does no harm.
+    """
 
-    def __init__(self, spark: SparkSession, fanout: int = 3):
+    SCHEMA = "h1 long, h2 long, holder long, fresh boolean, takes boolean, n long"
+
+    def __init__(self, spark: SparkSession, fanout: int = 3, home: str | None = None):
         self.spark, self.fanout, self.levels = spark, fanout, [[]]
-        self.buckets = partitions(spark)
+        self.kept = home is not None
+        self.home = home.rstrip("/") if home else scratch_path(spark, "line-runs")
+        self.paths: dict[str, str] = {}
+        self.buckets, self.number = partitions(spark), 0
+        for level, number, buckets, path in sorted(self._found()) if home else []:
+            self.buckets, self.number = buckets, max(self.number, number + 1)
+            self.levels += [[] for _ in range(level + 1 - len(self.levels))]
+            self.levels[level].append(self._register(path, buckets))
+
+    def _found(self):
+        """(level, number, buckets, path) of the whole runs in the home."""
+        jvm = self.spark.sparkContext._jvm
+        home = jvm.org.apache.hadoop.fs.Path(self.home)
+        fs = home.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        for s in fs.listStatus(home) if fs.exists(home) else []:
+            name = s.getPath().getName()
+            if name.startswith("run-") and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")):
+                yield *map(int, name.split("-")[1:4]), f"{self.home}/{name}"
+
+    def _register(self, path: str, buckets: int) -> str:
+        name = f"line_run_{uuid.uuid4().hex}"
+        self.spark.sql(f"CREATE TABLE {name} ({self.SCHEMA}) USING parquet CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {buckets} BUCKETS LOCATION '{path}'")
+        self.paths[name] = path
+        return name
 
     def tables(self) -> list[str]:
         return [t for level in self.levels for t in level]
 
-    def _write(self, df: DataFrame) -> str:
-        name = f"line_run_{uuid.uuid4().hex}"
-        df.write.format("parquet").bucketBy(self.buckets, *KEY).sortBy(*KEY).saveAsTable(name)
+    def _write(self, df: DataFrame, level: int) -> str:
+        name, path = f"line_run_{uuid.uuid4().hex}", f"{self.home}/run-{level}-{self.number}-{self.buckets}"
+        self.number += 1
+        df.write.format("parquet").option("path", path).bucketBy(self.buckets, *KEY).sortBy(*KEY).saveAsTable(name)
+        self.paths[name] = path
         return name
 
     def add(self, lines: DataFrame) -> DataFrame:
         """Take in a batch (h1, h2, holder), whose holders are all at or above those before it.
 
-        Returns the batch's keys that take lines away: h1, h2 and the first holder.
+        Returns the batch's keys that take lines away: h1, h2, the first holder, and n, the number of the batch's lines.
+        The result is to be read before the next batch comes.
         """
-        keys = lines.groupBy(*KEY).agg(F.min("holder").alias("own"), (F.min("holder") < F.max("holder")).alias("shared"))
+        self._compact()
+        keys = lines.groupBy(*KEY).agg(F.min("holder").alias("own"), (F.min("holder") < F.max("holder")).alias("shared"), F.count(F.lit(1)).alias("n"))
         known = F.lit(None).cast("long")
         for i, table in enumerate(self.tables()):
             run = self.spark.table(table).where("fresh").select(*KEY, F.col("holder").alias(f"held{i}"))
             keys = keys.join(run.hint("merge"), KEY, "left")
             known = F.coalesce(known, F.col(f"held{i}"))
-        keys = keys.select(*KEY, F.coalesce(known, F.col("own")).alias("holder"), known.isNull().alias("fresh"), (F.col("shared") | (known < F.col("own"))).alias("takes"))
-        table = self._write(keys.where("fresh or takes"))
+        keys = keys.select(*KEY, F.coalesce(known, F.col("own")).alias("holder"), known.isNull().alias("fresh"), (F.col("shared") | (known < F.col("own"))).alias("takes"), "n")
+        table = self._write(keys.where("fresh or takes"), 0)
         self.levels[0].append(table)
-        taking = self.spark.table(table).where("takes").select(*KEY, F.col("holder").alias("first"))
-        self._compact()
-        return taking
+        return self.spark.table(table).where("takes").select(*KEY, F.col("holder").alias("first"), "n")
 
     def _compact(self) -> None:
         for i, level in enumerate(self.levels):
             if len(level) >= self.fanout:
-                merged = None
-                for t in level:
-                    own = self.spark.table(t).where("fresh").select(*KEY, "holder")
-                    merged = own if merged is None else merged.unionByName(own)
-                merged = merged.repartition(self.buckets, *KEY).withColumn("fresh", F.lit(True)).withColumn("takes", F.lit(False))
+                parts = [self.spark.table(t).where("fresh").select(*KEY, "holder") for t in level]
+                merged = reduce(DataFrame.unionByName, parts).repartition(self.buckets, *KEY)
+                merged = merged.select("*", F.lit(True).alias("fresh"), F.lit(False).alias("takes"), F.lit(1).cast("long").alias("n"))
                 if i + 1 == len(self.levels):
                     self.levels.append([])
-                self.levels[i + 1].append(self._write(merged))
-                level.clear()  # the old tables stay for readers of their own batch
-
-
-def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+                self.levels[i + 1].append(self._write(merged, i + 1))
+                self._drop(level)
+                level.clear()
+
+    def _drop(self, tables: list[str], files: bool = True) -> None:
+        for t in tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {t}")
+            if files:
+                delete_path(self.spark, self.paths.pop(t))
+
+    def close(self) -> None:
+        """Forget the tables, and delete them unless they have a home."""
+        self._drop(self.tables(), files=not self.kept)
+        if not self.kept:
+            delete_path(self.spark, self.home)
+
+
+def _lost(lines: DataFrame, taking: DataFrame, total: int) -> DataFrame:
+    """The lines that go. Keys of more than a thousandth of the batch's lines - a thousand keys at most - are broadcast; so no task gets all lines of such a key."""
+    bound = max(1000, total // 1000)
+    hot = F.broadcast(taking.where(F.col("n") > bound).select(*KEY, "first"))
+    cold = taking.where(F.col("n") <= bound).select(*KEY, "first")
+    columns = ["holder", "body_hash", "h1", "h2"]
+    often = lines.join(hot, KEY).where("first < holder").select(*columns)
+    return often.unionByName(lines.join(hot, KEY, "left_anti").join(cold, KEY).where("first < holder").select(*columns))
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout: int = 3, runs: LineRuns | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``rest`` (a struct of all columns of ``docs``), ``kept_text``, ``n_lines`` and ``n_dropped``.
 
     Lines split at ``\\n``; a key is the line without blanks at both ends, A-Z lower-cased. Keys of at least ``min_chars``
-    code points stay only in the smallest ``doc_id`` that holds them. Null texts count as one empty line and stay null;
-    null ids are one document after all others; rows that repeat an id are one document; an empty table gives none.
+    code points stay only in the smallest ``doc_id`` that holds them, in each of its lines. Null texts count as one empty
+    line and stay null; an empty text is one empty line. Null ids are one document after all others; rows that repeat an id
+    are one document; an empty table gives none. Texts and lines of any length are read whole; a text's distinct lines are
+    in memory at once. Further columns, whatever their names, are carried in ``rest`` only.
+
+    With ``runs`` the documents are the next of them: lines that an earlier call's documents hold go too. Ids are to be above
+    those of earlier calls; where one isn't, what the earlier call has kept stays kept.
     """
     spark = docs.sparkSession
     bounded_batches(docs.sparkSession)
     own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("rest"), docs[text].cast("string").alias("body"), F.coalesce(docs[doc_id].cast("long"), F.lit(LAST)).alias("holder"))
-    cuts = own.agg(F.percentile_approx("holder", [i / batches for i in range(1, batches)], 10_000).alias("c")).first()["c"] or []
+    own = own.withColumn("body_hash", F.xxhash64("body"))
+    cuts = own.agg(F.percentile_approx("holder", [i / batches for i in range(1, batches)], 10_000).alias("c")).first()["c"] or [] if batches > 1 else []
     cuts = sorted(set(cuts))
     number = F.lit(0)
     for c in cuts:
         number = number + (F.col("holder") > F.lit(c)).cast("int")
-    lines = own.select("holder", "body").mapInArrow(_line_keys(min_chars), "h1 long, h2 long, holder long").withColumn("batch", number)
-    lines = materialize(lines, "lines", ("batch",))
-    runs, gone = LineRuns(spark, fanout), None
-    for b in range(len(cuts) + 1):
-        own_lines = lines.where(F.col("batch") == b).select(*KEY, "holder")
-        taking = runs.add(own_lines)
-        lost = own_lines.join(taking, KEY).where("first < holder").select("holder", "h1", "h2")
-        gone = lost if gone is None else gone.unionByName(lost)
-    listed = gone.groupBy("holder").agg(F.collect_list(F.struct(*KEY)).alias("gone"))
+    held = runs or LineRuns(spark, fanout)
+    with Scratch(spark) as scratch:
+        lines = own.select("holder", "body_hash", "body").mapInArrow(_line_keys(min_chars), "h1 long, h2 long, holder long, body_hash long").withColumn("batch", number)
+        lines = scratch.table(lines, "lines", partition_by=("batch",))
+        sizes = {r["batch"]: r["n"] for r in lines.groupBy("batch").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each batch
+        gone = []
+        for b in range(len(cuts) + 1):
+            own_lines = lines.where(F.col("batch") == b).select(*KEY, "holder", "body_hash")
+            gone.append(scratch.table(_lost(own_lines, held.add(own_lines), sizes.get(b, 0)), f"lost-{b}"))
+        # a row's lines are found by its id and its text, so the lists of rows without an id stay apart
+        listed = reduce(DataFrame.unionByName, gone).groupBy("holder", "body_hash").agg(F.collect_set(F.struct(*KEY)).alias("gone"))
+        listed = scratch.table(listed, "gone", keep=True)
+    if runs is None:
+        held.close()
     fields = f"rest {own.schema['rest'].dataType.simpleString()}, kept_text string, n_lines long, n_dropped long"
-    return own.join(listed, "holder", "left").select("rest", "body", "gone").mapInArrow(_keep_lines(min_chars), fields)
+    return own.join(listed, ["holder", "body_hash"], "left").select("rest", "body", "gone").mapInArrow(_keep_lines(min_chars), fields)
 
 
 def op9_line_runs(spark, sf_dir: str) -> DataFrame:

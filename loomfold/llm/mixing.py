@@ -2,10 +2,11 @@
 
 1. A labelled table names the domain of some documents. Words whose presence tells domains apart are picked from a bounded
    sample of labelled rows; a naive Bayes classifier of those words' presence gives every document a posterior over domains.
-2. Let t be a document's tokens, p its posterior and r its rate (expected copies). The rates minimise
-   ``|sum(r * t * p) - target| ** 2`` with r >= 0, and are the nearest to 1 that do. They are 1 less a weighted sum of t * p,
-   cut off at 0, with a weight for each domain. A Newton step of the weights needs one aggregate of about as many numbers as
-   there are domains squared; a rate follows from its own row and the weights, so none is ever stored or exchanged.
+2. Let t be a document's tokens, p its posterior and r its rate (expected copies). Projected gradient finds rates r >= 0 with
+   the least squares of ``sum(r * t * p)`` less the targets: each step moves every rate along its own load t * p, weighted by
+   the misfits of the domains, and sets what falls below 0 to 0. A step is a weight for each domain, so a rate is replayed from
+   its row's load and the few steps so far; none is ever stored or exchanged. A round needs one aggregate of about as many
+   numbers as there are domains squared, and partitions may be lost and read again at any time.
 3. Rates become whole copies: the integer part, and one more when a hash of the id falls below the rest.
 """
 
@@ -18,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import Scratch
 
 log = logging.getLogger(__name__)
 
@@ -57,7 +58,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, wor
     rows = docs.select(F.col(doc_id).alias("l_id"), F.array_distinct(all_words(F.col(text))).alias("words")).join(F.broadcast(picked) if sample_rows <= 100_000 else picked, "l_id")
     by_domain = rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()  # one row for each domain
     sizes = {d: 0 for d in DOMAINS} | {r["domain"]: r["n"] for r in by_domain}
-    cells = rows.select("domain", F.explode("words").alias("word")).where("word <> '' and length(word) <= 40").groupBy("word").pivot("domain", list(DOMAINS)).agg(F.count(F.lit(1)))
+    cells = rows.select("domain", F.explode("words").alias("word")).where("word <> ''").groupBy("word").pivot("domain", list(DOMAINS)).agg(F.count(F.lit(1)))
     odds, absent = [], []
     for d in DOMAINS:
         other = sum(sizes.values()) - sizes[d]
@@ -89,55 +90,51 @@ def with_posterior(df: DataFrame, words: str, model: dict[str, list[float]]) ->
     return df.withColumn("score", score).withColumn("posterior", F.array(*shares)).drop("score")
 
 
-def _rate(weights: list[float], load: str = "load") -> Column:
-    """1 less ``sum(weights * load)``, at least 0."""
-    pull = F.aggregate(F.zip_with(F.array(*[F.lit(float(w)) for w in weights]), F.col(load), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    return F.greatest(F.lit(0.0), 1 - pull)
+def _rate(steps: list[list[float]]) -> Column:
+    """1 after all steps: each takes off its weights times the row's loads ``l0, l1, ...``, and what falls below 0 is 0."""
+    out = F.lit(1.0)
+    for weights in steps:
+        pull = reduce(lambda a, b: a + b, [F.col(f"l{i}") * F.lit(float(w)) for i, w in enumerate(weights)])
+        out = F.greatest(F.lit(0.0), out - pull)
+    return out
 
 
-def fit_rates(loads: DataFrame, targets: list[float], rounds: int = 60, tolerance: float = 1e-3) -> tuple[list[float], list[float]]:
-    """The weights of :func:`_rate`, and each total less its target. ``loads`` has ``load``: tokens times posterior of each document.
+def fit_rates(loads: DataFrame, targets: list[float], rounds: int = 60, tolerance: float = 1e-3) -> tuple[list[list[float]], list[float]]:
+    """The steps of :func:`_rate`, and each total less its target. ``loads`` has ``l0, l1, ...``: tokens times posterior of each document.
 
-    Of the rates that meet the targets, those nearest to 1 have this form (up to a ridge of 1e-9 of the loads' mean square),
-    and their weights minimise a convex function whose gradient is the misfit. Each round takes a Newton step with the Gram
-    matrix of the documents whose rate is above 0 - documents cut off at 0 don't shorten it - and halves it until the function
-    falls. Ends when every total is within ``tolerance`` of its target, or, where no rates meet the targets, at the least
-    misfit. Running out of rounds is an error.
+    The misfits are squared as shares of their targets. A step is the gradient of the misfit scaled by the inverse Gram matrix
+    of the documents whose rate is above 0 - those cut off at 0 no longer answer, and would make it far too short - and halved
+    until the squares fall by a tenth. Where that fails, as it does if no rates meet the targets, the plain gradient with
+    the length that is best for those documents is taken. Ends when every total is within ``tolerance`` of its target or the
+    squares no longer fall; the misfits say which. Running out of rounds is an error.
     """
     dims = range(len(targets))
-    size = loads.agg(F.sum(F.aggregate("load", F.lit(0.0), lambda a, x: a + x * x)).alias("s")).first()["s"]
-    weights = [0.0 for _ in dims]
-    if not size:
-        return weights, [-t for t in targets]
-    ridge = 1e-9 * size / len(targets)
-
-    def judge(w: list[float]):
-        """The function at ``w``, its gradient, the misfit, and the Gram matrix of the documents with a rate."""
-        part = [F.get("load", F.lit(i)) for i in dims]
-        cells = [F.sum(F.when(F.col("r") > 0, part[i] * part[j]).otherwise(0.0)).alias(f"g{i}_{j}") for i in dims for j in dims if i <= j]
-        got = loads.select("load", _rate(w).alias("r")).agg(F.sum(F.col("r") * F.col("r")).alias("s"), *[F.sum(part[i] * F.col("r")).alias(f"t{i}") for i in dims], *cells).first()
-        miss = [got[f"t{i}"] - targets[i] for i in dims]
-        value = got["s"] / 2 + sum(w[i] * targets[i] + ridge * w[i] * w[i] / 2 for i in dims)
-        return value, [ridge * w[i] - miss[i] for i in dims], miss, [[got[f"g{min(i, j)}_{max(i, j)}"] for j in dims] for i in dims]
-
-    small = lambda x, share: all(abs(v) <= share * max(1.0, t) for v, t in zip(x, targets, strict=True))
-    value, slope, miss, gram = judge(weights)
+    shares = lambda miss: sum((m / max(1.0, t)) ** 2 for m, t in zip(miss, targets, strict=True))
+
+    def judge(steps: list[list[float]]):
+        """Misfits at the rates after these steps, and the Gram matrix of the documents with a rate above 0."""
+        cells = [F.sum(F.when(F.col("r") > 0, F.col(f"l{i}") * F.col(f"l{j}")).otherwise(0.0)).alias(f"g{i}_{j}") for i in dims for j in dims if i <= j]
+        got = loads.withColumn("r", _rate(steps)).agg(*[F.coalesce(F.sum(F.col(f"l{i}") * F.col("r")), F.lit(0.0)).alias(f"t{i}") for i in dims], *cells).first()
+        return [got[f"t{i}"] - targets[i] for i in dims], [[got[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in dims] for i in dims]
+
+    steps: list[list[float]] = []
+    miss, gram = judge(steps)
     for _ in range(rounds):
-        # without a slope left the misfit is what the ridge holds: no rates meet the targets
-        if small(miss, tolerance) or small(slope, tolerance / 100):
-            return weights, miss
-        step, length = _solve(gram, slope, ridge), 1.0
-        while True:
-            tried = [w - length * x for w, x in zip(weights, step, strict=True)]
-            then = judge(tried)
-            if then[0] <= value - 1e-4 * length * sum(x * y for x, y in zip(slope, step, strict=True)):
+        if all(abs(m) <= tolerance * max(1.0, t) for m, t in zip(miss, targets, strict=True)) or not any(gram[i][i] for i in dims):
+            return steps, miss
+        trace = sum(gram[i][i] for i in dims)
+        steep = [m / max(1.0, t) ** 2 for m, t in zip(miss, targets, strict=True)]
+        answer = [sum(gram[i][j] * steep[j] for j in dims) / max(1.0, targets[i]) for i in dims]
+        best = sum(m * a / max(1.0, t) for m, a, t in zip(miss, answer, targets, strict=True)) / max(1e-300, sum(a * a for a in answer))
+        tries = [([length * x for x in _solve(gram, miss, 1e-9 * trace)], 0.9) for length in (1.0, 0.5, 0.25)]
+        tries += [([best * length * x for x in steep], 0.999) for length in (1.0, 0.5, 0.25, 0.125, 0.0625)]
+        for step, enough in tries:
+            then = judge([*steps, step])
+            if shares(then[0]) <= enough * shares(miss):
                 break
-            length /= 2
-            if length < 1e-9:  # the function can't be told from its least value any more
-                return weights, miss
-        weights, (value, slope, miss, gram) = tried, then
-    if small(miss, tolerance) or small(slope, tolerance / 100):
-        return weights, miss
+        else:
+            return steps, miss
+        steps, (miss, gram) = [*steps, step], then
     raise RuntimeError(f"rates not found in {rounds} rounds: totals miss {targets} by {miss}")
 
 
@@ -163,23 +160,32 @@ def mix_documents(docs: DataFrame, labels: DataFrame, keep: dict[str, float] | N
     ``keep`` is the share of its expected tokens that each domain is to have afterwards, from which the target totals come.
     ``misfit``, the same in every row, is the largest distance of an expected total from its target, as a share of the target;
     it is above 0.001 only where no rates meet the targets, which is logged as well.
-    Null texts have no tokens and the prior as posterior, so they keep a rate of 1; null ids and repeated rows are
-    documents like others; without labels all domains are equally likely; an empty table gives no rows.
+    Null and empty texts have no tokens and the prior as posterior, so they keep a rate of 1; null ids and repeated rows are
+    documents like others, and rows of one id and rate become as many copies each; texts of any length are read whole;
+    without labels all domains are equally likely; an empty table gives no rows; further columns are carried only.
+
+    If the text is carried, it isn't stored again: posteriors are worked out once for the rates and once for the result.
     """
-    keep = keep or KEEP
+    spark = docs.sparkSession
+    keep, carry = keep or KEEP, carry or docs.columns
     model = fit_domains(docs, labels, text=text, doc_id=doc_id, **fit)
-    own = docs.select(F.struct(*[docs[c] for c in carry or docs.columns]).alias("rest"), docs[doc_id].alias("id"), docs[text].alias("body"))
+    own = docs.select(F.struct(*[docs[c] for c in carry]).alias("rest"), docs[doc_id].alias("id"), docs[text].alias("body"))
     cut = own.select("rest", "id", all_words(F.col("body")).alias("words"))
     judged = with_posterior(cut, "words", model).select("rest", "id", count_tokens(F.col("words")).alias("n_tokens"), "posterior")
-    loads = judged.select("rest", "id", "n_tokens", "posterior", F.transform("posterior", lambda p: p * F.col("n_tokens")).alias("load"))
-    loads = materialize(loads, "mixing")
-    totals = loads.agg(*[F.coalesce(F.sum(F.get("load", F.lit(i))), F.lit(0.0)).alias(f"t{i}") for i in range(len(DOMAINS))]).first()
-    targets = [totals[f"t{i}"] * keep[d] for i, d in enumerate(DOMAINS)]
-    weights, miss = fit_rates(loads, targets)
+    judged = judged.withColumns({f"l{i}": F.get("posterior", F.lit(i)) * F.col("n_tokens") for i in range(len(DOMAINS))})
+    names = [f"l{i}" for i in range(len(DOMAINS))]
+    with Scratch(spark) as scratch:
+        if text in carry:
+            loads = scratch.table(judged.select(*names), "loads")
+        else:
+            loads = judged = scratch.table(judged, "loads", keep=True)
+        totals = loads.agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in names]).first()
+        targets = [totals[c] * keep[d] for c, d in zip(names, DOMAINS, strict=True)]
+        steps, miss = fit_rates(loads, targets)
     misfit = max(abs(m) / max(1.0, t) for m, t in zip(miss, targets, strict=True))
     if misfit > 1e-3:
         log.warning("no rates meet the targets %s of %s: the totals miss them by %s", targets, DOMAINS, miss)
-    rated = loads.withColumn("rate", _rate(weights))
+    rated = judged.withColumn("rate", _rate(steps))
     chance = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     copies = (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("int")
     return rated.select("rest", "n_tokens", "posterior", "rate", copies.alias("copies"), F.lit(misfit).alias("misfit"))

@@ -22,9 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import Scratch, bounded_batches, release
+from .shared import Scratch, bounded_batches, broadcast_if_small, release
 
-BROADCAST_ROWS = 2_000_000
 CACHE_WORDS = 300_000
 
 
@@ -434,11 +433,14 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, hot:
     ``class_id`` is the smallest id with the same set, ``component_id`` the smallest reachable by links. Texts with fewer
     than ``words`` words are one shingle of all their words; null texts and texts without words have none and link with
     nothing. Rows that repeat an id are one document whose sets' links are joined. Rows with a null id are judged but
-    never name a class: alone, their ids stay null. An empty table gives no rows.
+    never name a class: alone, their ids stay null. An empty table gives no rows. Texts of any length are read whole; a text's
+    shingles are in memory at once. Sets at exactly ``percent`` link. Further columns, whatever their names, aren't read.
 
     ``n_links`` is the number of other rows with an id whose set links with this row's, equal sets included; it is null for
     rows with a null id. In groups made of frequent tokens all pairs are counted, each in one cell of blocks.
 
+    The result is a table of five numbers a row in the shared folder; all else is deleted as it goes.
+
     ``reach`` sets the first range of hashes: that many times the share of tokens a prefix needs. Results don't depend on
     it. A wider range settles more nodes by their own rare tokens and counts more; shingles of five words are rare enough
     for a narrow one.
@@ -458,11 +460,6 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, hot:
         return scratch.table(named.select(*out), "classes", keep=True)
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """``df`` with a hint to broadcast it if its rows, which are narrow, are few."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _open_nodes(scratch: Scratch, usable: DataFrame, nodes: DataFrame, percent: int, hot: int) -> tuple[DataFrame, DataFrame]:
     """Nodes that their own tokens in the first range don't settle, and the prefixes of these."""
     heavy = scratch.spark.sparkContext.broadcast(heavy_tokens(usable, nodes.count(), hot))
@@ -471,10 +468,11 @@ def _open_nodes(scratch: Scratch, usable: DataFrame, nodes: DataFrame, percent:
     listed = lambda c: F.size(F.coalesce(c, F.array().cast("array<struct<df:int,token:bigint>>")))
     open_ = nodes.join(near, "node", "left").where((F.col("first") - listed(F.col("found"))) < need)
     open_ = scratch.table(open_.select(F.col("rep").alias("doc"), "rows", "node", "size", "first", F.col("found").alias("near"), need.alias("need")), "open")
+    release(scratch.spark)
 
     rare = F.col("first") - listed(F.filter("near", lambda x: x["df"] > hot))
     short = open_.where(rare < F.col("need")).select("node")
-    beyond = _shared_tokens(usable.select("node", "first", "tokens").join(_small(short), "node", "left_semi").mapInArrow(_emit(False, heavy), "token long, node long, salt int"), hot)
+    beyond = _shared_tokens(usable.select("node", "first", "tokens").join(broadcast_if_small(short), "node", "left_semi").mapInArrow(_emit(False, heavy), "token long, node long, salt int"), hot)
     whole = open_.join(beyond.withColumnRenamed("found", "beyond"), "node", "left").select(F.col("node").alias("rep"), "size", "first", "near", "beyond", (rare < F.col("need")).alias("whole"))
     prefixes = scratch.table(whole.mapInArrow(_prefixes(percent, hot), "token long, rep long, size int, matches int, frequent boolean"), "prefixes")
     return open_.select("doc", "rows", "node", "size"), prefixes
@@ -504,7 +502,7 @@ def _named(scratch: Scratch, docs: DataFrame, words: int, percent: int, hot: int
     wanted = scratch.table(wanted.join(open_.withColumnRenamed("node", "rep"), "rep"), "wanted")
     scratch.free("open", "prefixes")
     # one row of each node brings its tokens; more than one only where rows repeat the id
-    chosen = _small(wanted.select(F.col("rep").alias("node"), F.col("doc").alias("doc_id"), "rows", "g"))
+    chosen = broadcast_if_small(wanted.select(F.col("rep").alias("node"), F.col("doc").alias("doc_id"), "rows", "g"))
     held = usable.select("node", "doc_id", "tokens").join(chosen, ["node", "doc_id"]).dropDuplicates(["node"])
     held = scratch.table(held.select(F.col("node").alias("rep"), F.col("doc_id").alias("doc"), "rows", "g", "tokens"), "held")
     sets = scratch.table(sets.select("doc_id", "size", "node"), "sizes")

@@ -17,9 +17,10 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, materialize
+from .shared import Scratch, bounded_batches
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, number long"
+TOKENIZER = "word_bpe_49k.json"
 PART_CACHE, WORD_CACHE = 350_000, 150_000
 
 
@@ -111,7 +112,8 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
+        #: Strings that the vocabulary takes out of a text before it forms words.
+        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
@@ -146,6 +148,10 @@ class WordIds:
             self.parts[p] = np.array(got.ids, dtype="<u4").tobytes()
 
     def of(self, text: str) -> bytes:
+        if any(s in text for s in self.special):
+            import numpy as np
+
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if "\u03a3" not in text:  # a sigma's lower case depends on its place
             text = text.lower()
         words = text.replace("\n", " ").split(" ")
@@ -167,7 +173,23 @@ class WordIds:
         return b"".join(map(self.words.__getitem__, words))
 
 
-def _pieces(path: str, size: int, end_id: int, with_ids: bool):
+def resolve_tokenizer(name: str) -> str:
+    """A vocabulary file: the path itself where this machine has it, else the installed one of that name."""
+    import os
+
+    if os.path.exists(name):
+        return name
+    import public_tokenizers
+
+    return public_tokenizers.path(os.path.basename(name))
+
+
+def default_tokenizer() -> str:
+    """The path of the installed vocabulary."""
+    return resolve_tokenizer(TOKENIZER)
+
+
+def _pieces(tokenizer: str, size: int, end_id: int, with_ids: bool):
     def run(batches):
         import zlib
         from collections import Counter
@@ -175,7 +197,7 @@ def _pieces(path: str, size: int, end_id: int, with_ids: bool):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        ids, part, seen = WordIds.shared(path), TaskContext.get().partitionId(), Counter()
+        ids, part, seen = WordIds.shared(resolve_tokenizer(tokenizer)), TaskContext.get().partitionId(), Counter()
         end = end_id.to_bytes(4, "little")
         for b in batches:
             for at in range(0, b.num_rows, 500):
@@ -216,35 +238,39 @@ def _place(table, columns: list[str]):
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 2, with_ids: bool = True, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, size: int = 4096, end_id: int = 2, with_ids: bool = True, broadcast_rows: int = 250_000, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """A row for each piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` and, on request, ``ids`` (little-endian 32-bit).
 
-    ``tokenizer`` is the path of a vocabulary whose words end at white space. Null and empty texts have the end id only;
-    null ids stay null; repeated rows are packed each; an empty table gives no rows; further columns are not read.
+    ``tokenizer`` is a vocabulary whose words end at white space: a path that all machines have, or the name of an installed
+    one, which each machine finds for itself. Null and empty texts have the end id only; null ids stay null; repeated rows
+    are packed each; an empty table gives no rows; further columns are not read. Texts of any length are tokenized whole, and
+    longer ones than ``size`` become several pieces. Pieces of equal length are interchangeable: they are dealt to packs in
+    the order of partitions and of rows in them.
+
+    A piece finds its rank by its partition and length; that table is broadcast up to ``broadcast_rows`` rows of three
+    numbers, and joined by an exchange beyond. Pieces stay in the shared folder until the application ends, as the result
+    reads them.
     """
     spark = docs.sparkSession
     bounded_batches(docs.sparkSession)
     own = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("body"))
     kind = PIECE + (", ids binary" if with_ids else "")
-    pieces = materialize(own.mapInArrow(_pieces(tokenizer, size, end_id, with_ids), kind), "pieces")
-    counts = materialize(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # size bins at most
-    table = spark.sparkContext.broadcast(place_table(plan_packs(histogram, size)))
-    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    ranked = pieces.join(offsets, ["part", "length"]).withColumn("rank", F.col("number") + F.col("before"))
+    with Scratch(spark) as scratch:
+        pieces = scratch.table(own.mapInArrow(_pieces(tokenizer, size, end_id, with_ids), kind), "pieces", keep=True)
+        counts = scratch.table(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
+        histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # size bins at most
+        table = spark.sparkContext.broadcast(place_table(plan_packs(histogram, size)))
+        before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = counts.select("part", F.col("length").cast("int").alias("length"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+        offsets = scratch.table(offsets, "offsets", keep=True)
+    few = offsets.count() <= broadcast_rows
+    ranked = pieces.join(F.broadcast(offsets) if few else offsets.hint("merge"), ["part", "length"]).withColumn("rank", F.col("number") + F.col("before"))
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else [])]
     fields = ", ".join(f"{c} {'binary' if c == 'ids' else 'long'}" for c in columns)
     return ranked.select(*columns, "rank").mapInArrow(_place(table, columns), f"{fields}, sequence_id long, offset long")
 
 
-def default_tokenizer() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
 def op10_packing(spark, sf_dir: str) -> DataFrame:
     """All ``documents`` in sequences of 4096 tokens."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return pack_documents(docs, default_tokenizer(), with_ids=False)
+    return pack_documents(docs, with_ids=False)

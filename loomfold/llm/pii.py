@@ -18,7 +18,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from ..functions.scans import scan
+from .shared import Scratch
 
 #: Kinds in their order; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "secret", "local_phone")
@@ -33,8 +34,10 @@ PATTERNS = {
 }
 OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 IP_SHAPE = rf"\A(?:{OCTET.replace('*+', '*')})(?:\.(?:{OCTET.replace('*+', '*')})){{3}}\z"
-ENDINGS = ["com", "org", "net", "edu", "gov", "info", "io", "eu", "de", "fr", "es", "it", "uk"]
-COUNTRIES = ["1", "33", "34", "39", "44", "49"]
+#: Endings of hosts: generic ones and any two letters, as countries have them.
+ENDINGS = r"\A(?:com|org|net|edu|gov|mil|int|info|biz|name|pro|mobi|dev|app|online|site|[a-z]{2})\z"
+#: Country codes of E.164, zone by zone; two digits where they are a code, else three.
+COUNTRIES = r"\A(?:1|7|2(?:0|7|[1-689][0-9])|3(?:[0-469]|[578][0-9])|4(?:[013-9]|2[0-9])|5(?:[1-8]|[09][0-9])|6(?:[0-6]|[789][0-9])|8(?:[1246]|[035789][0-9])|9(?:[0-58]|[679][0-9]))"
 ISSUERS = r"\A(?:4|5[1-5]|2[2-7]|3[47]|6011|65|35)"
 KEY_HEADS = r"\A(?:AKIA|ASIA|ghp_|gho_|sk_|pk_|xox[abp]-)"
 CUES = {
@@ -46,7 +49,7 @@ CUES = {
     "local_phone": r"(?i)(?:phone|tel|call|mobile|fax|anruf)",
 }
 LABELERS = ("shape", "gazetteer", "cue", "edges", "variety")
-SPAN = "array<struct<start:int,ord:int,end:int,kind:string,hit:string,before:string,after:string>>"
+SPAN = "struct<start:int,ord:int,end:int,kind:string,hit:string,before:string,after:string>"
 
 
 def _digits(hit: Column) -> Column:
@@ -87,18 +90,16 @@ def candidates(text: Column, docs: DataFrame) -> DataFrame:
 
     def placed(k: str) -> Column:
         hits = F.arrays_zip(f"m_{k}", f"p_{k}", F.slice(f"p_{k}", F.lit(2), F.greatest(F.size(f"p_{k}") - 1, F.lit(0))).alias(f"q_{k}"))
-        start = lambda a, x: a["at"] + F.length(x[f"p_{k}"])
+        after = lambda a, x: F.struct((a["at"] + F.length(x[f"p_{k}"]) + F.length(x[f"m_{k}"])).alias("at"))
 
-        def add(a: Column, x: Column) -> Column:
-            end = start(a, x) + F.length(x[f"m_{k}"])
-            span = F.struct(
-                start(a, x).alias("start"), F.lit(KINDS.index(k)).alias("ord"), end.alias("end"), F.lit(k).alias("kind"), x[f"m_{k}"].alias("hit"),
+        def span(before: Column, x: Column, end: Column) -> Column:
+            start = before["at"] + F.length(x[f"p_{k}"])
+            return F.struct(
+                start.alias("start"), F.lit(KINDS.index(k)).alias("ord"), end["at"].alias("end"), F.lit(k).alias("kind"), x[f"m_{k}"].alias("hit"),
                 F.right(x[f"p_{k}"], F.lit(24)).alias("before"), F.left(x[f"q_{k}"], F.lit(24)).alias("after"),
             )
-            return F.struct(end.alias("at"), F.array_append(a["out"], span).alias("out"))
 
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-        return F.aggregate(F.filter(hits, lambda x: x[f"m_{k}"].isNotNull()), zero, add, lambda a: a["out"])
+        return scan(F.filter(hits, lambda x: x[f"m_{k}"].isNotNull()), F.struct(F.lit(0).alias("at")), after, span, SPAN)
 
     return df.withColumn("found", F.concat(*[placed(k) for k in KINDS]))
 
@@ -113,10 +114,10 @@ def votes(x: Column) -> dict[str, Column]:
         .otherwise(yes(base_holds(kind, hit), -1))
     )
     gazetteer = (
-        F.when(kind == "email", yes(F.lower(F.substring_index(hit, ".", -1)).isin(ENDINGS), -1))
+        F.when(kind == "email", yes(F.lower(F.substring_index(hit, ".", -1)).rlike(ENDINGS), -1))
         .when(kind == "ip", yes(~hit.rlike(r"\A(?:0|127|255)\."), -1))
         .when(kind == "card", yes(_digits(hit).rlike(ISSUERS), -1))
-        .when(kind == "phone", yes(_digits(hit).rlike(rf"\A(?:{'|'.join(COUNTRIES)})"), -1))
+        .when(kind == "phone", yes(_digits(hit).rlike(COUNTRIES), -1))
         .when(kind == "secret", yes(hit.rlike(KEY_HEADS)))
         .otherwise(0)
     )
@@ -179,8 +180,10 @@ def _lookup(values: dict[str, float]) -> Column:
 def find_pii(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """``rest`` (a struct of the carried columns, all but the text by default) and ``spans``, an array of start, ord, end, kind, hit, base and score.
 
-    Spans are sorted by start, then kind. Null texts are empty and have none; repeated rows are judged each; an empty
-    table gives no rows; what other columns hold or are called doesn't matter.
+    Spans are sorted by start, then kind. An added span that overlaps a base one is left out; added spans may overlap each
+    other. Null texts are empty and have none, as have empty ones; texts of any length are read whole, in time that grows
+    with their length; repeated rows are judged each; an empty table gives no rows; what other columns hold or are called
+    doesn't matter.
     """
     names = [c for c in docs.columns if c != text] if carry is None else carry
     rest = F.struct(*[docs[c] for c in names]) if names else F.struct(F.lit(None).cast("string").alias("nothing"))
@@ -190,7 +193,8 @@ def find_pii(docs: DataFrame, text: str = "text", carry: list[str] | None = None
         "rest",
         F.transform("found", lambda x: F.struct(x["start"], x["ord"], x["end"], x["kind"], x["hit"], base_holds(x["kind"], x["hit"]).alias("base"), key(x).alias("votes"), features(x).alias("features"))).alias("found"),
     )
-    judged = materialize(judged, "pii")
+    # candidates only, no texts; the result reads them
+    judged = Scratch(docs.sparkSession).table(judged, "pii", keep=True)
     each = judged.select(F.explode("found").alias("x"))
     rows = each.groupBy("x.votes").agg(F.count(F.lit(1)).alias("n")).collect()  # at most len(KINDS) * 3 ** 5 rows
     counts = {(r["votes"].split("/")[0], *map(int, r["votes"].split("/")[1:])): r["n"] for r in rows}

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -90,6 +91,11 @@ def materialize(df: DataFrame, tag: str, partition_by: tuple[str, ...] = ()) ->
     return Scratch(df.sparkSession).table(df, tag, keep=True, partition_by=partition_by)
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
+    """``df``, whose rows are narrow, with a hint to broadcast it if they are few."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def partitions(spark: SparkSession) -> int:
     """Shuffle partitions that the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -9,6 +9,8 @@ itself in an exact join, which removes the false positives; the longest rule win
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,29 +80,59 @@ def canonical_rules(rules: DataFrame) -> DataFrame:
     )
 
 
-def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", page_id: str = "page_id", url: str = "url") -> DataFrame:
+def _key(host: Column, path: Column, labels: Column | int, length: Column | int) -> Column:
+    """The host's last ``labels`` labels and the path's first ``length`` characters; null if the url has fewer."""
+    own = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+    labels, length = (F.lit(x) if isinstance(x, int) else x for x in (labels, length))
+    parts = F.split(host, r"\.")
+    suffix = F.array_join(F.slice(parts, F.greatest(own - labels + 1, F.lit(1)), labels), ".")
+    return F.when((host != "") & (own >= labels) & (F.length(path) >= length), F.concat(suffix, F.left(path, length)))
+
+
+def _in_row(seen: DataFrame, listed: DataFrame, filter_: DataFrame, blocks: int, shapes: list[tuple[int, int]]) -> DataFrame:
+    """``best`` beside each row, through broadcast joins of each shape's key with the filter and then with the list: no row is exchanged."""
+    out, found = seen, []
+    for n, (labels, length) in enumerate(shapes):
+        key = _key(F.col("host"), F.col("path"), labels, length)
+        out = out.withColumn("key", key).withColumn("block", _block(F.col("key"), blocks)).join(F.broadcast(filter_), "block", "left")
+        out = out.withColumn("key", F.when(might_hold(F.col("key")), F.col("key"))).drop("block", *[f"w{i}" for i in range(WORDS)])
+        own = listed.where((F.col("labels") == labels) & (F.col("path_len") == length)).select("key", F.struct("span", "host_len", "rule", "verdict").alias(f"hit{n}"))
+        out = out.join(F.broadcast(own), "key", "left").drop("key")
+        found.append(f"hit{n}")
+    best = F.greatest(*found) if len(found) > 1 else F.col(found[0])
+    return out.withColumn("best", best).drop(*found)
+
+
+def _by_exchange(seen: DataFrame, listed: DataFrame, filter_: DataFrame, blocks: int, shapes: list[tuple[int, int]]) -> DataFrame:
+    """``best`` beside each row for lists of any size: the probes of each url meet the filter and the list in hash joins, and return to the url."""
+    every = F.from_json(F.lit(json.dumps([{"m": m, "p": p} for m, p in shapes])), "array<struct<m:int,p:int>>")
+    urls = seen.select("url", "host", "path").where("host <> ''").distinct()
+    probes = urls.select("url", F.explode(F.array_distinct(F.array_compact(F.transform(every, lambda s: _key(F.col("host"), F.col("path"), s["m"], s["p"]))))).alias("key"))
+    possible = probes.withColumn("block", _block(F.col("key"), blocks)).join(filter_, "block").where(might_hold(F.col("key"))).select("url", "key")
+    best = possible.join(listed, "key").groupBy("url").agg(F.max(F.struct("span", "host_len", "rule", "verdict")).alias("best"))
+    return seen.join(best, "url", "left")
+
+
+def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", page_id: str = "page_id", url: str = "url", most_shapes: int = 16, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``page_id, url, host, path, rule, verdict`` for every row of ``pages``.
 
-    Without a fitting rule the URL isn't listed and gets ``default``. Null URLs and URLs without ``://`` have an empty
-    host and path and fit nothing; repeated rows keep their number; null ids are kept; an empty list lets all pass.
+    Without a fitting rule the URL isn't listed and gets ``default``. The longest rule (host and path together) wins, of equally
+    long ones that with the longer host. Null URLs and URLs without ``://`` have an empty host and path and fit nothing;
+    repeated rows keep their number; null ids are kept; an empty list lets all pass; an empty table gives no rows; URLs of
+    any length are read whole; further columns are not read.
+
+    A list of at most ``most_shapes`` shapes (labels of the host, length of the path) whose filter and rules stay below
+    ``broadcast_bytes`` is broadcast and probed in the row; a longer one is joined by exchanges.
     """
     listed = canonical_rules(rules)
-    shapes = sorted((r["labels"], r["path_len"]) for r in listed.select("labels", "path_len").distinct().collect())
-    count = listed.count()
+    shapes = sorted((r["labels"], r["path_len"]) for r in listed.select("labels", "path_len").distinct().collect())  # not more than lengths of hosts times paths
+    sizes = listed.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(2 * F.col("span") + 100), F.lit(0)).alias("bytes")).first()
     seen = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url")).select("page_id", "url", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     if not shapes:
         return seen.select("page_id", "url", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    labels = F.length("host") - F.length(F.replace("host", F.lit("."), F.lit(""))) + 1
-    keys = [F.when((F.col("host") != "") & (labels >= m) & (F.length("path") >= p), F.concat(F.substring_index("host", ".", -m), F.substring("path", 1, p) if p else F.lit(""))) for m, p in shapes]
-    probes = seen.select("page_id", "url", F.explode(F.array_compact(F.array(*keys))).alias("key"))
-    blocks = max(1, -(-count * BITS_PER_KEY // (64 * WORDS)))
-    small = blocks * 8 * (WORDS + 1) <= BROADCAST_BYTES and count * 200 <= BROADCAST_BYTES  # both sizes are known here
-    hint = F.broadcast if small else (lambda df: df)
-    possible = probes.withColumn("block", _block(F.col("key"), blocks)).join(hint(bloom_blocks(listed, blocks)), "block").where(might_hold(F.col("key"))).select("page_id", "url", "key")
-    hits = possible.join(hint(listed), "key")
-    best = hits.groupBy("page_id", "url").agg(F.max(F.struct("span", "host_len", "rule", "verdict")).alias("best"))
-    best = best.select(F.col("page_id").alias("b_id"), F.col("url").alias("b_url"), "best")
-    joined = seen.join(best, seen["page_id"].eqNullSafe(best["b_id"]) & seen["url"].eqNullSafe(best["b_url"]), "left")
+    blocks = max(1, -(-sizes["n"] * BITS_PER_KEY // (64 * WORDS)))
+    small = len(shapes) <= most_shapes and len(shapes) * blocks * 8 * (WORDS + 1) + sizes["bytes"] <= broadcast_bytes
+    joined = (_in_row if small else _by_exchange)(seen, listed, bloom_blocks(listed, blocks), blocks, shapes)
     return joined.select("page_id", "url", "host", "path", F.col("best.rule").alias("rule"), F.coalesce(F.col("best.verdict"), F.lit(default)).alias("verdict"))
 
 

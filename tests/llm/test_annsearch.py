@@ -1,15 +1,15 @@
 import numpy as np
 
-from loomfold.llm.annsearch import build_index, search_index
+from loomfold.llm.annsearch import build_graph, build_index, search_graph, search_index, unit_rows
 
 KIND = "vec_id long, embedding array<float>, shard string, score double"
 
 
-def search(spark, rows, every=5, **kw):
+def search(spark, rows, every=5, broadcast_bytes=64 << 20, **kw):
     table = spark.createDataFrame([(i, None if v is None else [None if x is None else float(x) for x in v], "s", 0.0) for i, v in rows], KIND)
     index, shards = build_index(table, **kw)
     queries = table.where(f"vec_id % {every} = 0").selectExpr("vec_id AS query_id", "cast(embedding AS array<double>) AS vector").dropDuplicates()
-    return search_index(index, shards, queries).collect()
+    return search_index(index, shards, queries, broadcast_bytes=broadcast_bytes).collect()
 
 
 def exact(rows, query, k=5):
@@ -27,7 +27,7 @@ def test_recall_over_shards(spark):
     rng = np.random.default_rng(0)
     rows = [(i, v) for i, v in enumerate(rng.normal(size=(1500, 24)))]
     got = {}
-    for r in search(spark, rows, 25, shard_rows=400):
+    for r in search(spark, rows, 25, shard_bytes=400 * 24 * 8):
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
     hits = sum(len({v for _, v in got[q]} & set(exact(rows, q))) for q in got)
     assert len(got) == 60 and hits >= 0.95 * 300
@@ -37,12 +37,30 @@ def test_recall_over_shards(spark):
 def test_ties_and_equal_vectors(spark):
     rows = [(i, [1.0, 2.0, 3.0]) for i in range(40)] + [(i, [1.0, float(i), 0.0]) for i in range(41, 60)]
     got = {}
-    for r in search(spark, rows, 10, shard_rows=15):
+    for r in search(spark, rows, 10, shard_bytes=15 * 24):
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], round(r["score"], 9)))
     assert [v for _, v, _ in sorted(got[10])] == [0, 1, 2, 3, 4]
     assert [v for _, v, _ in sorted(got[0])] == [1, 2, 3, 4, 5]
 
 
+def test_blocks_of_queries_give_what_a_broadcast_gives(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, v) for i, v in enumerate(rng.normal(size=(600, 8)))]
+    key = lambda got: sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 12)) for r in got)
+    assert key(search(spark, rows, 25, shard_bytes=200 * 64)) == key(search(spark, rows, 25, broadcast_bytes=0, shard_bytes=200 * 64))
+
+
+def test_inserted_graph_finds_clusters():
+    rng = np.random.default_rng(3)
+    x = unit_rows(np.repeat(rng.normal(size=(30, 32)), 150, 0) + 0.3 * rng.normal(size=(4500, 32)))
+    levels, entry = build_graph(x, batch=256)
+    assert [len(m) for m, _ in levels] == sorted((len(m) for m, _ in levels), reverse=True) and len(levels[0][0]) == 4500
+    q = x[::45]
+    got = search_graph(x, levels, entry, q)
+    want = np.argsort(-(q @ x.T), axis=1)[:, :6]
+    assert np.mean([len(set(a) & set(b)) / 6 for a, b in zip(got, want, strict=True)]) >= 0.97
+
+
 def test_unusable_vectors_and_few_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (5, [0.0, 1.0]), (6, None), (7, [0.0, 0.0]), (8, [nan, 1.0]), (9, [inf, 1.0]), (10, [None, 1.0]), (11, []), (12, [1.0, 1.0, 1.0]), (15, [1.0, 2.0, 3.0]), (None, [1.0, 1.0])]

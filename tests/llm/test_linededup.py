@@ -49,9 +49,34 @@ def test_runs_are_compacted(spark):
     runs = LineRuns(spark, fanout=2)
     for b in range(4):
         runs.add(spark.createDataFrame([(k, 0, b) for k in range(b * 5, b * 5 + 8)], "h1 long, h2 long, holder long"))
+    runs._compact()
     assert [len(level) for level in runs.levels] == [0, 0, 1]
     held = {r["h1"]: r["holder"] for r in spark.table(runs.tables()[0]).collect()}
     assert held == {k: min(3, k // 5) if k % 5 >= 3 or k < 5 else max(0, k // 5 - 1) for k in range(23)}
+    runs.close()
+    assert not spark.catalog.listTables() or not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+
+
+def test_runs_with_a_home_take_up_the_next_batch(spark, tmp_path):
+    home = str(tmp_path / "runs")
+    rows = [(i, f"a line that comes again {i % 4}\nown line number {i}") for i in range(24)]
+    got = []
+    for k in range(0, 24, 8):  # each time as a new application would find them
+        runs = LineRuns(spark, fanout=2, home=home)
+        out = dedup_lines(spark.createDataFrame(rows[k : k + 8], "doc_id long, text string"), batches=1, runs=runs)
+        got += [(r["rest"]["doc_id"], r["n_lines"], r["n_dropped"], r["kept_text"]) for r in out.collect()]
+        runs.close()
+    assert sorted(got) == brute(rows)
+
+
+def test_common_lines_and_rows_without_ids(spark):
+    common = "the line that every document has"
+    rows = [(i if i < 1500 else None, f"{common}\nown line number {i % 1600}") for i in range(1700)]
+    got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), batches=2).collect()
+    kept = [r for r in got if r["n_dropped"] == 0]
+    assert [r["rest"]["doc_id"] for r in kept] == [0] and len(got) == 1700
+    # rows without an id are one document after all others, so their own lines stay however often they come
+    assert all(r["kept_text"].startswith("own line") == (r["rest"]["doc_id"] is not None or int(r["kept_text"][16:] or -1) >= 1500) for r in got if r["n_dropped"] == 1)
 
 
 def test_hash_of_kept_text(spark):

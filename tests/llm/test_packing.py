@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from loomfold.llm.packing import WordIds, default_tokenizer, pack_documents, plan_packs
+from loomfold.llm.packing import WordIds, default_tokenizer, pack_documents, place_table, plan_packs, resolve_tokenizer
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -26,6 +26,67 @@ def test_plan_places_all_and_leaves_little_room(seed):
     assert used <= total / size * (1.03 if seed else 1.05) + 1
 
 
+def one_by_one(lengths, size):
+    """Shortest-pack-first a piece at a time: free spaces of the packs when all are placed."""
+    spaces, todo = [], sum(lengths)
+    waiting = sorted(lengths, reverse=True)
+    while waiting:
+        n = waiting[0]
+        best = max(range(len(spaces)), key=spaces.__getitem__, default=None)
+        if best is not None and spaces[best] >= n:
+            spaces[best] -= n
+            todo -= n
+            waiting.pop(0)
+            continue
+        opened = min(waiting.count(n), max(1, -(-(todo - sum(spaces)) // size)))
+        for _ in range(opened):
+            spaces.append(size - n)
+            todo -= n
+            waiting.pop(0)
+    return sorted(spaces)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_counts_of_patterns_place_as_one_by_one(seed):
+    rng = random.Random(seed)
+    lengths = [min(64, max(1, int(rng.expovariate(1 / 20)))) for _ in range(300)] + [64] * 5
+    histogram = {n: lengths.count(n) for n in set(lengths)}
+    packs = plan_packs(histogram, 64)
+    assert sorted(64 - sum(n * k for n, k in p) for c, p in packs for _ in range(c)) == one_by_one(lengths, 64)
+    rows = place_table(packs)
+    for n, c in histogram.items():  # each rank of each length has just one range
+        own = rows[rows[:, 0] == n]
+        assert own[0, 1] == 0 and all(own[i, 1] < own[i + 1, 1] for i in range(len(own) - 1)) and own[-1, 1] < c
+
+
+def test_special_strings_and_names():
+    from tokenizers import Tokenizer
+
+    plain, ids = Tokenizer.from_file(resolve_tokenizer("word_bpe_49k.json")), WordIds(default_tokenizer())
+    for t in ("a <|endoftext|> b", "<|startoftext|>", "A<|endoftext|>B <|ENDOFTEXT|>", "x < | y"):
+        assert ids.of(t) == np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    assert resolve_tokenizer("/no/such/folder/word_bpe_49k.json") == default_tokenizer()
+
+
+def test_offsets_joined_by_an_exchange_give_the_same_packs(spark):
+    docs = spark.createDataFrame([(i, "word " * (i % 90)) for i in range(400)], "doc_id long, text string").repartition(5, "doc_id")
+    key = lambda df: sorted((r["doc_id"], r["start"], r["length"]) for r in df.collect())
+    few, many = pack_documents(docs, size=64, with_ids=False), pack_documents(docs, size=64, with_ids=False, broadcast_rows=0)
+    assert key(few) == key(many)
+    for df in (few, many):
+        by = df.groupBy("sequence_id").agg({"length": "sum", "offset": "count"}).collect()
+        assert max(r["sum(length)"] for r in by) <= 64
+        starts = sorted((r["sequence_id"], r["offset"], r["length"]) for r in df.collect())
+        assert all(b[1] == (a[1] + a[2] if a[0] == b[0] else 0) for a, b in zip(starts, starts[1:], strict=False))
+
+
+def test_long_text_is_cut_into_pieces(spark):
+    text = "one two three, four " * 40_000
+    got = pack_documents(spark.createDataFrame([(1, text), (2, text), (3, None)], "doc_id long, text string"), with_ids=False).collect()
+    assert sum(r["length"] for r in got if r["doc_id"] == 1) == next(r["doc_tokens"] for r in got if r["doc_id"] == 1) == 200_001
+    assert [r["length"] for r in got if r["doc_id"] == 3] == [1]
+
+
 def test_plan_of_nothing():
     assert plan_packs({}, 8) == []
 

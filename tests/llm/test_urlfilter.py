@@ -13,9 +13,9 @@ def brute(url, rules):
     return host, path, max(fit)[2] if fit else None, max(fit)[3] if fit else "allow"
 
 
-def check(spark, rules, urls):
+def check(spark, rules, urls, **how):
     pages = spark.createDataFrame([(i, u, "h", "r") for i, u in enumerate(urls)], "page_id long, url string, host string, rule string")
-    got = m.filter_urls(pages, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()
+    got = m.filter_urls(pages, spark.createDataFrame(rules, "host string, path string, verdict string"), **how).collect()
     assert len(got) == len(urls)
     for r in got:
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == brute(urls[r["page_id"]], rules), r
@@ -23,6 +23,24 @@ def check(spark, rules, urls):
 
 def test_rules(spark):
     check(spark, RULES, URLS)
+    check(spark, RULES, URLS, most_shapes=0)
+    check(spark, RULES, URLS, broadcast_bytes=0)
+
+
+def test_a_broadcast_list_needs_no_exchange_of_pages(spark):
+    pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(URLS)], "page_id long, url string, html string")
+    out = m.filter_urls(pages, spark.createDataFrame(RULES, "host string, path string, verdict string"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 8 and plan.count("Project [page_id") >= 1
+    out.collect()
+    physical = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in physical
+
+
+def test_long_urls_and_many_shapes(spark):
+    rules = [(".".join(["a"] * k + ["org"]), "/" + "p" * (7 * k), "block") for k in range(1, 30)]
+    urls = [f"http://{'.'.join(['a'] * k + ['org'])}/{'p' * 300}{'x' * 50_000}" for k in range(0, 33, 3)]
+    check(spark, rules, urls)
 
 
 def test_a_long_list_and_its_false_positives(spark):
