@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .shared import Scratch, bounded_batches, broadcast_if_small, release
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 
 
 def allowed_prefix(size: int, percent: int) -> int:
@@ -100,7 +100,7 @@ def _heavy(hot: int, chunk: int = 4096, share: int = 64):
                 if node not in sets:
                     sets[node] = data
                     size += len(data)
-                if len(sets) == chunk or size > 1 << 25:
+                if len(sets) == chunk or size > 1 << 22:
                     yield counted(list(sets.values()))
                     sets, size = {}, 0
         if sets:
@@ -110,7 +110,7 @@ def _heavy(hot: int, chunk: int = 4096, share: int = 64):
 
 
 def heavy_tokens(usable: DataFrame, nodes: int, hot: int):
-    """Sorted tokens that surely are in more than ``hot`` sets and in at least a 1024th of them: at most 1024 times the mean size.
+    """Sorted tokens that surely are in more than ``hot`` sets and in at least a 1024th of them: so at most 1024 times the mean size.
 
     They need no count, so their postings can be dealt out as one likes.
     """
