@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scans import bind
 from .text import REPEATED, strip
 
 # Edge marks, numeric tokens, and names that unsafe code mentions.
@@ -25,9 +26,11 @@ def _tokens(text: Column) -> Column:
 
 def ngram_deficit(text: Column, n: int = 4, least: int = 8) -> Column:
     """One less the share of distinct token n-grams; 0 for fewer than ``least`` tokens."""
-    t = _tokens(text)
-    grams = F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, F.lit(n)), "\x00"))
-    return F.when(F.size(t) < least, 0.0).otherwise(1 - F.size(F.array_distinct(grams)) / F.size(grams))
+    def share(t: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, F.lit(n)), "\x00"))
+        return F.when(F.size(t) < least, 0.0).otherwise(1 - F.size(F.array_distinct(grams)) / F.greatest(F.size(t) - n + 1, F.lit(1)))
+
+    return bind(_tokens(text), share)
 
 
 def repetition_penalty(text: Column) -> Column:
@@ -39,8 +42,7 @@ def script_penalty(text: Column) -> Column:
     """The share of Latin-only tokens among those with Latin or Devanagari letters; numeric tokens don't count."""
     bare = F.transform(_tokens(text), lambda x: F.btrim(x, F.lit(EDGE_MARKS)))
     words = F.filter(bare, lambda x: (x != "") & ~x.rlike(NUMERIC) & x.rlike("[A-Za-zऀ-ॿ]"))
-    latin = F.filter(words, lambda x: ~x.rlike("[ऀ-ॿ]"))
-    return F.when(F.size(words) == 0, 0.0).otherwise(F.size(latin) / F.size(words))
+    return bind(words, lambda w: F.when(F.size(w) == 0, 0.0).otherwise(F.size(F.filter(w, lambda x: ~x.rlike("[ऀ-ॿ]"))) / F.size(w)))
 
 
 def composite(similarity: Column, text: Column) -> Column:
@@ -87,11 +89,13 @@ def whole_number(text: Column) -> Column:
 
 def sudoku(text: Column, puzzle: Column, solution: Column, cells: int = 16) -> Column:
     """The share of empty cells that the digits of the answer get right; the answer is filled up with 0 and cut."""
-    digits = F.rpad(F.regexp_replace(xml_answer(text), "[^0-9]", ""), cells, "0")
-    at = F.sequence(F.lit(1), F.lit(cells))
-    empty = F.filter(at, lambda i: F.substr(puzzle, i, F.lit(1)) == "0")
-    right = F.filter(empty, lambda i: F.substr(solution, i, F.lit(1)) == F.substr(digits, i, F.lit(1)))
-    return F.when(F.size(empty) == 0, 0.0).otherwise(F.size(right) / F.size(empty))
+    empty = F.filter(F.sequence(F.lit(1), F.lit(cells)), lambda i: F.substr(puzzle, i, F.lit(1)) == "0")
+
+    def share(digits: Column) -> Column:
+        right = F.filter(empty, lambda i: F.substr(solution, i, F.lit(1)) == F.substr(digits, i, F.lit(1)))
+        return F.when(F.size(empty) == 0, 0.0).otherwise(F.size(right) / F.size(empty))
+
+    return bind(F.rpad(F.regexp_replace(xml_answer(text), "[^0-9]", ""), cells, "0"), share)
 
 
 def safe_code(code: Column) -> Column:
@@ -103,15 +107,43 @@ def safe_code(code: Column) -> Column:
 
 
 def fenced_code(text: Column) -> Column:
-    """The last fenced block's content, stripped; null if there is none."""
-    blocks = F.regexp_extract_all(text, F.lit(r"(?s)```(?:python)?\n?(.*?)```"), F.lit(1))
-    return strip(F.get(blocks, F.size(blocks) - 1))
+    """The content of the first block fenced as Python; empty if there is none."""
+    return F.regexp_extract(text, r"(?s)```python\n(.*?)```", 1)
+
+
+def code_in_answer(text: Column) -> Column:
+    """Half a point if that block, fences included, stands inside the answer's tags."""
+    inside = F.regexp_extract(text, r"(?s)<answer>(.*?)</answer>", 1)
+    code = fenced_code(text)
+    return F.when((code != "") & F.contains(inside, F.concat(F.lit("```python\n"), code, F.lit("```"))), 0.5).otherwise(0.0)
+
+
+def tested_name(tests: Column) -> Column:
+    """The function that the tests want: the imported one, else the one of the first assertion; null without either."""
+    imported = F.regexp_extract(tests, r"(?U)from solution import (\w+)", 1)
+    return F.nullif(F.when(imported != "", imported).otherwise(F.regexp_extract(tests, r"(?U)assert\s+(\w+)\s*\(", 1)), F.lit(""))
+
+
+def renamed_code(code: Column, name: Column) -> Column:
+    """The code with its first function under the name that the tests want; null without a function."""
+    own = F.regexp_extract(code, r"(?U)def (\w+)\(", 1)
+    # the name ends at its word's boundary; a function of a longer name stays
+    parts = F.split(code, r"(?U)\bdef ", -1)
+    put = lambda x, i: F.when(i == 0, x).when((F.regexp_extract(x, r"(?U)^(\w+)", 1) == own), F.concat(F.lit("def "), name, F.substr(x, F.length(own) + 1))).otherwise(F.concat(F.lit("def "), x))
+    return F.when(own != "", F.array_join(F.transform(parts, put), ""))
 
 
 def split_tests(tests: Column) -> Column:
     """Each ``assert`` line as a numbered function."""
     lines = F.filter(F.transform(F.split(tests, "\n"), strip), lambda x: x.startswith("assert"))
-    return F.transform(lines, lambda x, i: F.concat(F.lit("def test_"), i.cast("string"), F.lit("():\n    "), x))
+    return F.transform(lines, lambda x, i: F.concat(F.lit("def test_case_"), (i + 1).cast("string"), F.lit("():\n    "), x))
+
+
+def boxed_format(text: Column) -> Column:
+    """Half of: one for an opened answer, and one for a box in it (or in the text without an answer), a half without a box."""
+    opened = F.contains(text, F.lit("<answer>"))
+    inner = F.when(opened, F.substring_index(F.get(F.split(text, "<answer>", -1), F.lit(1)), "</answer>", 1)).otherwise(text)
+    return 0.5 * (opened.cast("int") + F.when(F.contains(inner, F.lit("\\boxed")), 1.0).otherwise(0.5))
 
 
 def boxed(text: str | None) -> str | None:

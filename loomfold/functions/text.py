@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .scans import running_total, scan
+
 # Marker words, closing phrases, patterns and the shares that go with them.
 MARKER_START = r"(?iU)^\s*(wait|hold on|actually|hmm|that's not right|but wait|let me reconsider)\b"
 MARKER_ANYWHERE = r"(?iU)\b(wait|hold on|actually|let me reconsider|hmm|that's not right)\b"
@@ -12,6 +14,8 @@ CLOSING_PHRASES = ("in conclusion", "in summary", "to summarize", "to conclude")
 NUMBER = r"(?U)(\d+(?:,\d{3})*(?:\.\d+)?%?(?:\s*-\s*\d+(?:,\d{3})*(?:\.\d+)?%?)?)"
 REPEATED = r"(?U)(\S+(?:\s+\S+){0,4})(?:\s+\1){3,}"
 PLACEHOLDER = "⟦\\d+⟧"
+HEADER, TURN_END = ("<|start_header_id|>", "<|end_header_id|>"), "<|eot_id|>"
+LINE_ENDS = "\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029"
 
 
 def md5_id(text: Column) -> Column:
@@ -134,11 +138,18 @@ def unmask_latex(masked: Column, parts: Column) -> Column:
     return F.aggregate(numbered, masked, lambda t, p: F.replace(t, F.concat(F.lit("\x00LATEX"), p["i"].cast("string"), F.lit("\x00")), p["x"]))
 
 
-def line_starts(text: Column) -> Column:
-    """Code-point offsets of the lines (split at ``\\n``)."""
-    lines = F.split(text, "\n", -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    return F.aggregate(lines, zero, lambda a, x: F.struct((a["at"] + F.length(x) + 1).alias("at"), F.array_append(a["out"], a["at"]).alias("out")), lambda a: a["out"])
+def line_starts(text: Column, every_end: bool = False) -> Column:
+    """Code-point offsets of the lines, split at ``\\n`` or, on request, at every line end that Python knows."""
+    if not every_end:
+        return running_total(F.transform(F.split(text, "\n", -1), lambda x: F.length(x) + 1), inclusive=False)
+    lines = F.regexp_extract_all(text, F.lit(f"(?s).*?(?:\r\n|[{LINE_ENDS}]|\\z)"), F.lit(0))
+    return running_total(F.transform(F.filter(lines, lambda x: x != ""), lambda x: F.length(x)), inclusive=False)
+
+
+def sentence_spans(text: Column) -> Column:
+    """(start, end) of the sentences in order; together they are the whole text, white space after a sentence being its own."""
+    ends = F.regexp_extract_all(text, F.lit(r"(?sU).+?(?:(?<=[.!?])\s+|\z)"), F.lit(0))
+    return scan(ends, F.struct(F.lit(0).alias("at")), lambda s, x: F.struct((s["at"] + F.length(x)).alias("at")), lambda before, x, after: F.struct(before["at"].alias("start"), after["at"].alias("end")), "struct<start:int,end:int>")
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -160,12 +171,12 @@ def prompt(instruction: str, text: Column, context: Column | None = None) -> Col
     return F.concat(block, F.lit(instruction + "\n"), text)
 
 
-def render_chat(messages: Column, begin: str = "<|begin|>", header: tuple[str, str] = ("<|header|>", "<|/header|>"), end: str = "<|end|>", generate: bool = False) -> Column:
-    """Messages as header, blank line, trimmed content and end mark; with a header for the answer on request."""
+def render_chat(messages: Column, begin: str = "", header: tuple[str, str] = HEADER, end: str = TURN_END, generate: bool = False) -> Column:
+    """Messages as header, blank line, trimmed content and end mark, one after the other; with a header for the answer on request."""
     one = lambda m: F.concat(F.lit(header[0]), m["role"], F.lit(header[1] + "\n\n"), strip(m["content"]), F.lit(end))
-    body = F.concat(F.lit(begin), F.array_join(F.transform(messages, one), "\n"))
+    body = F.concat(F.lit(begin), F.array_join(F.transform(messages, one), ""))
     last = F.get(messages, F.size(messages) - 1)["role"]
-    return F.concat(body, F.when(F.coalesce(last != "assistant", F.lit(True)), F.lit(f"\n{header[0]}assistant{header[1]}\n\n")).otherwise("")) if generate else body
+    return F.concat(body, F.when(F.coalesce(last != "assistant", F.lit(True)), F.lit(f"{header[0]}assistant{header[1]}\n\n")).otherwise("")) if generate else body
 
 
 def question_answer_chat(messages: Column, generate: bool = False) -> Column:
@@ -176,3 +187,34 @@ def question_answer_chat(messages: Column, generate: bool = False) -> Column:
     body = F.array_join(F.transform(known, one), "\n")
     last = F.get(messages, F.size(messages) - 1)["role"]
     return F.concat(body, F.when(F.coalesce(last != "assistant", F.lit(True)), F.lit("\n[Answer]\n")).otherwise("")) if generate else body
+
+
+def match_spans(text: Column, pattern: str) -> Column:
+    """(start, end) of the pattern's matches, leftmost and not overlapping."""
+    found = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p"))
+    step = lambda s, x: F.struct((s["at"] + F.length(x["p"]) + F.length(x["m"])).alias("at"))
+    emit = lambda before, x, after: F.struct((before["at"] + F.length(x["p"])).alias("start"), after["at"].alias("end"))
+    return scan(F.filter(found, lambda x: x["m"].isNotNull()), F.struct(F.lit(0).alias("at")), step, emit, "struct<start:int,end:int>")
+
+
+def fix_opening(text: Column, pattern: str, replacement: str) -> Column:
+    """The stripped text with a known wrong opening replaced once; ``pattern`` is anchored."""
+    return F.regexp_replace(strip(text), pattern, replacement)
+
+
+def fingerprint(text: Column) -> Column:
+    """What a translation should keep of a unit's structure: bullets, depth of nesting, bold and italic spans, level of the first heading (0 for none), placeholders, sentences, a colon at the end."""
+    bullet = r"(?m)^([ \t]*)(?:[-+*]|\d{1,9}[.)])[ \t]+\S"
+    indents = F.transform(F.regexp_extract_all(text, F.lit(bullet), F.lit(1)), lambda x: F.floor(F.length(F.replace(x, F.lit("\t"), F.lit("    "))) / 2).cast("int"))
+    bold = r"\*\*(?=\S).+?(?<=\S)\*\*|__(?=\S).+?(?<=\S)__"
+    plain = F.regexp_replace(F.regexp_replace(text, bold, ""), r"(?m)^[ \t]*[*+-][ \t]", "")
+    return F.struct(
+        F.size(indents).alias("bullets"),
+        F.coalesce(F.array_max(indents) - F.array_min(indents) + 1, F.lit(0)).alias("depth"),
+        F.regexp_count(text, F.lit(bold)).alias("bold"),
+        F.regexp_count(plain, F.lit(r"\*(?=[^\s*])[^*\n]+\*|(?<!\w)_(?=[^\s_])[^_\n]+_(?!\w)")).alias("italic"),
+        F.length(F.regexp_extract(text, r"(?m)^ {0,3}(#{1,6})(?:\s|$)", 1)).alias("heading"),
+        placeholder_set(text).alias("placeholders"),
+        sentence_count(text).alias("sentences"),
+        ends_with_colon(text).alias("colon"),
+    )

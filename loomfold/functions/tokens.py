@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .scans import bind, scan
+
 IGNORED = -100
 BLANK = -1
 
@@ -87,9 +89,8 @@ def infill(prompt: Column, filled: Column, mask: int, ends: list[int]) -> Column
 
 def positions(valid: Column) -> Column:
     """Running count of valid places less one; 0 where not valid."""
-    zero = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
-    step = lambda a, v: F.struct((a["n"] + v).alias("n"), F.array_append(a["out"], F.when(v == 1, a["n"]).otherwise(0)).alias("out"))
-    return F.aggregate(valid, zero, step, lambda a: a["out"])
+    zero = F.struct(F.lit(0).alias("n"))
+    return scan(valid, zero, lambda a, v: F.struct((a["n"] + v).cast("int").alias("n")), lambda before, v, after: F.when(v == 1, before["n"]).otherwise(0), "int")
 
 
 def top_places(scores: Column, k: int) -> Column:
@@ -98,24 +99,35 @@ def top_places(scores: Column, k: int) -> Column:
     return F.transform(head(F.array_sort(placed), k), lambda z: z["i"])
 
 
+def top_k_keep(logits: Column, k: int) -> Column:
+    """Per place, whether its score is among the k highest; ties with the k-th stay."""
+    return bind(F.sort_array(logits, asc=False), lambda s: F.transform(logits, lambda x: x >= F.get(s, F.least(F.lit(k), F.size(s)) - 1)))
+
+
 def top_p_keep(logits: Column, p: float) -> Column:
     """Per place, whether it belongs to the fewest most likely ones whose mass reaches p (the first always does)."""
-    top = F.array_max(logits)
-    mass = F.transform(logits, lambda x, i: F.struct((-x).alias("s"), i.alias("i"), F.exp(x - top).alias("w")))
-    total = F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x - top))
-    zero = F.struct(F.lit(0.0).alias("run"), F.array().cast("array<int>").alias("kept"))
-    walk = F.aggregate(F.array_sort(mass), zero, lambda a, z: F.struct((a["run"] + z["w"] / total).alias("run"), F.when(a["run"] <= p, F.array_append(a["kept"], z["i"])).otherwise(a["kept"]).alias("kept")), lambda a: a["kept"])
-    return F.transform(logits, lambda _, i: F.array_contains(walk, i))
+    def judged(top: Column) -> Column:
+        mass = F.array_sort(F.transform(logits, lambda x, i: F.struct((-x).alias("s"), i.alias("i"), F.exp(x - top).alias("w"))))
+        total = F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x - top))
+        zero = F.struct(F.lit(0.0).alias("run"))
+        return bind(total, lambda t: scan(mass, zero, lambda a, z: F.struct((a["run"] + z["w"] / t).alias("run")), lambda before, z, after: F.struct(z["i"].alias("i"), (before["run"] <= p).alias("keep")), "struct<i:int,keep:boolean>"))
+
+    # back in the order of places
+    return F.transform(F.array_sort(bind(F.array_max(logits), judged)), lambda z: z["keep"])
 
 
 def choice(logits: Column) -> Column:
     """(place, probability, margin, negentropy) of the likeliest place."""
-    top = F.array_max(logits)
-    total = F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x - top))
-    probs = F.transform(logits, lambda x: F.exp(x - top) / total)
-    ordered = F.array_sort(F.transform(probs, lambda x: -x))
-    negentropy = F.aggregate(probs, F.lit(0.0), lambda a, x: a + x * F.log(x + 1e-10))
-    return F.struct((F.array_position(logits, top) - 1).cast("int").alias("place"), (-F.get(ordered, F.lit(0))).alias("probability"), (F.get(ordered, F.lit(1)) - F.get(ordered, F.lit(0))).alias("margin"), negentropy.alias("negentropy"))
+    def probabilities(top: Column) -> Column:
+        weights = F.transform(logits, lambda x: F.exp(x - top))
+        return bind(weights, lambda w: bind(F.aggregate(w, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(w, lambda x: x / total)))
+
+    def described(probs: Column) -> Column:
+        ordered = F.sort_array(probs, asc=False)
+        negentropy = F.aggregate(probs, F.lit(0.0), lambda a, x: a + x * F.log(x + 1e-10))
+        return F.struct((F.array_position(logits, F.array_max(logits)) - 1).cast("int").alias("place"), F.get(ordered, F.lit(0)).alias("probability"), (F.get(ordered, F.lit(0)) - F.get(ordered, F.lit(1))).alias("margin"), negentropy.alias("negentropy"))
+
+    return bind(bind(F.array_max(logits), probabilities), described)
 
 
 def commit_over(confidence: Column, threshold: float) -> Column:
@@ -127,28 +139,43 @@ def commit_over(confidence: Column, threshold: float) -> Column:
 def commit_dynamic(confidence: Column, factor: float) -> Column:
     """Places in order of confidence while each is at least ``1 - factor / (rank + 1)``; the first always."""
     ordered = F.array_sort(F.transform(confidence, lambda x, i: F.struct((-x).alias("s"), i.alias("i"))))
-    ranked = F.transform(ordered, lambda z, r: F.struct(z["i"].alias("i"), ((r == 0) | (-z["s"] >= 1 - F.lit(factor) / (r + 2))).alias("ok")))
-    zero = F.struct(F.lit(True).alias("on"), F.array().cast("array<int>").alias("out"))
-    step = lambda a, z: F.struct((a["on"] & z["ok"]).alias("on"), F.when(a["on"] & z["ok"], F.array_append(a["out"], z["i"])).otherwise(a["out"]).alias("out"))
-    return F.aggregate(ranked, zero, step, lambda a: a["out"])
+
+    def kept(places: Column) -> Column:
+        stops = F.filter(F.transform(places, lambda z, r: F.when((r > 0) & (-z["s"] < 1 - F.lit(factor) / (r + 2)), r)), lambda r: r.isNotNull())
+        return F.transform(head(places, F.coalesce(F.array_min(stops), F.size(places))), lambda z: z["i"])
+
+    return bind(ordered, kept)
+
+
+def commit_or_edit(placed: Column, proposed: Column, confidence: Column, mask: int, threshold: float, edit_threshold: float, k: int) -> Column:
+    """The row after one step: masked places take their proposal where the confidence is above the threshold, or at the k most confident if fewer are; placed ones change where the proposal differs and its confidence is above the other threshold."""
+    rows = F.arrays_zip(placed.alias("p"), proposed.alias("x"), confidence.alias("c"))
+
+    def stepped(z: Column) -> Column:
+        open_ = F.transform(z, lambda r: F.when(r["p"] == mask, r["c"]))
+        over = F.size(F.filter(open_, lambda c: c > threshold))
+        ordered = F.array_sort(F.filter(F.transform(open_, lambda c, i: F.when(c.isNotNull(), F.struct((-c).alias("s"), i.alias("i")))), lambda q: q.isNotNull()))
+        best = F.transform(head(ordered, k), lambda q: q["i"])
+        return bind(over, lambda n: bind(best, lambda b: F.transform(z, lambda r, i: F.when(r["p"] == mask, F.when(F.when(n >= k, r["c"] > threshold).otherwise(F.array_contains(b, i)), r["x"]).otherwise(r["p"])).otherwise(F.when((r["x"] != r["p"]) & (r["c"] > edit_threshold), r["x"]).otherwise(r["p"])))))
+
+    return bind(rows, stepped)
 
 
 def edit_script(source: Column, target: Column) -> Column:
     """Edits of an alignment (equal lengths, -1 for a blank): kind, position in the source, token."""
     pairs = F.zip_with(source, target, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    kind = "array<struct<kind:string,pos:int,token:int>>"
-    zero = F.struct(F.lit(0).alias("n"), F.array().cast(kind).alias("out"))
-
-    def step(acc: Column, z: Column) -> Column:
-        seen = acc["n"] + (z["a"] != BLANK).cast("int")
-        edit = (
-            F.when((z["a"] == BLANK) & (z["b"] != BLANK), F.struct(F.lit("INS").alias("kind"), F.greatest(seen - 1, F.lit(0)).alias("pos"), z["b"].cast("int").alias("token")))
-            .when((z["a"] != BLANK) & (z["b"] == BLANK), F.struct(F.lit("DEL").alias("kind"), (seen - 1).alias("pos"), F.lit(None).cast("int").alias("token")))
-            .when(z["a"] != z["b"], F.struct(F.lit("SUB").alias("kind"), (seen - 1).alias("pos"), z["b"].cast("int").alias("token")))
+    seen = F.struct(F.lit(0).alias("n"))
+
+    def edit(before: Column, z: Column, after: Column) -> Column:
+        n = after["n"]
+        return (
+            F.when((z["a"] == BLANK) & (z["b"] != BLANK), F.struct(F.lit("INS").alias("kind"), F.greatest(n - 1, F.lit(0)).alias("pos"), z["b"].cast("int").alias("token")))
+            .when((z["a"] != BLANK) & (z["b"] == BLANK), F.struct(F.lit("DEL").alias("kind"), (n - 1).alias("pos"), F.lit(None).cast("int").alias("token")))
+            .when(z["a"] != z["b"], F.struct(F.lit("SUB").alias("kind"), (n - 1).alias("pos"), z["b"].cast("int").alias("token")))
         )
-        return F.struct(seen.alias("n"), F.when(edit.isNotNull(), F.array_append(acc["out"], edit)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(pairs, zero, step, lambda a: a["out"])
+    edits = scan(pairs, seen, lambda a, z: F.struct((a["n"] + (z["a"] != BLANK).cast("int")).alias("n")), edit, "struct<kind:string,pos:int,token:int>")
+    return F.filter(edits, lambda e: e.isNotNull())
 
 
 def strip_blanks(a: Column) -> Column:
@@ -179,6 +206,75 @@ def distance_weights(masked: Column, p: float) -> Column:
     return F.transform(masked, lambda m, i: F.when(m == 1, F.aggregate(known, F.lit(0.0), lambda a, j: a + law(F.abs(i - j))) * 0.5).otherwise(0.0))
 
 
+def with_start(a: Column, start: int) -> Column:
+    """The start id before the others, always."""
+    return F.array_prepend(a, F.lit(start))
+
+
+def ensure_start(a: Column, start: int) -> Column:
+    """The start id before the others unless it is there."""
+    return F.when(F.coalesce(F.get(a, F.lit(0)) == start, F.lit(False)), a).otherwise(F.array_prepend(a, F.lit(start)))
+
+
+def cut_suffix(a: Column, keep: Column, value: int) -> Column:
+    """The same length with everything from ``keep`` on replaced: a mask's 0, or the ignored label."""
+    return F.transform(a, lambda x, i: F.when(i < keep, x).otherwise(F.lit(value)))
+
+
+def random_length(a: Column, ratio: float, key: Column) -> Column:
+    """With the given probability a length from 1 to the array's, else the array's own; by a hash of the key."""
+    size = F.size(a)
+    drawn = 1 + F.floor(uniform(key, F.lit("length")) * size).cast("int")
+    return F.when((uniform(key, F.lit("cut")) < ratio) & (size > 0), F.least(drawn, size)).otherwise(size)
+
+
+def crop_response(a: Column, prompt_len: Column, kept: Column) -> Column:
+    """At most ``kept`` ids after the prompt."""
+    return head(a, prompt_len + F.least(F.greatest(F.size(a) - prompt_len, F.lit(0)), kept))
+
+
+def start_state(ids: Column, prompt_len: Column | None, start: int, fill: Column) -> Column:
+    """What an edit flow begins with: the prompt, or the start id alone, then the sampler's ids."""
+    return F.concat(head(ensure_start(ids, start), 1), fill) if prompt_len is None else F.concat(head(ids, prompt_len), fill)
+
+
+def empty_fill() -> Column:
+    return F.array().cast("array<int>")
+
+
+def mask_fill(mask: int, length: int = 128) -> Column:
+    return F.array_repeat(F.lit(mask), length)
+
+
+def gumbel_choice(logits: Column, temperature: float, key: Column) -> Column:
+    """The place with the largest ``exp(logit) / (-log u) ** temperature``, u being a hash of key and place; the plain maximum at 0."""
+    if temperature == 0:
+        return top_places(logits, 1)
+    return top_places(F.transform(logits, lambda x, i: x - F.lit(temperature) * F.log(-F.log(F.greatest(uniform(key, i), F.lit(1e-12))))), 1)
+
+
+def tau_leap(ids: Column, delete: Column, substitute: Column, insert: Column, substituted: Column, inserted: Column, tau: float, prompt_len: Column, key: Column, edit_prompt: bool = False) -> Column:
+    """One leap: each place is deleted, substituted or kept, and may get an insertion after it, with rates times ``tau`` as probabilities.
+
+    Places of the prompt (one at least) are only edited on request; insertions may follow its last place. Draws are hashes of
+    key and place. The substituted and inserted ids are what a model would have drawn.
+    """
+    own = F.greatest(F.lit(1), F.least(prompt_len, F.size(ids)))
+    rows = F.arrays_zip(ids.alias("x"), delete.alias("d"), substitute.alias("s"), insert.alias("n"), substituted.alias("sx"), inserted.alias("nx"))
+
+    def moved(r: Column, i: Column) -> Column:
+        held = F.lit(False) if edit_prompt else i < own
+        held_insert = F.lit(False) if edit_prompt else i < own - 1
+        rate = F.when(held, 0.0).otherwise(r["d"] + r["s"])
+        fires = uniform(key, i, F.lit("edit")) < F.least(rate * tau, F.lit(1 - 1e-6))
+        goes = fires & (uniform(key, i, F.lit("kind")) < F.least(r["d"] / (r["d"] + r["s"] + 1e-8), F.lit(1.0)))
+        grows = ~held_insert & (uniform(key, i, F.lit("insert")) < F.least(r["n"] * tau, F.lit(1 - 1e-6)))
+        here = F.when(goes, F.lit(None).cast("int")).when(fires, r["sx"].cast("int")).otherwise(r["x"].cast("int"))
+        return F.array_compact(F.array(here, F.when(grows, r["nx"].cast("int"))))
+
+    return F.flatten(F.transform(rows, moved))
+
+
 def align(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
     """Global alignment with unit costs and blanks; of equal ones diagonal before up before left. Quadratic; for a UDF."""
     rows = [list(range(len(b) + 1))]

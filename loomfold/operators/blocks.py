@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import NUMBER, placeholder_set
+from ..functions.scans import bind
+from ..functions.text import NUMBER, PLACEHOLDER, placeholder_set
 
 UNIT = "doc_id string, index int, kind string, translate boolean, char_start int, char_end int, text string"
 FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
@@ -111,6 +113,15 @@ def block_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return docs.select(docs[doc_id].cast("string").alias("doc_id"), docs[text].alias("body")).mapInPandas(run, UNIT)
 
 
+BLOCK = T.StructType([T.StructField("kind", T.StringType()), T.StructField("translate", T.BooleanType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType())])
+
+
+@F.pandas_udf(T.ArrayType(BLOCK))
+def scanned(text: pd.Series) -> pd.Series:
+    """:func:`scan_blocks` in the row."""
+    return text.map(lambda t: [{"kind": k, "translate": k not in UNTOUCHED, "start": a, "end": b, "text": t[a:b]} for k, a, b in scan_blocks(t or "")])
+
+
 ONE_SPAN = T.StructType([*[T.StructField(c, T.StringType()) for c in ("placeholder", "original", "kind")], *[T.StructField(c, T.IntegerType()) for c in ("start", "end")]])
 SPAN = T.StructType([T.StructField("protected", T.StringType()), T.StructField("spans", T.ArrayType(ONE_SPAN))])
 SPANS = (("code_inline", re.compile(r"(`+)(?!`)(.+?)(?<!`)\1(?!`)", re.S)), ("math_inline", re.compile(r"\$(?=\S)(?:[^$\n\\]|\\.)+?(?<=\S)\$(?!\d)|\\\(.+?\\\)")), ("link", re.compile(r"(?<=\]\()[^)\s]+(?=\))")))
@@ -118,13 +129,16 @@ SPANS = (("code_inline", re.compile(r"(`+)(?!`)(.+?)(?<!`)\1(?!`)", re.S)), ("ma
 
 def protect(text: str) -> tuple[str, list[tuple[str, str, str, int, int]]]:
     """The text with numbered placeholders for code, math, link targets and numbers, and the spans they stand for."""
-    found: list[tuple[int, int, str]] = []
+    found: list[tuple[int, int, str]] = []  # in order, none overlapping
     for kind, pattern in (*SPANS, ("number", re.compile(NUMBER.replace("(?U)", "", 1)))):
+        new = []
         for m in pattern.finditer(text):
-            if not any(a < m.end() and m.start() < b for a, b, _ in found):
-                found.append((m.start(), m.end(), kind))
+            k = bisect_left(found, (m.end(),))  # the last one that begins before the match ends
+            if not k or found[k - 1][1] <= m.start():
+                new.append((m.start(), m.end(), kind))
+        found = sorted(found + new)
     out, at, spans = [], 0, []
-    for n, (a, b, kind) in enumerate(sorted(found)):
+    for n, (a, b, kind) in enumerate(found):
         spans.append((f"⟦{n}⟧", text[a:b], kind, a, b))
         out += [text[at:a], f"⟦{n}⟧"]
         at = b
@@ -139,8 +153,11 @@ def protected(text: pd.Series) -> pd.DataFrame:
 
 
 def restore(text: Column, spans: Column) -> Column:
-    """Every placeholder replaced by what it stands for."""
-    return F.aggregate(spans, text, lambda t, s: F.replace(t, s["placeholder"], s["original"]))
+    """Every placeholder replaced by what it stands for, in one pass: what is put in is not looked at again. Unknown ones stay."""
+    known = F.map_from_entries(F.transform(spans, lambda s: F.struct(s["placeholder"], s["original"])))
+    between, marks = F.split(text, PLACEHOLDER, -1), F.regexp_extract_all(text, F.lit(PLACEHOLDER), F.lit(0))
+    put = bind(known, lambda k: F.transform(marks, lambda m: F.coalesce(F.element_at(k, m), m)))
+    return F.array_join(F.flatten(F.transform(F.arrays_zip(between.alias("b"), put.alias("m")), lambda z: F.array(z["b"], F.coalesce(z["m"], F.lit(""))))), "")
 
 
 def intact(text: Column, spans: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scans import bind, percentile_of
 from ..functions.text import cosine, has_marker, prior_context, starts_with_closing, starts_with_marker, token_count, word_set
 from .folds import step_breaks
 
@@ -44,13 +45,17 @@ def with_share(units: DataFrame) -> DataFrame:
 
 
 def with_recap(units: DataFrame, least_share: float = 0.85, overlap: float = 0.5) -> DataFrame:
-    """Units near the end that open with a closing phrase or mostly repeat words from before ``least_share``."""
+    """Units near the end that open with a closing phrase or mostly repeat words from before ``least_share``.
+
+    Only the late units' words meet the early ones, a row for each word, so no unit carries its document's vocabulary.
+    """
     own = with_share(units).withColumn("words", word_set(F.col("text")))
-    early = F.array_distinct(F.flatten(F.collect_list(F.when(F.col("share") < least_share, F.col("words"))).over(Window.partitionBy("doc_id"))))
-    own = own.withColumn("early", early)
-    repeats = F.size(F.array_intersect("words", "early")) >= overlap * F.size("words")
     late = F.col("share") >= least_share
-    return own.withColumn("is_recap", late & (starts_with_closing(F.col("text")) | ((F.size("words") > 0) & repeats))).drop("early", "words")
+    early = own.where(~late).select("doc_id", F.explode("words").alias("word")).distinct()
+    met = own.where(late).select("doc_id", "index", F.explode("words").alias("word")).join(early, ["doc_id", "word"]).groupBy("doc_id", "index").agg(F.count(F.lit(1)).alias("met"))
+    joined = own.join(met, ["doc_id", "index"], "left")
+    repeats = (F.size("words") > 0) & (F.coalesce("met", F.lit(0)) >= overlap * F.size("words"))
+    return joined.withColumn("is_recap", late & (starts_with_closing(F.col("text")) | repeats)).drop("words", "met")
 
 
 def absorb_between(units: DataFrame, kind: str = "code") -> DataFrame:
@@ -78,30 +83,59 @@ def runs(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:
     return rows.withColumn("changed", changed).withColumn("run", F.sum("changed").over(w) - 1).drop("changed")
 
 
-def steps(units: DataFrame, most: int = 600, least: int = 80, percent: float = 20.0, fewest: int = 4, markers: bool = True) -> DataFrame:
+def line_array(text: Column) -> Column:
+    """The units of :func:`line_units` as an array."""
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^ \t\r\n]"))
+    return F.transform(lines, lambda x, i: F.struct(i.alias("index"), x.alias("text"), token_count(x).alias("tokens")))
+
+
+def line_arrays(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id`` and ``u``, the line units of each document in the row they came from."""
+    return docs.select(F.col(doc_id).alias("doc_id"), line_array(F.col(text)).alias("u"))
+
+
+def step_arrays(units: Column, has: set[str], most: int = 600, least: int = 80, percent: float = 20.0, fewest: int = 4, markers: bool = True) -> Column:
+    """Steps of an array of units, in the row: step_index, reason, unit_count, token_count, text.
+
+    Units are structs of ``has``: index, tokens, text and maybe ``kind`` and ``similarity`` (with the unit before). The
+    semantic rule needs ``fewest`` units.
+    """
+    none = F.lit(None).cast("double")
+
+    def judged(u: Column) -> Column:
+        return F.struct(
+            u["tokens"].alias("tokens"),
+            ((u["kind"] == "heading") if "kind" in has else F.lit(False)).alias("heading"),
+            (starts_with_marker(u["text"]) if markers else F.lit(False)).alias("marker"),
+            (u["similarity"] if "similarity" in has else none).alias("similarity"),
+        )
+
+    def grouped(u: Column) -> Column:
+        cut = F.when(F.size(u) >= fewest, percentile_of(F.filter(F.transform(u, lambda x: x["similarity"]), lambda x: x.isNotNull()), percent)) if "similarity" in has else none
+        return bind(step_breaks(F.transform(u, judged), most, least, cut), lambda why: pieces_of(u, why))
+
+    def pieces_of(u: Column, why: Column) -> Column:
+        starts = F.filter(F.transform(why, lambda w, i: F.when(w.isNotNull(), F.struct(i.alias("at"), w.alias("why")))), lambda s: s.isNotNull())
+        return bind(starts, lambda s: F.transform(s, lambda x, k: bind(F.slice(u, x["at"] + 1, F.coalesce(F.get(s, k + 1)["at"], F.size(u)) - x["at"]), lambda part: F.struct(
+            k.alias("step_index"), x["why"].alias("reason"), F.size(part).cast("long").alias("unit_count"),
+            F.aggregate(part, F.lit(0).cast("long"), lambda n, y: n + y["tokens"]).alias("token_count"),
+            F.array_join(F.transform(part, lambda y: y["text"]), "\n\n").alias("text"),
+        ))))
+
+    return bind(units, grouped)
+
+
+def steps(units: DataFrame, **rule) -> DataFrame:
     """Steps of each document: doc_id, step_index, reason, unit_count, token_count, text.
 
-    Units may have ``kind`` and ``similarity`` (with the unit before). The semantic rule needs ``fewest`` units.
+    ``units`` has a row for each document with the array ``u`` (see :func:`line_arrays`), from which steps come without an
+    exchange; or a row for each unit, which are gathered first.
     """
-    has = set(units.columns)
-    one = F.struct(
-        "index",
-        F.col("tokens").alias("tokens"),
-        ((F.col("kind") == "heading") if "kind" in has else F.lit(False)).alias("heading"),
-        (starts_with_marker(F.col("text")) if markers else F.lit(False)).alias("marker"),
-        (F.col("similarity") if "similarity" in has else F.lit(None).cast("double")).alias("similarity"),
-        F.col("text").alias("text"),
-    )
-    docs = units.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("u"), F.percentile(one["similarity"], F.lit(percent / 100)).alias("cut"))
-    docs = docs.withColumn("cut", F.when(F.size("u") >= fewest, F.col("cut")))
-    docs = docs.withColumn("why", step_breaks(F.col("u"), most, least, F.col("cut")))
-    rows = docs.select("doc_id", F.posexplode(F.arrays_zip("u", "why")).alias("at", "z")).select("doc_id", "at", F.col("z.u").alias("u"), F.col("z.why").alias("why"))
-    w = Window.partitionBy("doc_id").orderBy("at")
-    numbered = rows.withColumn("step_index", (F.count("why").over(w) - 1).cast("int"))
-    return numbered.groupBy("doc_id", "step_index").agg(
-        F.min_by("why", "at").alias("reason"), F.count(F.lit(1)).alias("unit_count"), F.sum("u.tokens").alias("token_count"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.col("u.text").alias("text")))), lambda x: x["text"]), "\n\n").alias("text"),
-    )
+    if "u" not in units.columns:
+        kept = [c for c in ("index", "tokens", "text", "kind", "similarity") if c in units.columns]
+        units = units.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*kept))).alias("u"))
+    has = set(units.schema["u"].dataType.elementType.fieldNames())
+    return units.select("doc_id", F.inline(step_arrays(F.col("u"), has, **rule)))
 
 
 def document_stats(units: DataFrame) -> DataFrame:

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.scans import bind, scan
+
 
 def budget_groups(counts: Column, most: int) -> Column:
     """The group number of each piece: a new group begins when the piece would take a non-empty group over ``most``."""
-    zero = F.struct(F.lit(-1).alias("g"), F.lit(0).cast("long").alias("sum"), F.array().cast("array<int>").alias("out"))
+    zero = F.struct(F.lit(-1).alias("g"), F.lit(0).cast("long").alias("sum"))
 
     def step(a: Column, n: Column) -> Column:
         fresh = (a["g"] < 0) | ((a["sum"] > 0) & (a["sum"] + n > most))
-        g = F.when(fresh, a["g"] + 1).otherwise(a["g"])
-        return F.struct(g.alias("g"), F.when(fresh, n.cast("long")).otherwise(a["sum"] + n).alias("sum"), F.array_append(a["out"], g).alias("out"))
+        return F.struct(F.when(fresh, a["g"] + 1).otherwise(a["g"]).alias("g"), F.when(fresh, n.cast("long")).otherwise(a["sum"] + n).alias("sum"))
 
-    return F.aggregate(counts, zero, step, lambda a: a["out"])
+    return scan(counts, zero, step, lambda before, n, after: after["g"], "int")
 
 
 def step_breaks(units: Column, most: int, least: int, threshold: Column | None = None) -> Column:
@@ -24,14 +25,20 @@ def step_breaks(units: Column, most: int, least: int, threshold: Column | None =
     Units are structs of tokens, heading, marker and similarity (with the unit before). In order: a heading, a marker, a
     full step, a weak link once the step is long enough. The first unit's reason is ``start``.
     """
-    zero = F.struct(F.lit(True).alias("first"), F.lit(0).cast("long").alias("sum"), F.array().cast("array<string>").alias("out"))
+    zero = F.struct(F.lit(True).alias("first"), F.lit(0).cast("long").alias("sum"), F.lit(None).cast("string").alias("why"))
+
+    if threshold is None:
+        return _step_breaks(units, most, least, zero, None)
+    return bind(threshold, lambda t: _step_breaks(units, most, least, zero, t))
+
 
+def _step_breaks(units: Column, most: int, least: int, zero: Column, threshold: Column | None) -> Column:
     def step(a: Column, u: Column) -> Column:
         weak = F.lit(False) if threshold is None else F.coalesce((a["sum"] >= least) & (u["similarity"] <= threshold), F.lit(False))
         why = F.when(a["first"], "start").when(u["heading"], "heading").when(u["marker"], "discourse_marker").when(a["sum"] >= most, "token_cap").when(weak, "semantic_break")
-        return F.struct(F.lit(False).alias("first"), F.when(why.isNotNull(), u["tokens"].cast("long")).otherwise(a["sum"] + u["tokens"]).alias("sum"), F.array_append(a["out"], why).alias("out"))
+        return bind(why, lambda w: F.struct(F.lit(False).alias("first"), F.when(w.isNotNull(), u["tokens"].cast("long")).otherwise(a["sum"] + u["tokens"]).alias("sum"), w.alias("why")))
 
-    return F.aggregate(units, zero, step, lambda a: a["out"])
+    return scan(units, zero, step, lambda before, u, after: after["why"], "string")
 
 
 def short_runs(units: Column, least: int) -> Column:
@@ -40,35 +47,58 @@ def short_runs(units: Column, least: int) -> Column:
     Units are structs of kind, tokens, colon (ends with one). A paragraph that ends with a colon takes the list after it, a
     heading of under 8 tokens the short paragraph after it, and short paragraphs run together until they make ``least``.
     """
-    state = "struct<g:int,kind:string,sum:bigint,open:boolean,out:array<int>>"
-    zero = F.from_json(F.lit('{"g":-1,"kind":"","sum":0,"open":false,"out":[]}'), state)
+    zero = F.struct(F.lit(-1).alias("g"), F.lit("").alias("kind"), F.lit(0).cast("long").alias("sum"))
 
     def step(a: Column, u: Column) -> Column:
         short = (u["kind"] == "paragraph") & (u["tokens"] < least)
-        colon = (a["kind"] == "colon") & (u["kind"] == "list")
-        head = (a["kind"] == "head") & short
-        run = (a["kind"] == "run") & short & (a["sum"] < least)
-        joins = (a["g"] >= 0) & (colon | head | run)
-        g = F.when(joins, a["g"]).otherwise(a["g"] + 1)
-        now = F.when(joins & run, "run").when(joins, "done").when((u["kind"] == "paragraph") & u["colon"], "colon").when((u["kind"] == "heading") & (u["tokens"] < 8), "head").when(short, "run").otherwise("done")
-        total = F.when(joins, a["sum"] + u["tokens"]).otherwise(u["tokens"].cast("long"))
-        return F.struct(g.alias("g"), now.alias("kind"), total.cast("long").alias("sum"), joins.alias("open"), F.array_append(a["out"], g).alias("out"))
+        run = a["kind"].isin("run", "short colon") & short & (a["sum"] < least)
+        joins = (a["g"] >= 0) & ((a["kind"].isin("colon", "short colon") & (u["kind"] == "list")) | ((a["kind"] == "head") & short) | run)
+        alone = F.when((u["kind"] == "paragraph") & u["colon"], F.when(short, "short colon").otherwise("colon")).when((u["kind"] == "heading") & (u["tokens"] < 8), "head").when(short, "run").otherwise("done")
+        return F.struct(
+            F.when(joins, a["g"]).otherwise(a["g"] + 1).alias("g"),
+            F.when(joins & run, "run").when(joins, "done").otherwise(alone).alias("kind"),
+            F.when(joins, a["sum"] + u["tokens"]).otherwise(u["tokens"].cast("long")).cast("long").alias("sum"),
+        )
+
+    return scan(units, zero, step, lambda before, u, after: after["g"], "int")
+
+
+def absorb_orphans(groups: Column, least: int) -> Column:
+    """The group that each group goes to: a lone short unit joins a neighbour.
+
+    Groups are structs of units, tokens, translate (of the only unit), first and last (whether the first and the last unit are
+    to be translated). A group of one unit to translate with fewer than ``least`` tokens joins the group before if that one's
+    last unit is to be translated, else the group after if that one's first is, and else stays. What joins the group after
+    counts as its first unit. A group that was joined to the one before lends it its own last unit.
+    """
+    zero = F.struct(F.lit(-1).alias("g"), F.lit(False).alias("open"), F.lit(False).alias("lead"))
+    zipped = bind(groups, lambda gs: F.transform(gs, lambda g, i: F.struct(g.alias("g"), F.coalesce(F.get(gs, i + 1)["first"], F.lit(False)).alias("n"))))
+
+    def step(a: Column, z: Column) -> Column:
+        g = z["g"]
+        lone = (g["units"] == 1) & g["translate"] & (g["tokens"] < least) & ~a["lead"]
+        back = lone & a["open"]
+        ahead = lone & ~a["open"] & z["n"]
+        return F.struct(
+            F.when(a["lead"] | back, a["g"]).otherwise(a["g"] + 1).alias("g"),
+            F.when(ahead, F.lit(False)).otherwise(g["last"]).alias("open"),
+            ahead.alias("lead"),
+        )
 
-    return F.aggregate(units, zero, step, lambda a: a["out"])
+    return scan(zipped, zero, step, lambda before, z, after: after["g"], "int")
 
 
 def area_batches(sizes: Column, most: int) -> Column:
     """Batch numbers: a new batch when one more row, at the width of the widest, would pass ``most``."""
-    zero = F.struct(F.lit(-1).alias("g"), F.lit(0).alias("n"), F.lit(0).alias("wide"), F.array().cast("array<int>").alias("out"))
+    zero = F.struct(F.lit(-1).alias("g"), F.lit(0).alias("n"), F.lit(0).alias("wide"))
 
     def step(a: Column, x: Column) -> Column:
         fresh = (a["g"] < 0) | ((a["n"] + 1) * F.greatest(a["wide"], x) > most)
-        g = F.when(fresh, a["g"] + 1).otherwise(a["g"])
-        return F.struct(g.alias("g"), F.when(fresh, 1).otherwise(a["n"] + 1).alias("n"), F.when(fresh, x).otherwise(F.greatest(a["wide"], x)).alias("wide"), F.array_append(a["out"], g).alias("out"))
+        return F.struct(F.when(fresh, a["g"] + 1).otherwise(a["g"]).alias("g"), F.when(fresh, 1).otherwise(a["n"] + 1).alias("n"), F.when(fresh, x).otherwise(F.greatest(a["wide"], x)).alias("wide"))
 
-    return F.aggregate(sizes.cast("array<int>"), zero, step, lambda a: a["out"])
+    return scan(sizes.cast("array<int>"), zero, step, lambda before, x, after: after["g"], "int")
 
 
 def joined_bounds(bounds: Column, spans: Column) -> Column:
     """Boundaries without those strictly inside a span (start, end)."""
-    return F.filter(bounds, lambda b: ~F.exists(spans, lambda s: (s["start"] < b) & (b < s["end"])))
+    return bind(spans, lambda held: F.filter(bounds, lambda b: ~F.exists(held, lambda s: (s["start"] < b) & (b < s["end"]))))

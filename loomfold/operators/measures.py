@@ -13,19 +13,46 @@ def source_totals(docs: DataFrame, source: str, steps: Column) -> DataFrame:
     return docs.rollup(source).agg(F.count(F.lit(1)).alias("docs"), F.sum(steps).alias("steps"))
 
 
-def index_quantiles(df: DataFrame, value: str, at: dict[str, tuple[int, int]]) -> DataFrame:
+def index_quantiles(df: DataFrame, value: str, at: dict[str, tuple[int, int]], fine: int = 100_000) -> DataFrame:
     """Values at ranks ``n * a // b`` of the ascending order, null for an empty table; count, min and max besides.
 
-    The rank runs over distinct values with their counts, so only those meet in one order.
+    For each rank the interval of values that holds it is narrowed by exact counts between approximate percentiles, until it has
+    one value or at most ``fine`` rows; only those meet in one order.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.orderBy(value)
-    run = counts.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy()))
-    picks = []
+    own = df.where(F.col(value).isNotNull()).select(value)
+    ends = own.agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"))
+    n = ends.first()["n"]
     for name, (a, b) in at.items():
-        rank = F.floor(F.col("n") * a / b) + 1
-        picks.append(F.max(F.when((F.col("upto") >= rank) & (F.col("upto") - F.col("c") < rank), F.col(value))).alias(name))
-    return run.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), *picks)
+        ends = ends.withColumn(name, F.lit(_value_at(own, value, n * a // b + 1, fine) if n else None).cast(df.schema[value].dataType))
+    return ends
+
+
+def _value_at(own: DataFrame, value: str, rank: int, fine: int):
+    """The value at a rank from 1."""
+    inside, below = own, 0
+    while True:
+        rows = inside.count()
+        if rows <= fine:
+            first = inside.groupBy(value).agg(F.count(F.lit(1)).alias("c")).withColumn("upto", F.sum("c").over(Window.orderBy(value)))
+            return first.where(F.col("upto") >= rank - below).agg(F.min(value).alias("v")).first()["v"]
+        cuts = sorted(set(inside.agg(F.percentile_approx(value, [i / 64 for i in range(65)], 10_000).alias("c")).first()["c"]))
+        if len(cuts) == 1:
+            return cuts[0]
+        held = F.array(*[F.lit(c) for c in cuts])
+        counts = {r["k"]: r["count"] for r in inside.groupBy(F.size(F.filter(held, lambda c: c < F.col(value))).alias("k")).count().collect()}  # 66 rows at most
+        for k in sorted(counts):
+            if below + counts[k] >= rank:
+                break
+            below += counts[k]
+        # rows of this range lie above cuts[k - 1] and up to cuts[k]
+        lower = F.col(value) > cuts[k - 1] if k else F.lit(True)
+        upper = F.col(value) <= cuts[k] if k < len(cuts) else F.lit(True)
+        inside = inside.where(lower & upper)
+        if k and k < len(cuts) and counts[k] == rows:  # no narrower: nearly all rows have one value
+            top = inside.where(F.col(value) == cuts[k]).count()
+            if below + rows - top < rank:
+                return cuts[k]
+            inside = inside.where(F.col(value) < cuts[k])
 
 
 def weighted_mean(df: DataFrame, value: str, weight: str, by: list[str] | None = None) -> DataFrame:
@@ -79,3 +106,33 @@ def pack_global(docs: DataFrame, doc_id: str, ids: str, size: int, keep_tail: bo
     cut = parts.select("block", "at", F.slice("ids", (start + 1).cast("int"), (stop - start).cast("int")).alias("piece"))
     blocks = cut.groupBy("block").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"])).alias("input_ids"))
     return blocks if keep_tail else blocks.where(F.size("input_ids") == size)
+
+
+def split_metrics(df: DataFrame, split: str, metrics: dict[str, Column]) -> DataFrame:
+    """One row of metrics of all splits; those of train under their names, of others after the split's name."""
+    by = df.groupBy(split).agg(*[c.alias(k) for k, c in metrics.items()])
+    parts = [F.create_map(F.when(F.col(split) == "train", k).otherwise(F.concat_ws("_", split, F.lit(k))), F.col(k).cast("double")).alias(k) for k in metrics]
+    return by.select(F.explode(F.array(*parts)).alias("m")).select(F.explode("m").alias("metric", "value"))
+
+
+def pass_ratio(df: DataFrame, by: str, passed: str) -> DataFrame:
+    """The share of tests that passed. Null results count as failed."""
+    return df.groupBy(by).agg((F.count_if(F.coalesce(F.col(passed), F.lit(False))) / F.count(F.lit(1))).alias("ratio"))
+
+
+def trial_mean(df: DataFrame, row: str, loss: Column, weight: Column) -> DataFrame:
+    """``loss``: the mean over a row's trials of its weighted losses."""
+    return df.groupBy(row).agg(F.avg(loss * weight).alias("loss"))
+
+
+def canvas_size(df: DataFrame, by: str, size: str, factor: float = 2.5, least: int = 16, most: int = 96) -> DataFrame:
+    """``canvas``: the longest row of a group times a factor, rounded half to even, within bounds."""
+    return df.groupBy(by).agg(F.greatest(F.lit(least), F.least(F.lit(most), F.bround(F.max(size) * factor).cast("int"))).alias("canvas"))
+
+
+def group_crop(df: DataFrame, group: str, size: str, prompt: str, key: str, seed: int = 0) -> DataFrame:
+    """``kept_len``: the response length of one row of the group, the one with the lowest hash of its key; and ``tail``, from 1 to below the shortest response (0 where that is 1 or less), by a hash of the group."""
+    response = F.col(size) - F.col(prompt)
+    own = df.groupBy(group).agg(F.min_by(response, F.xxhash64(key, F.lit(seed))).alias("kept_len"), F.min(response).alias("shortest"))
+    tail = F.when(F.col("shortest") <= 1, 0).otherwise(1 + F.pmod(F.xxhash64(group, F.lit(seed)), F.greatest(F.col("shortest") - 1, F.lit(1))))
+    return own.select(group, "kept_len", tail.cast("int").alias("tail"))

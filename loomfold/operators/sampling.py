@@ -24,12 +24,49 @@ def hash_split(df: DataFrame, key: str, fraction: float) -> DataFrame:
     return df.withColumn("split", F.when(in_validation(F.col(key).cast("string"), fraction), "validation").otherwise("train"))
 
 
+def ranked(df: DataFrame, order: str, name: str = "rank", ranges: int | None = None) -> tuple[DataFrame, int]:
+    """``df`` with the place of each row from 1 in the order of a numeric column, and the number of rows.
+
+    Rows are dealt to ranges of the column, numbered in each by its own task, and moved by the counts of the ranges before; so
+    no task sorts the table. Nulls come first. Rows that share a value have places in some order.
+    """
+    n = ranges or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = df.agg(F.percentile_approx(order, [i / n for i in range(1, n)], 10_000).alias("c")).first()["c"] if n > 1 else None
+    held = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
+    placed = df.withColumn("_range", F.coalesce(F.size(F.filter(held, lambda c: c < F.col(order))), F.lit(0)))
+    counts = {r["_range"]: r["count"] for r in placed.groupBy("_range").count().collect()}  # a row for each range
+    before, at = {}, 0
+    for k in sorted(counts):
+        before[k], at = at, at + counts[k]
+    offsets = F.map_from_arrays(F.array(*[F.lit(k) for k in before]), F.array(*[F.lit(v).cast("long") for v in before.values()])) if before else F.lit(None).cast("map<int,bigint>")
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(order))
+    return placed.withColumn(name, own + F.element_at(offsets, F.col("_range"))).drop("_range"), at
+
+
 def head_split(df: DataFrame, order: str, fraction: float) -> DataFrame:
     """``split``: the first ``max(1, n * fraction)`` rows are eval (none for a fraction of 0), the others train."""
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    take = F.when(F.lit(fraction) > 0, F.greatest(F.lit(1), F.floor(n * fraction))).otherwise(0)
-    rank = F.row_number().over(Window.orderBy(order))
-    return df.withColumn("split", F.when(rank <= take, "eval").otherwise("train"))
+    rows, n = ranked(df, order, "_rank")
+    take = max(1, int(n * fraction)) if fraction > 0 else 0
+    return rows.withColumn("split", F.when(F.col("_rank") <= take, "eval").otherwise("train")).drop("_rank")
+
+
+def ratio_split(df: DataFrame, key: str, fraction: float, seed: int = 0) -> DataFrame:
+    """``split``: the share of rows with the lowest hashes of the key is test, the others train; the size is exact but for equal hashes."""
+    rows, n = ranked(df.withColumn("_hash", seeded_order(F.col(key), seed)), "_hash", "_rank")
+    return rows.withColumn("split", F.when(F.col("_rank") <= round(n * fraction), "test").otherwise("train")).drop("_rank", "_hash")
+
+
+def external_split(train: DataFrame, held: DataFrame | None, key: str, fraction: float, seed: int = 0) -> DataFrame:
+    """``split`` from a held-out table (its rows are eval and leave the training rows) or, without one, :func:`ratio_split`."""
+    if held is None:
+        return ratio_split(train, key, fraction, seed)
+    rest = train.join(held.select(key).distinct(), key, "left_anti")
+    return rest.withColumn("split", F.lit("train")).unionByName(held.withColumn("split", F.lit("eval")), allowMissingColumns=True)
+
+
+def rename_splits(splits: dict[str, DataFrame], names: dict[str, str]) -> dict[str, DataFrame]:
+    """Splits under other names; those without one keep theirs."""
+    return {names.get(k, k): df for k, df in splits.items()}
 
 
 def bottom(df: DataFrame, score: str, tie: str, n: int) -> DataFrame:
@@ -45,10 +82,11 @@ def limit_splits(splits: dict[str, DataFrame], limits: dict[str, int], order: st
     if not limits:
         return splits
     ((_, df),) = splits.items()
-    rank = F.row_number().over(Window.orderBy(order))
-    ranked, out, at = df.withColumn("_rank", rank), {}, 0
+    # as many rows as all limits ask for, kept by each partition before they meet
+    first, out, at = df.orderBy(order).limit(sum(limits.values())), {}, 0
+    rows = first.withColumn("_rank", F.row_number().over(Window.orderBy(order)))
     for k in sorted(limits, key=lambda k: k != "test"):
-        out[k] = ranked.where(F.col("_rank").between(at + 1, at + limits[k])).drop("_rank")
+        out[k] = rows.where(F.col("_rank").between(at + 1, at + limits[k])).drop("_rank")
         at += limits[k]
     return out
 
@@ -66,4 +104,15 @@ def repeated(df: DataFrame, epochs: int) -> DataFrame:
 
 def slices(df: DataFrame, order: str, size: int) -> DataFrame:
     """``slice``: numbers of consecutive pieces of a size."""
-    return df.withColumn("slice", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / size).cast("int"))
+    rows, _ = ranked(df, order, "_rank")
+    return rows.withColumn("slice", F.floor((F.col("_rank") - 1) / size).cast("int")).drop("_rank")
+
+
+def length_buckets(df: DataFrame, length: str, size: int) -> DataFrame:
+    """``bucket``: batches of a size among rows of like length."""
+    return slices(df, length, size).withColumnRenamed("slice", "bucket")
+
+
+def streams_together(streams: list[DataFrame]) -> DataFrame:
+    """Streams, or tables, of one schema as one; their rows come in no order of streams."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), streams)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rewards, schedules, text, tokens
+from ..functions.scans import runs_of
 from ..operators import blocks, chat, documents, folds, joins, measures, sampling
 from ..sources.readers import load_mixture
 
@@ -178,9 +179,9 @@ def json_props(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")).where("k is not null")
 
 
-@query("SELECT conv_id, string_agg('<|header|>' || role || '<|/header|>' || chr(10) || chr(10) || trim(text) || '<|end|>', chr(10) ORDER BY turn) AS chat FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, string_agg('<|start_header_id|>' || role || '<|end_header_id|>' || chr(10) || chr(10) || trim(text, ' ' || chr(9) || chr(10) || chr(13)) || '<|eot_id|>', '' ORDER BY turn) AS chat FROM conversations GROUP BY conv_id")
 def rendered_chat(spark, sf_dir):
-    return turns(spark, sf_dir).select("conv_id", text.render_chat(F.col("turns"), begin="").alias("chat"))
+    return turns(spark, sf_dir).select("conv_id", text.render_chat(F.col("turns")).alias("chat"))
 
 
 # --- joins ------------------------------------------------------------------------------------------------------------
@@ -203,8 +204,13 @@ def labels_left_default(spark, sf_dir):
 @query("SELECT md5(text) AS id, max(doc_id) AS doc_id, arg_max(source, doc_id) AS source, count(*) AS copies FROM documents GROUP BY md5(text) HAVING count(*) > 1")
 def exact_dup_ids(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(text.md5_id(F.col("text")).alias("id"), "doc_id", "source")
-    several = docs.groupBy("id").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    return joins.with_metadata(several, docs, "id", "doc_id").join(docs.groupBy("id").agg(F.max("doc_id").alias("doc_id")), "id").select("id", "doc_id", "source", "copies")
+    return docs.groupBy("id").agg(F.max("doc_id").alias("doc_id"), F.max_by("source", "doc_id").alias("source"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+
+
+@query("SELECT l.doc_id, l.quality, d.source FROM labels l JOIN (SELECT arg_max(source, n_chars * 1000000 + doc_id) AS source, doc_id FROM documents GROUP BY doc_id) d USING (doc_id)")
+def latest_metadata(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", (F.col("n_chars") * 1_000_000 + F.col("doc_id")).alias("version"))
+    return joins.with_metadata(table(spark, sf_dir, "labels").select("doc_id", "quality"), docs, "doc_id", "version").select("doc_id", "quality", "source")
 
 
 @query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS status FROM events GROUP BY user_id")
@@ -230,26 +236,27 @@ UNION ALL SELECT u.doc_id, u.i, CASE WHEN w.run > 0 AND w.run + u.tokens > 100 T
 FROM walk w JOIN units u ON u.doc_id = w.doc_id AND u.i = w.i + 1)
 SELECT doc_id, g AS "group", count(*) AS units, max(run)::bigint AS tokens FROM walk GROUP BY doc_id, g""")
 def budget_groups(spark, sf_dir):
-    units = documents.line_units(table(spark, sf_dir, "documents")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("index", "tokens"))).alias("u"))
-    counts = F.transform("u", lambda u: u["tokens"])
-    rows = units.select("doc_id", F.explode(F.arrays_zip(counts.alias("n"), folds.budget_groups(counts, 100).alias("g"))).alias("z"))
-    return rows.groupBy("doc_id", F.col("z.g").alias("group")).agg(F.count(F.lit(1)).alias("units"), F.sum("z.n").alias("tokens"))
+    counts = documents.line_arrays(table(spark, sf_dir, "documents")).select("doc_id", F.transform("u", lambda u: u["tokens"]).alias("n"))
+    groups = counts.select("doc_id", F.posexplode(runs_of(F.col("n"), folds.budget_groups(F.col("n"), 100))).alias("group", "part"))
+    return groups.select("doc_id", "group", long(F.size("part")).alias("units"), F.aggregate("part", F.lit(0).cast("long"), lambda a, x: a + x).alias("tokens"))
 
 
 @query(f"""WITH RECURSIVE {STEPS}
 SELECT doc_id, step AS step_index, max(why) AS reason, count(*) AS unit_count, sum(tokens)::bigint AS token_count, string_agg(line, chr(10) || chr(10) ORDER BY i) AS text FROM walk GROUP BY doc_id, step""")
 def steps(spark, sf_dir):
-    return documents.steps(documents.line_units(table(spark, sf_dir, "documents")), most=120)
+    return documents.steps(documents.line_arrays(table(spark, sf_dir, "documents")), most=120)
 
 
 @query(f"""WITH RECURSIVE {STEPS},
 by_doc AS (SELECT doc_id, max(step) + 1 AS steps, sum(tokens) AS tokens FROM walk GROUP BY doc_id)
 SELECT source, {SPLIT} AS split, count(*) AS docs, coalesce(sum(steps), 0)::bigint AS steps, coalesce(sum(tokens), 0)::bigint AS tokens FROM documents LEFT JOIN by_doc USING (doc_id) GROUP BY 1, 2""")
 def step_counts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    own = documents.steps(documents.line_units(docs), most=120).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("token_count").alias("t"))
-    both = sampling.hash_split(docs.select("doc_id", "source"), "doc_id", 0.05).join(own, "doc_id", "left")
-    return both.groupBy("source", "split").agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("steps"), F.coalesce(F.sum("t"), F.lit(0)).alias("tokens"))
+    units = table(spark, sf_dir, "documents").select("doc_id", "source", F.col("text").alias("body"))
+    lines = units.select("doc_id", "source", documents.line_array(F.col("body")).alias("u"))
+    has = set(lines.schema["u"].dataType.elementType.fieldNames())
+    own = sampling.hash_split(lines.select("doc_id", "source", documents.step_arrays(F.col("u"), has, most=120).alias("s")), "doc_id", 0.05)
+    tokens_of = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["token_count"])
+    return own.groupBy("source", "split").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("s")).alias("steps"), F.sum(tokens_of).alias("tokens"))
 
 
 @query("""WITH c AS (SELECT conv_id, turn, role, CASE WHEN role IS DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn) THEN 1 ELSE 0 END AS changed FROM conversations)
@@ -288,7 +295,7 @@ UNION ALL SELECT u.doc_id, u.i, CASE WHEN (w.n + 1) * greatest(w.wide, u.tokens)
 FROM walk w JOIN units u ON u.doc_id = w.doc_id AND u.i = w.i + 1)
 SELECT doc_id, i AS index, g AS batch FROM walk""")
 def area_batches(spark, sf_dir):
-    units = documents.line_units(table(spark, sf_dir, "documents")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("index", "tokens"))).alias("u"))
+    units = documents.line_arrays(table(spark, sf_dir, "documents"))
     return units.select("doc_id", F.posexplode(folds.area_batches(F.transform("u", lambda u: u["tokens"]), 128)).alias("index", "batch")).select("doc_id", long("index").alias("index"), "batch")
 
 
@@ -351,12 +358,19 @@ def clip_rows(spark, sf_dir):
     return d.select("doc_id", total(tokens.clip(F.col("ids"), 64)).alias("head"), total(tokens.clip(F.col("ids"), 64, "left")).alias("tail"), long(kept).alias("kept"))
 
 
-@query(f"""WITH d AS (SELECT doc_id, {IDS} AS ids FROM documents)
-SELECT doc_id, ((len(ids) + 31) // 32 * 32)::bigint AS width, greatest(len(ids), 256)::bigint AS canvas, least(5, len(ids))::bigint AS ignored, len(ids)::bigint + CASE WHEN ids[len(ids)] = 2 THEN 0 ELSE 1 END AS ended FROM d""")
+def weighted(a):
+    """A number that depends on each value and its place."""
+    return F.aggregate(F.transform(a, lambda x, i: x.cast("long") * (i + 1)), F.lit(0).cast("long"), lambda t, x: t + x)
+
+
+@query(f"""WITH d AS (SELECT doc_id, {IDS} AS ids FROM documents),
+p AS (SELECT doc_id, ids, list_concat(ids, list_resize([]::int[], ((len(ids) + 31) // 32 * 32 - len(ids))::int, 2)) AS padded, list_concat(ids, list_resize([]::int[], greatest(256 - len(ids), 0)::int, 7)) AS canvas,
+  list_concat(list_transform(ids, lambda x: 1), list_resize([]::int[], greatest(256 - len(ids), 0)::int, 0)) AS mask, list_transform(ids, lambda x, i: CASE WHEN i <= 5 THEN -100 ELSE x END) AS labels, CASE WHEN ids[len(ids)] = 2 THEN ids ELSE list_concat(ids, [2]) END AS ended FROM d)
+SELECT doc_id, {', '.join(f"coalesce(list_sum(list_transform({c}, lambda x, i: x::bigint * i)), 0)::bigint AS {c}" for c in ('padded', 'canvas', 'mask', 'labels', 'ended'))} FROM p""")
 def pad_blocks(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", word_ids().alias("ids"))
-    ignored = F.size(F.filter(tokens.masked_labels(F.col("ids"), F.lit(5)), lambda x: x == tokens.IGNORED))
-    return d.select("doc_id", long(F.size(tokens.pad_to_multiple(F.col("ids"), 32, 2))).alias("width"), long(F.size(tokens.pad_to(F.col("ids"), 256, 0))).alias("canvas"), long(ignored).alias("ignored"), long(F.size(tokens.with_end(F.col("ids"), 2))).alias("ended"))
+    ids = F.col("ids")
+    return d.select("doc_id", weighted(tokens.pad_to_multiple(ids, 32, 2)).alias("padded"), weighted(tokens.pad_to(ids, 256, 7)).alias("canvas"), weighted(tokens.pad_mask(ids, 256)).alias("mask"), weighted(tokens.masked_labels(ids, F.lit(5))).alias("labels"), weighted(tokens.with_end(ids, 2)).alias("ended"))
 
 
 @query(f"""WITH d AS (SELECT doc_id, {IDS} AS ids FROM documents), p AS (SELECT doc_id, ids, list_position(ids, 1) AS place FROM d)
@@ -383,12 +397,12 @@ def logical_positions(spark, sf_dir):
     return d.select("doc_id", F.aggregate(places, F.lit(0).cast("long"), lambda a, x: a + x).alias("positions"))
 
 
-@query(f"""WITH d AS (SELECT doc_id, {IDS} AS ids FROM documents), p AS (SELECT doc_id, unnest(ids[:32]) AS x, generate_subscripts(ids[:32], 1) AS k FROM d),
+@query(f"""WITH d AS (SELECT doc_id, {IDS} AS ids FROM documents), p AS (SELECT doc_id, unnest(ids) AS x, generate_subscripts(ids, 1) AS k FROM d),
 w AS (SELECT doc_id, k, x, exp(x - max(x) OVER (PARTITION BY doc_id)) AS e FROM p),
 r AS (SELECT doc_id, coalesce(sum(e) OVER (PARTITION BY doc_id ORDER BY x DESC, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(e) OVER (PARTITION BY doc_id) AS before FROM w)
 SELECT doc_id, count(*) FILTER (WHERE before <= 0.9) AS kept FROM r GROUP BY doc_id""")
 def nucleus(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.transform(tokens.head(word_ids(), 32), lambda x: x.cast("double")).alias("logits")).where("size(logits) > 0")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.transform(word_ids(), lambda x: x.cast("double")).alias("logits")).where("size(logits) > 0")
     return d.select("doc_id", long(F.size(F.filter(tokens.top_p_keep(F.col("logits"), 0.9), lambda x: x))).alias("kept"))
 
 
@@ -427,10 +441,13 @@ def ngram_penalty(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.round(rewards.ngram_deficit(F.col("text")), 6).alias("deficit"))
 
 
-@query(f"""WITH d AS (SELECT doc_id, list_filter({GRAMS}, lambda x: regexp_matches(x, '[A-Za-zऀ-ॿ]')) AS t FROM documents)
-SELECT doc_id, CASE WHEN len(t) = 0 THEN 0.0 ELSE 1.0 END AS latin FROM d""".replace("\\u0900", "ऀ").replace("\\u097f", "ॿ"))
+# each third word length gets a letter of the other script, so both kinds occur
+@query(f"""WITH d AS (SELECT doc_id, list_transform({GRAMS}, lambda w: trim(CASE WHEN length(w) % 3 = 0 THEN w || 'अ' ELSE w END, '.,!?;:"''()[]{{}}—-।')) AS t FROM documents),
+w AS (SELECT doc_id, list_filter(t, lambda x: x <> '' AND NOT regexp_matches(x, '^[0-9०-९.,%:/+\\-]+$') AND regexp_matches(x, '[A-Za-zऀ-ॿ]')) AS words FROM d)
+SELECT doc_id, round(CASE WHEN len(words) = 0 THEN 0.0 ELSE len(list_filter(words, lambda x: NOT regexp_matches(x, '[ऀ-ॿ]'))) / len(words) END, 6) AS latin FROM w""")
 def script_ratio(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", rewards.script_penalty(F.col("text")).alias("latin"))
+    mixed = F.array_join(F.transform(F.regexp_extract_all("text", F.lit(r"[^ \t\r\n]+"), F.lit(0)), lambda w: F.when(F.length(w) % 3 == 0, F.concat(w, F.lit("अ"))).otherwise(w)), " ")
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(rewards.script_penalty(mixed), 6).alias("latin"))
 
 
 @query()
@@ -439,17 +456,33 @@ def repetition_flag(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.has_repetition(F.col("text")).alias("loops"))
 
 
-TAGGED = "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '<reasoning>' || chr(10) || left(text, 20) || chr(10) || '</reasoning>' || chr(10) || '<answer>' || chr(10) || turn::varchar || chr(10) || '</answer>' || chr(10) ELSE text END AS t FROM conversations"
+# whole answers, answers without their last line end, and plain text
+TAGGED = """SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '<reasoning>' || chr(10) || text || chr(10) || '</reasoning>' || chr(10) || '<answer>' || chr(10) || turn::varchar || chr(10) || '</answer>' || chr(10)
+  WHEN 1 THEN '<reasoning>' || text || '</reasoning> <answer>' || role || chr(10) || '</answer> and more' ELSE text END AS t FROM conversations"""
 
 
 def tagged(spark, sf_dir):
-    made = F.concat(F.lit("<reasoning>\n"), F.left("text", F.lit(20)), F.lit("\n</reasoning>\n<answer>\n"), F.col("turn").cast("string"), F.lit("\n</answer>\n"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, made).otherwise(F.col("text")).alias("t"))
+    made = F.concat(F.lit("<reasoning>\n"), F.col("text"), F.lit("\n</reasoning>\n<answer>\n"), F.col("turn").cast("string"), F.lit("\n</answer>\n"))
+    loose = F.concat(F.lit("<reasoning>"), F.col("text"), F.lit("</reasoning> <answer>"), F.col("role"), F.lit("\n</answer> and more"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, made).when(F.col("turn") % 3 == 1, loose).otherwise(F.col("text")).alias("t"))
 
 
-@query(f"""WITH g AS ({TAGGED}) SELECT conv_id, turn, round(CASE WHEN turn % 2 = 0 THEN 0.5 ELSE 0.0 END, 6) AS score, CASE WHEN turn % 2 = 0 THEN 0.5 ELSE 0.0 END AS strict FROM g""")
+def times_sql(tag: str) -> str:
+    return f"(length(t) - length(replace(t, {tag}, ''))) / length({tag})"
+
+
+OPEN_R, CLOSE_R, OPEN_A, CLOSE_A = ("'<reasoning>' || chr(10)", "chr(10) || '</reasoning>' || chr(10)", "chr(10) || '<answer>' || chr(10)", "chr(10) || '</answer>'")
+
+
+@query(f"""WITH g AS ({TAGGED}) SELECT conv_id, turn,
+round(CASE WHEN {times_sql(OPEN_R)} = 1 THEN 0.125 ELSE 0 END + CASE WHEN {times_sql(CLOSE_R)} = 1 THEN 0.125 ELSE 0 END
+  + CASE WHEN {times_sql(OPEN_A)} = 1 THEN 0.125 - length(list_last(string_split(t, {CLOSE_A} || chr(10)))) * 0.001 ELSE 0 END
+  + CASE WHEN {times_sql(CLOSE_A)} = 1 THEN 0.125 - (length(list_last(string_split(t, {CLOSE_A}))) - 1) * 0.001 ELSE 0 END, 6)::double AS score,
+CASE WHEN regexp_matches(t, '^<reasoning>\n.*?\n</reasoning>\n<answer>\n.*?\n</answer>\n$', 's') THEN 0.5::double ELSE 0 END AS strict,
+CASE WHEN regexp_matches(t, '^<reasoning>.*?</reasoning>\\s*<answer>.*?</answer>', 's') THEN 0.5::double ELSE 0 END AS soft, -length(t) AS short FROM g""")
 def xml_score(spark, sf_dir):
-    return tagged(spark, sf_dir).select("conv_id", "turn", F.round(rewards.xml_score(F.col("t")), 6).alias("score"), rewards.strict_format(F.col("t")).alias("strict"))
+    t = F.col("t")
+    return tagged(spark, sf_dir).select("conv_id", "turn", F.round(rewards.xml_score(t), 6).alias("score"), rewards.strict_format(t).alias("strict"), rewards.soft_format(t).alias("soft"), long(rewards.length_reward(t)).alias("short"))
 
 
 @query(f"""WITH g AS ({TAGGED}), a AS (SELECT conv_id, turn, trim(string_split(list_last(string_split(t, '<answer>')), '</answer>')[1], ' ' || chr(9) || chr(10) || chr(13)) AS answer FROM g)
@@ -500,21 +533,21 @@ def text_measures(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.md5_id(t).alias("id"), long(F.size(text.word_set(t))).alias("words"), long(F.size(text.numbers(t))).alias("numbers"), text.has_marker(t).alias("marker"), long(text.sentence_count(t)).alias("sentences"))
 
 
-MARKED = "SELECT conv_id, turn, 'see ⟦' || turn::varchar || '⟧ and ⟦0⟧: <think>' || left(text, 10) || '</think> #### ' || turn::varchar || ' ' AS t FROM conversations"
+MARKED = "SELECT conv_id, turn, 'see ⟦' || turn::varchar || '⟧ and ⟦0⟧: <think>' || text || '</think> #### ' || turn::varchar || ' ' AS t FROM conversations"
 
 
 @query(f"""WITH m AS ({MARKED}) SELECT conv_id, turn, regexp_replace(t, '⟦([0-9]+)⟧', '<placeholder-\\1>', 'g') AS converted, array_to_string(list_sort(list_distinct(regexp_extract_all(t, '⟦[0-9]+⟧'))), ',') AS places, trim(replace(replace(t, '<think>', ''), '</think>', '')) AS plain, trim(split_part(t, '####', 2)) AS answer, split_part(t, ' and', 1) AS head FROM m""")
 def marked_text(spark, sf_dir):
-    made = F.concat(F.lit("see ⟦"), F.col("turn").cast("string"), F.lit("⟧ and ⟦0⟧: <think>"), F.left("text", F.lit(10)), F.lit("</think> #### "), F.col("turn").cast("string"), F.lit(" "))
+    made = F.concat(F.lit("see ⟦"), F.col("turn").cast("string"), F.lit("⟧ and ⟦0⟧: <think>"), F.col("text"), F.lit("</think> #### "), F.col("turn").cast("string"), F.lit(" "))
     m = table(spark, sf_dir, "conversations").select("conv_id", "turn", made.alias("t"))
     t = F.col("t")
     return m.select("conv_id", "turn", text.convert_placeholders(t).alias("converted"), F.array_join(text.placeholder_set(t), ",").alias("places"), text.strip_tags(t).alias("plain"), text.hash_answer(t).alias("answer"), text.cut_at(t, [" and", ""]).alias("head"))
 
 
-@query("SELECT item_id, length(text) AS chars FROM benchmark WHERE item_id NOT IN (SELECT item_id FROM benchmark WHERE item_id % 7 = 3)")
+@query("SELECT item_id, length(text) AS chars FROM benchmark WHERE md5(text) NOT IN (SELECT md5(text) FROM documents WHERE text IS NOT NULL)")
 def held_out_items(spark, sf_dir):
-    items = table(spark, sf_dir, "benchmark")
-    return joins.not_done(items, items.where("item_id % 7 = 3"), "item_id").select("item_id", long(F.length("text")).alias("chars"))
+    items = table(spark, sf_dir, "benchmark").withColumn("id", text.md5_id(F.col("text")))
+    return joins.not_done(items, table(spark, sf_dir, "documents").select(text.md5_id(F.col("text")).alias("id"))).select("item_id", long(F.length("text")).alias("chars"))
 
 
 @query("SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS index FROM orders")
@@ -529,3 +562,4 @@ def hash_modulo(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.pmod(low, F.lit(997).cast("decimal(20,0)")).cast("long").alias("low"))
 
 
+from . import rows  # noqa: E402, F401 - registers its queries here

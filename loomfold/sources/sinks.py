@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 import json
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all machines share: ``spark.checkpoint.dir``, else the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/loomfold-{name}-{uuid.uuid4().hex}"
+
+
 def append_json(df: DataFrame, path: str) -> None:
     """Each task appends its own file, so no lock is needed."""
     df.write.mode("append").json(path)
@@ -73,3 +80,13 @@ def update_ledger(df: DataFrame, path: str, changes: DataFrame) -> None:
 
 def read_ledger(df: DataFrame, key: str = "batch_id") -> DataFrame:
     return df.groupBy(key).agg(F.max_by(F.struct(*df.columns), "version").alias("row")).select("row.*")
+
+
+def write_results(df: DataFrame, path: str, step: int, score: str = "reward") -> dict:
+    """Append each result as it comes, and a summary row of their mean once all are there; gives the summary."""
+    df.withColumn("step", F.lit(step)).write.mode("append").json(f"{path}/results")
+    written = df.sparkSession.read.json(f"{path}/results").where(F.col("step") == step)
+    summary = written.groupBy("step").agg(F.avg(score).alias("mean"), F.count(F.lit(1)).alias("n"))
+    summary.write.mode("append").json(f"{path}/summary")
+    return summary.first().asDict()
+

@@ -70,8 +70,12 @@ def test_rewards(spark):
     assert got(rewards.xml_answer(t), "<answer>1</answer><answer> 2 </answer>") == "2"
     assert got(rewards.sudoku(t, F.lit("0200" + "1" * 12), F.lit("1234" + "1" * 12)), "<answer>1299</answer>") == pytest.approx(1 / 3)
     assert not got(rewards.safe_code(t), "import os") and got(rewards.safe_code(t), "x = 1")
-    assert got(rewards.fenced_code(t), "a ```python\nx = 1\n``` b") == "x = 1"
-    assert got(rewards.split_tests(t), "assert a\nx\nassert b")[1] == "def test_1():\n    assert b"
+    assert got(rewards.fenced_code(t), "a ```python\nx = 1\n``` b ```python\ny```") == "x = 1\n" and got(rewards.fenced_code(t), "a") == ""
+    assert got(rewards.code_in_answer(t), "<answer>```python\nx```</answer>") == 0.5 and got(rewards.code_in_answer(t), "```python\nx```<answer></answer>") == 0.0
+    assert got(rewards.tested_name(t), "from solution import go\nassert f(1)") == "go" and got(rewards.tested_name(t), "assert f (1)") == "f" and got(rewards.tested_name(t), "x") is None
+    assert got(rewards.renamed_code(t, F.lit("go")), "x\ndef a(b):\n  pass\ndef ab():\n  a(1)\ndef a():\n") == "x\ndef go(b):\n  pass\ndef ab():\n  a(1)\ndef go():\n"
+    assert got(rewards.split_tests(t), "assert a\nx\nassert b")[1] == "def test_case_2():\n    assert b"
+    assert [got(rewards.boxed_format(t), x) for x in ("", "\\boxed{1}", "<answer>1</answer>", "<answer>\\boxed{1}", "\\boxed <answer> x")] == [0.25, 0.5, 0.75, 1.0, 0.75]
     assert rewards.boxed(r"so \boxed{\frac{1}{2}}") == r"\frac{1}{2}" and rewards.boxed(r"\boxed{1") is None and rewards.boxed("7") == "7"
     assert rewards.same_answer("1/2", r"\frac12") and rewards.same_answer("x = 5", "5") and not rewards.same_answer("4", None)
     assert rewards.countdown_score("<answer>(1+2)*3</answer>", 9, [1, 2, 3]) == 1.0 and rewards.countdown_score("<answer>9</answer>", 9, [1, 2]) == 0.1 and rewards.countdown_score("9", 9, [9]) == 0.0
