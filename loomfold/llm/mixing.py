@@ -12,6 +12,7 @@
 
 from __future__ import annotations
 
+import json
 import logging
 import math
 from functools import reduce
@@ -77,14 +78,14 @@ def fit_domains(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, wor
 
 def with_posterior(df: DataFrame, words: str, model: dict[str, list[float]]) -> DataFrame:
     """``df`` with ``posterior``: probabilities of the domains, in order, from the words present."""
-    known = [w for w in model if w]
     prior = F.array(*[F.lit(float(x)) for x in model[""]])
+    known = {w: x for w, x in model.items() if w}
     if not known:
         score = prior
     else:
-        table = F.map_from_arrays(F.array(*map(F.lit, known)), F.array(*[F.array(*[F.lit(float(x)) for x in model[w]]) for w in known]))
-        met = F.array_intersect(words, F.array(*map(F.lit, known)))
-        score = F.aggregate(met, prior, lambda a, w: F.zip_with(a, F.element_at(table, w), lambda x, y: x + y))
+        # one literal instead of a thousand; the optimizer makes a map of it once
+        table = F.from_json(F.lit(json.dumps(known)), "map<string,array<double>>")
+        score = F.aggregate(F.array_intersect(words, F.map_keys(table)), prior, lambda a, w: F.zip_with(a, F.element_at(table, w), lambda x, y: x + y))
     s = [F.get("score", F.lit(i)) for i in range(len(DOMAINS))]
     shares = [1 / reduce(lambda a, b: a + b, [F.exp(F.least(F.lit(700.0), other - own)) for other in s]) for own in s]
     return df.withColumn("score", score).withColumn("posterior", F.array(*shares)).drop("score")
