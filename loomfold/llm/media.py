@@ -63,7 +63,9 @@ def _read(batches):
 def store_texts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``rest`` (a struct of the other columns), ``n_bytes`` and ``media``: each text as an Ogg file of 8-bit samples.
 
-    Null texts are empty ones, and an empty text is one block of spaces; repeated rows and nulls elsewhere pass through.
+    Null texts are empty ones, and an empty text is one block of spaces; texts of any length are stored whole, in memory one
+    at a time; equal texts have equal files; repeated rows and nulls elsewhere pass through; an empty table gives no rows;
+    further columns, whatever their names, are carried in ``rest`` only.
     """
     bounded_batches(docs.sparkSession)
     others = [docs[c] for c in docs.columns if c != text] or [F.lit(None).cast("string").alias("nothing")]
@@ -72,7 +74,7 @@ def store_texts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def read_media(stored: DataFrame) -> DataFrame:
-    """What the Ogg files in ``media`` hold: payload and container digests and a feature string. A null or damaged file gives what can be read."""
+    """What the Ogg files in ``media`` hold: payload and container digests and a feature string. A null or damaged file gives what can be read; an empty table gives no rows."""
     own = stored.select("rest", "n_bytes", "media")
     return own.mapInArrow(_read, f"rest {own.schema['rest'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 

@@ -58,3 +58,22 @@ def test_odd_rows(odd_docs, odd_rows, no_docs):
     same = {r["n_bytes"]: r["media_sha256"] for r in got}
     assert all(same[r["n_bytes"]] == r["media_sha256"] or r["n_bytes"] for r in got)
     assert read_media(store_texts(no_docs)).count() == 0
+
+
+def test_feature_is_what_a_loop_over_the_samples_finds(spark):
+    texts = ["", "short", "é" * 100, "some words here. " * 700, "x" * 20_000]
+    got = read_media(store_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()
+    for r in got:
+        samples = [b - 128 for b in pad_payload(texts[r["rest"]["doc_id"]].encode())]
+        feature = dict(x.split("=") for x in r["feature"].split(";"))
+        crossed = sum((a >= 0) != (b >= 0) for a, b in zip(samples, samples[1:], strict=False))
+        packets = -(-len(samples) // ogg.PACKET)
+        assert int(feature["ms"]) == round(1000 * len(samples) / ogg.RATE)
+        assert int(feature["mean"]) == sum(samples) // len(samples) and int(feature["energy"]) == sum(x * x for x in samples) // len(samples)
+        assert (int(feature["crossings"]), int(feature["packets"]), int(feature["indexed"]), int(feature["damaged"])) == (crossed, packets, packets, 0)
+
+
+def test_a_very_long_text(spark):
+    text = "0123456789 " * 300_000
+    r = read_media(store_texts(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    assert r["n_bytes"] == len(text) and r["payload_sha256"] == hashlib.sha256(pad_payload(text.encode())).hexdigest() and "damaged=0" in r["feature"]

@@ -65,3 +65,17 @@ def test_reliable_labelers_win():
     assert belief["secret", 1, 1, 1, 1, 1] > 0.95 and belief["secret", 0, 0, 0, -1, -1] < 0.05
     assert all(abs(sum(t[y].values()) - 1) < 1e-9 for t in trust.values() for y in t)
     assert KINDS[:BASE] == tuple(PATTERNS)
+
+
+def test_very_many_matches_in_one_text(spark):
+    text = "é 1.1.1.1 a@b.de " * 20_000
+    r = find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    own = base(r)
+    assert len(own) == 40_000 and own[-1] == ("email", len(text) - 7, len(text) - 1) and own[-2] == ("ip", len(text) - 15, len(text) - 8)
+
+
+def test_gazetteers_know_codes_and_endings():
+    from loomfold.llm.pii import COUNTRIES, ENDINGS
+
+    assert all(re.match(COUNTRIES.replace(r"\A", ""), x) for x in ("1212", "7495", "49301", "353", "420", "971", "880", "599")) and not re.match(COUNTRIES.replace(r"\A", ""), "0")
+    assert re.match(ENDINGS.replace(r"\z", r"\Z"), "org") and re.match(ENDINGS.replace(r"\z", r"\Z"), "jp") and not re.match(ENDINGS.replace(r"\z", r"\Z"), "txt")

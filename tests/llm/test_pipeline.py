@@ -45,3 +45,42 @@ def test_unlearned_texts_are_rejected(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     left = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
     assert left == set(range(120))
+
+
+def test_each_stage_does_its_own_work_on_its_own_input(spark, tmp_path):
+    """Stage by stage against plain Python: lines, near copies, targets and tokens."""
+    import random
+
+    from loomfold.llm.mixing import DOMAINS, KEEP, mix_documents
+    from loomfold.llm.packing import WordIds, default_tokenizer
+
+    from .conftest import near_copies
+    from .test_linededup import brute as lines_of
+    from .test_ngramjoin import brute as components_of
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("the and ing tion er".split(), k=2))
+    texts = near_copies(3, 4, 5) + ["\n".join([f"common line of all {i % 2}", *(" ".join(word() for _ in range(9)) for _ in range(4))]) for i in range(60)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 11 == 0)) for i in range(0, len(rows), 2)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame(rows, kind)
+    got = materialize(corpus_pipeline.drop_repeated_lines(spark, docs, str(tmp_path)), "a")
+    want = {i: t for i, _, dropped, t in lines_of([(r[0], r[1]) for r in rows]) if not dropped or t.strip(" ")}
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == want and all(r["n_chars"] == len(r["text"]) for r in got.collect())
+    one = materialize(corpus_pipeline.keep_one_of_each(spark, got, str(tmp_path)), "b")
+    component = components_of(sorted(want.items()), 5, 80)
+    assert {r["doc_id"] for r in one.collect()} == {i for i, c in component.items() if i == c}
+    mixed = mix_documents(one, labels).collect()
+    for d, name in enumerate(DOMAINS):
+        before = sum(r["n_tokens"] * r["posterior"][d] for r in mixed)
+        after = sum(r["n_tokens"] * r["posterior"][d] * r["rate"] for r in mixed)
+        assert abs(after - KEEP[name] * before) <= max(mixed[0]["misfit"], 1.001e-3) * max(1.0, KEEP[name] * before)
+    copies = sorted(i for r in mixed for i in [r["rest"]["doc_id"]] * r["copies"])
+    chosen = materialize(corpus_pipeline.mix_to_targets(spark, one, str(tmp_path)), "c")
+    assert sorted(r["doc_id"] for r in chosen.collect()) == copies
+    ids = WordIds(default_tokenizer())
+    packed = corpus_pipeline.pack(spark, chosen, str(tmp_path)).collect()
+    assert sum(r["length"] for r in packed) == sum(len(ids.of(r["text"])) // 4 + 1 for r in chosen.collect())
+    assert {r["doc_id"] for r in packed} == set(copies)
