@@ -232,7 +232,9 @@ def fit_languages(docs: DataFrame, per_language: int = 300, landmarks: int = 96,
         spectra = spectra.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("place")))
         marks = spectra.where(F.col("place") <= each).orderBy("lang", "place").select("own").collect()
         known = Landmarks([np.frombuffer(r["own"], "<i4") for r in marks])
-        rows = spectra.mapInArrow(_kernels(spark.sparkContext.broadcast(known), each), "lang string, place int, kernel binary, share double").collect()
+        shared = spark.sparkContext.broadcast(known)
+        rows = spectra.mapInArrow(_kernels(shared, each), "lang string, place int, kernel binary, share double").collect()
+        shared.destroy()
     rows = sorted(rows, key=lambda r: (r["place"] > each, r["lang"], r["place"]))
     return KernelModel(langs, known, [(r["lang"], r["place"] <= each, np.frombuffer(r["kernel"], "<f8"), r["share"]) for r in rows])
 

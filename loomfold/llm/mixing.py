@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch
+from .shared import Scratch, release
 
 log = logging.getLogger(__name__)
 
@@ -103,14 +103,14 @@ def _rate(steps: list[list[float]]) -> Column:
 def fit_rates(loads: DataFrame, targets: list[float], rounds: int = 60, tolerance: float = 1e-3) -> tuple[list[list[float]], list[float]]:
     """The steps of :func:`_rate`, and each total less its target. ``loads`` has ``l0, l1, ...``: tokens times posterior of each document.
 
-    The misfits are squared as shares of their targets. A step is the gradient of the misfit scaled by the inverse Gram matrix
-    of the documents whose rate is above 0 - those cut off at 0 no longer answer, and would make it far too short - and halved
-    until the squares fall by a tenth. Where that fails, as it does if no rates meet the targets, the plain gradient with
+    The misfits are squared in tokens. A step is their gradient scaled by the inverse Gram matrix of the
+    documents whose rate is above 0 - those cut off at 0 no longer answer, and would make it far too short - and halved until
+    the squares fall by a tenth. Where that fails, as it does if no rates meet the targets, the plain gradient with
     the length that is best for those documents is taken. Ends when every total is within ``tolerance`` of its target or the
     squares no longer fall; the misfits say which. Running out of rounds is an error.
     """
     dims = range(len(targets))
-    shares = lambda miss: sum((m / max(1.0, t)) ** 2 for m, t in zip(miss, targets, strict=True))
+    squares = lambda miss: sum(m * m for m in miss)
 
     def judge(steps: list[list[float]]):
         """Misfits at the rates after these steps, and the Gram matrix of the documents with a rate above 0."""
@@ -124,14 +124,13 @@ def fit_rates(loads: DataFrame, targets: list[float], rounds: int = 60, toleranc
         if all(abs(m) <= tolerance * max(1.0, t) for m, t in zip(miss, targets, strict=True)) or not any(gram[i][i] for i in dims):
             return steps, miss
         trace = sum(gram[i][i] for i in dims)
-        steep = [m / max(1.0, t) ** 2 for m, t in zip(miss, targets, strict=True)]
-        answer = [sum(gram[i][j] * steep[j] for j in dims) / max(1.0, targets[i]) for i in dims]
-        best = sum(m * a / max(1.0, t) for m, a, t in zip(miss, answer, targets, strict=True)) / max(1e-300, sum(a * a for a in answer))
+        answer = [sum(gram[i][j] * miss[j] for j in dims) for i in dims]  # how the totals move along the plain gradient
+        best = sum(m * a for m, a in zip(miss, answer, strict=True)) / max(1e-300, squares(answer))
         tries = [([length * x for x in _solve(gram, miss, 1e-9 * trace)], 0.9) for length in (1.0, 0.5, 0.25)]
-        tries += [([best * length * x for x in steep], 0.999) for length in (1.0, 0.5, 0.25, 0.125, 0.0625)]
+        tries += [([best * length * x for x in miss], 0.999) for length in (1.0, 0.5, 0.25, 0.125, 0.0625)]
         for step, enough in tries:
             then = judge([*steps, step])
-            if shares(then[0]) <= enough * shares(miss):
+            if squares(then[0]) <= enough * squares(miss):
                 break
         else:
             return steps, miss
@@ -169,7 +168,9 @@ def mix_documents(docs: DataFrame, labels: DataFrame, keep: dict[str, float] | N
     """
     spark = docs.sparkSession
     keep, carry = keep or KEEP, carry or docs.columns
+    release(spark)
     model = fit_domains(docs, labels, text=text, doc_id=doc_id, **fit)
+    release(spark)
     own = docs.select(F.struct(*[docs[c] for c in carry]).alias("rest"), docs[doc_id].alias("id"), docs[text].alias("body"))
     cut = own.select("rest", "id", all_words(F.col("body")).alias("words"))
     judged = with_posterior(cut, "words", model).select("rest", "id", count_tokens(F.col("words")).alias("n_tokens"), "posterior")
@@ -182,6 +183,7 @@ def mix_documents(docs: DataFrame, labels: DataFrame, keep: dict[str, float] | N
             loads = judged = scratch.table(judged, "loads", keep=True)
         totals = loads.agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in names]).first()
         targets = [totals[c] * keep[d] for c, d in zip(names, DOMAINS, strict=True)]
+        release(spark)
         steps, miss = fit_rates(loads, targets)
     misfit = max(abs(m) / max(1.0, t) for m, t in zip(miss, targets, strict=True))
     if misfit > 1e-3:

@@ -475,6 +475,7 @@ def _open_nodes(scratch: Scratch, usable: DataFrame, nodes: DataFrame, percent:
     beyond = _shared_tokens(usable.select("node", "first", "tokens").join(broadcast_if_small(short), "node", "left_semi").mapInArrow(_emit(False, heavy), "token long, node long, salt int"), hot)
     whole = open_.join(beyond.withColumnRenamed("found", "beyond"), "node", "left").select(F.col("node").alias("rep"), "size", "first", "near", "beyond", (rare < F.col("need")).alias("whole"))
     prefixes = scratch.table(whole.mapInArrow(_prefixes(percent, hot), "token long, rep long, size int, matches int, frequent boolean"), "prefixes")
+    heavy.destroy()
     return open_.select("doc", "rows", "node", "size"), prefixes
 
 

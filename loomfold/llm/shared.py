@@ -48,7 +48,7 @@ def _quietly(spark: SparkSession, path: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Have Spark delete the shuffle files of finished jobs now: it does so when the driver collects its garbage, by default each half hour."""
+    """Have Spark delete the shuffle files and broadcasts of finished jobs now: it does so when the driver collects its garbage, by default each half hour."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
