@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, release
+from .shared import Scratch
 
 log = logging.getLogger(__name__)
 
@@ -164,26 +164,21 @@ def mix_documents(docs: DataFrame, labels: DataFrame, keep: dict[str, float] | N
     documents like others, and rows of one id and rate become as many copies each; texts of any length are read whole;
     without labels all domains are equally likely; an empty table gives no rows; further columns are carried only.
 
-    If the text is carried, it isn't stored again: posteriors are worked out once for the rates and once for the result.
+    Posteriors are worked out once and stored with the carried columns in the shared folder until the application ends.
     """
     spark = docs.sparkSession
     keep, carry = keep or KEEP, carry or docs.columns
-    release(spark)
     model = fit_domains(docs, labels, text=text, doc_id=doc_id, **fit)
-    release(spark)
     own = docs.select(F.struct(*[docs[c] for c in carry]).alias("rest"), docs[doc_id].alias("id"), docs[text].alias("body"))
     cut = own.select("rest", "id", all_words(F.col("body")).alias("words"))
     judged = with_posterior(cut, "words", model).select("rest", "id", count_tokens(F.col("words")).alias("n_tokens"), "posterior")
     judged = judged.withColumns({f"l{i}": F.get("posterior", F.lit(i)) * F.col("n_tokens") for i in range(len(DOMAINS))})
     names = [f"l{i}" for i in range(len(DOMAINS))]
     with Scratch(spark) as scratch:
-        if text in carry:
-            loads = scratch.table(judged.select(*names), "loads")
-        else:
-            loads = judged = scratch.table(judged, "loads", keep=True)
+        judged = scratch.table(judged, "loads", keep=True)
+        loads = judged.select(*names)
         totals = loads.agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in names]).first()
         targets = [totals[c] * keep[d] for c, d in zip(names, DOMAINS, strict=True)]
-        release(spark)
         steps, miss = fit_rates(loads, targets)
     misfit = max(abs(m) / max(1.0, t) for m, t in zip(miss, targets, strict=True))
     if misfit > 1e-3:
