@@ -227,25 +227,25 @@ def _build(degree: int, pool: int):
 INDEX = "shard string, dims int, entry int, vectors binary, ids binary, starts binary, sizes binary, members binary, links binary"
 
 
-def load_graph(row: dict, degree: int):
-    """(vectors, ids, starts, levels, entry) from a stored row."""
+def load_graph(row: dict):
+    """(vectors, ids, starts, levels, entry) from a stored row; all levels have the same number of neighbours for each member."""
     import numpy as np
 
     vectors = np.frombuffer(row["vectors"], "<f8").reshape(-1, row["dims"])
     members, links = np.frombuffer(row["members"], "<i4"), np.frombuffer(row["links"], "<i4")
-    levels, a, b = [], 0, 0
-    for level, size in enumerate(np.frombuffer(row["sizes"], "<i4")):
-        width = 2 * degree if level == 0 else degree
-        levels.append((members[a : a + size], links[b : b + size * width].reshape(-1, width)))
-        a, b = a + size, b + size * width
+    links = links.reshape(len(members), -1)
+    levels, at = [], 0
+    for size in np.frombuffer(row["sizes"], "<i4"):
+        levels.append((members[at : at + size], links[at : at + size]))
+        at += size
     return vectors, np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["starts"], "<i8"), levels, row["entry"]
 
 
-def _answers(row: dict, wanted, asked, k: int, degree: int, beam: int, out: dict) -> None:
+def _answers(row: dict, wanted, asked, k: int, beam: int, out: dict) -> None:
     """Append the k nearest of each query in one shard: the walk's finds, measured again on the vectors as they came."""
     import numpy as np
 
-    vectors, ids, starts, levels, entry = load_graph(row, degree)
+    vectors, ids, starts, levels, entry = load_graph(row)
     unit = unit_rows(vectors)
     for at in range(0, len(asked), 256):
         q = unit_rows(asked[at : at + 256])
@@ -275,7 +275,7 @@ def _found(out: dict):
 FOUND = ["query_id", "vec_id", "score"]
 
 
-def _search(k: int, degree: int, beam: int):
+def _search(k: int, beam: int):
     """A shard's graph and a block of queries that were exchanged to it."""
 
     def run(index, queries):
@@ -285,13 +285,13 @@ def _search(k: int, degree: int, beam: int):
         if queries.num_rows:
             wanted, asked = queries.column("query_id").to_numpy(), _vectors(queries.column("vector"))
             for i in range(index.num_rows):
-                _answers({c: index.column(c)[i].as_py() for c in index.column_names}, wanted, asked, k, degree, beam, out)
+                _answers({c: index.column(c)[i].as_py() for c in index.column_names}, wanted, asked, k, beam, out)
         return pa.Table.from_arrays(_found(out), names=FOUND)
 
     return run
 
 
-def _search_all(queries, k: int, degree: int, beam: int):
+def _search_all(queries, k: int, beam: int):
     """Every shard's graph where it lies, against broadcast queries by length: {dims: (ids, vectors)}."""
 
     def run(batches):
@@ -302,7 +302,7 @@ def _search_all(queries, k: int, degree: int, beam: int):
                 row = {c: b.column(k_)[i].as_py() for k_, c in enumerate(b.schema.names)}
                 out: dict = {c: [] for c in FOUND}
                 if row["dims"] in queries.value:
-                    _answers(row, *queries.value[row["dims"]], k, degree, beam, out)
+                    _answers(row, *queries.value[row["dims"]], k, beam, out)
                 yield pa.RecordBatch.from_arrays(_found(out), names=FOUND)
 
     return run
@@ -324,7 +324,7 @@ def build_index(table: DataFrame, shard_bytes: int = 8 << 20, degree: int = 24,
     return materialize(keyed.groupBy("shard").applyInArrow(_build(degree, pool), INDEX), "graphs"), shards
 
 
-def search_index(index: DataFrame, shards: int, queries: DataFrame, k: int = 5, degree: int = 24, beam: int = 200, block_rows: int = 20_000, broadcast_bytes: int = 64 << 20) -> DataFrame:
+def search_index(index: DataFrame, shards: int, queries: DataFrame, k: int = 5, beam: int = 200, block_rows: int = 20_000, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest found of each query (query_id long, vector array<double>).
 
     Ties go to the smaller id; equal vectors are one node whose ids all stand for it, and of a tie between vectors that differ
@@ -334,24 +334,23 @@ def search_index(index: DataFrame, shards: int, queries: DataFrame, k: int = 5,
     Queries of at most ``broadcast_bytes`` go to the graphs, which stay where they lie; more are dealt to blocks of about
     ``block_rows``, and each block and shard is one task of bounded size.
     """
-    import numpy as np
+    import pyarrow.compute as pc
 
     spark = queries.sparkSession
     usable = queries.where(F.col("query_id").isNotNull() & _usable(F.col("vector"))).select("query_id", "vector")
     sizes = usable.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(8 * F.size("vector").cast("long") + 8), F.lit(0)).alias("s")).first()
     if sizes["s"] <= broadcast_bytes:
-        by: dict[int, list] = {}
-        for r in usable.collect():  # bounded by the check above
-            by.setdefault(len(r["vector"]), []).append((r["query_id"], r["vector"]))
-        asked = spark.sparkContext.broadcast({n: (np.array([q for q, _ in rows]), np.array([v for _, v in rows], dtype=np.float64)) for n, rows in by.items()})
-        found = index.mapInArrow(_search_all(asked, k, degree, beam), "query_id long, vec_id long, score double")
+        held = usable.select("query_id", "vector", F.size("vector").alias("dims")).toArrow()  # bounded by the check above
+        own = {n: held.filter(pc.equal(held.column("dims"), n)).combine_chunks() for n in pc.unique(held.column("dims")).to_pylist()}
+        asked = spark.sparkContext.broadcast({n: (t.column("query_id").to_numpy(), _vectors(t.column("vector"))) for n, t in own.items()})
+        found = index.mapInArrow(_search_all(asked, k, beam), "query_id long, vec_id long, score double")
     else:
         blocks = max(1, -(-sizes["n"] // block_rows))
         block = F.pmod(F.xxhash64("query_id", F.xxhash64("vector")), F.lit(blocks)).cast("int")
         every = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda i: F.concat_ws("/", F.size("vector").cast("string"), i.cast("string")))
         asked = usable.select(F.explode(every).alias("shard"), block.alias("block"), "query_id", "vector")
         graphs = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        found = graphs.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(_search(k, degree, beam), "query_id long, vec_id long, score double")
+        found = graphs.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(_search(k, beam), "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

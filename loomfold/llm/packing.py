@@ -148,11 +148,13 @@ class WordIds:
             self.parts[p] = np.array(got.ids, dtype="<u4").tobytes()
 
     def of(self, text: str) -> bytes:
+        from unicodedata import normalize
+
         if any(s in text for s in self.special):
             import numpy as np
 
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if "\u03a3" not in text:  # a sigma's lower case depends on its place
+        if text.isascii():  # else the vocabulary composes marks before it lower-cases, and other letters compose
             text = text.lower()
         words = text.replace("\n", " ").split(" ")
         new = set(words).difference(self.words)
@@ -163,8 +165,8 @@ class WordIds:
                 self.words = {}
                 new = set(words)
             cut = [(w, w.rstrip(self.MARKS)) for w in new]
-            # letters before the marks end in a letter or a digit, so no mark joins with what stands before
-            cut = [(w, p, w[len(p) :]) if p.lower().isalnum() else (w, w, "") for w, p in cut]
+            # letters before the marks end in a letter or a digit, also when composed, so no mark joins with what stands before
+            cut = [(w, p, w[len(p) :]) if normalize("NFC", p).lower().isalnum() else (w, w, "") for w, p in cut]
             missing = {x for _, p, marks in cut for x in (p, marks)}.difference(self.parts)
             if missing:
                 self._learn(missing)

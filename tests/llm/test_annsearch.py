@@ -1,6 +1,7 @@
 import numpy as np
+import pyarrow as pa
 
-from loomfold.llm.annsearch import build_graph, build_index, search_graph, search_index, unit_rows
+from loomfold.llm.annsearch import INDEX, _build, build_graph, build_index, load_graph, op2_hnsw, search_graph, search_index, unit_rows
 
 KIND = "vec_id long, embedding array<float>, shard string, score double"
 
@@ -68,3 +69,42 @@ def test_unusable_vectors_and_few_rows(spark):
     assert got == [(0, 1, 5), (5, 1, 0), (15, 1, 12)]
     assert search(spark, []) == []
     assert search(spark, [(0, [1.0])]) == []
+
+
+def test_a_stored_graph_is_the_one_that_was_built():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(8_000, 6))
+    rows = pa.table({"shard": pa.array(["6/0"] * len(x)), "vec_id": pa.array(range(len(x)), pa.int64()), "vector": pa.array(list(x), pa.list_(pa.float64()))})
+    stored = _build(24, 48)(rows)
+    assert [f"{n} {t}" for n, t in zip(stored.schema.names, ("string", "int", "int", *["binary"] * 6), strict=True)] == INDEX.split(", ")
+    vectors, ids, starts, levels, entry = load_graph(stored.to_pylist()[0])
+    built, first = build_graph(unit_rows(vectors))
+    assert len(levels) == len(built) >= 3 and entry == first
+    assert all((a[0] == b[0]).all() and (a[1] == b[1]).all() for a, b in zip(levels, built, strict=True))
+    assert sorted(ids) == list(range(len(x))) and (np.diff(starts) == 1).all() and (vectors[np.argsort(ids)] == x).all()
+    unit = unit_rows(vectors)
+    q = unit[::160]
+    got, want = search_graph(unit, levels, entry, q), np.argsort(-(q @ unit.T), axis=1)[:, :6]
+    assert np.mean([len(set(a) & set(b)) / 6 for a, b in zip(got, want, strict=True)]) >= 0.97
+
+
+def test_the_query_finds_the_nearest_of_the_whole_table(spark):
+    for size in ("sf0.01", "sf0.1"):
+        rows = spark.read.parquet(f"/root/testdata/{size}/embeddings.parquet").toPandas()
+        ids, unit = rows["vec_id"].to_numpy(), unit_rows(np.stack(rows["embedding"]).astype(float))
+        got = {}
+        for r in op2_hnsw(spark, f"/root/testdata/{size}").collect():
+            got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+        asked = np.flatnonzero(ids % 50 == 0)
+        assert sorted(got) == sorted(ids[asked])
+        near = unit[asked] @ unit.T
+        near[np.arange(len(asked)), asked] = -2
+        want = ids[np.lexsort((np.broadcast_to(ids, near.shape), -near.round(12)), axis=1)[:, :5]]
+        hits = sum(len(set(w) & set(got[q].values())) for q, w in zip(ids[asked], want, strict=True))
+        assert hits >= 0.95 * want.size and all(len(g) == 5 for g in got.values())
+
+
+def test_repeated_ids_are_one_query_and_one_candidate(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.1]), (1, [0.0, 2.0]), (2, [1.0, 1.0]), (2, [1.0, 1.0])]
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6)) for r in search(spark, rows))
+    assert got == [(0, 1, 1, 1.0), (0, 2, 2, 0.707107)]

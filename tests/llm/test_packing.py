@@ -99,6 +99,18 @@ def test_words_give_the_ids_of_the_whole_text():
         assert ids.of(t) == np.array(got.ids, "<u4").tobytes(), t
 
 
+def test_capitals_with_marks_give_the_ids_of_the_whole_text():
+    import unicodedata
+
+    ids, rng = WordIds(default_tokenizer()), random.Random(8)
+    marks = [chr(i) for i in (*range(0x300, 0x370), 0x5B0, 0x64E, 0x93C, 0x94D, 0x1DC0, 0x20D0, 0x3099, 0x1161, 0x11A8) if unicodedata.combining(chr(i)) or i > 0x1000]
+    letters = ["Y", "y", "\u0130", "I", "\u017f", "\u0399", "\u03a3", "\u1f88", "H", "T", "W", "A", "J", "\u212a", "\u1100", "\u0958", "\u0915", " ", "\n", "'S", "1", "."]
+    texts = ["Y\u030a", "\u0130\u093c", "A J\u030c"] + ["".join(rng.choice(letters if rng.random() < 0.55 else marks) for _ in range(rng.randint(1, 14))) for _ in range(20_000)]
+    texts += ["".join(chr(rng.choice([rng.randrange(0x20, 0x250), rng.randrange(0x250, 0x3000), rng.randrange(0xE000, 0x1FFFF)])) for _ in range(rng.randint(1, 14))) for _ in range(20_000)]
+    wrong = [t for t, got in zip(texts, ids.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True) if ids.of(t) != np.array(got.ids, "<u4").tobytes()]
+    assert not wrong, wrong[:5]
+
+
 def test_pieces_make_the_documents(spark, odd_docs, odd_rows, no_docs):
     got = pack_documents(odd_docs, default_tokenizer(), size=64).collect()
     ids = WordIds(default_tokenizer())
