@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .annsearch import op2_hnsw
+from .infill import OP12_SQL, op12_infill
 from .langid import op8_string_kernel
 from .linededup import OP9_SQL, op9_line_runs
 from .media import op4_ogg_media
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_string_kernel": op8_string_kernel,
     "op9_line_runs": op9_line_runs,
     "op10_packing": op10_packing,
+    "op12_infill": op12_infill,
 }
 
-ORACLE_SQL = {"op6_url_filter": OP6_SQL, "op9_line_runs": OP9_SQL}
+ORACLE_SQL = {"op6_url_filter": OP6_SQL, "op9_line_runs": OP9_SQL, "op12_infill": OP12_SQL}
