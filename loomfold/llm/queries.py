@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .annsearch import op2_hnsw
+from .importance import OP13_SQL, op13_resampling
 from .infill import OP12_SQL, op12_infill
 from .langid import op8_string_kernel
 from .linededup import OP9_SQL, op9_line_runs
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_line_runs": op9_line_runs,
     "op10_packing": op10_packing,
     "op12_infill": op12_infill,
+    "op13_resampling": op13_resampling,
 }
 
-ORACLE_SQL = {"op6_url_filter": OP6_SQL, "op9_line_runs": OP9_SQL, "op12_infill": OP12_SQL}
+ORACLE_SQL = {"op6_url_filter": OP6_SQL, "op9_line_runs": OP9_SQL, "op12_infill": OP12_SQL, "op13_resampling": OP13_SQL}
