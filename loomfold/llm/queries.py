@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .annsearch import op2_hnsw
+from .bitslice import OP11_SQL, op11_bit_sliced
 from .importance import OP13_SQL, op13_resampling
 from .infill import OP12_SQL, op12_infill
 from .langid import op8_string_kernel
@@ -26,8 +27,9 @@ QUERIES = {
     "op8_string_kernel": op8_string_kernel,
     "op9_line_runs": op9_line_runs,
     "op10_packing": op10_packing,
+    "op11_bit_sliced": op11_bit_sliced,
     "op12_infill": op12_infill,
     "op13_resampling": op13_resampling,
 }
 
-ORACLE_SQL = {"op6_url_filter": OP6_SQL, "op9_line_runs": OP9_SQL, "op12_infill": OP12_SQL, "op13_resampling": OP13_SQL}
+ORACLE_SQL = {"op6_url_filter": OP6_SQL, "op9_line_runs": OP9_SQL, "op11_bit_sliced": OP11_SQL, "op12_infill": OP12_SQL, "op13_resampling": OP13_SQL}
