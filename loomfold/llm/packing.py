@@ -21,7 +21,7 @@ from .shared import Scratch, bounded_batches
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, number long"
 TOKENIZER = "word_bpe_49k.json"
-PART_CACHE, WORD_CACHE = 350_000, 150_000
+PART_CACHE, WORD_CACHE = 300_000, 150_000
 
 
 def plan_packs(histogram: dict[int, int], size: int) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
@@ -98,13 +98,14 @@ class WordIds:
 
     The vocabulary drops case and white space before it forms words, and letters and punctuation never share a token. So a
     word is its letters and the marks after them; each of these meets the tokenizer once while it is cached. Caches only
-    save time: they are emptied when full.
+    save time: one that is full becomes the older half and its forerunner goes, so frequent words stay.
     """
 
     MARKS = ".,!%*&#$|?;:\"()"
 
     def __init__(self, path: str):
         import os
+        import re
 
         import numpy as np
 
@@ -117,8 +118,20 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        #: Marks and what may hold them, and the one letter below them whose lower case has a mark.
+        self.composing = re.compile("[\u0300-\U0010ffff\u0130]")
         self.parts: dict[str, bytes] = {"": b""}
         self.words: dict[str, bytes] = {}
+        self.older_parts: dict[str, bytes] = {}
+        self.older_words: dict[str, bytes] = {}
+
+    @staticmethod
+    def _kept(wanted: set[str], young: dict[str, bytes], old: dict[str, bytes]) -> set[str]:
+        """What the older half of a cache has, moved to the younger one."""
+        found = {w for w in wanted if w in old}
+        for w in found:
+            young[w] = old[w]
+        return found
 
     @classmethod
     def shared(cls, path: str) -> WordIds:
@@ -154,20 +167,23 @@ class WordIds:
             import numpy as np
 
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if text.isascii():  # else the vocabulary composes marks before it lower-cases, and other letters compose
+        # the vocabulary composes marks before it lower-cases, and then other letters compose; below U+0300 are no marks
+        if text.isascii() or not self.composing.search(text):
             text = text.lower()
         words = text.replace("\n", " ").split(" ")
         new = set(words).difference(self.words)
         if new:
-            if len(self.parts) + len(new) > PART_CACHE:
-                self.parts = {"": b""}
             if len(self.words) + len(new) > WORD_CACHE:
-                self.words = {}
+                self.older_words, self.words = self.words, {}
                 new = set(words)
+            new -= self._kept(new, self.words, self.older_words)
+            if len(self.parts) + len(new) > PART_CACHE:
+                self.older_parts, self.parts = self.parts, {"": b""}
             cut = [(w, w.rstrip(self.MARKS)) for w in new]
             # letters before the marks end in a letter or a digit, also when composed, so no mark joins with what stands before
-            cut = [(w, p, w[len(p) :]) if normalize("NFC", p).lower().isalnum() else (w, w, "") for w, p in cut]
+            cut = [(w, p, w[len(p) :]) if (p if p.isascii() else normalize("NFC", p).lower()).isalnum() else (w, w, "") for w, p in cut]
             missing = {x for _, p, marks in cut for x in (p, marks)}.difference(self.parts)
+            missing -= self._kept(missing, self.parts, self.older_parts)
             if missing:
                 self._learn(missing)
             for w, p, marks in cut:
