@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scans import bind
-from .text import REPEATED, strip
+from .text import has_repetition, strip
 
 # Edge marks, numeric tokens, and names that unsafe code mentions.
 EDGE_MARKS = ".,!?;:\"'()[]{}—-।"
@@ -35,7 +35,7 @@ def ngram_deficit(text: Column, n: int = 4, least: int = 8) -> Column:
 
 def repetition_penalty(text: Column) -> Column:
     """1 for a phrase that loops, else :func:`ngram_deficit`."""
-    return F.when(text.rlike(REPEATED), 1.0).otherwise(ngram_deficit(text))
+    return F.when(has_repetition(text), 1.0).otherwise(ngram_deficit(text))
 
 
 def script_penalty(text: Column) -> Column:

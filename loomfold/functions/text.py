@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scans import running_total, scan
+from .scans import bind, running_total, scan
 
 # Marker words, closing phrases, patterns and the shares that go with them.
 MARKER_START = r"(?iU)^\s*(wait|hold on|actually|hmm|that's not right|but wait|let me reconsider)\b"
 MARKER_ANYWHERE = r"(?iU)\b(wait|hold on|actually|let me reconsider|hmm|that's not right)\b"
 CLOSING_PHRASES = ("in conclusion", "in summary", "to summarize", "to conclude")
 NUMBER = r"(?U)(\d+(?:,\d{3})*(?:\.\d+)?%?(?:\s*-\s*\d+(?:,\d{3})*(?:\.\d+)?%?)?)"
-REPEATED = r"(?U)(\S+(?:\s+\S+){0,4})(?:\s+\1){3,}"
 PLACEHOLDER = "⟦\\d+⟧"
 HEADER, TURN_END = ("<|start_header_id|>", "<|end_header_id|>"), "<|eot_id|>"
 LINE_ENDS = "\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029"
@@ -24,8 +25,8 @@ def md5_id(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """Without Unicode white space at both ends (``trim`` knows spaces only)."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+    """Without Unicode white space at both ends (``trim`` knows spaces only). A run of white space inside is walked once."""
+    return F.regexp_replace(text, r"(?U)^\s++|(?<!\s)\s++\z", "")
 
 
 def strip_tags(text: Column, open_tag: str = "<think>", close_tag: str = "</think>") -> Column:
@@ -38,9 +39,30 @@ def strip_blocks(text: Column, tag: str = "think") -> Column:
     return strip(F.regexp_replace(text, f"(?s)<{tag}>.*?</{tag}>", ""))
 
 
-def has_repetition(text: Column) -> Column:
-    """Whether a phrase of one to five tokens occurs four times in a row."""
-    return text.rlike(REPEATED)
+def has_repetition(text: Column, most: int = 5, times: int = 4) -> Column:
+    """Whether a phrase of one to ``most`` tokens occurs ``times`` times in a row, as the pattern ``(\\S+(?:\\s+\\S+){0,4})(?:\\s+\\1){3,}`` has it.
+
+    The first token of the first occurrence may be the end of a longer token, and the last one of the last occurrence its
+    beginning; white space within the phrase is the same each time, between occurrences it is free. Each token is held against
+    the one a period further on, so the work is linear in the text.
+    """
+    token = r"(?U)(\S+)(\s*)"
+
+    def at(t: Column, w: Column, i: Column, k: int) -> Column:
+        same = lambda a, j: F.get(a, i + j) == F.get(a, i + (j + k))
+        last = (times - 1) * k - 1
+        # whole tokens between both ends, then the ends, then the white space inside each occurrence
+        tests = [same(t, j) for j in range(1, last)] + [F.endswith(F.get(t, i), F.get(t, i + k))]
+        tests += [F.startswith(F.get(t, i + (last + k)), F.get(t, i + last))] if last else []
+        tests += [same(w, r * k + m) for r in range(times - 1) for m in range(k - 1)]
+        return reduce(lambda a, b: a & b, tests)
+
+    def looped(t: Column, w: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(t) - times, F.lit(0)))
+        return F.exists(starts, lambda i: F.coalesce(reduce(lambda a, b: a | b, [at(t, w, i, k) for k in range(1, most + 1)]), F.lit(False)))
+
+    tokens, gaps = (F.regexp_extract_all(text, F.lit(token), F.lit(g)) for g in (1, 2))
+    return F.when(text.isNotNull(), bind(tokens, lambda t: bind(gaps, lambda w: looped(t, w))))
 
 
 def numbers(text: Column) -> Column:

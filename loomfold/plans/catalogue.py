@@ -450,10 +450,28 @@ def script_ratio(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.round(rewards.script_penalty(mixed), 6).alias("latin"))
 
 
-@query()
+def _loops(period: int) -> str:
+    """Whether a phrase of ``period`` tokens is four times in a row from this token on, by windows over tokens and the white space after them."""
+    last = 3 * period - 1
+    whole = f"bool_and(same{period}) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND {last - 1} FOLLOWING)" if last > 1 else "true"
+    ends = f"ends_with(token, lead(token, {period}) OVER w) AND starts_with(lead(token, {last + period}) OVER w, lead(token, {last}) OVER w)"
+    inside = [f"lead(gap, {r * period + m}) OVER w = lead(gap, {(r + 1) * period + m}) OVER w" for r in range(3) for m in range(period - 1)]
+    return " AND ".join([whole, ends, *inside])
+
+
+# the first one to six words of a text, three or four times at its end
+@query(f"""WITH body AS (
+  SELECT doc_id, text || repeat(' ' || array_to_string(regexp_extract_all(text, '[^ \\t\\r\\n]+')[:doc_id % 6 + 1], ' '), (3 + doc_id // 6 % 2)::int) AS t FROM documents),
+tokens AS (
+  SELECT doc_id, unnest(regexp_extract_all(t, '([^ \\t\\r\\n]+)([ \\t\\r\\n]*)', 1)) AS token, unnest(regexp_extract_all(t, '([^ \\t\\r\\n]+)([ \\t\\r\\n]*)', 2)) AS gap,
+    generate_subscripts(regexp_extract_all(t, '[^ \\t\\r\\n]+'), 1) AS i FROM body),
+same AS (SELECT *, {", ".join(f"coalesce(token = lead(token, {k}) OVER w, false) AS same{k}" for k in range(1, 6))} FROM tokens WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+begun AS (SELECT doc_id, {" OR ".join(f"coalesce({_loops(k)}, false)" for k in range(1, 6))} AS loops FROM same WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+SELECT doc_id, coalesce(bool_or(loops), false) AS loops FROM body LEFT JOIN begun USING (doc_id) GROUP BY doc_id""")
 def repetition_flag(spark, sf_dir):
-    """Loops of a phrase; back references have no SQL form here."""
-    return table(spark, sf_dir, "documents").select("doc_id", text.has_repetition(F.col("text")).alias("loops"))
+    words = F.slice(F.regexp_extract_all("text", F.lit(r"[^ \t\r\n]+"), F.lit(0)), F.lit(1), (F.col("doc_id") % 6 + 1).cast("int"))
+    tail = F.repeat(F.concat(F.lit(" "), F.array_join(words, " ")), (3 + F.floor(F.col("doc_id") / 6) % 2).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.has_repetition(F.concat("text", tail)).alias("loops"))
 
 
 # whole answers, answers without their last line end, and plain text
