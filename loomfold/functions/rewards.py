@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import ast
 import operator
+import re
 from fractions import Fraction
 
 import pandas as pd
@@ -14,9 +14,10 @@ from pyspark.sql import types as T
 from .scans import bind
 from .text import has_repetition, strip
 
-# Edge marks, numeric tokens, and names that unsafe code mentions.
+# Edge marks, numeric tokens, spellings of answers, and names that unsafe code mentions.
 EDGE_MARKS = ".,!?;:\"'()[]{}—-।"
 NUMERIC = r"^[0-9०-९.,%:/+\-]+\z"
+RESPELLED = (("\n", ""), ("\\!", ""), ("\\\\", "\\"), ("tfrac", "frac"), ("dfrac", "frac"), ("\\left", ""), ("\\right", ""), ("^{\\circ}", ""), ("^\\circ", ""), ("\\$", ""))
 UNSAFE = (" os", " sys", " subprocess", " shutil", " socket", " psutil", " ctypes", " pathlib", " builtins", "__import__")
 
 
@@ -167,9 +168,7 @@ def boxed(text: str | None) -> str | None:
 
 def normal_answer(text: str) -> str:
     """A LaTeX answer in one spelling: spacing, sizes, units, degrees, decimals, roots and fractions."""
-    import re
-
-    for old, new in (("\n", ""), ("\\!", ""), ("\\\\", "\\"), ("tfrac", "frac"), ("dfrac", "frac"), ("\\left", ""), ("\\right", ""), ("^{\\circ}", ""), ("^\\circ", ""), ("\\$", "")):
+    for old, new in RESPELLED:
         text = text.replace(old, new)
     text = text.split("\\text{ ")[0].replace("\\%", "").replace(" .", " 0.").replace("{.", "{0.")
     text = "0" + text if text.startswith(".") else text
@@ -189,35 +188,70 @@ def same_answer(a: str | None, b: str | None) -> bool:
     return normal_answer(a) == normal_answer(b)
 
 
-_OPS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.USub: operator.neg, ast.UAdd: operator.pos, ast.FloorDiv: operator.floordiv}
+# How tightly operators bind; a sign binds more than a product and less than a power.
+BINDING = {"+": 1, "-": 1, "*": 2, "/": 2, "//": 2, "sign": 3, "**": 4}
+ARITHMETIC = re.compile(r"\s*(?:(\d+(?:\.\d*)?|\.\d+)|(\*\*|//|[-+*/()]))")
 
 
-def arithmetic(text: str) -> Fraction | None:
-    """The value of an expression of numbers, + - * / // ** and brackets, worked out over its syntax tree; None if it isn't one."""
-
-    def value(node):
-        if isinstance(node, ast.Constant) and isinstance(node.value, (int, float)) and not isinstance(node.value, bool):
-            return Fraction(node.value)
-        if isinstance(node, ast.UnaryOp) and type(node.op) in _OPS:
-            return _OPS[type(node.op)](value(node.operand))
-        if isinstance(node, ast.BinOp) and type(node.op) in _OPS:
-            return Fraction(_OPS[type(node.op)](value(node.left), value(node.right)))
-        if isinstance(node, ast.BinOp) and isinstance(node.op, ast.Pow):
-            base, power = value(node.left), value(node.right)
-            if power.denominator == 1 and abs(power) <= 64 and max(abs(base.numerator), base.denominator) < 1 << 64:
-                return base ** int(power)
-        raise ValueError(ast.dump(node))
+def _apply(values: list[Fraction], sign: str) -> None:
+    """Replace the last two values, or one for a sign, by the operator's result. A broken or very large power is worked out as a float."""
+    b = values.pop()
+    if sign in ("sign-", "sign+"):
+        values.append(-b if sign == "sign-" else b)
+        return
+    a = values.pop()
+    if sign == "**":
+        exact = b.denominator == 1 and abs(b) <= 64 and max(abs(a.numerator), a.denominator) < 1 << 64
+        power = a ** int(b) if exact else float(a) ** float(b)
+        if isinstance(power, complex):
+            raise ValueError(sign)
+        values.append(Fraction(power))
+    else:
+        values.append(Fraction({"+": operator.add, "-": operator.sub, "*": operator.mul, "/": operator.truediv, "//": operator.floordiv}[sign](a, b)))
+
 
+def arithmetic(text: str) -> Fraction | None:
+    """The value of an expression of numbers, + - * / // ** and brackets, of any length and nesting; None if it isn't one.
+
+    Operators wait on a stack until one that binds less comes; nothing is evaluated as code.
+    """
+    values: list[Fraction] = []
+    waiting: list[str] = []
+    text, at, operand = text.strip(), 0, True  # whether a number, a sign or a bracket may come
+    tight = lambda s: BINDING["sign" if s.startswith("sign") else s]
     try:
-        return value(ast.parse(text.strip(), mode="eval").body) if len(text) <= 1000 else None
-    except (ValueError, SyntaxError, ZeroDivisionError, RecursionError, OverflowError):
+        while at < len(text):
+            m = ARITHMETIC.match(text, at)
+            if m is None or (m[2] in ("*", "/", "//", "**", ")") if operand else m[1] or m[2] == "("):
+                return None
+            at = m.end()
+            if m[1]:
+                if len(m[1]) > 1 and m[1].isdigit() and m[1][0] == "0" and m[1].strip("0"):
+                    return None  # Python has no such number
+                values.append(Fraction(m[1].rstrip(".") if m[1].endswith(".") else m[1]))
+                operand = False
+            elif m[2] == "(":
+                waiting.append("(")
+            elif m[2] == ")":
+                while waiting[-1] != "(":
+                    _apply(values, waiting.pop())
+                waiting.pop()
+            elif operand:
+                waiting.append("sign" + m[2])
+            else:
+                while waiting and waiting[-1] != "(" and (tight(waiting[-1]) > tight(m[2]) or tight(waiting[-1]) == tight(m[2]) and m[2] != "**"):
+                    _apply(values, waiting.pop())
+                waiting.append(m[2])
+                operand = True
+        while waiting:
+            _apply(values, waiting.pop())
+        return values[0] if len(values) == 1 and not operand else None
+    except (ValueError, ZeroDivisionError, OverflowError, IndexError, KeyError):
         return None
 
 
 def countdown_score(text: str | None, target: int, numbers: list[int]) -> float:
     """0 without an answer, 0.1 for a wrong one, 1 for an expression of just the given numbers that meets the target."""
-    import re
-
     answers = re.findall(r"(?s)<answer>(.*?)</answer>", text or "")
     if not answers:
         return 0.0

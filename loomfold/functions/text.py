@@ -160,6 +160,18 @@ def unmask_latex(masked: Column, parts: Column) -> Column:
     return F.aggregate(numbered, masked, lambda t, p: F.replace(t, F.concat(F.lit("\x00LATEX"), p["i"].cast("string"), F.lit("\x00")), p["x"]))
 
 
+def chunked(text: Column, size: int = 1024) -> Column:
+    """The text in pieces of ``size`` code points, for :func:`piece_of`."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+
+
+def piece_of(chunks: Column, start: Column, end: Column, size: int = 1024) -> Column:
+    """The text from ``start`` to ``end``, from the pieces that hold it: many cuts of a long text don't each walk it from its beginning."""
+    first = F.floor(start / size).cast("int")
+    held = F.array_join(F.slice(chunks, first + 1, F.ceil(end / size).cast("int") - first), "")
+    return F.when(end > start, F.substr(held, start - first * size + 1, end - start)).otherwise(F.lit(""))
+
+
 def line_starts(text: Column, every_end: bool = False) -> Column:
     """Code-point offsets of the lines, split at ``\\n`` or, on request, at every line end that Python knows."""
     if not every_end:

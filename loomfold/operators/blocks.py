@@ -12,91 +12,30 @@ from pyspark.sql import types as T
 
 from ..functions.scans import bind
 from ..functions.text import NUMBER, PLACEHOLDER, placeholder_set
+from .markdown import parse_blocks
 
 UNIT = "doc_id string, index int, kind string, translate boolean, char_start int, char_end int, text string"
-FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
-ITEM = re.compile(r" {0,3}(?:[-+*]|\d{1,9}[.)])(?:\s|$)")
-RULE = re.compile(r" {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$")
-TABLE_LINE = re.compile(r" {0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)+\|?[ \t]*$")
 UNTOUCHED = {"code", "math", "rule"}
 
 
-def _kind(lines: list[str], i: int) -> str:
-    line = lines[i]
-    if FENCE.match(line):
-        return "code"
-    if line.lstrip().startswith("$$") or re.match(r" {0,3}\\begin\{(?:equation|align|gather|multline|eqnarray)\*?\}", line):
-        return "math"
-    if re.match(r" {0,3}#{1,6}(?:\s|$)", line):
-        return "heading"
-    if RULE.match(line):
-        return "rule"
-    if ITEM.match(line):
-        return "list"
-    if re.match(r" {0,3}>", line):
-        return "quote"
-    if re.match(r"(?: {4}|\t)", line):
-        return "code"
-    if i + 1 < len(lines) and "|" in line and TABLE_LINE.match(lines[i + 1]):
-        return "table"
-    return "paragraph"
-
-
-def _end(lines: list[str], i: int, kind: str) -> int:
-    """The line after the block that begins at line i."""
-    n, j = len(lines), i + 1
-    if kind == "code" and (mark := FENCE.match(lines[i])):
-        while j < n and not re.match(rf" {{0,3}}{re.escape(mark[1])}", lines[j]):
-            j += 1
-        return min(n, j + 1)
-    if kind == "math":
-        begun = re.match(r"\s*\\begin\{([^}]+)\}", lines[i])
-        close = f"\\end{{{begun[1]}}}" if begun else "$$"
-        if close in (lines[i] if begun else lines[i].strip()[2:]):
-            return j
-        while j < n and close not in lines[j]:
-            j += 1
-        return min(n, j + 1)
-    if kind in ("heading", "rule"):
-        return j
-    while j < n:
-        blank = not lines[j].strip()
-        if kind == "list":
-            more = j + 1 < n and (ITEM.match(lines[j + 1]) or re.match(r"\s{2,}\S", lines[j + 1]))
-            if blank and not more or not blank and not lines[j - 1].strip() and not (ITEM.match(lines[j]) or lines[j][:1].isspace()):
-                break
-            if not blank and not lines[j][:1].isspace() and _kind(lines, j) in ("heading", "code", "math", "rule"):
-                break
-        elif kind == "code":
-            if not blank and not re.match(r"(?: {4}|\t)", lines[j]):
-                break
-        elif blank or kind == "paragraph" and _kind(lines, j) not in ("paragraph", "table") and not re.match(r"(?: {4}|\t)", lines[j]):
-            break
-        j += 1
-    while j > i + 1 and not lines[j - 1].strip():
-        j -= 1
-    return j
+def scan_blocks(text: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of the blocks at the top of a text. The first begins at 0 and the last ends with the text, so units and gaps make it whole."""
+    return [(kind, a, b) for kind, a, b, _ in top_blocks(text)]
 
 
-def scan_blocks(text: str) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of the blocks. The first begins at 0 and the last ends with the text, so units and gaps make it whole."""
-    lines = text.split("\n")
-    starts = [0]
-    for line in lines:
-        starts.append(starts[-1] + len(line) + 1)
-    out, i = [], 0
-    while i < len(lines):
-        if not lines[i].strip():
-            i += 1
-            continue
-        kind = _kind(lines, i)
-        j = _end(lines, i, kind)
-        out.append((kind, starts[i], min(len(text), starts[j] - 1)))
-        i = j
+def top_blocks(text: str) -> list[tuple[str, int, int, list[tuple[int, int]]]]:
+    """:func:`scan_blocks` and, of a list, (start, end) of its own items from the list's start."""
+    nodes = parse_blocks(text)
+    top = [n for n, (_, parent, *_) in enumerate(nodes) if parent < 0]
+    out = [[nodes[n][0], nodes[n][3], nodes[n][4], []] for n in top]
+    place = {n: k for k, n in enumerate(top)}
     if out:
-        out[0] = (out[0][0], 0, out[0][2])
-        out[-1] = (out[-1][0], out[-1][1], len(text))
-    return out
+        out[0][1], out[-1][2] = 0, len(text)
+    for kind, parent, _, start, end, _ in nodes:
+        if kind == "item" and parent in place:
+            own = out[place[parent]]
+            own[3].append((start - own[1] if own[3] else 0, end - own[1]))
+    return [tuple(x) for x in out]
 
 
 def block_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -113,35 +52,120 @@ def block_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return docs.select(docs[doc_id].cast("string").alias("doc_id"), docs[text].alias("body")).mapInPandas(run, UNIT)
 
 
-BLOCK = T.StructType([T.StructField("kind", T.StringType()), T.StructField("translate", T.BooleanType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType())])
+ITEMS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+BLOCK = T.StructType([T.StructField("kind", T.StringType()), T.StructField("translate", T.BooleanType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("items", ITEMS)])
 
 
 @F.pandas_udf(T.ArrayType(BLOCK))
 def scanned(text: pd.Series) -> pd.Series:
-    """:func:`scan_blocks` in the row."""
-    return text.map(lambda t: [{"kind": k, "translate": k not in UNTOUCHED, "start": a, "end": b, "text": t[a:b]} for k, a, b in scan_blocks(t or "")])
+    """:func:`top_blocks` in the row."""
+    return text.map(lambda t: [{"kind": k, "translate": k not in UNTOUCHED, "start": a, "end": b, "text": t[a:b], "items": [{"start": x, "end": y} for x, y in items] if k == "list" else None} for k, a, b, items in top_blocks(t or "")])
 
 
 ONE_SPAN = T.StructType([*[T.StructField(c, T.StringType()) for c in ("placeholder", "original", "kind")], *[T.StructField(c, T.IntegerType()) for c in ("start", "end")]])
 SPAN = T.StructType([T.StructField("protected", T.StringType()), T.StructField("spans", T.ArrayType(ONE_SPAN))])
-SPANS = (("code_inline", re.compile(r"(`+)(?!`)(.+?)(?<!`)\1(?!`)", re.S)), ("math_inline", re.compile(r"\$(?=\S)(?:[^$\n\\]|\\.)+?(?<=\S)\$(?!\d)|\\\(.+?\\\)")), ("link", re.compile(r"(?<=\]\()[^)\s]+(?=\))")))
+PLAIN_NUMBER = re.compile(NUMBER.replace("(?U)", "", 1))
+INLINE = re.compile(r"\\.|`+|\$\$?|!?\[|\]\(|\]|<[A-Za-z][A-Za-z0-9+.-]*:[^<>\s]*>", re.S)
+TARGET = re.compile(r"\(\s*(?:<([^<>\n]*)>|((?:[^()\s\\]|\\.|\((?:[^()\s\\]|\\.)*\))+))(?:\s+(?:\"[^\"]*\"|'[^']*'))?\s*\)")
+
+
+class Runs:
+    """Where runs of backticks of each length, and unescaped dollars, begin in a text; asked for places that only grow."""
+
+    def __init__(self, text: str, start: int, end: int):
+        self.ticks: dict[int, list[int]] = {}
+        self.dollars: dict[int, list[int]] = {1: [], 2: []}
+        for m in re.finditer(r"(\\+)|(`+)|(\$+)", text[start:end]):
+            at = start + m.start()
+            if m[2]:
+                self.ticks.setdefault(len(m[2]), []).append(at)
+            elif m[3]:
+                escaped = m.start() > 0 and self.odd == at
+                own = range(at + escaped, start + m.end())
+                self.dollars[1] += own
+                self.dollars[2] += own[:-1]
+            self.odd = start + m.end() if m[1] and len(m[1]) % 2 else -1
+
+    odd = -1
+
+    @staticmethod
+    def after(places: list[int] | None, at: int) -> int:
+        """The first place from ``at`` on, -1 if there is none."""
+        k = bisect_left(places or [], at)
+        return places[k] if places and k < len(places) else -1
+
+
+def inline_spans(text: str, start: int, end: int, prefixed: bool) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of code, mathematics and link targets in a stretch of running text, in order, by a cursor that only moves forward.
+
+    A backtick run closes with the next run as long; dollars close with the next ones that no backslash escapes; a bracket
+    that a target follows is a link, or an image, whose target stays open to translation. A span whose text a parser would
+    change (code with line ends or blank edges, or lines with marks of containers before them) isn't protected.
+    """
+    runs, out, brackets, at = Runs(text, start, end), [], [], start
+
+    def put(a: int, b: int, kind: str, inner: str) -> None:
+        padded = kind == "code_inline" and (inner[:1] == " " == inner[-1:] and inner.strip(" ") or "\n" in inner)
+        if not padded and not (prefixed and "\n" in inner):
+            out.append((a, b, kind))
+
+    while (m := INLINE.search(text, at, end)) is not None:
+        at, mark = m.end(), m[0]
+        if mark[0] == "`":
+            close = runs.after(runs.ticks.get(len(mark)), at)
+            if close >= 0:
+                put(m.start(), close + len(mark), "code_inline", text[at:close])
+                at = close + len(mark)
+        elif mark[0] == "$":
+            close = runs.after(runs.dollars[len(mark)], at)
+            if close > at:
+                put(m.start(), close + len(mark), "math_inline", text[at:close])
+                at = close + len(mark)
+        elif mark in ("[", "!["):
+            brackets.append(mark)
+        elif mark == "]" and brackets:
+            brackets.pop()
+        elif mark == "](" and brackets:
+            target = TARGET.match(text, m.start() + 1, end)
+            link = brackets.pop() == "["
+            if target:
+                a, b = target.span(1 if target[1] is not None else 2)
+                if link and b > a:
+                    out.append((a, b, "link_url"))
+                    brackets = [x for x in brackets if x != "["]  # no links within links
+                at = target.end()
+        elif mark[0] == "<":
+            out.append((m.start() + 1, m.end() - 1, "link_url"))
+    return out
+
+
+def protected_spans(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of what translation must not touch: nested blocks of mathematics, inline spans of running text, and last the numbers outside of these."""
+    found: list[tuple[int, int, str]] = []
+    for kind, _, depth, a, b, _ in parse_blocks(text):
+        if kind == "math":
+            found.append((a, b, "math_block"))
+        elif kind in ("paragraph", "heading", "table"):
+            found += inline_spans(text, a, b, depth > 0)
+    numbers, k = [], 0
+    for m in PLAIN_NUMBER.finditer(text):
+        while k < len(found) and found[k][1] <= m.start():
+            k += 1
+        if k == len(found) or found[k][0] >= m.end():
+            numbers.append((m.start(), m.end(), "number"))
+    return sorted(found + numbers)
 
 
 def protect(text: str) -> tuple[str, list[tuple[str, str, str, int, int]]]:
-    """The text with numbered placeholders for code, math, link targets and numbers, and the spans they stand for."""
-    found: list[tuple[int, int, str]] = []  # in order, none overlapping
-    for kind, pattern in (*SPANS, ("number", re.compile(NUMBER.replace("(?U)", "", 1)))):
-        new = []
-        for m in pattern.finditer(text):
-            k = bisect_left(found, (m.end(),))  # the last one that begins before the match ends
-            if not k or found[k - 1][1] <= m.start():
-                new.append((m.start(), m.end(), kind))
-        found = sorted(found + new)
-    out, at, spans = [], 0, []
-    for n, (a, b, kind) in enumerate(found):
+    """The text with numbered placeholders for its protected spans, and the spans they stand for. Placeholders that the text has itself are skipped in numbering."""
+    own = set(re.findall(PLACEHOLDER, text))
+    out, at, spans, n = [], 0, [], 0
+    for a, b, kind in protected_spans(text):
+        while f"⟦{n}⟧" in own:
+            n += 1
         spans.append((f"⟦{n}⟧", text[a:b], kind, a, b))
         out += [text[at:a], f"⟦{n}⟧"]
-        at = b
+        at, n = b, n + 1
     return "".join(out) + text[at:], spans
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scans import bind, percentile_of
-from ..functions.text import cosine, has_marker, prior_context, starts_with_closing, starts_with_marker, token_count, word_set
+from ..functions.text import chunked, cosine, has_marker, piece_of, placeholder_set, prior_context, starts_with_closing, starts_with_marker, token_count, word_set
+from .blocks import restore
 from .folds import step_breaks
 
 
@@ -30,11 +31,18 @@ def with_context(units: DataFrame, most: int = 100) -> DataFrame:
 
 
 def with_gaps(units: DataFrame, texts: DataFrame) -> DataFrame:
-    """The text between a unit and the next (units have char_start and char_end, texts doc_id and text)."""
-    following = F.lead("char_start").over(within())
-    own = units.withColumn("next_start", following).join(texts.select("doc_id", F.col("text").alias("whole")), "doc_id")
-    stop = F.coalesce("next_start", F.length("whole"))
-    return own.withColumn("gap", F.substr("whole", F.col("char_end") + 1, stop - F.col("char_end"))).drop("whole", "next_start")
+    """The text between a unit and the next, or the end (units have index, char_start and char_end, texts doc_id and text).
+
+    Offsets are gathered by document and meet each text once, in one row; only the gaps go back to the units.
+    """
+    own = units.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("index", "char_start", "char_end"))).alias("u"))
+
+    def cut(chunks: Column) -> Column:
+        stop = lambda i: F.coalesce(F.get("u", i + 1)["char_start"], F.length("text"))
+        return F.transform("u", lambda u, i: F.struct(u["index"].alias("index"), piece_of(chunks, u["char_end"], stop(i)).alias("gap")))
+
+    gaps = own.join(texts.select("doc_id", "text"), "doc_id").select("doc_id", F.inline(bind(chunked(F.col("text")), cut)))
+    return units.join(gaps, ["doc_id", "index"])
 
 
 def with_share(units: DataFrame) -> DataFrame:
@@ -160,3 +168,35 @@ def reconstruct(units: DataFrame, translations: DataFrame) -> DataFrame:
     own = units.join(translations.select("unit_id", "hi"), "unit_id", "left")
     piece = F.struct("index", F.concat(F.coalesce("hi", "text"), F.coalesce("gap", F.lit(""))).alias("piece"))
     return own.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["piece"]), "").alias("text"))
+
+
+def checked_pieces(units: DataFrame, translations: DataFrame) -> DataFrame:
+    """Units with ``piece``, their text or their translation with its protected spans put back, and ``fault``.
+
+    Units have doc_id, index, text, protected and spans (see :func:`~loomfold.operators.blocks.protected`), translations doc_id, index
+    and ``hi``. The placeholders of a translation are held against those of the unit's spans before anything is put
+    back: ``fault`` has those that are lost and those that are new, and is null where the sets agree. A unit without a
+    translation keeps its text.
+    """
+    own = units.join(translations.select("doc_id", "index", "hi"), ["doc_id", "index"], "left")
+    known = F.array_sort(F.transform("spans", lambda s: s["placeholder"]))
+
+    def judged(found: Column) -> Column:
+        fault = F.struct(F.array_except(known, found).alias("lost"), F.array_except(found, known).alias("new"))
+        return F.when(F.col("hi").isNotNull() & (found != known), fault)
+
+    own = own.withColumn("fault", bind(placeholder_set(F.col("hi")), judged))
+    return own.withColumn("piece", F.when(F.col("hi").isNull(), F.col("text")).when(F.col("fault").isNull(), restore(F.col("hi"), F.col("spans"))))
+
+
+def reconstruct_checked(units: DataFrame, translations: DataFrame) -> DataFrame:
+    """A row for each document: ``text``, or null and the ``failures`` (index, lost, new) of its units.
+
+    One pass gives both outputs; :func:`~loomfold.sources.sinks.write_outcomes` writes them apart. Units have ``gap`` besides, the
+    text after them.
+    """
+    one = F.struct("index", F.concat("piece", F.coalesce("gap", F.lit(""))).alias("piece"), "fault")
+    gathered = checked_pieces(units, translations).groupBy("doc_id").agg(F.array_sort(F.collect_list(one), lambda a, b: F.when(a["index"] < b["index"], -1).when(a["index"] > b["index"], 1).otherwise(0)).alias("u"))
+    failures = F.transform(F.filter("u", lambda u: u["fault"].isNotNull()), lambda u: F.struct(u["index"].alias("index"), u["fault"]["lost"].alias("lost"), u["fault"]["new"].alias("new")))
+    made = gathered.select("doc_id", "u", failures.alias("failures"))
+    return made.select("doc_id", F.when(F.size("failures") == 0, F.array_join(F.transform("u", lambda u: u["piece"]), "")).alias("text"), "failures")

@@ -100,5 +100,13 @@ def area_batches(sizes: Column, most: int) -> Column:
 
 
 def joined_bounds(bounds: Column, spans: Column) -> Column:
-    """Boundaries without those strictly inside a span (start, end)."""
-    return bind(spans, lambda held: F.filter(bounds, lambda b: ~F.exists(held, lambda s: (s["start"] < b) & (b < s["end"]))))
+    """Ascending boundaries without those strictly inside a span (start, end).
+
+    Boundaries and spans are swept together in order: a boundary is inside one if those that began before it reach beyond it.
+    """
+    points = F.transform(bounds, lambda b: F.struct(b.cast("int").alias("at"), F.lit(0).alias("spans"), F.lit(0).alias("end")))
+    begun = F.transform(spans, lambda s: F.struct(s["start"].cast("int").alias("at"), F.lit(1).alias("spans"), s["end"].cast("int").alias("end")))
+    zero = F.struct(F.lit(0).alias("reach"))
+    step = lambda a, x: F.struct(F.greatest(a["reach"], x["end"]).alias("reach"))
+    kept = scan(F.array_sort(F.concat(points, begun)), zero, step, lambda before, x, after: F.when((x["spans"] == 0) & (before["reach"] <= x["at"]), x["at"]), "int")
+    return F.filter(kept, lambda x: x.isNotNull())

@@ -7,52 +7,26 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import summed, values_at
+
 
 def source_totals(docs: DataFrame, source: str, steps: Column) -> DataFrame:
     """Documents and steps by source, with a row for all (source null)."""
     return docs.rollup(source).agg(F.count(F.lit(1)).alias("docs"), F.sum(steps).alias("steps"))
 
 
-def index_quantiles(df: DataFrame, value: str, at: dict[str, tuple[int, int]], fine: int = 100_000) -> DataFrame:
+def index_quantiles(df: DataFrame, value: str, at: dict[str, tuple[int, int]]) -> DataFrame:
     """Values at ranks ``n * a // b`` of the ascending order, null for an empty table; count, min and max besides.
 
-    For each rank the interval of values that holds it is narrowed by exact counts between approximate percentiles, until it has
-    one value or at most ``fine`` rows; only those meet in one order.
+    All ranks are found together by exact counts of ranges, in as many passes whatever their number.
     """
     own = df.where(F.col(value).isNotNull()).select(value)
     ends = own.agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"))
-    n = ends.first()["n"]
-    for name, (a, b) in at.items():
-        ends = ends.withColumn(name, F.lit(_value_at(own, value, n * a // b + 1, fine) if n else None).cast(df.schema[value].dataType))
-    return ends
-
-
-def _value_at(own: DataFrame, value: str, rank: int, fine: int):
-    """The value at a rank from 1."""
-    inside, below = own, 0
-    while True:
-        rows = inside.count()
-        if rows <= fine:
-            first = inside.groupBy(value).agg(F.count(F.lit(1)).alias("c")).withColumn("upto", F.sum("c").over(Window.orderBy(value)))
-            return first.where(F.col("upto") >= rank - below).agg(F.min(value).alias("v")).first()["v"]
-        cuts = sorted(set(inside.agg(F.percentile_approx(value, [i / 64 for i in range(65)], 10_000).alias("c")).first()["c"]))
-        if len(cuts) == 1:
-            return cuts[0]
-        held = F.array(*[F.lit(c) for c in cuts])
-        counts = {r["k"]: r["count"] for r in inside.groupBy(F.size(F.filter(held, lambda c: c < F.col(value))).alias("k")).count().collect()}  # 66 rows at most
-        for k in sorted(counts):
-            if below + counts[k] >= rank:
-                break
-            below += counts[k]
-        # rows of this range lie above cuts[k - 1] and up to cuts[k]
-        lower = F.col(value) > cuts[k - 1] if k else F.lit(True)
-        upper = F.col(value) <= cuts[k] if k < len(cuts) else F.lit(True)
-        inside = inside.where(lower & upper)
-        if k and k < len(cuts) and counts[k] == rows:  # no narrower: nearly all rows have one value
-            top = inside.where(F.col(value) == cuts[k]).count()
-            if below + rows - top < rank:
-                return cuts[k]
-            inside = inside.where(F.col(value) < cuts[k])
+    row = ends.first()
+    ranks = {name: row["n"] * a // b + 1 for name, (a, b) in at.items()}
+    found = values_at(own, value, sorted(set(ranks.values()))) if row["n"] else {}
+    kind = df.schema[value].dataType
+    return df.sparkSession.range(1).select(F.lit(row["n"]).cast("long").alias("n"), *[F.lit(row[c]).cast(kind).alias(c) for c in ("least", "most")], *[F.lit(found.get(r)).cast(kind).alias(name) for name, r in ranks.items()])
 
 
 def weighted_mean(df: DataFrame, value: str, weight: str, by: list[str] | None = None) -> DataFrame:
@@ -93,13 +67,17 @@ def loss(df: DataFrame, value: str, row: str, how: str) -> DataFrame:
 def pack_global(docs: DataFrame, doc_id: str, ids: str, size: int, keep_tail: bool = False) -> DataFrame:
     """All ids in the order of documents, cut into blocks of a size; the last, shorter one is kept on request.
 
-    Offsets are running sums over documents, found from sums of document ranges, so no task walks the corpus.
+    Offsets are running sums over documents, found from sums of document ranges, so no task walks the corpus. Documents without
+    an id come first, in the order of a hash, and rows that repeat one after the other.
     """
     lengths = docs.select(F.col(doc_id).alias("d"), F.col(ids).alias("ids"), F.size(ids).alias("n")).where("n > 0")
-    bucket = lengths.withColumn("range", F.floor(F.col("d") / 4096))
-    sums = bucket.groupBy("range").agg(F.sum("n").alias("s")).withColumn("before", F.coalesce(F.sum("s").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("range", "before")
-    w = Window.partitionBy("range").orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
-    placed = bucket.withColumn("own", F.coalesce(F.sum("n").over(w), F.lit(0))).join(sums, "range").withColumn("at", F.col("before") + F.col("own"))
+    # only ids and lengths are ordered; the lists come back by their document
+    own = lengths.withColumn("key", F.xxhash64("d", "ids"))
+    ends, _ = summed(own.select("d", "key", "n"), "d", "end", F.col("n"), tie="key")
+    ends = ends.groupBy("d", "key", "n").agg(F.array_sort(F.collect_list("end")).alias("ends"))
+    lists = own.groupBy("d", "key", "n").agg(F.first("ids").alias("ids"))
+    same = F.col("a.d").eqNullSafe(F.col("b.d")) & (F.col("a.key") == F.col("b.key"))
+    placed = lists.alias("a").join(ends.alias("b"), same).select(F.col("a.n").alias("n"), "ids", F.explode("ends").alias("end")).withColumn("at", F.col("end") - F.col("n"))
     parts = placed.select("at", "n", "ids", F.explode(F.sequence(F.floor(F.col("at") / size), F.floor((F.col("at") + F.col("n") - 1) / size))).alias("block"))
     start = F.greatest(F.lit(0).cast("long"), F.col("block") * size - F.col("at"))
     stop = F.least(F.col("n").cast("long"), (F.col("block") + 1) * size - F.col("at"))

@@ -34,16 +34,16 @@ def range_of(value: Column, cuts: list) -> Column:
     return F.when(value.isNull(), -1).otherwise(bind(coarse, lambda k: F.coalesce(inside(k), F.lit(len(own)))))
 
 
-def ranked(df: DataFrame, order: str, name: str = "rank", ranges: int | None = None, tie: str | None = None) -> tuple[DataFrame, int]:
-    """``df`` with the place of each row from 1 in the order of a numeric column, and the number of rows.
+def summed(df: DataFrame, order: str, name: str, weight: Column | None = None, ranges: int | None = None, tie: str | None = None) -> tuple[DataFrame, int]:
+    """``df`` with the sum of whole, not negative weights (1 by default) up to and with each row in the order of a numeric column, and the sum of all.
 
-    Each range is numbered by its own task and moved by the counts of the ranges before. Nulls come first. Rows that share a
+    Each range is summed by its own task and moved by the sums of the ranges before. Nulls come first. Rows that share a
     value are ordered by ``tie``, a numeric column, or by a hash of the whole row; a frequent value, or null, is cut by that
-    as well, so its rows don't meet in one task either. Rows that share both have places in some order.
+    as well, so its rows don't meet in one task either. Rows that share both come in some order.
     """
     n = ranges or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     flat = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
-    own = df.withColumn("_tie", F.col(tie) if tie else F.xxhash64(*flat))
+    own = df.withColumn("_tie", F.col(tie) if tie else F.xxhash64(*flat)).withColumn("_weight", F.lit(1) if weight is None else weight)
     cuts = cut_points(own, order, n)
     frequent = [v for v, same in groupby(cuts) if len(list(same)) > 1]
     part = range_of(F.col(order), cuts)
@@ -55,15 +55,21 @@ def ranked(df: DataFrame, order: str, name: str = "rank", ranges: int | None = N
     of_value = F.element_at(F.create_map(*[x for v, c in known.items() for x in (F.lit(v), F.array(*[F.lit(y) for y in c]))]), F.col(order)) if known else empty
     below = F.coalesce(F.size(F.filter(F.when(F.col(order).isNull(), of_null).otherwise(of_value), lambda c: c < F.col("_tie"))), F.lit(0))
     placed = own.withColumn("_range", part).withColumn("_sub", F.greatest(below, F.lit(0)))
-    counts = {(r["_range"], r["_sub"]): r["count"] for r in placed.groupBy("_range", "_sub").count().collect()}  # at most two rows for each range
+    sums = {(r["_range"], r["_sub"]): r["s"] for r in placed.groupBy("_range", "_sub").agg(F.sum("_weight").alias("s")).collect()}  # at most two rows for each range
     before, at = [], 0
-    for k in sorted(counts):
+    for k in sorted(sums):
         before.append((k, at))
-        at += counts[k]
+        at += sums[k]
     key = F.concat_ws("/", F.col("_range").cast("string"), F.col("_sub").cast("string"))
     offsets = F.create_map(*[x for (a, b), v in before for x in (F.lit(f"{a}/{b}"), F.lit(v).cast("long"))]) if before else F.lit(None).cast("map<string,bigint>")
-    number = F.row_number().over(Window.partitionBy("_range", "_sub").orderBy(order, "_tie"))
-    return placed.withColumn(name, number + F.element_at(offsets, key)).drop("_range", "_sub", "_tie"), at
+    w = Window.partitionBy("_range", "_sub").orderBy(order, "_tie")
+    upto = F.row_number().over(w) if weight is None else F.sum("_weight").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return placed.withColumn(name, upto + F.element_at(offsets, key)).drop("_range", "_sub", "_tie", "_weight"), at
+
+
+def ranked(df: DataFrame, order: str, name: str = "rank", ranges: int | None = None, tie: str | None = None) -> tuple[DataFrame, int]:
+    """``df`` with the place of each row from 1 in the order of :func:`summed`, and the number of rows."""
+    return summed(df, order, name, None, ranges, tie)
 
 
 def values_at(df: DataFrame, value: str, ranks: list[int], ranges: int = 1024) -> dict[int, object]:

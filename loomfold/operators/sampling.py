@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import in_validation, seeded_order
+from .ordering import ranked
 
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
@@ -24,25 +25,6 @@ def hash_split(df: DataFrame, key: str, fraction: float) -> DataFrame:
     return df.withColumn("split", F.when(in_validation(F.col(key).cast("string"), fraction), "validation").otherwise("train"))
 
 
-def ranked(df: DataFrame, order: str, name: str = "rank", ranges: int | None = None) -> tuple[DataFrame, int]:
-    """``df`` with the place of each row from 1 in the order of a numeric column, and the number of rows.
-
-    Rows are dealt to ranges of the column, numbered in each by its own task, and moved by the counts of the ranges before; so
-    no task sorts the table. Nulls come first. Rows that share a value have places in some order.
-    """
-    n = ranges or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cuts = df.agg(F.percentile_approx(order, [i / n for i in range(1, n)], 10_000).alias("c")).first()["c"] if n > 1 else None
-    held = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
-    placed = df.withColumn("_range", F.coalesce(F.size(F.filter(held, lambda c: c < F.col(order))), F.lit(0)))
-    counts = {r["_range"]: r["count"] for r in placed.groupBy("_range").count().collect()}  # a row for each range
-    before, at = {}, 0
-    for k in sorted(counts):
-        before[k], at = at, at + counts[k]
-    offsets = F.map_from_arrays(F.array(*[F.lit(k) for k in before]), F.array(*[F.lit(v).cast("long") for v in before.values()])) if before else F.lit(None).cast("map<int,bigint>")
-    own = F.row_number().over(Window.partitionBy("_range").orderBy(order))
-    return placed.withColumn(name, own + F.element_at(offsets, F.col("_range"))).drop("_range"), at
-
-
 def head_split(df: DataFrame, order: str, fraction: float) -> DataFrame:
     """``split``: the first ``max(1, n * fraction)`` rows are eval (none for a fraction of 0), the others train."""
     rows, n = ranked(df, order, "_rank")
@@ -82,9 +64,7 @@ def limit_splits(splits: dict[str, DataFrame], limits: dict[str, int], order: st
     if not limits:
         return splits
     ((_, df),) = splits.items()
-    # as many rows as all limits ask for, kept by each partition before they meet
-    first, out, at = df.orderBy(order).limit(sum(limits.values())), {}, 0
-    rows = first.withColumn("_rank", F.row_number().over(Window.orderBy(order)))
+    (rows, _), out, at = ranked(df, order, "_rank"), {}, 0
     for k in sorted(limits, key=lambda k: k != "test"):
         out[k] = rows.where(F.col("_rank").between(at + 1, at + limits[k])).drop("_rank")
         at += limits[k]

@@ -1,7 +1,7 @@
 """Units of a document as one array: dependent neighbours merged, oversized units split, units grouped into steps.
 
-A unit is a struct of index, kind, translate, char_start, char_end, text, tokens and merged_from. All of it happens in the
-row, as expressions over the array; nothing is exchanged.
+A unit is a struct of index, kind, translate, char_start, char_end, text, tokens, merged_from and, for a list as it was found, the
+offsets of its items. All of it happens in the row, as expressions over the array; nothing is exchanged.
 """
 
 from __future__ import annotations
@@ -10,28 +10,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scans import bind, percentile_of, runs_of, scan
-from ..functions.text import NUMBER, ends_with_colon, match_spans, sentence_spans, starts_with_marker, token_count
+from ..functions.text import NUMBER, chunked, ends_with_colon, match_spans, piece_of, sentence_spans, starts_with_marker, token_count
 from .blocks import scanned
 from .folds import absorb_orphans, budget_groups, joined_bounds, short_runs, step_breaks
 
-UNIT = "struct<index:int,kind:string,translate:boolean,char_start:int,char_end:int,text:string,tokens:int,merged_from:array<string>>"
+UNIT = "struct<index:int,kind:string,translate:boolean,char_start:int,char_end:int,text:string,tokens:int,merged_from:array<string>,items:array<struct<start:int,end:int>>>"
 #: Spans that a sentence boundary may not cut: code, mathematics, link targets, numbers.
 KEPT_WHOLE = r"(?s)`[^`]+`|\$[^$\n]+\$|\\\(.+?\\\)|(?<=\]\()[^)\s]+(?=\))|" + NUMBER.replace("(?U)", "", 1)
-ITEM_START = r"(?m)^(?= ?(?:[-+*]|\d{1,9}[.)])(?:[ \t]|$))"
+ITEMS = "array<struct<start:int,end:int>>"
 
 
-def unit(index: Column, kind: Column, translate: Column, start: Column, end: Column, text: Column, merged: Column | None = None) -> Column:
+def unit(index: Column, kind: Column, translate: Column, start: Column, end: Column, text: Column, merged: Column | None = None, items: Column | None = None) -> Column:
     none = F.lit(None).cast("array<string>")
     return F.struct(
         index.cast("int").alias("index"), kind.alias("kind"), translate.alias("translate"), start.cast("int").alias("char_start"), end.cast("int").alias("char_end"),
         text.alias("text"), token_count(text).alias("tokens"), (none if merged is None else merged).alias("merged_from"),
+        (F.lit(None).cast(ITEMS) if items is None else items).alias("items"),
     )
 
 
 def block_arrays(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``whole`` and ``u``: the markdown blocks of each document as units; null and blank texts have none."""
     own = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("whole")).withColumn("b", scanned(F.col("whole")))
-    return own.select("doc_id", "whole", numbered(F.transform("b", lambda b: unit(F.lit(0), b["kind"], b["translate"], b["start"], b["end"], b["text"]))).alias("u"))
+    return own.select("doc_id", "whole", numbered(F.transform("b", lambda b: unit(F.lit(0), b["kind"], b["translate"], b["start"], b["end"], b["text"], items=b["items"]))).alias("u"))
 
 
 def numbered(units: Column) -> Column:
@@ -39,10 +40,10 @@ def numbered(units: Column) -> Column:
     return F.transform(units, lambda u, i: u.withField("index", i.cast("int")))
 
 
-def _merged(group: Column, whole: Column) -> Column:
-    """One unit of consecutive ones, from the text between their ends; a single one as it is."""
+def _merged(group: Column, chunks: Column) -> Column:
+    """One unit of consecutive ones, from the text (in chunks) between their ends; a single one as it is."""
     first, last = F.get(group, F.lit(0)), F.get(group, F.size(group) - 1)
-    text = F.substr(whole, first["char_start"] + 1, last["char_end"] - first["char_start"])
+    text = piece_of(chunks, first["char_start"], last["char_end"])
     return F.when(F.size(group) == 1, first).otherwise(unit(first["index"], first["kind"], F.lit(True), first["char_start"], last["char_end"], text, F.transform(group, lambda u: u["kind"])))
 
 
@@ -58,20 +59,20 @@ def merge_units(units: Column, whole: Column, least: int) -> Column:
         return runs_of(groups, absorb_orphans(F.transform(groups, described), least))
 
     pairs = bind(bind(units, lambda us: runs_of(us, short_runs(judged(us), least))), absorbed)
-    return numbered(F.transform(pairs, lambda gs: bind(F.flatten(gs), lambda g: _merged(g, whole))))
+    return numbered(bind(chunked(whole), lambda c: F.transform(pairs, lambda gs: bind(F.flatten(gs), lambda g: _merged(g, c)))))
 
 
 def _cut(u: Column, spans: Column) -> Column:
     """A unit's parts at (start, end) offsets of its text; the unit itself for one."""
-    part = lambda s, i: unit(i, u["kind"], F.lit(True), u["char_start"] + s["start"], u["char_start"] + s["end"], F.substr(u["text"], s["start"] + 1, s["end"] - s["start"]), u["merged_from"])
-    return bind(spans, lambda s: F.when(F.size(s) <= 1, F.array(u)).otherwise(F.transform(s, part)))
+    part = lambda c: lambda s, i: unit(i, u["kind"], F.lit(True), u["char_start"] + s["start"], u["char_start"] + s["end"], piece_of(c, s["start"], s["end"]), u["merged_from"])
+    return bind(spans, lambda s: F.when(F.size(s) <= 1, F.array(u)).otherwise(bind(chunked(u["text"]), lambda c: F.transform(s, part(c)))))
 
 
 def within_budget(text: Column, spans: Column, most: int) -> Column:
     """Consecutive (start, end) spans joined while their tokens stay within the budget; one that is larger alone stays whole."""
 
     def joined(s: Column) -> Column:
-        counts = F.transform(s, lambda x: token_count(F.substr(text, x["start"] + 1, x["end"] - x["start"])))
+        counts = bind(chunked(text), lambda c: F.transform(s, lambda x: token_count(piece_of(c, x["start"], x["end"]))))
         return F.transform(runs_of(s, budget_groups(counts, most)), lambda g: F.struct(F.get(g, F.lit(0))["start"].alias("start"), F.get(g, F.size(g) - 1)["end"].alias("end")))
 
     return bind(spans, joined)
@@ -88,21 +89,14 @@ def safe_sentences(text: Column) -> Column:
     return bind(sentence_spans(text), joined)
 
 
-def item_spans(text: Column) -> Column:
-    """(start, end) of a list's top-level items, without blank lines after them."""
-    parts = F.filter(F.split(text, ITEM_START, -1), lambda x: x != "")
-    placed = scan(parts, F.struct(F.lit(0).alias("at")), lambda s, x: F.struct((s["at"] + F.length(x)).alias("at")), lambda before, x, after: F.struct(before["at"].alias("start"), (before["at"] + F.length(F.regexp_replace(x, r"\s+\z", ""))).alias("end")), "struct<start:int,end:int>")
-    return F.filter(placed, lambda s: s["end"] > s["start"])
-
-
 def split_units(units: Column, most: int) -> Column:
     """Oversized units to translate in parts: lists at items (but not those merged with a lead-in), paragraphs at sentences; tables and others stay."""
 
     def parts(u: Column) -> Column:
         big = u["translate"] & (u["tokens"] > most)
-        lists = big & (u["kind"] == "list") & u["merged_from"].isNull()
+        lists = big & (u["kind"] == "list") & u["items"].isNotNull()
         return (
-            F.when(lists, bind(item_spans(u["text"]), lambda s: F.when(F.size(s) <= 1, F.array(u)).otherwise(_cut(u, within_budget(u["text"], s, most)))))
+            F.when(lists, bind(u["items"], lambda s: F.when(F.size(s) <= 1, F.array(u)).otherwise(_cut(u, within_budget(u["text"], s, most)))))
             .when(big & (u["kind"] == "paragraph"), _cut(u, within_budget(u["text"], safe_sentences(u["text"]), most)))
             .otherwise(F.array(u))
         )
@@ -132,20 +126,20 @@ def group_steps(units: Column, whole: Column, most: int = 600, least: int = 80,
         rows = F.zip_with(units, similarities, lambda u, s: F.struct(u.alias("u"), s.alias("s")))
     alone = lambda r: scan(F.transform(r, lambda x: x["u"]), F.struct(F.lit(0).alias("n"), F.lit(False).alias("t")), lambda a, u: F.struct((a["n"] + F.when(u["translate"] & a["t"], 0).otherwise(1)).alias("n"), u["translate"].alias("t")), lambda before, u, after: after["n"], "int")
 
-    def grouped(run: Column) -> Column:
+    def grouped(run: Column, chunks: Column) -> Column:
         inner = F.slice(run, 2, F.greatest(F.size(run) - 1, F.lit(0)))
         cut = F.when(F.size(run) >= fewest, percentile_of(F.filter(F.transform(inner, lambda r: r["s"]), lambda x: x.isNotNull()), percent))
         marker = (lambda u: starts_with_marker(u["text"])) if markers else (lambda u: F.lit(False))
         judged = F.transform(run, lambda r: F.struct(r["u"]["tokens"].alias("tokens"), (r["u"]["kind"] == "heading").alias("heading"), marker(r["u"]).alias("marker"), r["s"].alias("similarity")))
         number = lambda why: scan(why, F.struct(F.lit(0).alias("n")), lambda a, w: F.struct((a["n"] + w.isNotNull().cast("int")).alias("n")), lambda before, w, after: after["n"], "int")
-        return F.transform(runs_of(run, number(step_breaks(judged, most, least, cut))), lambda g: _merged(F.transform(g, lambda r: r["u"]), whole))
+        return F.transform(runs_of(run, number(step_breaks(judged, most, least, cut))), lambda g: _merged(F.transform(g, lambda r: r["u"]), chunks))
 
-    return numbered(F.flatten(F.transform(bind(rows, lambda r: runs_of(r, alone(r))), lambda run: bind(run, grouped))))
+    return numbered(bind(chunked(whole), lambda chunks: F.flatten(F.transform(bind(rows, lambda r: runs_of(r, alone(r))), lambda run: bind(run, lambda r: grouped(r, chunks))))))
 
 
 def gaps_of(units: Column, whole: Column) -> Column:
     """The text after each unit up to the next; the last has none."""
-    return bind(units, lambda us: F.transform(us, lambda u, i: F.coalesce(F.substr(whole, u["char_end"] + 1, F.get(us, i + 1)["char_start"] - u["char_end"]), F.lit(""))))
+    return bind(chunked(whole), lambda c: bind(units, lambda us: F.transform(us, lambda u, i: F.coalesce(F.when(i + 1 < F.size(us), piece_of(c, u["char_end"], F.get(us, i + 1)["char_start"])), F.lit("")))))
 
 
 def invariants(units: Column, whole: Column) -> Column:

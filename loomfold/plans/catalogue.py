@@ -580,4 +580,4 @@ def hash_modulo(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.pmod(low, F.lit(997).cast("decimal(20,0)")).cast("long").alias("low"))
 
 
-from . import rows  # noqa: E402, F401 - registers its queries here
+from . import rows, structure  # noqa: E402, F401 - register their queries here

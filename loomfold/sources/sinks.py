@@ -29,6 +29,14 @@ def write_splits(df: DataFrame, path: str, split: str = "split") -> None:
     df.write.mode("overwrite").partitionBy(split).parquet(path)
 
 
+def write_outcomes(made: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Documents that were made and the faults of those that weren't (see ``reconstruct_checked``), written by one job into a folder each; gives both."""
+    made.withColumn("outcome", F.when(F.size("failures") == 0, "made").otherwise("failed")).write.mode("overwrite").partitionBy("outcome").parquet(path)
+    both = made.sparkSession.read.schema(made.schema.add("outcome", "string")).parquet(path)
+    failed = both.where("outcome = 'failed'").select("doc_id", F.inline("failures"))
+    return both.where("outcome = 'made'").select("doc_id", "text"), failed
+
+
 def flagged_report(df: DataFrame, order: list[str], most: int) -> str:
     """The first rows as a JSON array with indents."""
     rows = df.orderBy(*order).limit(most).select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j")).collect()  # bounded by most

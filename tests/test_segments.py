@@ -154,7 +154,7 @@ def test_ranks_and_quantiles_without_one_task(spark):
     rows, n = sampling.ranked(df, "v", ranges=7)
     got = sorted((r["rank"], r["v"]) for r in rows.collect())
     assert n == 1600 and [k for k, _ in got] == list(range(1, 1601)) and [v for _, v in got] == sorted(values)
-    q = measures.index_quantiles(df, "v", {"p10": (1, 10), "p50": (1, 2), "p99": (99, 100)}, fine=50).first()
+    q = measures.index_quantiles(df, "v", {"p10": (1, 10), "p50": (1, 2), "p99": (99, 100)}).first()
     s = sorted(values)
     assert (q["n"], q["p10"], q["p50"], q["p99"]) == (1600, s[160], s[800], s[1584])
     empty = measures.index_quantiles(df.limit(0), "v", {"p": (1, 2)}).first()
