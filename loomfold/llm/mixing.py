@@ -100,14 +100,15 @@ def _rate(steps: list[list[float]]) -> Column:
     return out
 
 
-def fit_rates(loads: DataFrame, targets: list[float], rounds: int = 60, tolerance: float = 1e-3) -> tuple[list[list[float]], list[float]]:
+def fit_rates(loads: DataFrame, targets: list[float], rounds: int = 200, tolerance: float = 1e-3) -> tuple[list[list[float]], list[float]]:
     """The steps of :func:`_rate`, and each total less its target. ``loads`` has ``l0, l1, ...``: tokens times posterior of each document.
 
     The misfits are squared in tokens. A step is their gradient scaled by the inverse Gram matrix of the
     documents whose rate is above 0 - those cut off at 0 no longer answer, and would make it far too short - and halved until
     the squares fall by a tenth. Where that fails, as it does if no rates meet the targets, the plain gradient with
     the length that is best for those documents is taken. Ends when every total is within ``tolerance`` of its target or the
-    squares no longer fall; the misfits say which. Running out of rounds is an error.
+    squares no longer fall, or when the rounds, each a scan of the loads or a few, are used up: each round leaves rates that fit better, and the misfits
+    say how well.
     """
     dims = range(len(targets))
     squares = lambda miss: sum(m * m for m in miss)
@@ -135,7 +136,7 @@ def fit_rates(loads: DataFrame, targets: list[float], rounds: int = 60, toleranc
         else:
             return steps, miss
         steps, (miss, gram) = [*steps, step], then
-    raise RuntimeError(f"rates not found in {rounds} rounds: totals miss {targets} by {miss}")
+    return steps, miss
 
 
 def _solve(matrix: list[list[float]], right: list[float], ridge: float) -> list[float]:
@@ -159,7 +160,7 @@ def mix_documents(docs: DataFrame, labels: DataFrame, keep: dict[str, float] | N
 
     ``keep`` is the share of its expected tokens that each domain is to have afterwards, from which the target totals come.
     ``misfit``, the same in every row, is the largest distance of an expected total from its target, as a share of the target;
-    it is above 0.001 only where no rates meet the targets, which is logged as well.
+    it is above 0.001 only where no rates meet the targets or the rounds didn't do, which is logged as well.
     Null and empty texts have no tokens and the prior as posterior, so they keep a rate of 1; null ids and repeated rows are
     documents like others, and rows of one id and rate become as many copies each; texts of any length are read whole;
     without labels all domains are equally likely; an empty table gives no rows; further columns are carried only.
@@ -182,7 +183,7 @@ def mix_documents(docs: DataFrame, labels: DataFrame, keep: dict[str, float] | N
         steps, miss = fit_rates(loads, targets)
     misfit = max(abs(m) / max(1.0, t) for m, t in zip(miss, targets, strict=True))
     if misfit > 1e-3:
-        log.warning("no rates meet the targets %s of %s: the totals miss them by %s", targets, DOMAINS, miss)
+        log.warning("rates don't meet the targets %s of %s: the totals miss them by %s", targets, DOMAINS, miss)
     rated = judged.withColumn("rate", _rate(steps))
     chance = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     copies = (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("int")

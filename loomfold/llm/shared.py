@@ -6,6 +6,7 @@ import atexit
 import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,11 +54,27 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+_results: list[list[str]] = []
+
+
+@contextmanager
+def until_written(spark: SparkSession):
+    """Tables that operators keep for their results are deleted when the block ends: what is made in it is to be written in it."""
+    own: list[str] = []
+    _results.append(own)
+    try:
+        yield
+    finally:
+        _results.remove(own)
+        for path in own:
+            delete_path(spark, path)
+
+
 class Scratch:
     """The scratch tables of one operator, by name. Leaving the block deletes all but those kept.
 
-    What an operator returns may read kept tables only; they last until the application ends, so an operator keeps narrow
-    ones.
+    What an operator returns may read kept tables only; they last until the application ends, or until the end of the
+    :func:`until_written` that is open.
     """
 
     def __init__(self, spark: SparkSession):
@@ -77,6 +94,8 @@ class Scratch:
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
         if not keep:
             self.paths.setdefault(name, []).append(path)
+        elif _results:
+            _results[-1].append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def free(self, *names: str) -> None:
