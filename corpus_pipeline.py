@@ -14,7 +14,7 @@ from loomfold.llm.linededup import dedup_lines
 from loomfold.llm.mixing import mix_documents
 from loomfold.llm.ngramjoin import jaccard_components
 from loomfold.llm.packing import pack_documents
-from loomfold.llm.shared import Scratch, broadcast_if_small
+from loomfold.llm.shared import Scratch, broadcast_if_small, until_written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -23,7 +23,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents without letters go, and those whose n-grams speak against all learned languages (``lang_known``).
 
     So null and empty texts go; if no row teaches a language all go. Rows that repeat and null ids are judged by their text
-    like others; texts of any length are read whole; an empty table gives none.
+    like others, and of languages that fit alike the first by name is taken; texts of any length are read whole; columns besides
+    those of documents are not read; an empty table gives none.
     """
     judged = predict_languages(docs, fit_languages(docs), carry=COLUMNS)
     kept = judged.where((F.col("lang_pred") != "und") & F.col("lang_known"))
@@ -33,7 +34,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that a smaller document holds go; documents that lose all their lines go with them.
 
-    ``n_chars`` is that of what is left. Null texts stay null, with null ``n_chars``; rows that repeat an id are one
+    ``n_chars`` is that of what is left; of columns besides those of documents none is read, whatever its name. Null texts stay null, with null ``n_chars``; rows that repeat an id are one
     document, as are all without an id, which comes last; lines of any length are compared whole; an empty table gives none.
     """
     out = dedup_lines(docs.select(*COLUMNS))
@@ -46,7 +47,8 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each group linked by five-word shingles at 0.8 the smallest document stays.
 
     Documents without an id stay, as do those without words, which link with nothing. Rows that repeat an id are one
-    document and stay or go together. An empty table gives none.
+    document and stay or go together; equal texts are a group like others. Columns besides those of documents are not read. An
+    empty table gives none.
     """
     found = jaccard_components(docs, words=5, percent=80)
     gone = found.where("component_id < doc_id").select("doc_id").distinct()
@@ -57,7 +59,7 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Each document as often as its rate says: good ones about once, poor and toxic ones seldom.
 
     Null and empty texts have no tokens and stay once. Rows that repeat an id have their rates each and share their luck; rows
-    without an id share it too. Labels of other documents, null labels and contradicting ones do no harm; without labels
+    without an id share it too. Columns besides those of documents are not read. Labels of other documents, null labels and contradicting ones do no harm; without labels
     all have the same posterior. An empty table gives none.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -69,8 +71,8 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces in sequences of 4096, with their ids.
 
-    Null and empty texts are the end id alone; rows that repeat are packed each; long texts become several pieces; an empty
-    table gives none.
+    Null and empty texts are the end id alone; rows that repeat are packed each; pieces of equal length go in the order of
+    partitions; long texts become several pieces; columns besides id and text are not read; an empty table gives none.
     """
     return pack_documents(docs, with_ids=True)
 
@@ -93,7 +95,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     with Scratch(spark) as scratch:
         before = None
         for name, stage in STAGES[:-1]:
-            docs = scratch.table(stage(spark, docs, sf_dir), f"stage-{name}")
+            with until_written(spark):  # what the stage's operator keeps goes as well
+                docs = scratch.table(stage(spark, docs, sf_dir), f"stage-{name}")
             if before:
                 scratch.free(before)
             before = f"stage-{name}"
