@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import in_validation, seeded_order
@@ -16,6 +18,32 @@ def sample_rows(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     return df.orderBy(seeded_order(F.col(key), seed), key).limit(n)
 
 
+def shards_of(spark: SparkSession, path: str, name: str) -> dict[str, list[str]]:
+    """The files of a Parquet table by shard: the part of the path that the pattern finds below the table's folder."""
+    out: dict[str, list[str]] = {}
+    for file in spark.read.parquet(path).inputFiles():
+        found = re.search(name, file[file.find(path.split(":")[-1]) + len(path.split(":")[-1]) :])
+        out.setdefault(found[0] if found else file.rsplit("/", 1)[-1], []).append(file)
+    return out
+
+
+def sample_shards(spark: SparkSession, path: str, n: int, rows_per_shard: int, seed: int = 0, name: str = r"part-\d+") -> DataFrame:
+    """n rows without replacement (all, if fewer) from a few shards of a Parquet table, with ``shard`` and ``row_index`` besides.
+
+    As many shards are drawn as n rows need, and two more; they are those with the lowest hashes of seed and shard. Only their
+    files are read. Rows are those with the lowest hashes of seed, shard and place in the file, so a draw can be had again from the
+    same files, and files elsewhere in the table change nothing in it. Files of one shard count as one if each row index is in one of them.
+    """
+    shards = shards_of(spark, path, name)
+    few = min(len(shards), max(1, n // rows_per_shard + 2))
+    drawn = sorted(shards, key=lambda s: (hashlib.md5(f"{seed}:{s}".encode()).hexdigest(), s))[:few]
+    rows = spark.read.option("basePath", path).parquet(*[f for s in drawn for f in shards[s]])
+    shard = F.regexp_extract("_metadata.file_path", name, 0)
+    own = rows.withColumns({"shard": shard, "row_index": F.col("_metadata.row_index")})
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), "shard", F.col("row_index").cast("string")).cast("binary"))
+    return own.orderBy(order, "shard", "row_index").limit(n)
+
+
 def shuffled(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
     return df.orderBy(seeded_order(F.col(key), seed), key)
 

@@ -8,7 +8,7 @@ from ..functions import rewards, schedules, text, tokens
 from ..functions.scans import running_total
 from ..operators import blocks, chat, documents, joins, measures, sampling, segments
 from ..sources import readers, sinks
-from ..streaming import incremental
+from ..streaming import incremental, jobs
 from .catalogue import IDS, TURNS, UNITS, long, query, table, turns, weighted, word_ids
 
 
@@ -446,23 +446,24 @@ def csv_codes(spark, sf_dir):
     return readers.read_strings_csv(spark, path, ["code", "status"])
 
 
-@query("SELECT user_id::varchar AS custom_id, trim(event_type) AS content FROM events WHERE value > 50 AND event_type <> 'error'")
+@query("SELECT user_id::varchar AS custom_id, trim(event_type) AS content FROM events WHERE event_type <> 'error'")
 def batch_answers(spark, sf_dir):
     """Answers of a batch job: those with an error are left out."""
-    e = table(spark, sf_dir, "events").where("value > 50")
+    e = table(spark, sf_dir, "events")
     body = F.struct(F.struct(F.array(F.struct(F.struct(F.concat(F.lit(" "), F.col("event_type")).alias("content")).alias("message"))).alias("choices")).alias("body"))
     path = sinks.scratch(spark, "answers")
     sinks.overwrite_json(e.select(F.col("user_id").cast("string").alias("custom_id"), F.when(F.col("event_type") == "error", "failed").alias("error"), body.alias("response")), path)
     return readers.read_batch_results(spark, path)
 
 
-@query("SELECT doc_id, source AS config FROM documents WHERE source IN ('src0', 'src1')")
+@query("SELECT doc_id, source AS config FROM documents WHERE source IS NOT NULL")
 def config_folders(spark, sf_dir):
     base = sinks.scratch(spark, "configs")
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    for c in ("src0", "src1"):
+    names = sorted(r["source"] for r in docs.where("source is not null").select("source").distinct().collect())  # a row for each source
+    for c in names:
         docs.where(F.col("source") == c).select("doc_id").write.mode("overwrite").parquet(f"{base}/{c}")
-    return readers.read_configs(spark, base, ["src0", "src1"])
+    return readers.read_configs(spark, base, names)
 
 
 @query("SELECT 'fr' AS split, count(*) AS rows FROM documents WHERE lang = 'fr'")
@@ -493,15 +494,80 @@ def published_counts(spark, sf_dir):
 
 @query("SELECT DISTINCT doc_id, lang FROM documents")
 def stream_appends(spark, sf_dir):
-    """Two runs of a file stream into one table: the second adds nothing."""
+    """A file stream into one table: a second run finds half of the rows once more and the others new, a third one nothing."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    source, target = sinks.scratch(spark, "stream-in"), sinks.scratch(spark, "stream-out")
-    docs.write.mode("overwrite").parquet(source)
-    for run in (1, 2):
-        incremental.append_new(incremental.read(spark, source, "doc_id long, lang string", True), target, sinks.scratch(spark, f"stream-checkpoint-{run}"), "doc_id").awaitTermination()
+    source, target, checkpoint = (sinks.scratch(spark, f"stream-{x}") for x in ("in", "out", "checkpoint"))
+    for part in (docs.where("doc_id % 2 = 0"), docs, None):
+        if part is not None:
+            part.write.mode("append").parquet(source)
+        incremental.append_new(incremental.read(spark, source, "doc_id long, lang string", True), target, checkpoint, "doc_id").awaitTermination()
     return spark.read.parquet(target)
 
 
+@query("SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM documents) WHERE k BETWEEN 11 AND 40")
+def stream_slices(spark, sf_dir):
+    """Thirty documents of each language after the first ten, counted over three triggers of a stream."""
+    docs = table(spark, sf_dir, "documents").select("lang", "doc_id")
+    source, target, checkpoint = (sinks.scratch(spark, f"slices-{x}") for x in ("in", "out", "checkpoint"))
+    cuts = docs.agg(F.percentile_approx("doc_id", [0.01, 0.05], 10_000).alias("c")).first()["c"]
+    for own in (F.col("doc_id") <= cuts[0], (F.col("doc_id") > cuts[0]) & (F.col("doc_id") <= cuts[1]), F.col("doc_id") > cuts[1]):
+        docs.where(own).coalesce(1).write.mode("append").parquet(source)
+    stream = incremental.take_after(incremental.read(spark, source, "lang string, doc_id long", True, files_per_batch=1), "lang", "doc_id", 10, 30)
+    stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("lang string, doc_id long").parquet(target)
+
+
+def job_rounds(spark, sf_dir):
+    """Three rounds of transitions for a job of each user: submitted; ended by its owner or, in vain, by another; tried again."""
+    users = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("ts").alias("ts")).select(F.col("user_id").cast("string").alias("job_id"), F.col("user_id").alias("u"), F.col("ts").cast("timestamp").alias("ts"))
+
+    def moves(status, owner, hours):
+        at = F.col("ts") + F.make_interval(hours=F.lit(hours))
+        return users.select("job_id", status.alias("status"), owner.alias("owner"), (at + F.make_interval(hours=F.lit(2))).alias("lease_until"), at.alias("at"), "u")
+
+    ended = F.when(F.col("u") % 3 == 1, "failed").otherwise("completed")
+    return [
+        moves(F.lit("submitted"), F.lit("first"), 0), moves(ended, F.when(F.col("u") % 3 == 2, "other").otherwise("first"), 1),
+        moves(F.lit("submitted"), F.lit("late"), 3).where("u % 2 = 0").unionByName(moves(F.lit("submitted"), F.lit("early"), 1).where("u % 2 = 1")),
+    ]
+
+
+# completed jobs stay so; failed ones are submitted again by anyone; those that another wanted to end are free only once their lease has lapsed
+JOBS = "SELECT DISTINCT user_id::varchar AS job_id, user_id AS u FROM events"
+
+
+@query(f"""WITH j AS ({JOBS}) SELECT job_id, CASE WHEN u % 3 = 0 THEN 'completed' ELSE 'submitted' END AS status,
+  CASE WHEN u % 3 = 0 THEN 'first' WHEN u % 2 = 0 THEN 'late' WHEN u % 3 = 1 THEN 'early' ELSE 'first' END AS owner, CASE WHEN u % 3 = 0 THEN 2 WHEN u % 3 = 1 OR u % 2 = 0 THEN 3 ELSE 1 END::bigint AS version FROM j""")
+def job_states(spark, sf_dir):
+    """The state of every job after three rounds, from the ledger's versions."""
+    ledger = jobs.Ledger(spark, sinks.scratch(spark, "jobs"))
+    for wanted in job_rounds(spark, sf_dir):
+        ledger.apply(wanted)
+    return ledger.state().select("job_id", "status", "owner", "version")
+
+
+@query(f"""WITH j AS ({JOBS}) SELECT job_id, 'completed' AS status, 'other' AS owner, 'submitted' AS before FROM j WHERE u % 3 = 2
+UNION ALL SELECT job_id, 'submitted', CASE WHEN u % 2 = 0 THEN 'late' ELSE 'early' END, CASE WHEN u % 3 = 0 THEN 'completed' ELSE 'submitted' END FROM j WHERE u % 3 = 0 OR u % 3 = 2 AND u % 2 = 1""")
+def job_refusals(spark, sf_dir):
+    """Transitions that the ledger refused, with the state that they met."""
+    ledger, refused = jobs.Ledger(spark, sinks.scratch(spark, "jobs")), []
+    for wanted in job_rounds(spark, sf_dir):
+        _, judged = ledger.apply(wanted)
+        refused.append(judged.where("not ok").select("job_id", "status", "owner", "before"))
+    return refused[0].unionByName(refused[1]).unionByName(refused[2])
+
+
+@query("""WITH s AS (SELECT doc_id, 'shard=' || (doc_id % 16) AS shard, row_number() OVER (PARTITION BY doc_id % 16 ORDER BY doc_id) - 1 AS i FROM documents),
+drawn AS (SELECT shard FROM (SELECT DISTINCT shard FROM s) ORDER BY md5('5:' || shard), shard LIMIT 4)
+SELECT doc_id, shard, i AS row_index FROM s WHERE shard IN (SELECT shard FROM drawn) ORDER BY md5('5:' || shard || ':' || i), shard, i LIMIT 100""")
+def shard_sample(spark, sf_dir):
+    """A hundred rows of four of sixteen shards; the other files aren't read."""
+    path = sinks.scratch(spark, "shards")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.pmod("doc_id", F.lit(16)).alias("shard"))
+    docs.repartition("shard").sortWithinPartitions("shard", "doc_id").write.option("maxRecordsPerFile", 0).partitionBy("shard").parquet(path)
+    return sampling.sample_shards(spark, path, 100, 50, seed=5, name=r"shard=\d+").select("doc_id", "shard", "row_index")
+
+
 @query("SELECT time_bucket(INTERVAL 6 HOURS, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def windowed_events(spark, sf_dir):
     """Counts in windows of event time, as a table; the same plan runs on a stream."""
@@ -517,10 +583,11 @@ def quarantined_rows(spark, sf_dir):
     return good.select("event_id", "value")
 
 
-@query("SELECT doc_id, lang FROM documents WHERE source = 'src0' UNION ALL SELECT doc_id, lang FROM documents WHERE source = 'src1'")
+@query("SELECT doc_id, lang FROM documents WHERE source IS NOT NULL")
 def streams_together(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return sampling.streams_together([docs.where(F.col("source") == s).select("doc_id", "lang") for s in ("src0", "src1")])
+    names = sorted(r["source"] for r in docs.where("source is not null").select("source").distinct().collect())  # a row for each source
+    return sampling.streams_together([docs.where(F.col("source") == s).select("doc_id", "lang") for s in names])
 
 
 # --- scores -----------------------------------------------------------------------------------------------------------

@@ -7,9 +7,11 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read(spark: SparkSession, path: str, schema: str, stream: bool, kind: str = "parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -24,25 +26,61 @@ def fits(df: DataFrame, most: int, how: str = "filter") -> DataFrame:
     """Rows of at most ``most`` ids; or, for ``right``, rows whose prompt fits, cut to that. The same on streams."""
     if how == "filter":
         return df.where(F.size("input_ids") <= most)
-    own = df.where(F.col("prompt_len") <= most) if "prompt_len" in df.columns else df
+    own = df.where(F.col("prompt_len") <= most) if "prompt_len" in df.columns else df  # a row without a length goes
     return own.withColumns({c: F.slice(c, 1, most) for c in ("input_ids", "labels") if c in df.columns})
 
 
 def append_new(stream: DataFrame, target: str, checkpoint: str, key: str) -> StreamingQuery:
-    """Append rows whose key the target lacks; a batch that is run again adds nothing."""
-    schema = stream.schema
-
-    def one(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(target)
-        there = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-        new = batch.dropDuplicates([key])
-        if there:
-            new = new.join(spark.read.schema(schema).parquet(target).select(key), key, "left_anti")
-        new.select(*schema.fieldNames()).write.mode("append").parquet(target)
-
-    return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Append rows with new keys, of those that share one any one; a run that is begun again goes on where it stopped.
+
+    What was written isn't read again: keys are the stream's state, dealt by key and kept in RocksDB, and the sink's log knows
+    its batches, so a batch that is run twice adds nothing, and a batch's work doesn't grow with the target. A target goes with the
+    checkpoint that it was begun with.
+    """
+    spark = stream.sparkSession
+    jvm = spark.sparkContext._jvm
+    there = lambda path: (p := jvm.org.apache.hadoop.fs.Path(path)).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    if there(target) and not there(f"{checkpoint}/offsets"):
+        raise ValueError(f"{target} was begun with another checkpoint than {checkpoint}")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return stream.dropDuplicates([key]).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class _Ranks(StatefulProcessor):
+    """Numbers the rows of a group in the order in which its batches come, and within a batch by a column."""
+
+    def __init__(self, columns: list[str], order: str, skip: int, take: int):
+        self.columns, self.order, self.skip, self.take = columns, order, skip, take
+
+    def init(self, handle) -> None:
+        self.count = handle.getValueState("count", "n long")
+
+    def handleInputRows(self, key, rows, timers):
+        n = self.count.get()[0] if self.count.exists() else 0
+        first, last = max(0, self.skip - n), max(0, self.skip + self.take - n)
+        held = None
+        for f in rows:  # only the rows that may be given are held
+            n += len(f)
+            held = (f if held is None else pd.concat([held, f])).sort_values(self.order, kind="stable").head(last)
+        self.count.update((n,))
+        if first < last and held is not None and len(held) > first:
+            yield held.iloc[first:][self.columns]
+
+    def close(self) -> None:
+        pass
+
+
+def take_after(df: DataFrame, group: str, order: str, skip: int, take: int) -> DataFrame:
+    """Of each group ``take`` rows after the first ``skip``, in a stream as in a batch.
+
+    A stream keeps a counter for each group, nothing else: the rows of a trigger are ordered by ``order`` and go after those of the
+    triggers before. So stream and batch give the same rows where ``order`` grows from trigger to trigger.
+    """
+    if not df.isStreaming:
+        rank = F.row_number().over(Window.partitionBy(group).orderBy(order))
+        return df.withColumn("_rank", rank).where(F.col("_rank").between(skip + 1, skip + take)).drop("_rank")
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return df.groupBy(group).transformWithStateInPandas(_Ranks(df.columns, order, skip, take), df.schema, "append", "none")
 
 
 def windowed_counts(stream: DataFrame, time_column: str, late: str, width: str, by: str) -> DataFrame:

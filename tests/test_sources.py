@@ -72,12 +72,44 @@ def test_chat_and_joins(spark):
 
 def test_stream_appends_once(spark, tmp_path):
     src, out, kind = str(tmp_path / "in"), str(tmp_path / "out"), "id long, v string"
+    run = lambda checkpoint: incremental.append_new(incremental.read(spark, src, kind, True, files_per_batch=1), out, str(tmp_path / checkpoint), "id").awaitTermination(120)
     for part in ([(1, "a"), (2, "b")], [(2, "b"), (3, "c")]):
         spark.createDataFrame(part, kind).write.mode("append").parquet(src)
-    for checkpoint in ("c1", "c2"):  # the second run starts over and adds nothing
-        q = incremental.append_new(incremental.read(spark, src, kind, True, files_per_batch=1), out, str(tmp_path / checkpoint), "id")
+    for more in ([], [(3, "c"), (4, "d"), (4, "d")]):
+        if more:
+            spark.createDataFrame(more, kind).coalesce(1).write.mode("append").parquet(src)
+        for _ in (1, 2):  # a run that is begun again adds nothing
+            run("c1")
+            assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == [1, 2, 3, *([4] if more else [])]
+    with pytest.raises(ValueError, match="another checkpoint"):
+        run("c2")
+
+
+def test_appends_do_not_read_the_target(spark, tmp_path):
+    src, out, kind = str(tmp_path / "in"), str(tmp_path / "out"), "id long, v string"
+    for n in range(3):
+        spark.createDataFrame([(n, "x"), (n + 1, "y")], kind).coalesce(1).write.mode("append").parquet(src)
+    q = incremental.append_new(incremental.read(spark, src, kind, True, files_per_batch=1), out, str(tmp_path / "c"), "id")
+    q.awaitTermination(120)
+    for p in q.recentProgress:
+        assert [s["description"] for s in p["sources"]] == [f"FileStreamSource[file:{src}]"]
+    assert spark.read.parquet(out).count() == 4
+
+
+def test_take_and_skip_are_the_same_in_a_stream(spark, tmp_path):
+    src, kind = str(tmp_path / "in"), "g string, n long"
+    rows = [("ab"[n % 2] if n % 7 else "c", n) for n in range(60)]
+    for at in range(0, 60, 20):  # three triggers
+        spark.createDataFrame(rows[at : at + 20], kind).coalesce(1).write.mode("append").parquet(src)
+    for skip, take in ((0, 3), (12, 9), (22, 100), (5, 0)):
+        batch = incremental.take_after(spark.read.parquet(src), "g", "n", skip, take)
+        stream = incremental.take_after(incremental.read(spark, src, kind, True, files_per_batch=1), "g", "n", skip, take)
+        out = str(tmp_path / f"out-{skip}-{take}")
+        q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-c").trigger(availableNow=True).start()
         q.awaitTermination(120)
-        assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == [1, 2, 3]
+        assert len([p for p in q.recentProgress if p["numInputRows"]]) == 3
+        got = sorted(tuple(r) for r in spark.read.schema(kind).parquet(out).collect())
+        assert got == sorted(tuple(r) for r in batch.collect()) and all(sum(1 for g, _ in got if g == x) <= take for x in "abc")
 
 
 def test_quarantine_and_retries(spark):
