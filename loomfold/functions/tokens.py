@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,6 +94,27 @@ def positions(valid: Column) -> Column:
     return scan(valid, zero, lambda a, v: F.struct((a["n"] + v).cast("int").alias("n")), lambda before, v, after: F.when(v == 1, before["n"]).otherwise(0), "int")
 
 
+def sees(q: Column, k: Column, n: Column, block: int) -> Column:
+    """Whether place q may see place k, of ``n`` noisy places and ``n`` clean ones after them in blocks.
+
+    A noisy block sees itself and the clean blocks before it; a clean one the clean blocks up to itself.
+    """
+    of = lambda x: F.floor(F.pmod(x, n) / block)
+    noisy = lambda x: x < n
+    return ((of(q) == of(k)) & (noisy(q) == noisy(k))) | ((of(q) > of(k)) & noisy(q) & ~noisy(k)) | ((of(q) >= of(k)) & ~noisy(q) & ~noisy(k))
+
+
+def block_mask(n: Column, block: int) -> Column:
+    """:func:`sees` for all places of a row, as an array of arrays."""
+    places = F.sequence(F.lit(0), 2 * n - 1)
+    return F.when(n > 0, F.transform(places, lambda q: F.transform(places, lambda k: sees(q, k, n, block)))).otherwise(F.array().cast("array<array<boolean>>"))
+
+
+def sampling_mask(valid: Column, block: int) -> Column:
+    """Which places see which while blocks are filled one after the other: valid ones those of the blocks up to their own; others neither see nor are seen."""
+    return F.transform(valid, lambda x, q: F.transform(valid, lambda y, k: (x == 1) & (y == 1) & (F.floor(k / block) <= F.floor(q / block))))
+
+
 def top_places(scores: Column, k: int) -> Column:
     """Places of the k highest scores, highest first, ties to the earlier."""
     placed = F.transform(scores, lambda x, i: F.struct((-x).alias("s"), i.alias("i")))
@@ -275,37 +297,70 @@ def tau_leap(ids: Column, delete: Column, substitute: Column, insert: Column, su
     return F.flatten(F.transform(rows, moved))
 
 
-def align(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
-    """Global alignment with unit costs and blanks; of equal ones diagonal before up before left. Quadratic; for a UDF."""
-    rows = [list(range(len(b) + 1))]
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            row.append(min(rows[-1][j - 1] + (x != y), rows[-1][j] + 1, row[-1] + 1))
-        rows.append(row)
-    i, j, one, two = len(a), len(b), [], []
-    while i or j:
-        if i and j and rows[i][j] == rows[i - 1][j - 1] + (a[i - 1] != b[j - 1]):
-            i, j = i - 1, j - 1
-            one.append(a[i])
-            two.append(b[j])
-        elif i and rows[i][j] == rows[i - 1][j] + 1:
-            i -= 1
-            one.append(a[i])
-            two.append(BLANK)
-        else:
-            j -= 1
-            one.append(BLANK)
-            two.append(b[j])
+def align(a, b, few: int = 64, parts: int = 8) -> tuple[list[int], list[int]]:
+    """Global alignment with unit costs and blanks; of equal ones diagonal before up before left.
+
+    Rows of the table of costs are worked out whole, and only a few are kept: a stretch of rows is cut into ``parts`` at rows that
+    are kept, and walked back from its last part to its first, each cut again until it has at most ``few`` rows. So memory is a
+    few dozen rows however long the sequences are, and time a few times that of the table.
+    """
+    import numpy as np
+
+    a, b = np.asarray(a, dtype=np.int64), np.asarray(b, dtype=np.int64)
+    one: list[int] = []
+    two: list[int] = []
+
+    def below(row, i: int):
+        """The row after ``row``, which is that of the first ``i`` elements."""
+        width = len(row)
+        best = np.minimum(row[:-1] + (b[: width - 1] != a[i]), row[1:] + 1)
+        # the left neighbour's cost and one more: a running minimum of costs less their places
+        return np.minimum.accumulate(np.concatenate([[row[0] + 1], best]) - np.arange(width)) + np.arange(width)
+
+    def walk(first: int, last: int, row, j: int) -> int:
+        """Walk back from row ``last`` and column ``j`` to row ``first``, whose costs are given; the column there."""
+        row = row[: j + 1]
+        if last - first > few:
+            cuts = sorted({first + (last - first) * k // parts for k in range(parts)})
+            kept = {first: row}
+            for i in range(first, cuts[-1]):
+                row = below(row, i)
+                if i + 1 in cuts:
+                    kept[i + 1] = row
+            for start, stop in zip(reversed(cuts), reversed([*cuts[1:], last]), strict=True):
+                j = walk(start, stop, kept.pop(start), j)
+            return j
+        rows = [row]
+        for i in range(first, last):
+            rows.append(below(rows[-1], i))
+        i = last
+        while i > first:
+            here, up = rows[i - first], rows[i - first - 1]
+            if j and here[j] == up[j - 1] + (a[i - 1] != b[j - 1]):
+                i, j = i - 1, j - 1
+                one.append(int(a[i]))
+                two.append(int(b[j]))
+            elif here[j] == up[j] + 1:
+                i -= 1
+                one.append(int(a[i]))
+                two.append(BLANK)
+            else:
+                j -= 1
+                one.append(BLANK)
+                two.append(int(b[j]))
+        return j
+
+    j = walk(0, len(a), np.arange(len(b) + 1), len(b))
+    one += [BLANK] * j
+    two += b[:j][::-1].tolist()
     return one[::-1], two[::-1]
 
 
 def align_udf():
     """:func:`align` over Arrow batches."""
-    import pandas as pd
 
     @F.pandas_udf("struct<source:array<int>,target:array<int>>")
     def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([align(list(x), list(y)) for x, y in zip(a, b, strict=True)], columns=["source", "target"])
+        return pd.DataFrame([align(x, y) for x, y in zip(a, b, strict=True)], columns=["source", "target"])
 
     return run

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from ..functions.text import fix_opening, hash_answer, md5_id, strip, strip_blocks, strip_tags
 from ..functions.tokens import ensure_start, masked_labels
@@ -71,6 +73,25 @@ def flatten_steps(docs: DataFrame, least: int = 0) -> DataFrame:
     return s.where(~F.coalesce("has_missing_translation", F.lit(False)) & (F.col("en") != "") & (F.col("hi") != "") & (F.coalesce("token_count", F.lit(0)) >= least))
 
 
+@F.udtf
+class FlatSteps:
+    """:func:`flatten_steps` as a table function of an array of steps and the least number of tokens; its columns are the step's own."""
+
+    @staticmethod
+    def analyze(steps: AnalyzeArgument, least: AnalyzeArgument) -> AnalyzeResult:
+        if not isinstance(steps.dataType, T.ArrayType) or not isinstance(steps.dataType.elementType, T.StructType):
+            raise ValueError("steps must be an array of structs")
+        lacking = {"en", "hi", "token_count"} - set(steps.dataType.elementType.fieldNames())
+        if lacking or not isinstance(least.dataType, T.IntegralType):
+            raise ValueError(f"steps lack {sorted(lacking)}" if lacking else "least must be a whole number")
+        return AnalyzeResult(steps.dataType.elementType)
+
+    def eval(self, steps: list, least: int):
+        for s in steps or []:
+            if not ("has_missing_translation" in s and s["has_missing_translation"]) and s["en"] and s["hi"] and (s["token_count"] or 0) >= least:
+                yield tuple(s)
+
+
 def explode_tasks(docs: DataFrame, tasks: list[str]) -> DataFrame:
     """A row of chat messages for each chunk of each task column, in the order of document, task, chunk."""
     out = None

@@ -95,8 +95,7 @@ def head_split(spark, sf_dir):
 
 @query("SELECT doc_id FROM documents ORDER BY md5('7:' || doc_id::varchar), doc_id LIMIT 50")
 def seeded_sample(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id")
-    return docs.orderBy(F.md5(F.concat(F.lit("7:"), F.col("doc_id").cast("string")).cast("binary")), "doc_id").limit(50)
+    return sampling.sample_rows(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 50, seed=7)
 
 
 @query("WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE source IN ('src0', 'src1')) SELECT CASE WHEN source = 'src0' AND k <= 5 THEN 'test' ELSE 'train' END AS split, doc_id FROM r WHERE (source = 'src0' AND k <= 25) OR (source = 'src1' AND k <= 10)")
@@ -406,28 +405,43 @@ def nucleus(spark, sf_dir):
     return d.select("doc_id", long(F.size(F.filter(tokens.top_p_keep(F.col("logits"), 0.9), lambda x: x))).alias("kept"))
 
 
-@query("""WITH c AS (SELECT i, j FROM range(24) a(i), range(24) b(j)), v AS (SELECT i, j, i % 12 // 4 AS bi, j % 12 // 4 AS bj, i < 12 AS xi, j < 12 AS xj FROM c)
-SELECT i::bigint AS q, j::bigint AS k, (bi = bj AND xi = xj) OR (bi > bj AND NOT xj AND xi) OR (bi >= bj AND NOT xj AND NOT xi) AS seen FROM v""")
+# halves of as many places as the document's words leave over, in blocks of 4
+@query(f"""WITH d AS (SELECT doc_id, len({IDS}) % 13 AS n FROM documents), c AS (SELECT doc_id, n, unnest(range(0, 2 * n)) AS i FROM d), e AS (SELECT doc_id, n, i, unnest(range(0, 2 * n)) AS j FROM c),
+v AS (SELECT doc_id, i, j, i % n // 4 AS bi, j % n // 4 AS bj, i < n AS xi, j < n AS xj FROM e)
+SELECT doc_id, i::bigint AS q, string_agg(j::varchar, ',' ORDER BY j) FILTER ((bi = bj AND xi = xj) OR (bi > bj AND NOT xj AND xi) OR (bi >= bj AND NOT xj AND NOT xi)) AS seen FROM v GROUP BY doc_id, i""")
 def block_attention(spark, sf_dir):
-    """Which places of noisy and clean halves (12 each, blocks of 4) see each other."""
-    n, block = 12, 4
-    cells = spark.range(2 * n).withColumnRenamed("id", "q").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2 * n - 1).cast("long"))))
-    bq, bk = (F.floor(F.col(c) % n / block) for c in ("q", "k"))
-    noisy_q, noisy_k = (F.col(c) < n for c in ("q", "k"))
-    return cells.select("q", "k", (((bq == bk) & (noisy_q == noisy_k)) | ((bq > bk) & noisy_q & ~noisy_k) | ((bq >= bk) & ~noisy_q & ~noisy_k)).alias("seen"))
+    """Which places of noisy and clean halves see which."""
+    d = table(spark, sf_dir, "documents").select("doc_id", (F.size(word_ids()) % 13).alias("n"))
+    rows = d.select("doc_id", F.posexplode(tokens.block_mask(F.col("n"), 4)).alias("q", "m"))
+    return rows.select("doc_id", long("q").alias("q"), F.array_join(F.transform("m", lambda x, k: F.when(x, k.cast("string"))), ",").alias("seen"))
 
 
-@query("""WITH t AS (SELECT i / 20.0::double AS t FROM range(21) r(i))
-SELECT round(t, 6) AS t, round(1 - t, 6) AS linear, round(1 - cos(pi() / 2 * (1 - t)), 6) AS cosine, round(1 / (t + 1e-6), 3) AS weight, round(2 * t ** 3 - 3 * t ** 2 + 2 * t, 6) AS cubic FROM t""")
+TURN_IDS = r"list_transform(regexp_extract_all(text, '[^ \t\r\n]+'), lambda w: length(w) % 5)"
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, unnest({TURN_IDS}) AS x, generate_subscripts({TURN_IDS}, 1) - 1 AS k FROM conversations),
+p AS (SELECT *, count(*) FILTER (x <> 3) OVER (PARTITION BY conv_id, turn ORDER BY k // 4 RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM t)
+SELECT conv_id, turn, k::bigint AS q, CASE WHEN x = 3 THEN 0 ELSE upto END AS seen FROM p""")
+def sampling_masks(spark, sf_dir):
+    """How many places each place of a turn sees while blocks of four are filled; words of some lengths are padding."""
+    valid = F.transform(word_ids(mod=5), lambda x: (x != 3).cast("int"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(tokens.sampling_mask(valid, 4)).alias("q", "m"))
+    return rows.select("conv_id", "turn", long("q").alias("q"), long(F.size(F.filter("m", lambda x: x))).alias("seen"))
+
+
+@query("""WITH t AS (SELECT doc_id, (n_chars % 101) / 100.0::double AS t FROM documents WHERE n_chars IS NOT NULL)
+SELECT doc_id, round(t, 6) AS t, round(1 - t, 6) AS linear, round(1 - cos(pi() / 2 * (1 - t)), 6) AS cosine, round(1 / (t + 1e-6), 3) AS weight, round(2 * t ** 3 - 3 * t ** 2 + 2 * t, 6) AS cubic FROM t""")
 def schedule_table(spark, sf_dir):
-    t = spark.range(21).select((F.col("id") / 20.0).alias("t"))
-    c = F.col("t")
-    return t.select(F.round("t", 6).alias("t"), F.round(schedules.alpha("linear", c), 6).alias("linear"), F.round(schedules.alpha("Cosine", c), 6).alias("cosine"), F.round(schedules.alpha_weight("linear", c), 3).alias("weight"), F.round(schedules.kappa("cubic", c), 6).alias("cubic"))
+    """Schedules at a time that each document's length gives."""
+    c = (F.col("n_chars") % 101) / F.lit(100.0)
+    t = table(spark, sf_dir, "documents").where("n_chars is not null")
+    return t.select("doc_id", F.round(c, 6).alias("t"), F.round(schedules.alpha("linear", c), 6).alias("linear"), F.round(schedules.alpha("Cosine", c), 6).alias("cosine"), F.round(schedules.alpha_weight("linear", c), 3).alias("weight"), F.round(schedules.kappa("cubic", c), 6).alias("cubic"))
 
 
-@query("SELECT n::bigint AS n, string_agg((n // 8 + (k < n % 8)::int)::varchar, ',' ORDER BY k) AS steps FROM range(40) a(n), range(8) b(k) GROUP BY n")
+@query(f"WITH d AS (SELECT doc_id, len({IDS}) AS n FROM documents) SELECT doc_id, string_agg((n // 8 + (k < n % 8)::int)::varchar, ',' ORDER BY k) AS steps FROM d, range(8) b(k) GROUP BY doc_id, n")
 def even_schedule(spark, sf_dir):
-    return spark.range(40).select(F.col("id").alias("n"), F.array_join(schedules.even_steps(F.col("id"), 8).cast("array<string>"), ",").alias("steps"))
+    """Each document's words dealt to eight steps."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(schedules.even_steps(F.size(word_ids()), 8).cast("array<string>"), ",").alias("steps"))
 
 
 # --- scores -----------------------------------------------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import rewards, schedules, text, tokens
@@ -145,6 +146,14 @@ def flat_steps(spark, sf_dir):
     return chat.flatten_steps(order_steps(spark, sf_dir), 10).groupBy("doc_id", "en", "hi").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"WITH i AS ({ITEMS}), s AS (SELECT id AS doc_id, unnest(steps) AS s FROM i) SELECT doc_id, s.en AS en, s.hi AS hi, count(*) AS n FROM s WHERE NOT s.bad AND s.en <> '' AND s.hi <> '' AND s.n >= 10 GROUP BY ALL")
+def flat_steps_function(spark, sf_dir):
+    """Steps by a table function that finds its columns from its argument's type."""
+    steps = order_steps(spark, sf_dir)
+    flat = steps.lateralJoin(chat.FlatSteps(F.col("steps").outer(), F.lit(10)))
+    return flat.groupBy("doc_id", "en", "hi").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"WITH i AS ({ITEMS}), k AS (SELECT id, len(list_filter(steps, lambda s: NOT s.bad AND s.en <> '' AND s.hi <> '' AND s.n >= 30))::bigint AS kept FROM i) SELECT id, kept FROM k WHERE kept > 0")
 def kept_documents(spark, sf_dir):
     return sinks.kept_steps(order_steps(spark, sf_dir), 30).select("id", long(F.size("steps")).alias("kept"))
@@ -180,11 +189,13 @@ def task_prompts(spark, sf_dir):
 
 
 # --- joins ------------------------------------------------------------------------------------------------------------
-@query("SELECT source, doc_id FROM (SELECT source, doc_id FROM documents WHERE source IN ('src0', 'src1')) WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+@query("SELECT source, doc_id FROM documents WHERE source IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM labels)")
 def chained_sources(spark, sf_dir):
+    """Each source without what is done or what a source before it has."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    own = joins.chained_sampling([docs.where("source = 'src0'"), docs.where("source = 'src1'")], table(spark, sf_dir, "labels"), "doc_id")
-    return own[0].unionByName(own[1]).select("source", "doc_id")
+    names = sorted(r["source"] for r in docs.where("source is not null").select("source").distinct().collect())  # a row for each source
+    own = joins.chained_sampling([docs.where(F.col("source") == s) for s in names], table(spark, sf_dir, "labels"), "doc_id")
+    return sampling.merge_splits([{"all": x} for x in own])["all"].select("source", "doc_id")
 
 
 @query("SELECT c_custkey AS key, coalesce(n.n_name, 'nowhere') AS name FROM customer LEFT JOIN (SELECT n_nationkey, n_name FROM nation WHERE n_nationkey > 3) n ON c_nationkey = n_nationkey")
@@ -225,24 +236,25 @@ def line_offsets(spark, sf_dir):
     return own.select("doc_id", long("line").alias("line"), "start")
 
 
-@query(r"""WITH s AS (SELECT doc_id, text, regexp_extract_all(text, '(?s).+?(?:[.!?]\s+|$)') AS parts FROM documents WHERE text <> '')
-SELECT doc_id, len(parts)::bigint AS sentences, list_sum(list_transform(parts, lambda x: length(x)))::bigint AS covered, length(text) AS chars FROM s""")
+@query(r"""WITH s AS (SELECT doc_id, text, regexp_extract_all(text, '(?s).+?(?:[.!?]\s+|$)') AS parts FROM documents WHERE text <> ''),
+p AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS k FROM s)
+SELECT doc_id, k::bigint AS index, (sum(length(part)) OVER w - length(part))::bigint AS start, (sum(length(part)) OVER w)::bigint AS "end" FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY k)""")
 def sentence_offsets(spark, sf_dir):
-    own = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", "text", text.sentence_spans(F.col("text")).alias("s"))
-    covered = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
-    return own.select("doc_id", long(F.size("s")).alias("sentences"), covered.alias("covered"), long(F.length("text")).alias("chars"))
+    """Where each sentence begins and ends."""
+    own = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", F.posexplode(text.sentence_spans(F.col("text"))).alias("index", "s"))
+    return own.select("doc_id", long("index").alias("index"), long("s.start").alias("start"), long("s.end").alias("end"))
 
 
-@query(f"""WITH {UNITS}, p AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \\t\\r\\n]')) AS kept FROM documents)
-SELECT doc_id, len(kept)::bigint AS units, (length(text) - coalesce(list_sum(list_transform(kept, lambda x: length(x))), 0))::bigint AS gap_chars FROM p WHERE len(kept) > 0""")
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents),
+p AS (SELECT *, (sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY n) - length(x) - 1)::bigint AS place, count(*) FILTER (regexp_matches(x, '[^ \t\r\n]')) OVER (PARTITION BY doc_id ORDER BY n) AS g, max(n) OVER (PARTITION BY doc_id) AS most FROM l),
+b AS (SELECT doc_id, g, string_agg(CASE WHEN regexp_matches(x, '[^ \t\r\n]') THEN '' ELSE x END || CASE WHEN n < most THEN chr(10) ELSE '' END, '' ORDER BY n) AS gap, min(n) AS index, min(place) AS char_start FROM p WHERE g > 0 GROUP BY doc_id, g)
+SELECT doc_id, index::bigint AS index, char_start, gap FROM b""")
 def unit_gaps(spark, sf_dir):
-    """Lines as units with offsets, and the text before, between and after them."""
+    """Lines as units with offsets, and the text between each and the next."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     lines = docs.select("doc_id", F.posexplode(F.arrays_zip(F.split("text", "\n", -1).alias("x"), text.line_starts(F.col("text")).alias("at"))).alias("n", "z"))
     units = lines.where(F.col("z.x").rlike(r"[^ \t\r\n]")).select("doc_id", F.col("n").alias("index"), F.col("z.at").cast("int").alias("char_start"), (F.col("z.at") + F.length("z.x")).cast("int").alias("char_end"))
-    gaps = documents.with_gaps(units, docs)
-    lead = F.min("char_start") + F.sum(F.length("gap"))
-    return gaps.groupBy("doc_id").agg(F.count(F.lit(1)).alias("units"), lead.cast("long").alias("gap_chars"))
+    return documents.with_gaps(units, docs).select("doc_id", long("index").alias("index"), long("char_start").alias("char_start"), "gap")
 
 
 @query(f"""WITH {UNITS}, t AS (SELECT doc_id, i, CASE WHEN i % 2 = 0 THEN replace(line, 'e', '3') ELSE line END AS hi FROM units)
@@ -325,7 +337,7 @@ def sft_rows(spark, sf_dir):
 SELECT doc_id, count(*) FILTER (WHERE x > 9) AS over, min(k) FILTER (WHERE n = 1) AS best, count(*) FILTER (WHERE n < coalesce((SELECT min(n) FROM r q WHERE q.doc_id = r.doc_id AND q.n > 1 AND q.x / 10.0 < 1 - 1.5 / (q.n + 1)), 1e9)) AS dynamic FROM r GROUP BY doc_id""")
 def committed_places(spark, sf_dir):
     d = ids(spark, sf_dir).where("size(ids) > 0").withColumn("c", F.transform("ids", lambda x: x.cast("double")))
-    over = F.filter("c", lambda x: x > 9)
+    over = F.when(F.exists("c", lambda x: x > 9), tokens.commit_over(F.col("c"), 9.0)).otherwise(F.array().cast("array<int>"))
     dynamic = tokens.commit_dynamic(F.transform("c", lambda x: x / 10), 1.5)
     return d.select("doc_id", long(F.size(over)).alias("over"), long(F.get(tokens.top_places(F.col("c"), 1), F.lit(0))).alias("best"), long(F.size(dynamic)).alias("dynamic"))
 
@@ -344,21 +356,35 @@ def top_k_filter(spark, sf_dir):
     return d.select("doc_id", long(F.size(F.filter(tokens.top_k_keep(F.col("ids"), 5), lambda x: x))).alias("kept"))
 
 
-@query(f"""{D}, z AS (SELECT doc_id, list_transform(ids, lambda x: CASE WHEN x % 4 = 0 THEN -1 ELSE x END) AS a, list_transform(ids, lambda x: CASE WHEN x % 3 = 0 THEN -1 ELSE x % 5 END) AS b FROM d)
-SELECT doc_id, len(list_filter(list_zip(a, b), lambda r: r[1] = -1 AND r[2] <> -1))::bigint AS inserted, len(list_filter(list_zip(a, b), lambda r: r[1] <> -1 AND r[2] = -1))::bigint AS deleted, len(list_filter(list_zip(a, b), lambda r: r[1] <> -1 AND r[2] <> -1 AND r[1] <> r[2]))::bigint AS changed, len(list_filter(a, lambda x: x <> -1))::bigint AS kept FROM z""")
+@query(f"""{D}, z AS (SELECT doc_id, list_transform(ids, lambda x: CASE WHEN x % 4 = 0 THEN -1 ELSE x END) AS a, list_transform(ids, lambda x: CASE WHEN x % 3 = 0 THEN -1 ELSE x % 5 END) AS b FROM d),
+e AS (SELECT doc_id, unnest(a) AS x, unnest(b) AS y, generate_subscripts(a, 1) AS i FROM z), n AS (SELECT *, (count(*) FILTER (x <> -1) OVER (PARTITION BY doc_id ORDER BY i) - 1)::int AS pos FROM e)
+SELECT doc_id, string_agg(CASE WHEN x = -1 THEN 'INS ' || greatest(pos, 0) || ' ' || y WHEN y = -1 THEN 'DEL ' || pos ELSE 'SUB ' || pos || ' ' || y END, ',' ORDER BY i) AS edits FROM n WHERE x <> y GROUP BY doc_id""")
 def edit_scripts(spark, sf_dir):
+    """Every edit with its place and token."""
     z = ids(spark, sf_dir).select("doc_id", F.transform("ids", lambda x: F.when(x % 4 == 0, -1).otherwise(x)).alias("a"), F.transform("ids", lambda x: F.when(x % 3 == 0, -1).otherwise(x % 5)).alias("b"))
-    z = z.withColumn("e", tokens.edit_script(F.col("a"), F.col("b")))
-    number = lambda kind: long(F.size(F.filter("e", lambda x: x["kind"] == kind)))
-    return z.select("doc_id", number("INS").alias("inserted"), number("DEL").alias("deleted"), number("SUB").alias("changed"), long(F.size(tokens.strip_blanks(F.col("a")))).alias("kept"))
+    shown = F.transform(tokens.edit_script(F.col("a"), F.col("b")), lambda e: F.concat_ws(" ", e["kind"], e["pos"].cast("string"), e["token"].cast("string")))
+    return z.select("doc_id", F.array_join(shown, ",").alias("edits")).where("edits <> ''")
+
+
+@query(r"""WITH t AS (SELECT conv_id, turn, regexp_replace(text, '[^A-Za-z ]', '', 'g') AS a, regexp_replace(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), '[^A-Za-z ]', '', 'g') AS b FROM conversations)
+SELECT conv_id, turn, levenshtein(a, b)::bigint AS edits, length(a) AS source, length(b) AS target FROM t WHERE b IS NOT NULL""")
+def aligned_turns(spark, sf_dir):
+    """Letters of each turn aligned with those of the next: as few edits as can be, and both sides whole."""
+    bare = lambda c: F.regexp_replace(c, "[^A-Za-z ]", "")
+    following = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", bare(F.col("text")).alias("a"), bare(following).alias("b")).where("b is not null")
+    codes = lambda c: F.transform(F.regexp_extract_all(c, F.lit("."), F.lit(0)), lambda x: F.ascii(x))
+    z = t.select("conv_id", "turn", tokens.align_udf()(codes(F.col("a")), codes(F.col("b"))).alias("z"))
+    return z.select("conv_id", "turn", long(F.size(tokens.edit_script(F.col("z.source"), F.col("z.target")))).alias("edits"), long(F.size(tokens.strip_blanks(F.col("z.source")))).alias("source"), long(F.size(tokens.strip_blanks(F.col("z.target")))).alias("target"))
 
 
-@query("""WITH RECURSIVE n AS (SELECT i::bigint AS n FROM range(60) r(i)), w AS (SELECT n, n AS left_, 8 AS t, 0 AS steps, ''::varchar AS shown FROM n
+@query("""WITH RECURSIVE n AS (SELECT DISTINCT n_chars AS n FROM documents WHERE n_chars IS NOT NULL), w AS (SELECT n, n AS left_, 8 AS t, 0 AS steps, ''::varchar AS shown FROM n
 UNION ALL SELECT n, left_ - round_even(left_ * (1 - (1 - (1 - (t - 1) / 8.0::double)) / (1 - (1 - t / 8.0::double))), 0)::bigint, t - 1, steps, shown || CASE WHEN round_even(left_ * (1 - (1 - (1 - (t - 1) / 8.0::double)) / (1 - (1 - t / 8.0::double))), 0) > 0 THEN round_even(left_ * (1 - (1 - (1 - (t - 1) / 8.0::double)) / (1 - (1 - t / 8.0::double))), 0)::bigint::varchar || ',' ELSE '' END FROM w WHERE t > 0)
-SELECT n, shown FROM w WHERE t = 0""")
+SELECT d.doc_id, shown FROM w JOIN documents d ON d.n_chars = w.n WHERE t = 0""")
 def transfer_schedule(spark, sf_dir):
-    out = spark.range(60).select(F.col("id").alias("n"), schedules.transfer_steps(F.col("id"), 8).alias("s"))
-    return out.select("n", F.concat_ws("", F.transform("s", lambda x: F.concat(x.cast("string"), F.lit(",")))).alias("shown"))
+    """Each document's characters filled in eight steps."""
+    out = table(spark, sf_dir, "documents").where("n_chars is not null").select("doc_id", schedules.transfer_steps(F.col("n_chars"), 8).alias("s"))
+    return out.select("doc_id", F.concat_ws("", F.transform("s", lambda x: F.concat(x.cast("string"), F.lit(",")))).alias("shown"))
 
 
 @query(f"{D} SELECT doc_id, {weigh('list_transform(ids, lambda x, i: list_sum(ids[:i]))')} AS totals FROM d")
@@ -419,7 +445,7 @@ def held_out_table(spark, sf_dir):
 
 @query("SELECT (row_number() OVER (ORDER BY n_chars) - 1) // 16 AS bucket, n_chars FROM documents")
 def length_buckets(spark, sf_dir):
-    return sampling.length_buckets(table(spark, sf_dir, "documents").select("n_chars"), "n_chars", 16).select(long("bucket").alias("bucket"), "n_chars")
+    return sampling.length_buckets(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "n_chars", 16).select(long("bucket").alias("bucket"), "n_chars")
 
 
 # --- sources, sinks and streams ---------------------------------------------------------------------------------------

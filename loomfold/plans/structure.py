@@ -64,14 +64,14 @@ def structure_prints(spark, sf_dir):
 
 @query(r"""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
 plain AS (SELECT doc_id, i, trim(regexp_replace(line, '[^A-Za-z ]', '', 'g')) || '.' AS s FROM lines)
-SELECT doc_id, i AS index, 'Use ⟦0⟧ at ⟦1⟧ for [' || s || '](⟦2⟧ "' || s || '"), \`no, ⟦3⟧ of ' || s AS protected, ['`c_' || i || '`', '$x_{' || i || '}$', 'https://h/' || i || '?q=(1)', i || '.5%'] AS originals, true AS restored FROM plain""")
+SELECT doc_id, i AS index, 'Use ⟦0⟧ at ⟦1⟧ for [' || s || '](⟦2⟧ "' || s || '"), \`no, ⟦3⟧ of ' || s AS protected, '`c_' || i || '` $x_{' || i || '}$ https://h/' || i || '?q=(1) ' || i || '.5%' AS originals, true AS restored FROM plain""")
 def protected_structures(spark, sf_dir):
     """Code, mathematics, a link's target and a number in every line, and what stands for them; putting back gives the text."""
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("index", "line"))
     s, i = F.concat(F.trim(F.regexp_replace("line", "[^A-Za-z ]", "")), F.lit(".")), F.col("index").cast("string")
     raw = F.concat(F.lit("Use `c_"), i, F.lit("` at $x_{"), i, F.lit("}$ for ["), s, F.lit("](https://h/"), i, F.lit('?q=(1) "'), s, F.lit('"), \\`no, '), i, F.lit(".5% of "), s)
     own = lines.select("doc_id", long("index").alias("index"), raw.alias("raw")).withColumn("p", blocks.protected(F.col("raw")))
-    return own.select("doc_id", "index", "p.protected", F.transform("p.spans", lambda x: x["original"]).alias("originals"), (blocks.restore(F.col("p.protected"), F.col("p.spans")) == F.col("raw")).alias("restored"))
+    return own.select("doc_id", "index", "p.protected", F.array_join(F.transform("p.spans", lambda x: x["original"]), " ").alias("originals"), (blocks.restore(F.col("p.protected"), F.col("p.spans")) == F.col("raw")).alias("restored"))
 
 
 @query("SELECT doc_id, true AS restored, true AS intact FROM documents WHERE regexp_matches(text, '[^ \\t\\r\\n]')")
@@ -103,9 +103,9 @@ def rebuilt_checked(spark, sf_dir):
     return documents.reconstruct_checked(units, translations).where("text is not null").select("doc_id", "text")
 
 
-@query(f"WITH {TRANSLATED} SELECT doc_id, i AS index, CASE WHEN dropped THEN ['⟦0⟧'] ELSE [] END AS lost, CASE WHEN added THEN ['⟦9⟧'] ELSE [] END AS new FROM judged WHERE added OR dropped")
+@query(f"WITH {TRANSLATED} SELECT doc_id, i AS index, CASE WHEN dropped THEN '⟦0⟧' ELSE '' END AS lost, CASE WHEN added THEN '⟦9⟧' ELSE '' END AS new FROM judged WHERE added OR dropped")
 def rebuilt_faults(spark, sf_dir):
     """The side output of the same plan, written by the job that writes the documents: units whose placeholders differ."""
     units, translations = translated(spark, sf_dir)
     _, failed = sinks.write_outcomes(documents.reconstruct_checked(units, translations), sinks.scratch(spark, "outcomes"))
-    return failed.select("doc_id", long("index").alias("index"), "lost", "new")
+    return failed.select("doc_id", long("index").alias("index"), F.array_join("lost", " ").alias("lost"), F.array_join("new", " ").alias("new"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import uuid
 
@@ -10,9 +11,19 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all machines share: ``spark.checkpoint.dir``, else the warehouse."""
+    """A new path in the folder that all machines share, ``spark.checkpoint.dir`` or else the warehouse; what is there when the application ends is deleted."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/loomfold-{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/loomfold-{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001 - the JVM may be gone by then
+        pass
 
 
 def append_json(df: DataFrame, path: str) -> None:
