@@ -61,8 +61,11 @@ def has_repetition(text: Column, most: int = 5, times: int = 4) -> Column:
         starts = F.sequence(F.lit(0), F.greatest(F.size(t) - times, F.lit(0)))
         return F.exists(starts, lambda i: F.coalesce(reduce(lambda a, b: a | b, [at(t, w, i, k) for k in range(1, most + 1)]), F.lit(False)))
 
-    tokens, gaps = (F.regexp_extract_all(text, F.lit(token), F.lit(g)) for g in (1, 2))
-    return F.when(text.isNotNull(), bind(tokens, lambda t: bind(gaps, lambda w: looped(t, w))))
+    def cut(x: Column) -> Column:
+        tokens, gaps = (F.regexp_extract_all(x, F.lit(token), F.lit(g)) for g in (1, 2))
+        return F.when(x.isNotNull(), bind(tokens, lambda t: bind(gaps, lambda w: looped(t, w))))
+
+    return bind(text, cut)
 
 
 def numbers(text: Column) -> Column:

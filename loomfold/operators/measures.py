@@ -15,16 +15,16 @@ def source_totals(docs: DataFrame, source: str, steps: Column) -> DataFrame:
     return docs.rollup(source).agg(F.count(F.lit(1)).alias("docs"), F.sum(steps).alias("steps"))
 
 
-def index_quantiles(df: DataFrame, value: str, at: dict[str, tuple[int, int]]) -> DataFrame:
+def index_quantiles(df: DataFrame, value: str, at: dict[str, tuple[int, int]], ranges: int = 256) -> DataFrame:
     """Values at ranks ``n * a // b`` of the ascending order, null for an empty table; count, min and max besides.
 
     All ranks are found together by exact counts of ranges, in as many passes whatever their number.
     """
     own = df.where(F.col(value).isNotNull()).select(value)
-    ends = own.agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"))
-    row = ends.first()
+    cuts = F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10_000).alias("cuts")
+    row = own.agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), cuts).first()
     ranks = {name: row["n"] * a // b + 1 for name, (a, b) in at.items()}
-    found = values_at(own, value, sorted(set(ranks.values()))) if row["n"] else {}
+    found = values_at(own, value, sorted(set(ranks.values())), row["cuts"]) if row["n"] else {}
     kind = df.schema[value].dataType
     return df.sparkSession.range(1).select(F.lit(row["n"]).cast("long").alias("n"), *[F.lit(row[c]).cast(kind).alias(c) for c in ("least", "most")], *[F.lit(found.get(r)).cast(kind).alias(name) for name, r in ranks.items()])
 
@@ -71,13 +71,8 @@ def pack_global(docs: DataFrame, doc_id: str, ids: str, size: int, keep_tail: bo
     an id come first, in the order of a hash, and rows that repeat one after the other.
     """
     lengths = docs.select(F.col(doc_id).alias("d"), F.col(ids).alias("ids"), F.size(ids).alias("n")).where("n > 0")
-    # only ids and lengths are ordered; the lists come back by their document
-    own = lengths.withColumn("key", F.xxhash64("d", "ids"))
-    ends, _ = summed(own.select("d", "key", "n"), "d", "end", F.col("n"), tie="key")
-    ends = ends.groupBy("d", "key", "n").agg(F.array_sort(F.collect_list("end")).alias("ends"))
-    lists = own.groupBy("d", "key", "n").agg(F.first("ids").alias("ids"))
-    same = F.col("a.d").eqNullSafe(F.col("b.d")) & (F.col("a.key") == F.col("b.key"))
-    placed = lists.alias("a").join(ends.alias("b"), same).select(F.col("a.n").alias("n"), "ids", F.explode("ends").alias("end")).withColumn("at", F.col("end") - F.col("n"))
+    placed, _ = summed(lengths.withColumn("key", F.xxhash64("d", "ids")), "d", "end", F.col("n"), tie="key")
+    placed = placed.withColumn("at", F.col("end") - F.col("n"))
     parts = placed.select("at", "n", "ids", F.explode(F.sequence(F.floor(F.col("at") / size), F.floor((F.col("at") + F.col("n") - 1) / size))).alias("block"))
     start = F.greatest(F.lit(0).cast("long"), F.col("block") * size - F.col("at"))
     stop = F.least(F.col("n").cast("long"), (F.col("block") + 1) * size - F.col("at"))

@@ -72,13 +72,13 @@ def ranked(df: DataFrame, order: str, name: str = "rank", ranges: int | None = N
     return summed(df, order, name, None, ranges, tie)
 
 
-def values_at(df: DataFrame, value: str, ranks: list[int], ranges: int = 1024) -> dict[int, object]:
+def values_at(df: DataFrame, value: str, ranks: list[int], cuts: list | None = None, ranges: int = 256) -> dict[int, object]:
     """The values at ranks from 1 in the ascending order of a column without nulls.
 
-    Three passes whatever the ranks: cuts, counts of ranges, and the distinct values with their counts in the ranges that hold a
-    rank, each range walked on its own.
+    Three passes whatever the ranks: cuts (unless they are given), counts of ranges, and the distinct values with their counts in
+    the ranges that hold a rank, each range walked on its own.
     """
-    cuts = cut_points(df, value, ranges)
+    cuts = cut_points(df, value, ranges) if cuts is None else cuts
     placed = df.select(F.col(value).alias("v"), range_of(F.col(value), cuts).alias("k"))
     counts = {r["k"]: r["count"] for r in placed.groupBy("k").count().collect()}  # a row for each range
     wanted, at = [], 0
