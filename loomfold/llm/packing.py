@@ -21,7 +21,7 @@ from .shared import Scratch, bounded_batches
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, number long"
 TOKENIZER = "word_bpe_49k.json"
-PART_CACHE, WORD_CACHE = 300_000, 150_000
+PART_CACHE, WORD_CACHE = 200_000, 100_000
 
 
 def plan_packs(histogram: dict[int, int], size: int) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
