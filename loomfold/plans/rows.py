@@ -627,21 +627,31 @@ def sudoku_scores(spark, sf_dir):
     return p.select("o_orderkey", F.round(rewards.sudoku(F.col("t"), F.col("puzzle"), F.col("solution")), 6).alias("score"))
 
 
-@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 0.5::double WHEN 1 THEN 1.0 WHEN 2 THEN 0.75 ELSE 0.25 END AS score FROM orders""")
+@query(r"""WITH t AS (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN o_clerk_box ELSE '\boxed{1} ' END || CASE o_custkey % 3 WHEN 0 THEN '<answer>' WHEN 1 THEN 'answer: ' ELSE '<answer> ' END || CASE o_orderkey % 5 WHEN 0 THEN '\boxed{' || o_custkey || '}' WHEN 1 THEN 'boxed' ELSE o_custkey::varchar END || CASE o_custkey % 2 WHEN 0 THEN '</answer>' ELSE '' END || CASE o_orderkey % 7 WHEN 0 THEN ' \boxed{2}' ELSE '' END AS t
+  FROM (SELECT o_orderkey, o_custkey, o_orderpriority || ' ' AS o_clerk_box FROM orders)),
+i AS (SELECT o_orderkey, t, CASE WHEN contains(t, '<answer>') THEN string_split(string_split(t, '<answer>')[2], '</answer>')[1] ELSE t END AS inner_ FROM t)
+SELECT o_orderkey, 0.5::double * (contains(t, '<answer>')::int + CASE WHEN contains(inner_, '\boxed') THEN 1.0::double ELSE 0.5 END) AS score FROM i""")
 def boxed_scores(spark, sf_dir):
-    """Boxes and answers' tags in four kinds of text."""
-    k = F.col("o_orderkey") % 4
-    t = F.when(k == 0, "so \\boxed{1}").when(k == 1, "<answer>\\boxed{2}</answer>").when(k == 2, "<answer>3</answer> \\boxed{3}").otherwise("4")
+    """Boxes before, inside and after an answer, with and without its tags."""
+    key, cust, box = F.col("o_orderkey"), F.col("o_custkey"), F.lit("\\boxed{")
+    before = F.when(key % 3 == 0, "").when(key % 3 == 1, F.concat("o_orderpriority", F.lit(" "))).otherwise("\\boxed{1} ")
+    tag = F.when(cust % 3 == 0, "<answer>").when(cust % 3 == 1, "answer: ").otherwise("<answer> ")
+    inside = F.when(key % 5 == 0, F.concat(box, cust.cast("string"), F.lit("}"))).when(key % 5 == 1, "boxed").otherwise(cust.cast("string"))
+    t = F.concat(before, tag, inside, F.when(cust % 2 == 0, "</answer>").otherwise(""), F.when(key % 7 == 0, " \\boxed{2}").otherwise(""))
     return table(spark, sf_dir, "orders").select("o_orderkey", rewards.boxed_format(t).alias("score"))
 
 
-@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 0.1::double WHEN 1 THEN 1.0 ELSE 0.0 END AS score FROM orders")
+# two small numbers, of which an answer makes another one by five rules; the last answer counts
+@query("""WITH n AS (SELECT o_orderkey, o_orderkey % 4 AS a, o_custkey % 4 AS b, o_orderkey % 6 AS k, (o_orderkey + o_custkey) % 5 AS target FROM orders),
+v AS (SELECT *, CASE k WHEN 0 THEN a + b WHEN 1 THEN a - b WHEN 2 THEN a * b WHEN 3 THEN b - a * a END AS value FROM n)
+SELECT o_orderkey, CASE WHEN k = 5 THEN 0.0::double WHEN k = 4 THEN 0.1 WHEN k = 3 THEN 0.1 WHEN value = target THEN 1.0 ELSE 0.1 END AS score FROM v""")
 def countdown_scores(spark, sf_dir):
-    k = F.col("o_orderkey") % 3
-    a, b = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
-    t = F.when(k == 0, F.concat(F.lit("<answer>"), a, F.lit("-1</answer>"))).when(k == 1, F.concat(F.lit("<answer>"), a, F.lit("+"), b, F.lit("</answer>"))).otherwise(a)
-    total = F.col("o_orderkey") + F.col("o_custkey")
-    return table(spark, sf_dir, "orders").select("o_orderkey", rewards.countdown(t, total, F.array("o_orderkey", "o_custkey")).alias("score"))
+    """Right and wrong values, a number too often, a word in it, no answer."""
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    a, b, k = (key % 4).cast("string"), (cust % 4).cast("string"), key % 6
+    said = F.when(k == 0, F.concat(a, F.lit("+"), b)).when(k == 1, F.concat(a, F.lit(" - "), b)).when(k == 2, F.concat(F.lit("("), b, F.lit(")*("), a, F.lit(")"))).when(k == 3, F.concat(b, F.lit("-"), a, F.lit("*"), a)).otherwise(F.concat(a, F.lit(" plus "), b))
+    t = F.when(k == 5, said).otherwise(F.concat(F.lit("<answer>0</answer> no: <answer>"), said, F.lit("</answer>")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", rewards.countdown(t, (key + cust) % 5, F.array(key % 4, cust % 4)).alias("score"))
 
 
 @query("SELECT p_partkey, 'go_' || p_partkey::varchar AS name, 'def go_' || p_partkey::varchar || '(x):' || chr(10) || '    return x' || chr(10) AS code, 0.5::double AS inside, 2::bigint AS tests FROM part")
