@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,28 +40,70 @@ def top_blocks(text: str) -> list[tuple[str, int, int, list[tuple[int, int]]]]:
     return [tuple(x) for x in out]
 
 
+#: Characters of texts whose results are held as Python objects at a time; see :func:`stretches`.
+HELD = 1 << 18
+
+
+def stretches(texts: pa.Array, most: int = HELD):
+    """(start, texts) of consecutive stretches of a batch of texts, of about ``most`` characters each (null as empty).
+
+    An Arrow batch has thousands of whole texts. Tuples of their spans and copies of their pieces take many times as much memory, so
+    they are made for a stretch at a time and handed on as Arrow.
+    """
+    held, size, first = [], 0, 0
+    for n in range(len(texts)):
+        t = texts[n].as_py() or ""
+        if held and size + len(t) > most:
+            yield first, held
+            held, size, first = [], 0, n
+        held.append(t)
+        size += len(t)
+    if held:
+        yield first, held
+
+
+def lists(counts: list[int], items: pa.Array) -> pa.Array:
+    """An array of ``items`` for each count."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]), pa.int32()), items)
+
+
+def columns(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> list[pa.Array]:
+    """Tuples as Arrow arrays, one for each field."""
+    return [pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(fields)]
+
+
 def block_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each block of each document; null and blank texts give none."""
+    fields = [("doc_id", pa.string()), ("index", pa.int32()), ("kind", pa.string()), ("translate", pa.bool_()), ("char_start", pa.int32()), ("char_end", pa.int32()), ("text", pa.string())]
 
     def run(batches):
-        for pdf in batches:
-            rows = []
-            for d, t in zip(pdf["doc_id"], pdf["body"], strict=True):
-                for n, (kind, a, b) in enumerate(scan_blocks(t or "")):
-                    rows.append((d, n, kind, kind not in UNTOUCHED, a, b, t[a:b]))
-            yield pd.DataFrame(rows, columns=["doc_id", "index", "kind", "translate", "char_start", "char_end", "text"])
+        for batch in batches:
+            for first, own in stretches(batch["body"]):
+                ids = batch["doc_id"].slice(first, len(own)).to_pylist()
+                rows = [(d, n, kind, kind not in UNTOUCHED, a, b, t[a:b]) for d, t in zip(ids, own, strict=True) for n, (kind, a, b) in enumerate(scan_blocks(t))]
+                yield pa.RecordBatch.from_arrays(columns(rows, fields), [name for name, _ in fields])
 
-    return docs.select(docs[doc_id].cast("string").alias("doc_id"), docs[text].alias("body")).mapInPandas(run, UNIT)
+    return docs.select(docs[doc_id].cast("string").alias("doc_id"), docs[text].alias("body")).mapInArrow(run, UNIT)
 
 
 ITEMS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 BLOCK = T.StructType([T.StructField("kind", T.StringType()), T.StructField("translate", T.BooleanType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("items", ITEMS)])
 
 
-@F.pandas_udf(T.ArrayType(BLOCK))
-def scanned(text: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(BLOCK))
+def scanned(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """:func:`top_blocks` in the row."""
-    return text.map(lambda t: [{"kind": k, "translate": k not in UNTOUCHED, "start": a, "end": b, "text": t[a:b], "items": [{"start": x, "end": y} for x, y in items] if k == "list" else None} for k, a, b, items in top_blocks(t or "")])
+    place = [("start", pa.int32()), ("end", pa.int32())]
+    fields = [("kind", pa.string()), ("translate", pa.bool_()), *place, ("text", pa.string())]
+    for batch in texts:
+        for _, own in stretches(batch):
+            found = [top_blocks(t) for t in own]
+            rows = [(kind, kind not in UNTOUCHED, a, b, t[a:b]) for t, blocks in zip(own, found, strict=True) for kind, a, b, _ in blocks]
+            items = [x if kind == "list" else None for blocks in found for kind, _, _, x in blocks]
+            inner = pa.StructArray.from_arrays(columns([y for x in items for y in x or ()], place), [name for name, _ in place])
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(x or ()) for x in items], dtype=np.int64)]), pa.int32())
+            held = pa.ListArray.from_arrays(ends, inner, mask=pa.array([x is None for x in items], pa.bool_()))
+            yield lists([len(x) for x in found], pa.StructArray.from_arrays([*columns(rows, fields), held], [*[name for name, _ in fields], "items"]))
 
 
 ONE_SPAN = T.StructType([*[T.StructField(c, T.StringType()) for c in ("placeholder", "original", "kind")], *[T.StructField(c, T.IntegerType()) for c in ("start", "end")]])
@@ -169,11 +213,15 @@ def protect(text: str) -> tuple[str, list[tuple[str, str, str, int, int]]]:
     return "".join(out) + text[at:], spans
 
 
-@F.pandas_udf(SPAN)
-def protected(text: pd.Series) -> pd.DataFrame:
-    rows = [protect(t or "") for t in text]
-    names = ("placeholder", "original", "kind", "start", "end")
-    return pd.DataFrame({"protected": [p for p, _ in rows], "spans": [[dict(zip(names, s, strict=True)) for s in own] for _, own in rows]})
+@F.arrow_udf(SPAN)
+def protected(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """:func:`protect` in the row."""
+    fields = [*[(c, pa.string()) for c in ("placeholder", "original", "kind")], ("start", pa.int32()), ("end", pa.int32())]
+    for batch in texts:
+        for _, own in stretches(batch):
+            made = [protect(t) for t in own]
+            spans = pa.StructArray.from_arrays(columns([s for _, spans in made for s in spans], fields), [name for name, _ in fields])
+            yield pa.StructArray.from_arrays([pa.array([p for p, _ in made], pa.string()), lists([len(spans) for _, spans in made], spans)], ["protected", "spans"])
 
 
 def restore(text: Column, spans: Column) -> Column:
