@@ -69,6 +69,11 @@ def word_ids(column: str = "text", mod: int = 1000):
     return F.transform(F.regexp_extract_all(column, F.lit(r"[^ \t\r\n]+"), F.lit(0)), lambda w: (F.length(w) % mod).cast("int"))
 
 
+def has_words(column: str = "text"):
+    """Whether :func:`word_ids` has any; a filter on their number would work them out twice."""
+    return F.col(column).rlike(r"[^ \t\r\n]")
+
+
 IDS = r"list_transform(regexp_extract_all(text, '[^ \t\r\n]+'), lambda w: (length(w) % 1000)::int)"
 
 
@@ -401,7 +406,7 @@ w AS (SELECT doc_id, k, x, exp(x - max(x) OVER (PARTITION BY doc_id)) AS e FROM
 r AS (SELECT doc_id, coalesce(sum(e) OVER (PARTITION BY doc_id ORDER BY x DESC, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(e) OVER (PARTITION BY doc_id) AS before FROM w)
 SELECT doc_id, count(*) FILTER (WHERE before <= 0.9) AS kept FROM r GROUP BY doc_id""")
 def nucleus(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.transform(word_ids(), lambda x: x.cast("double")).alias("logits")).where("size(logits) > 0")
+    d = table(spark, sf_dir, "documents").where(has_words()).select("doc_id", word_ids().cast("array<double>").alias("logits"))
     return d.select("doc_id", long(F.size(F.filter(tokens.top_p_keep(F.col("logits"), 0.9), lambda x: x))).alias("kept"))
 
 
