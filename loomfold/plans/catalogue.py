@@ -396,7 +396,7 @@ def top_places(spark, sf_dir):
 @query(f"""WITH d AS (SELECT doc_id, unnest({IDS}) AS id, generate_subscripts({IDS}, 1) AS k FROM documents), v AS (SELECT doc_id, k, (id > 3)::int AS ok, sum((id > 3)::int) OVER (PARTITION BY doc_id ORDER BY k) AS n FROM d)
 SELECT doc_id, sum(CASE WHEN ok = 1 THEN n - 1 ELSE 0 END)::bigint AS positions FROM v GROUP BY doc_id""")
 def logical_positions(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", word_ids().alias("ids")).where("size(ids) > 0")
+    d = table(spark, sf_dir, "documents").where(has_words()).select("doc_id", word_ids().alias("ids"))
     places = tokens.positions(F.transform("ids", lambda x: (x > 3).cast("int")))
     return d.select("doc_id", F.aggregate(places, F.lit(0).cast("long"), lambda a, x: a + x).alias("positions"))
 
