@@ -430,8 +430,9 @@ SELECT conv_id, turn, k::bigint AS q, CASE WHEN x = 3 THEN 0 ELSE upto END AS se
 def sampling_masks(spark, sf_dir):
     """How many places each place of a turn sees while blocks of four are filled; words of some lengths are padding."""
     valid = F.transform(word_ids(mod=5), lambda x: (x != 3).cast("int"))
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(tokens.sampling_mask(valid, 4)).alias("q", "m"))
-    return rows.select("conv_id", "turn", long("q").alias("q"), long(F.size(F.filter("m", lambda x: x))).alias("seen"))
+    seen = F.transform(tokens.sampling_mask(valid, 4), lambda m: F.size(F.array_remove(m, F.lit(False))))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(seen).alias("q", "seen"))
+    return rows.select("conv_id", "turn", long("q").alias("q"), long("seen").alias("seen"))
 
 
 @query("""WITH t AS (SELECT doc_id, (n_chars % 101) / 100.0::double AS t FROM documents WHERE n_chars IS NOT NULL)
