@@ -362,8 +362,9 @@ SELECT doc_id, string_agg(CASE WHEN x = -1 THEN 'INS ' || greatest(pos, 0) || '
 def edit_scripts(spark, sf_dir):
     """Every edit with its place and token."""
     z = ids(spark, sf_dir).select("doc_id", F.transform("ids", lambda x: F.when(x % 4 == 0, -1).otherwise(x)).alias("a"), F.transform("ids", lambda x: F.when(x % 3 == 0, -1).otherwise(x % 5)).alias("b"))
-    shown = F.transform(tokens.edit_script(F.col("a"), F.col("b")), lambda e: F.concat_ws(" ", e["kind"], e["pos"].cast("string"), e["token"].cast("string")))
-    return z.select("doc_id", F.array_join(shown, ",").alias("edits")).where("edits <> ''")
+    e = z.select("doc_id", tokens.edit_script(F.col("a"), F.col("b")).alias("e")).where("size(e) > 0")
+    shown = F.transform("e", lambda e: F.concat_ws(" ", e["kind"], e["pos"].cast("string"), e["token"].cast("string")))
+    return e.select("doc_id", F.array_join(shown, ",").alias("edits"))
 
 
 @query(r"""WITH t AS (SELECT conv_id, turn, regexp_replace(text, '[^A-Za-z ]', '', 'g') AS a, regexp_replace(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), '[^A-Za-z ]', '', 'g') AS b FROM conversations)
