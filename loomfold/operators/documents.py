@@ -52,18 +52,41 @@ def with_share(units: DataFrame) -> DataFrame:
     return units.withColumn("share", F.coalesce(before, F.lit(0)) / F.greatest(F.sum("tokens").over(w), F.lit(1)))
 
 
+def recap_flags(units: Column, least_share: float = 0.85, overlap: float = 0.5) -> Column:
+    """Per unit of a document's array, whether it is near the end and opens with a closing phrase or mostly repeats words from before ``least_share``.
+
+    Late units are the last ones of the array, so the early words are those of one stretch of it; a late unit meets only
+    those that any late unit has too.
+    """
+
+    def judged(us: Column) -> Column:
+        total = F.greatest(F.aggregate(us, F.lit(0).cast("long"), lambda n, u: n + u["tokens"]), F.lit(1))
+        none = F.struct(F.lit(0).cast("long").alias("before"), F.lit(0).alias("n"))
+        return bind(total, lambda t: bind(F.aggregate(us, none, lambda a, u: F.struct((a["before"] + u["tokens"]).alias("before"), (a["n"] + (a["before"] / t < least_share).cast("int")).alias("n")), lambda a: a["n"]), lambda n: flagged(us, n)))
+
+    def flagged(us: Column, n: Column) -> Column:
+        early = word_set(F.array_join(F.transform(F.slice(us, 1, n), lambda u: u["text"]), "\n"))
+        late = F.transform(F.slice(us, n + 1, F.size(us)), lambda u: F.struct(word_set(u["text"]).alias("words"), starts_with_closing(u["text"]).alias("closing")))
+
+        def met(own: Column) -> Column:
+            common = F.array_intersect(F.array_distinct(F.flatten(F.transform(own, lambda x: x["words"]))), early)
+            return bind(common, lambda c: F.transform(own, lambda x: x["closing"] | ((F.size(x["words"]) > 0) & (F.size(F.array_intersect(x["words"], c)) >= overlap * F.size(x["words"])))))
+
+        return F.concat(F.array_repeat(F.lit(False), n), bind(late, met))
+
+    return bind(units, judged)
+
+
 def with_recap(units: DataFrame, least_share: float = 0.85, overlap: float = 0.5) -> DataFrame:
-    """Units near the end that open with a closing phrase or mostly repeat words from before ``least_share``.
+    """Units with ``is_recap``, see :func:`recap_flags`.
 
-    Only the late units' words meet the early ones, a row for each word, so no unit carries its document's vocabulary.
+    ``units`` has a row for each document with the array ``u`` (see :func:`line_arrays`), in which it all happens without an
+    exchange; or a row for each unit, which are gathered first.
     """
-    own = with_share(units).withColumn("words", word_set(F.col("text")))
-    late = F.col("share") >= least_share
-    early = own.where(~late).select("doc_id", F.explode("words").alias("word")).distinct()
-    met = own.where(late).select("doc_id", "index", F.explode("words").alias("word")).join(early, ["doc_id", "word"]).groupBy("doc_id", "index").agg(F.count(F.lit(1)).alias("met"))
-    joined = own.join(met, ["doc_id", "index"], "left")
-    repeats = (F.size("words") > 0) & (F.coalesce("met", F.lit(0)) >= overlap * F.size("words"))
-    return joined.withColumn("is_recap", late & (starts_with_closing(F.col("text")) | repeats)).drop("words", "met")
+    if "u" not in units.columns:
+        units = nest(units, "doc_id", "index", "u")
+    flagged = F.zip_with("u", recap_flags(F.col("u"), least_share, overlap), lambda u, r: u.withField("is_recap", r))
+    return units.select("doc_id", F.inline(flagged))
 
 
 def absorb_between(units: DataFrame, kind: str = "code") -> DataFrame:

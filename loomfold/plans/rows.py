@@ -225,7 +225,7 @@ s AS (SELECT doc_id, i, line, coalesce(sum(tokens) OVER (PARTITION BY doc_id ORD
 met AS (SELECT s.doc_id, s.i, count(*) AS met FROM (SELECT doc_id, i, unnest(words) AS w FROM s WHERE share >= 0.85) s JOIN early USING (doc_id, w) GROUP BY 1, 2)
 SELECT s.doc_id, s.i AS index, share >= 0.85 AND (regexp_matches(lower(trim(line)), '^(in conclusion|in summary|to summarize|to conclude)') OR (len(words) > 0 AND coalesce(met, 0) >= 0.5 * len(words))) AS recap FROM s LEFT JOIN met ON s.doc_id = met.doc_id AND s.i = met.i""")
 def recap_units(spark, sf_dir):
-    units = documents.with_recap(documents.line_units(table(spark, sf_dir, "documents")))
+    units = documents.with_recap(documents.line_arrays(table(spark, sf_dir, "documents")))
     return units.select("doc_id", long("index").alias("index"), F.col("is_recap").alias("recap"))
 
 
