@@ -6,11 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import rewards, schedules, text, tokens
-from ..functions.scans import running_total
+from ..functions.batches import running_total
 from ..operators import blocks, chat, documents, joins, measures, sampling, segments
 from ..sources import readers, sinks
 from ..streaming import incremental, jobs
-from .catalogue import IDS, TURNS, UNITS, long, query, table, turns, weighted, word_ids
+from .catalogue import IDS, TURNS, UNITS, has_words, long, query, table, turns, weighted, word_ids
 
 
 def weigh(column: str) -> str:
