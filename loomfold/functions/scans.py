@@ -3,7 +3,8 @@
 What a lambda refers to from outside is worked out anew for each element unless it is a plain column or bound by :func:`bind`.
 
 Appending to an array inside ``aggregate`` copies it each time, which is quadratic in a long array. Here the array is cut
-into about as many pieces as a piece has elements; only a piece's own results and the list of pieces are ever copied.
+into about as many pieces as a piece has elements; only a piece's own states and the list of pieces are ever copied. States are
+gathered first, and what is emitted comes from them in one more pass, as binding each state costs more than the step itself.
 """
 
 from __future__ import annotations
@@ -35,14 +36,12 @@ def scan(items: Column, zero: Column, step: Callable[[Column, Column], Column],
 
     ``zero`` is a struct of typed fields, ``kind`` the type of what is emitted.
     """
-    none = F.array().cast(f"array<{kind}>")
-
-    def one(acc: Column, x: Column) -> Column:
-        return bind(step(acc["state"], x), lambda after: F.struct(after.alias("state"), F.array_append(acc["out"], emit(acc["state"], x, after).cast(kind)).alias("out")))
+    last = lambda states: F.element_at(states, F.lit(-1))
 
     def block(acc: Column, part: Column) -> Column:
-        walked = F.aggregate(part, F.struct(acc["state"].alias("state"), none.alias("out")), one)
-        return bind(walked, lambda w: F.struct(w["state"].alias("state"), F.array_append(acc["out"], w["out"]).alias("out")))
+        walked = F.aggregate(part, F.array(acc["state"]), lambda states, x: F.array_append(states, step(last(states), x)))
+        shown = lambda states: F.transform(part, lambda x, i: emit(F.get(states, i), x, F.get(states, i + 1)).cast(kind))
+        return bind(walked, lambda states: F.struct(last(states).alias("state"), F.array_append(acc["out"], shown(states)).alias("out")))
 
     start = F.struct(zero.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out"))
     return F.aggregate(pieces(items), start, block, lambda acc: F.flatten(acc["out"]))
